@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, quality
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_quality": quality.op9_quality,
 }
 ORACLE = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
