@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality
+from . import decontaminate, line_dedup, mixing, quality
 
 QUERIES = {
+    "op4_mixing": mixing.op4_mixing,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
 }
 ORACLE = {
+    "op4_mixing": mixing.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
