@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality
+from . import decontaminate, line_dedup, mixing, quality, trie_join
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op6_trie_join": trie_join.op6_trie_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
 }
 ORACLE = {
     "op4_mixing": mixing.ORACLE,
+    "op6_trie_join": trie_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
