@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, quality, trie_join
+from . import chat_format, decontaminate, line_dedup, mixing, quality, trie_join
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
     "op4_mixing": mixing.op4_mixing,
     "op6_trie_join": trie_join.op6_trie_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
