@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_KEY = -(2**63)
-#: Entries after which a worker's word-hash cache starts anew (about 100 MB).
-CACHE_WORDS = 500_000
 
 
 def keyed(df: DataFrame, id_col: str, **cols: str) -> DataFrame:
@@ -104,16 +102,9 @@ def as_arrow(x, kind: pa.DataType) -> pa.Array:
     return pa.array(x, type=kind)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_HASHES = _Hashes()
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Bytes of text that are hashed in one go; a longer text is one go of its own.
+SLICE = 1 << 20
 
 
 def words(text: bytes) -> list[bytes]:
@@ -121,8 +112,73 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+class _Powers:
+    """Powers of an odd base modulo 2^64 and their inverses, as far as asked for so far."""
+
+    base = 0x5851F42D4C957F2F
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            for name, by in (("up", cls.base), ("down", pow(cls.base, -1, 1 << 64))):
+                out = np.ones(max(n, SLICE), np.uint64)
+                out[1:] = by
+                setattr(cls, name, np.multiply.accumulate(out))
+        return cls.up[:n], cls.down[:n]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, the same for A-Z as for a-z.
+_VALUE = np.array([int(xxhash.xxh3_64_intdigest(bytes([k]).lower())) | 1 for k in range(256)], np.uint64)
+
+
+def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts data[bounds[k]:bounds[k+1]], and the bounds of each text's words.
+
+    A word's hash is a polynomial in its bytes' numbers, from running sums over all bytes."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    solid = ~_BLANK[data]
+    cut = np.zeros(n + 1, bool)
+    cut[bounds] = True
+    begins = solid & cut[:-1]
+    begins[1:] |= solid[1:] & ~solid[:-1]
+    ends = solid & cut[1:]
+    ends[:-1] |= solid[:-1] & ~solid[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    up, down = _Powers.to(n)
+    value = _VALUE[data] * up
+    total = np.cumsum(value, dtype=np.uint64)
+    return mixed((total[last] - total[first] + value[first]) * down[first]), np.searchsorted(first, bounds)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return _hashed(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+
+def hashed_rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, shingle hashes) of each text of a string column in order; see shingles()."""
+    col = col.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+    k = 0
+    while k < len(col):
+        m = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE, "right")) - 1)
+        m = min(m, len(col))
+        h, at = _hashed(data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k])
+        runs = shingles(h) if len(h) >= 5 else h[:0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield h[a:b], runs[a : b - 4] if b - a >= 5 else shingles(h[a:b])
+        k = m
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique without its overhead on short arrays."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

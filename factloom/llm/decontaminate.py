@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, mapped, shingles, texts, unkeyed, word_hashes, words
+from .common import distinct, hashed_rows, keyed, mapped, shingles, texts, unkeyed, word_hashes, words
 
 WORDS, SHARE = 5, (80, 100)
 BLOCK_BYTES = 16_000_000
@@ -44,7 +44,7 @@ class ItemIndex:
         self.items = [(i, s) for i, text in items if (s := word_shingles(words(text)))]
         parts = defaultdict(list)
         for k, (i, text) in enumerate((i, t) for i, t in items if words(t)):
-            sketch = np.unique(shingles(word_hashes(words(text))))
+            sketch = distinct(shingles(word_hashes(text)))
             n = len(self.items[k][1])
             need = -(-share[0] * n // share[1])
             parts[n.bit_length()].append((need, k, sketch[: n - need + 1]))
@@ -65,15 +65,12 @@ class ItemIndex:
                     out.update(owner[np.searchsorted(hashes, h) : np.searchsorted(hashes, h, "right")].tolist())
         return out
 
-    def found(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(item, its shingles, how many of them the text holds) for the items found in a text."""
-        ws = words(text)
-        if not ws:
-            return []
-        near = self.candidates(shingles(word_hashes(ws)))
+    def found(self, text: bytes, sh: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, its shingles, how many of them the text holds) for the items found in a text of these shingle hashes."""
+        near = self.candidates(sh)
         if not near:
             return []
-        own = word_shingles(ws)
+        own = word_shingles(words(text))
         hits = ((self.items[k][0], len(s := self.items[k][1]), len(s & own)) for k in near)
         return [x for x in hits if self.share[1] * x[2] >= self.share[0] * x[1]]
 
@@ -96,7 +93,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _finder(index):
     def each(batch):
-        rows = [(i, *hit) for i, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True) for hit in sorted(set(index.value.found(text)))]
+        each = zip(batch.column(0).to_pylist(), texts(batch), hashed_rows(batch.column(1)), strict=True)
+        rows = [(i, *hit) for i, text, (_, sh) in each for hit in sorted(set(index.value.found(text, sh)))]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return dict(zip(("_id", "_item", "n_item", "n_shared"), map(list, cols), strict=True))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, mixing, quality, trie_join
+from . import chat_format, decontaminate, line_dedup, mixing, quality, token_counts, trie_join
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE = {
     "op4_mixing": mixing.ORACLE,

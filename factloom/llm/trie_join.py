@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_arrow, keyed, mapped, mixed, shingles, texts, unkeyed, word_hashes, words, written
+from .common import distinct, hashed_rows, keyed, mapped, mixed, unkeyed, written
 from .components import Forest, connected
 
 WORDS, SHARE = 5, (80, 100)
@@ -56,8 +56,8 @@ def signatures(rows: DataFrame) -> DataFrame:
 
     def each(batch):
         ids, n, h1, h2, mins, every = [], [], [], [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-            u = np.unique(shingles(word_hashes(words(text))))
+        for i, (_, sh) in zip(batch.column(0).to_pylist(), hashed_rows(batch.column(1)), strict=True):
+            u = distinct(sh)
             ids.append(i)
             n.append(len(u))
             h1.append(_signed(u.sum()) if len(u) else 0)
@@ -76,14 +76,37 @@ def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
-def ordered(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Sorted order keys of a set: the top bit says that a shingle is frequent, the others are its hash."""
+def ordered(u: np.ndarray, hot: np.ndarray, first: int | None = None) -> np.ndarray:
+    """The first order keys of a sorted set, or all: the top bit says that a shingle is frequent, the others are its hash."""
     out = u >> np.uint64(1)
     if len(hot) and len(u):
         at = np.searchsorted(hot, u)
         at[at == len(hot)] = 0
-        out = out | ((hot[at] == u).astype(np.uint64) << np.uint64(63))
-    return np.sort(out)
+        often = hot[at] == u
+        out = np.concatenate([out[~often], out[often] | np.uint64(1 << 63)])
+    return out[:first]
+
+
+def _not_alone(batches):
+    """Of rows (tok, h1, n) sorted by tok, those of a shingle that several classes hold; all of the frequent ones, which are salted."""
+    held = None
+
+    def chosen(tok, h1, n):
+        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+        several = np.minimum.reduceat(h1, start) != np.maximum.reduceat(h1, start) if len(tok) else start.astype(bool)
+        keep = np.repeat(several, np.diff(np.r_[start, len(tok)])) | (tok < 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, h1, n)], names=["tok", "h1", "n"])
+
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(3)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        tok = cols[0]
+        done = int(np.searchsorted(tok, tok[-1])) if len(tok) and tok[-1] >= 0 else len(tok)
+        held = [x[done:] for x in cols]
+        yield chosen(*(x[:done] for x in cols))
+    if held is not None:
+        yield chosen(*held)
 
 
 def prefix_len(n: int, share: tuple[int, int]) -> int:
@@ -230,23 +253,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def prefixes(batch):
         toks, hs, ns = [], [], []
-        for text in texts(batch):
-            u = np.unique(shingles(word_hashes(words(text))))
+        for _, sh in hashed_rows(batch.column(0)):
+            u = distinct(sh)
             if len(u):
                 p = prefix_len(len(u), share)
-                toks.append(ordered(u, shared_hot.value)[:p])
+                toks.append(ordered(u, shared_hot.value, p))
                 hs.append(np.full(p, u.sum()))
                 ns.append(np.full(p, len(u), np.int32))
         return {"tok": np.concatenate(toks), "h1": np.concatenate(hs), "n": np.concatenate(ns)} if toks else None
 
     first = mapped(rows.select("text"), prefixes, "tok long, h1 long, n int")
-    first = first.withColumn("salt", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0).cast("int"))
-    first = first.repartition("tok", "salt")
-    local = first.groupBy("tok", "salt").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    rare = first.join(local.where("tok >= 0 and lo <> hi").select("tok", "salt"), ["tok", "salt"])
-    often = local.where("tok < 0").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("tok")
-    often = first.where("tok < 0").join(F.broadcast(often), "tok")  # at most HOT shingles
-    shared = rare.select("tok", "h1", "n").union(often.select("tok", "h1", "n")).distinct()
+    first = first.repartition("tok", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("tok")
+    shared = written(first.mapInArrow(_not_alone, "tok long, h1 long, n int"), "prefixes")
+    often = shared.where("tok < 0").groupBy("tok").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("tok")
+    often = shared.where("tok < 0").join(F.broadcast(often), "tok")  # at most HOT shingles
+    shared = shared.where("tok >= 0").union(often.select("tok", "h1", "n")).distinct()
     homes = shared.select("tok", "h1", _size_class("n").alias("z"), F.lit(True).alias("home"))
     met = homes.union(homes.select("tok", "h1", (F.col("z") + 1).alias("z"), F.lit(False).alias("home")))
     able = met.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home").select("tok", "z")
@@ -264,8 +285,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def stored(batch):
         hs, ss = [], []
-        for text in texts(batch):
-            s = np.unique(shingles(word_hashes(words(text))))
+        for _, sh in hashed_rows(batch.column(0)):
+            s = distinct(sh)
             hs.append(_signed(s.sum()))
             ss.append(ordered(s, shared_hot.value).tobytes())
         return {"h1": hs, "s": ss}
