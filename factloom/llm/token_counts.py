@@ -32,7 +32,7 @@ from .common import as_arrow, keyed, mapped, unkeyed
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern, as its README's PATTERN gives it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK, BACK, CACHE = 64, 4, 300_000
+BLOCK, BACK, CACHE = 64, 4, 200_000
 
 
 class Counter:
@@ -58,7 +58,7 @@ class Counter:
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
-            for x in set(pieces) - known.keys():
+            for x in {x for x in pieces if x not in known}:
                 known[x] = len(self.encoding.encode_ordinary(x))
             return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
@@ -170,15 +170,14 @@ class PreTokenTree:
 
 
 def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """(_id, text, chars, tokens): the state of each document; chars and tokens are int64 arrays as bytes."""
+    """(_id, text, chars, tokens): the state of each document; chars and tokens are int32 arrays as bytes."""
     rows = keyed(docs, id_col, text=text_col)
 
     def each(batch):
-        made = [PreTokenTree.of(x or "", counter(ranks)) for x in batch.column(1).to_pylist()]
-        state = [t.state() for t in made]
-        return {"_id": batch.column(0), "text": [t.text for t in made], "chars": [s[0].tobytes() for s in state], "tokens": [s[1].tobytes() for s in state]}
+        state = [PreTokenTree.of(x or "", counter(ranks)).state() for x in batch.column(1).to_pylist()]
+        return {"_id": batch.column(0), "text": batch.column(1).fill_null(""), "chars": [s[0].astype(np.int32).tobytes() for s in state], "tokens": [s[1].astype(np.int32).tobytes() for s in state]}
 
-    return mapped(rows, each, "_id long, text string, chars binary, tokens binary")
+    return mapped(rows, each, "_id long, text string, chars binary, tokens binary", rows=500)
 
 
 def edited(states: DataFrame, edits: Column, ranks: str = RANKS) -> DataFrame:
@@ -190,18 +189,18 @@ def edited(states: DataFrame, edits: Column, ranks: str = RANKS) -> DataFrame:
     def each(batch):
         out = {k: [] for k in ("text", "chars", "tokens", "n_tokens", "n_after", "n_pretokens", "n_redone")}
         for text, chars, tokens, todo in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            tree = PreTokenTree(text, np.frombuffer(chars, np.int64), np.frombuffer(tokens, np.int64), counter(ranks))
+            tree = PreTokenTree(text, *(np.frombuffer(x, np.int32).astype(np.int64) for x in (chars, tokens)), counter(ranks))
             out["n_tokens"].append(tree.n_tokens)
-            out["n_pretokens"].append(len(chars) // 8)
+            out["n_pretokens"].append(len(chars) // 4)
             for e in todo or []:
                 if e is not None:
                     tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
             after = tree.state()
-            for k, v in (("text", tree.text), ("chars", after[0].tobytes()), ("tokens", after[1].tobytes()), ("n_after", tree.n_tokens), ("n_redone", tree.redone)):
+            for k, v in (("text", tree.text), ("chars", after[0].astype(np.int32).tobytes()), ("tokens", after[1].astype(np.int32).tobytes()), ("n_after", tree.n_tokens), ("n_redone", tree.redone)):
                 out[k].append(v)
         return {"_id": batch.column(0)} | {k: as_arrow(v, pa.binary() if k in ("chars", "tokens") else pa.string() if k == "text" else pa.int64()) for k, v in out.items()}
 
-    return mapped(rows, each, "_id long, text string, chars binary, tokens binary, n_tokens long, n_after long, n_pretokens long, n_redone long")
+    return mapped(rows, each, "_id long, text string, chars binary, tokens binary, n_tokens long, n_after long, n_pretokens long, n_redone long", rows=500)
 
 
 def revision(text: Column) -> Column:
