@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_mixing, decontaminate, line_dedup, mixing, pq_neighbours, quality, token_counts, trie_join
+from . import chat_format, context_mixing, decontaminate, line_dedup, mixing, pq_neighbours, quality, suffix_dedup, token_counts, trie_join
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_context_mixing": context_mixing.op5_context_mixing,
     "op3_pq_neighbours": pq_neighbours.op3_pq_neighbours,
     "op2_chat_format": chat_format.op2_chat_format,
