@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
+from .queries import ORACLE, QUERIES  # noqa: F401
+
 FLAGSHIP = "risk_score"
-QUERIES: dict = {}
-ORACLE: dict = {}
