@@ -8,8 +8,8 @@ covers it that also starts earlier (in a smaller id, or before in the same docum
 2. Anchors: of every window of ``length`` bytes the K-gram with the smallest hash
    (winnowing). Equal strings of that length have an equal anchor at an equal place,
    so where no anchor repeats nothing does. Only hashes and places are shuffled.
-3. Anchors held by the same documents form a group; each document's regions around a
-   group's anchors, joined where they overlap, meet in the group. A frequent anchor is
+3. Anchors whose documents have the same smallest hash form a group; each document's
+   regions around a group's anchors, joined where they overlap, meet in the group. A frequent anchor is
    a group of its own, and salted where anchors are counted. All strings that repeat
    are together in some group. Equal regions are one, the later ones going whole.
 4. Regions, in corpus order and cut into pieces that overlap, are indexed: the suffix
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, _Powers, keyed, mapped, mixed, texts, unkeyed, written
 
-LENGTH, K = 100, 16
-PIECE, INDEX_BYTES = 2000, 1_500_000
+LENGTH, K = 100, 40
+PIECE, INDEX_BYTES = 400, 1_000_000
 #: Times in one batch of rows from which an anchor is frequent, and the parts that it is salted into.
 FREQUENT, SALTS = 16, 64
 _VALUE = np.array([xxhash.xxh3_64_intdigest(bytes([k, 1])) | 1 for k in range(256)], np.uint64)
@@ -105,9 +105,7 @@ def _repeated(batches):
         run = np.cumsum(new) - 1
         places = np.add.reduceat(own.astype(np.int64), start)
         hot = np.maximum.reduceat(often, start) > 0
-        first_of_doc = np.r_[True, h[1:] != h[:-1]] | new
-        docs = np.add.reduceat(np.where(first_of_doc, mixed(h.view(np.uint64)), np.uint64(0)), start)
-        group = np.where(hot, a[start], mixed(docs + np.uint64(1)).view(np.int64))
+        group = np.where(hot, a[start], np.minimum.reduceat(np.where(pos >= 0, h, np.iinfo(np.int64).max), start))
         keep = own & ((places > 1) | hot)[run] & (pos >= 0)
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(h[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(group[run][keep])], names=names)
 
@@ -138,11 +136,11 @@ class RunIndex:
         sym[:n] = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
         sym[ends] = 0
         rank, ready = self._ranks(sym, n, ends), 7
-        half = None
-        while half is None or len(np.unique(rank)) < n:
+        half, open_ = None, np.arange(n)
+        while half is None or len(open_):
             if ready >= length // 2 and half is None:
                 half = (ready, rank)
-            rank = self._doubled(rank, ready)
+            rank, open_ = self._doubled(rank, open_, ready)
             ready *= 2
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
@@ -180,25 +178,27 @@ class RunIndex:
         return rank
 
     @staticmethod
-    def _doubled(rank: np.ndarray, by: int) -> np.ndarray:
-        """Ranks by twice as many symbols; only rows of equal rank are sorted anew."""
+    def _doubled(rank: np.ndarray, open_: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks by twice as many symbols, and the rows that may share theirs; only such rows (open_) are sorted anew."""
         n = len(rank)
-        count = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(count[rank] > 1)
+        own = rank[open_]
+        tied = np.bincount(own, minlength=n)[own] > 1
+        open_, own = open_[tied], own[tied]
         if not len(open_):
-            return rank
+            return rank, open_
         after = np.where(open_ + by < n, rank[np.minimum(open_ + by, n - 1)], -1) + 1
-        order = np.argsort(rank[open_] * np.int64(n + 1) + after, kind="stable")
-        at = open_[order]
-        r, f = rank[at], after[order]
+        key = own * np.int64(n + 1) + after
+        order = np.argsort(key)
+        at, r, key = open_[order], own[order], key[order]
         first = np.r_[True, r[1:] != r[:-1]]
-        new = first | np.r_[True, f[1:] != f[:-1]]
+        new = np.r_[True, key[1:] != key[:-1]]
         index = np.arange(len(at))
         base = np.maximum.accumulate(np.where(first, index, 0))
         place = np.maximum.accumulate(np.where(new, index, 0))
         out = rank.copy()
         out[at] = r + (place - base)
-        return out
+        alone = new & np.r_[new[1:], True]
+        return out, at[~alone]
 
     def marks(self) -> np.ndarray:
         """For each byte of the text (separators too): whether length bytes from here on start earlier."""
@@ -264,9 +264,10 @@ def _spans(batches, length: int = LENGTH):
                 group, seen = g, {}
             key = raw if len(raw) < 64 else xxhash.xxh3_128_digest(raw)
             if key in seen:
-                out.append((i, h, start, start + len(raw)))
+                if seen[key] != (i, h, start):  # a repeated row is no earlier place
+                    out.append((i, h, start, start + len(raw)))
                 continue
-            seen[key] = True
+            seen[key] = (i, h, start)
             ready.append((i, h, start, raw))
             size += len(raw)
     indexed()
