@@ -26,7 +26,7 @@ class CuckooFilter:
 
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
-        """A filter that holds all keys, however many of them share a fingerprint."""
+        """A filter that holds all keys, in which a key may stand up to 2 * SLOTS times."""
         out = cls.sized(len(keys))
         while not out.bulk(keys):
             out = cls(out.buckets * 2)

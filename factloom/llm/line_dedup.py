@@ -12,8 +12,9 @@ points have none. The index holds three tables, all partitioned, none collected:
 shard's filter. Keys that the filter lacks are new, and become reference counts
 as they are; only the others are looked up in the exact table. ``delete`` takes a
 document's postings back: counts fall, the largest id is found again for the keys
-touched, and keys that no document holds leave their filter. So inserting and
-then deleting documents gives the index that there was before.
+touched, and keys that no document holds leave their filter. A filter that is full is
+built anew from its shard's exact keys. So inserting and then deleting documents gives
+the counts that there were before, and filters of the same keys.
 
 A key of at least ``min_docs`` documents loses its lines everywhere but in the
 largest id that holds it. Null text: one empty line. Rows that repeat an id count
@@ -104,6 +105,9 @@ class LineIndex:
             both = self.refs.join(more, ["k1", "k2"], "full_outer")  # a filter may take a new key for a known one
             refs = both.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("top", "dtop").alias("top")).unionByName(new)
             refs, postings = written(refs, "line-refs"), self.postings.unionByName(postings)
+            full = filters.where(F.length("filter") == 0).select("shard")
+            rebuilt = _sharded(refs, self.shards).join(full, "shard").select("shard", "k1").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+            filters = written(filters.where(F.length("filter") > 0).unionByName(rebuilt), "line-filters")
         untouched = self.filters.join(filters, "shard", "left_anti")
         return LineIndex(postings, refs, filters if fresh else filters.unionByName(untouched), self.shards, self.min_chars, self.min_docs)
 
@@ -180,32 +184,17 @@ def _insert(counts: pa.Table, filters: pa.Table) -> pa.Table:
         else:
             out = CuckooFilter.frombytes(old.tobytes())
             if old.count() + len(fresh) > 0.95 * old.table.size or not out.bulk(fresh):
-                out = _grown(old, fresh)
+                out = None  # full: built anew from the exact keys
     n = counts.num_rows
     schema = pa.schema([("shard", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("top", pa.int64()), ("known", pa.bool_()), ("filter", pa.binary())])
     rows = [np.full(n + 1, shard, np.int32)] + [pa.chunked_array([*counts[c].cast(pa.int64()).chunks, pa.array([None], pa.int64())]) for c in ("k1", "k2", "n", "top")]
-    rows += [pa.array([*known.tolist(), None], pa.bool_()), pa.array([None] * n + [out.tobytes()], pa.binary())]
+    rows += [pa.array([*known.tolist(), None], pa.bool_()), pa.array([None] * n + [out.tobytes() if out is not None else b""], pa.binary())]
     return pa.Table.from_arrays([as_arrow(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
 
-def _grown(old: CuckooFilter, fresh: np.ndarray) -> CuckooFilter:
-    """Fingerprints alone can't be dealt to a larger table; a second table beside the first could. Here the
-    larger one holds each old fingerprint in every bucket that may be its own, so nothing held is lost."""
-    out = CuckooFilter(old.buckets * 4)
-    while True:
-        at, slot = np.nonzero(old.table)
-        fps = old.table[at, slot]
-        for copy in range(out.buckets // old.buckets):
-            for f, a in zip(fps.tolist(), (at + copy * old.buckets).tolist(), strict=True):
-                if not out._kick(f, a):
-                    break
-            else:
-                continue
-            break
-        else:
-            if out.bulk(fresh):
-                return out
-        out = CuckooFilter(out.buckets * 4)
+def _build(keys: pa.Table) -> pa.Table:
+    """One shard's filter from its exact keys."""
+    return pa.table({"shard": keys["shard"].combine_chunks().slice(0, 1).cast(pa.int32()), "filter": pa.array([CuckooFilter.of(keys["k1"].to_numpy()).tobytes()], pa.binary())})
 
 
 def _remove(dead: pa.Table, filters: pa.Table) -> pa.Table:
