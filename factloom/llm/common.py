@@ -12,6 +12,7 @@ Conventions for all operators of this subpackage:
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +56,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark removes a job's shuffle files when the driver collects its plan; asked for here, a chain of steps holds one step's files.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
@@ -76,15 +80,15 @@ def texts(batch: pa.RecordBatch, col: str = "text") -> Iterator[bytes]:
         yield buf.to_pybytes() if buf is not None else b""
 
 
-def mapped(df: DataFrame, each, schema: str) -> DataFrame:
-    """mapInArrow with each(batch) -> dict of columns or None, typed by schema."""
+def mapped(df: DataFrame, each, schema: str, rows: int = 2000) -> DataFrame:
+    """mapInArrow with each(batch) -> dict of columns or None, typed by schema; batches have at most so many rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     typed = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, rows) for whole in batches for k in range(0, max(1, whole.num_rows), rows)):
             out = each(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in typed], schema=typed)

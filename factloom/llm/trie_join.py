@@ -10,12 +10,13 @@ others by hash. Sets that share enough must then share one of their first
 n - ceil(0.8 n) + 1 shingles. The steps:
 
 1. Equal sets become one class (so copies never meet), by size and 128-bit hash.
-2. Classes with an equal MinHash value are blocks; a block is cut into chunks that
-   all hold its smallest class. A trie join within a chunk links near copies.
+2. Classes of a size class with two equal MinHash values are blocks; a block is cut
+   into chunks that all hold its smallest class. A trie join within a chunk links near copies.
    This finds no new kind of link: it spares step 3 the pairs already connected.
 3. Prefix shingles that only one component holds need nothing more. The others are
-   blocks of (shingle, size class), where sizes a link can't bridge don't meet;
-   blocks of the same classes count once. A large block is cut into chunks, each
+   blocks of (shingle, size class), where sizes a link can't bridge don't meet, and
+   sets that share too few prefix shingles with any other to link there are left out;
+   blocks with the same smallest and largest class become one. A large block is cut into chunks, each
    pair of which meets, but its largest component never meets itself.
 4. In a block the sets are stored in a trie with shared prefixes. Each probing set
    walks it with the overlap so far; a subtree is pruned when the sizes in it, or
@@ -25,8 +26,8 @@ n - ceil(0.8 n) + 1 shingles. The steps:
 
 So no link that connects two components is lost, and no block's pairs are emitted.
 Prefix shingles of frequent ones are salted in the shuffle. The list of frequent
-shingles that is broadcast is bounded by ``HOT`` (8 MB); beyond it, shingles only
-come earlier in the order, which costs time, not links.
+shingles that is broadcast is a bit map of fixed size; where bits collide, shingles
+only come later in the order, which costs time, not links.
 
 Null texts are empty. Rows that repeat an id or a text are in one class. A null id
 counts as smallest and is null in the result. An empty table gives an empty result.
@@ -43,8 +44,8 @@ from .common import distinct, hashed_rows, keyed, mapped, mixed, unkeyed, writte
 from .components import Forest, connected
 
 WORDS, SHARE = 5, (80, 100)
-#: Frequent shingles: at least so many rows, of at most so many shingles.
-HOT_DF, HOT = 3, 1 << 20
+#: Frequent shingles: of at least so many rows, as bits of a map of 2^HOT_BITS (8 MB), whatever their number.
+HOT_DF, HOT_BITS, HOT_PIECE = 3, 26, 16
 SEEDS = 3
 #: Members of a chunk that is joined in one go, and of one with a common smallest class.
 CHUNK, STAR = 1000, 256
@@ -69,7 +70,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         pad = lambda x: x + [None] * len(tok)
         return {"_id": pad(ids), "n": pad(n), "h1": pad(h1), "h2": pad(h2), "mins": pad(mins), "tok": pa.array([None] * len(ids) + tok.view(np.int64).tolist(), pa.int64()), "cnt": pa.array([None] * len(ids) + cnt.tolist(), pa.int64())}
 
-    return mapped(rows, each, "_id long, n long, h1 long, h2 long, mins array<long>, tok long, cnt long")
+    return mapped(rows, each, "_id long, n long, h1 long, h2 long, mins array<long>, tok long, cnt long", rows=10_000)
 
 
 def _signed(x) -> int:
@@ -79,23 +80,62 @@ def _signed(x) -> int:
 def ordered(u: np.ndarray, hot: np.ndarray, first: int | None = None) -> np.ndarray:
     """The first order keys of a sorted set, or all: the top bit says that a shingle is frequent, the others are its hash."""
     out = u >> np.uint64(1)
-    if len(hot) and len(u):
-        at = np.searchsorted(hot, u)
-        at[at == len(hot)] = 0
-        often = hot[at] == u
-        out = np.concatenate([out[~often], out[often] | np.uint64(1 << 63)])
-    return out[:first]
+    slot = u >> np.uint64(64 - HOT_BITS)
+    often = (hot[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return np.concatenate([out[~often], out[often] | np.uint64(1 << 63)])[:first]
 
 
-def _not_alone(batches):
-    """Of rows (tok, h1, n) sorted by tok, those of a shingle that several classes hold; all of the frequent ones, which are salted."""
+def frequent(counts: DataFrame) -> np.ndarray:
+    """The bit map of the frequent shingles of (tok, cnt). A bit that another shingle shares makes it count as
+    frequent everywhere alike, so the order stays global; the map's pieces are made where the shingles are."""
+    often = counts.groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_DF)
+    slot = F.shiftrightunsigned("tok", 64 - HOT_BITS)
+    often = often.select(F.shiftright(slot, HOT_PIECE).cast("int").alias("piece"), (slot % (1 << HOT_PIECE)).cast("int").alias("bit"))
+
+    def pieces(batches):
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(piece).tolist():
+                maps.setdefault(p, np.zeros(1 << HOT_PIECE, bool))[bit[piece == p]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in maps.values()], pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros(1 << (HOT_BITS - 3), np.uint8)
+    size = 1 << (HOT_PIECE - 3)
+    made = often.repartition("piece").mapInArrow(pieces, "piece int, bits binary").toArrow()
+    for p, bits in zip(made["piece"].to_pylist(), made["bits"].to_pylist(), strict=True):
+        out[p * size : (p + 1) * size] |= np.frombuffer(bits, np.uint8)
+    return out
+
+
+_MET = "tok long, z int, h1 long, n int, home boolean, least int, most int, counts int"
+
+
+def _met(batches):
+    """Of rows (tok, h1, n) sorted by tok: blocks (tok, z) of a size class with the class below as visitors, where several
+    classes meet and one is at home; least and most are the sizes there, and counts is 1 once for each class and shingle.
+
+    Rows of frequent shingles are salted, so theirs are all given, with sizes of a part only, and count twice at most."""
     held = None
 
     def chosen(tok, h1, n):
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
-        several = np.minimum.reduceat(h1, start) != np.maximum.reduceat(h1, start) if len(tok) else start.astype(bool)
-        keep = np.repeat(several, np.diff(np.r_[start, len(tok)])) | (tok < 0)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tok, h1, n)], names=["tok", "h1", "n"])
+        z = _size_class_of(n)
+        tok, h1, n, z = (np.r_[x, x] for x in (tok, h1, n, z))
+        rows = len(z) // 2
+        home = np.arange(2 * rows) < rows
+        z = z + ~home
+        order = np.lexsort((z, tok))
+        start = np.flatnonzero(np.r_[True, (tok[order][1:] != tok[order][:-1]) | (z[order][1:] != z[order][:-1])]) if rows else np.zeros(0, np.int64)
+        run = np.diff(np.r_[start, 2 * rows])
+        over = lambda f, x: np.repeat(f.reduceat(x[order], start), run) if rows else x
+        ok = np.empty(2 * rows, bool)
+        least, most = np.empty(2 * rows, np.int64), np.empty(2 * rows, np.int64)
+        ok[order] = ((over(np.minimum, h1) != over(np.maximum, h1)) & over(np.maximum, home.astype(np.int8)).astype(bool)) if rows else ok
+        least[order], most[order] = over(np.minimum, n), over(np.maximum, n)
+        ok |= tok < 0
+        counts = home | (tok < 0) | (ok & ~np.r_[np.zeros(rows, bool), ok[:rows]])
+        cols = (tok, z.astype(np.int32), h1, n.astype(np.int32), home, least.astype(np.int32), most.astype(np.int32), counts.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in cols], names=["tok", "z", "h1", "n", "home", "least", "most", "counts"])
 
     for batch in batches:
         cols = [batch.column(k).to_numpy() for k in range(3)]
@@ -233,8 +273,27 @@ def _joined_units(units: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+#: Sizes in a link are at most 1.25 apart, so they are of one size class or of neighbours.
+_RATIO = float(np.log(1.26))
+
+
 def _size_class(n):
-    return F.floor(F.log(n) / F.lit(float(np.log(1.26)))).cast("int")  # sizes in a link are at most 1.25 apart
+    return F.floor(F.log(n) / F.lit(_RATIO)).cast("int")
+
+
+def _size_class_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / _RATIO).astype(np.int64)
+
+
+def _needed(share: tuple[int, int]):
+    """How many of its prefix shingles a set of n must share to link with one of the sizes least..most of its block.
+
+    Sets that overlap in c prefix shingles overlap in at most c + max(0.8 n, 0.8 m) and must in (n + m) 4/9.
+    What that leaves for c rises with m up to n and falls from there, so the ends of the sizes decide."""
+    num, den = (float(x) for x in share)
+    n = F.col("n").cast("double")
+    at = lambda m: num * (n + m) / (num + den) - num / den * F.greatest(n, m)
+    return F.least(at(F.greatest(F.col("least").cast("double"), num / den * n)), at(F.least(F.col("most").cast("double"), den / num * n)))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
@@ -245,9 +304,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text=text_col)
     sig = written(signatures(rows), "sets")
-    hot = sig.where("tok is not null").groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_DF).orderBy(F.desc("cnt"), "tok").limit(HOT).select("tok")
-    hot = np.sort(hot.toArrow()["tok"].to_numpy().astype(np.int64).view(np.uint64))
-    shared_hot = spark.sparkContext.broadcast(hot)
+    shared_hot = spark.sparkContext.broadcast(frequent(sig.where("tok is not null")))
     owned = sig.where("tok is null")
     classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.first("mins").alias("mins")), "classes")
 
@@ -264,20 +321,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = mapped(rows.select("text"), prefixes, "tok long, h1 long, n int")
     first = first.repartition("tok", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("tok")
-    shared = written(first.mapInArrow(_not_alone, "tok long, h1 long, n int"), "prefixes")
-    often = shared.where("tok < 0").groupBy("tok").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("tok")
-    often = shared.where("tok < 0").join(F.broadcast(often), "tok")  # at most HOT shingles
-    shared = shared.where("tok >= 0").union(often.select("tok", "h1", "n")).distinct()
-    homes = shared.select("tok", "h1", _size_class("n").alias("z"), F.lit(True).alias("home"))
-    met = homes.union(homes.select("tok", "h1", (F.col("z") + 1).alias("z"), F.lit(False).alias("home")))
-    able = met.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("home").alias("home")).where("lo <> hi and home").select("tok", "z")
-    met = written(met.join(able, ["tok", "z"]).select("tok", "z", "h1"), "prefix-blocks")
+    met = written(first.mapInArrow(_met, _MET), "prefixes")
+    often = met.where("tok < 0").drop("least", "most")
+    sizes = often.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("home").alias("any"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi and any")
+    met = met.where("tok >= 0").unionByName(often.join(sizes.drop("lo", "hi", "any"), ["tok", "z"]))
+    many = met.groupBy("h1").agg(F.sum("counts").alias("many"))
+    met = met.join(many, "h1").where(F.col("many") >= _needed(share)).select("tok", "z", "h1").distinct()
+    able = met.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("tok", "z")
+    met = written(met.join(able, ["tok", "z"]), "prefix-blocks")
 
     # Blocks of equal MinHash values, chunks of them around the smallest class.
-    star = classes.select("h1", F.posexplode("mins").alias("k", "m")).distinct()
-    group = star.groupBy("k", "m").agg(F.min("h1").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    pairs = F.array(*[F.xxhash64(F.lit(a), F.element_at("mins", a), F.lit(b), F.element_at("mins", b), _size_class("n")) for a in range(1, SEEDS + 1) for b in range(1, a)])
+    star = classes.select("h1", F.posexplode(pairs).alias("k", "m")).distinct()
+    group = star.groupBy("k", "m").agg(F.min("h1").alias("hub"), F.max("h1").alias("hi"), F.count("*").alias("c")).where("c > 1")
     star = star.join(group, ["k", "m"]).withColumn("chunk", F.pmod(F.xxhash64("h1"), F.ceil(F.col("c") / STAR)))
-    u = F.xxhash64("k", "m", "chunk").alias("u")
+    u = F.xxhash64("hub", "hi", "chunk").alias("u")  # blocks with the same ends are one
     star = written(star.select(u, "h1").union(star.select(u, F.col("hub").alias("h1"))).distinct(), "star-blocks")
 
     wanted = met.select("h1").union(star.select("h1")).distinct()
@@ -292,18 +350,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return {"h1": hs, "s": ss}
 
     sets = mapped(rows.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select("text"), stored, "h1 long, s binary")
-    sets = written(sets, "ordered-sets").dropDuplicates(["h1"])
+    sets = written(sets, "ordered-sets")
 
     near = _joined_units(star.join(sets, "h1").select("u", "h1", F.col("h1").alias("comp"), "s"), share)
     near = written(near, "near-links")
     comp = connected(near)
 
     met = met.join(comp, met["h1"] == comp["node"], "left").select("tok", "z", "h1", F.coalesce("comp", "h1").alias("comp"))
-    per = met.groupBy("tok", "z", "comp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("h1")).alias("x"))
-    block = per.groupBy("tok", "z").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1")
-    block = block.groupBy("x", "c").agg(F.min(F.struct("tok", "z", "top")).alias("b")).select("b.tok", "b.z", "c", F.col("b.top.c").alias("ctop"), F.col("b.top.comp").alias("top"))
-    block = block.withColumn("nt", F.ceil(F.col("ctop") / CHUNK)).withColumn("nr", F.ceil((F.col("c") - F.col("ctop")) / CHUNK))
-    member = met.join(block, ["tok", "z"])
+    block = met.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", "z", "lo", "hi")
+    member = met.join(block, ["tok", "z"]).select("lo", "hi", "h1", "comp").distinct()  # blocks with the same ends are one
+    per = member.groupBy("lo", "hi", "comp").agg(F.count("*").alias("c"))
+    per = per.groupBy("lo", "hi").agg(F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("top"))
+    per = per.select("lo", "hi", F.col("top.comp").alias("top"), F.ceil(F.col("top.c") / CHUNK).alias("nt"), F.ceil((F.col("c") - F.col("top.c")) / CHUNK).alias("nr"))
+    member = member.join(per, ["lo", "hi"])
     is_top, h = F.col("comp") == F.col("top"), F.xxhash64("h1")
     # Chunks t of the largest component meet each chunk r of the rest; chunks of the rest meet each other.
     t, r = F.pmod(h, F.col("nt")), F.pmod(h, F.col("nr"))
@@ -313,7 +372,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_top = F.transform(others, lambda x: pair(0, t, x))
     as_rest = F.concat(F.transform(tops, lambda x: pair(0, x, r)), F.when(F.col("nr") > 1, F.transform(others, lambda x: pair(1, F.least(x, r), F.greatest(x, r)))).otherwise(F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>")))
     member = member.withColumn("p", F.explode(F.when(is_top, as_top).otherwise(as_rest)))
-    units = member.select(F.xxhash64("tok", "z", "p.kind", "p.a", "p.b").alias("u"), "h1", "comp").distinct()
+    units = written(member.select(F.xxhash64("lo", "hi", "p.kind", "p.a", "p.b").alias("u"), "h1", "comp").distinct(), "trie-blocks")
     far = _joined_units(units.join(sets, "h1").select("u", "h1", "comp", "s"), share)
 
     comp = connected(near.union(written(far, "far-links")))
