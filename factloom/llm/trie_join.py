@@ -45,7 +45,7 @@ from .components import Forest, connected
 
 WORDS, SHARE = 5, (80, 100)
 #: Frequent shingles: of at least so many rows, as bits of a map of 2^HOT_BITS (8 MB), whatever their number.
-HOT_DF, HOT_BITS, HOT_PIECE = 3, 26, 16
+HOT_DF, HOT_RUN, HOT_BITS, HOT_PIECE = 3, 4, 26, 16
 SEEDS = 3
 #: Members of a chunk that is joined in one go, and of one with a common smallest class.
 CHUNK, STAR = 1000, 256
@@ -296,17 +296,8 @@ def _needed(share: tuple[int, int]):
     return F.least(at(F.greatest(F.col("least").cast("double"), num / den * n)), at(F.least(F.col("most").cast("double"), den / num * n)))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
-    """(_id, n_shingles, class_id, component_id): one row a row of docs; ids of the smallest document in each.
-
-    share must be 80% at least: the size classes of step 3 rest on it."""
-    assert share[0] * 100 >= 80 * share[1]
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text=text_col)
-    sig = written(signatures(rows), "sets")
-    shared_hot = spark.sparkContext.broadcast(frequent(sig.where("tok is not null")))
-    owned = sig.where("tok is null")
-    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.first("mins").alias("mins")), "classes")
+def _prefixes(rows: DataFrame, hot, share: tuple[int, int]) -> DataFrame:
+    """(tok, h1, n): the prefix of each set, dealt by shingle (frequent ones salted) and sorted."""
 
     def prefixes(batch):
         toks, hs, ns = [], [], []
@@ -314,13 +305,58 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             u = distinct(sh)
             if len(u):
                 p = prefix_len(len(u), share)
-                toks.append(ordered(u, shared_hot.value, p))
+                toks.append(ordered(u, hot.value, p))
                 hs.append(np.full(p, u.sum()))
                 ns.append(np.full(p, len(u), np.int32))
         return {"tok": np.concatenate(toks), "h1": np.concatenate(hs), "n": np.concatenate(ns)} if toks else None
 
     first = mapped(rows.select("text"), prefixes, "tok long, h1 long, n int")
-    first = first.repartition("tok", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("tok")
+    return first.repartition("tok", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("tok")
+
+
+def _common(batches):
+    """Of rows (tok, h1, n) sorted by tok: (tok, cnt) of shingles not yet known as frequent that HOT_RUN classes hold; tok as a hash again."""
+    held = None
+
+    def chosen(tok, h1):
+        order = np.lexsort((h1, tok))
+        tok, h1 = tok[order], h1[order]
+        new = np.r_[True, tok[1:] != tok[:-1]][: len(tok)]
+        own = new | np.r_[True, h1[1:] != h1[:-1]][: len(tok)]
+        start = np.flatnonzero(new)
+        cnt = np.add.reduceat(own.astype(np.int64), start) if len(start) else start
+        keep = (cnt >= HOT_RUN) & (tok[start] >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(tok[start][keep] << 1), pa.array(cnt[keep])], names=["tok", "cnt"])
+
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(2)]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        tok = cols[0]
+        done = int(np.searchsorted(tok, tok[-1])) if len(tok) and tok[-1] >= 0 else len(tok)
+        held = [x[done:] for x in cols]
+        yield chosen(*(x[:done] for x in cols))
+    if held is not None:
+        yield chosen(*held)
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
+    """(_id, n_shingles, class_id, component_id): one row a row of docs; ids of the smallest document in each.
+
+    share must be 80% at least: the size classes of step 3 rest on it."""
+    assert share[0] * 100 >= 80 * share[1]
+    spark = docs.sparkSession
+    rows = keyed(docs, id_col, text=text_col)
+    sig = written(signatures(rows), "sets")
+    hot = frequent(sig.where("tok is not null").select("tok", "cnt"))
+    owned = sig.where("tok is null")
+    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.first("mins").alias("mins")), "classes")
+
+    # Shingles spread so thinly that no batch holds two show as long runs among the prefixes: they too go last.
+    first = _prefixes(rows, spark.sparkContext.broadcast(hot), share)
+    hot |= frequent(first.mapInArrow(_common, "tok long, cnt long"))
+    shared_hot = spark.sparkContext.broadcast(hot)
+    first = _prefixes(rows, shared_hot, share)
     met = written(first.mapInArrow(_met, _MET), "prefixes")
     often = met.where("tok < 0").drop("least", "most")
     sizes = often.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("home").alias("any"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi and any")
