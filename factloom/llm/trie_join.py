@@ -45,7 +45,7 @@ from .components import Forest, connected
 
 WORDS, SHARE = 5, (80, 100)
 #: Frequent shingles: of at least so many rows, as bits of a map of 2^HOT_BITS (8 MB), whatever their number.
-HOT_DF, HOT_RUN, HOT_BITS, HOT_PIECE = 3, 4, 26, 16
+HOT_DF, HOT_RUN, HOT_BITS, HOT_PIECE = 3, 3, 26, 16
 SEEDS = 3
 #: Members of a chunk that is joined in one go, and of one with a common smallest class.
 CHUNK, STAR = 1000, 256
@@ -119,6 +119,10 @@ def _met(batches):
     held = None
 
     def chosen(tok, h1, n):
+        order = np.lexsort((h1, tok))
+        tok, h1, n = (x[order] for x in (tok, h1, n))
+        one = np.r_[True, (tok[1:] != tok[:-1]) | (h1[1:] != h1[:-1])][: len(tok)]  # copies of a text are one class
+        tok, h1, n = (x[one] for x in (tok, h1, n))
         z = _size_class_of(n)
         tok, h1, n, z = (np.r_[x, x] for x in (tok, h1, n, z))
         rows = len(z) // 2
