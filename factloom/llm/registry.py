@@ -11,6 +11,7 @@ QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_mixing": mixing.op4_mixing,
     "op6_trie_join": trie_join.op6_trie_join,
+    "op6_join_links": trie_join.op6_join_links,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLE = {
     "op4_mixing": mixing.ORACLE,
     "op6_trie_join": trie_join.ORACLE,
+    "op6_join_links": trie_join.LINKS_ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

@@ -3,7 +3,8 @@
 Sets are five-word shingles (A-Z lower-cased; a text with fewer words is one
 shingle, one without words an empty set that links with nothing), held as 64-bit
 hashes. Two documents link when |A & B| / |A | B| >= 80/100; the result is each
-document's class of equal sets and the component of links it belongs to.
+document's class of equal sets and the component of links it belongs to and, where
+asked for (``counted``), its exact number of links, found in step 5.
 
 The global order puts shingles that are frequent anywhere in the corpus last, the
 others by hash. Sets that share enough must then share one of their first
@@ -23,8 +24,12 @@ n - ceil(0.8 n) + 1 shingles. The steps:
    the overlap so far and what remains of both sides, can't reach the threshold.
    Pairs already connected are not tested, and only links that connect are kept:
    never more rows than members.
+5. ``counted``: all links lie within components, so every pair of classes of one is
+   verified once by its exact overlap, in chunks of a size class and its neighbours.
+   Links are weighted by copies and counted, not emitted. A component of two classes is one link.
 
 So no link that connects two components is lost, and no block's pairs are emitted.
+Steps 1 to 4 alone give connectivity, not the links within a component.
 Prefix shingles of frequent ones are salted in the shuffle. The list of frequent
 shingles that is broadcast is a bit map of fixed size; where bits collide, shingles
 only come later in the order, which costs time, not links.
@@ -50,6 +55,8 @@ SEEDS = 3
 #: Members of a chunk that is joined in one go, and of one with a common smallest class.
 CHUNK, STAR = 1000, 256
 SALTS = 64
+#: Shingles of a chunk in which links are counted, and those that are multiplied in one go.
+COUNT_SHINGLES, COUNT_SLICE = 2_000_000, 2048
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -344,9 +351,114 @@ def _common(batches):
         yield chosen(*held)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE) -> DataFrame:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b; sets have distinct members."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat = [np.concatenate(x) for x in (a, b)]
+    own = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(both):
+        return out
+    tok, df = [], []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, flat[k]), len(both) - 1)
+        hit = both[at] == flat[k]
+        order = np.argsort(at[hit], kind="stable")
+        tok.append(at[hit][order])
+        own[k] = own[k][hit][order]
+        df.append(np.bincount(tok[k], minlength=len(both)))
+    seldom = df[0] * df[1] * 200 < out.size  # cheaper pair by pair than as a column
+    pairs = np.where(seldom, df[0] * df[1], 0)
+    start = [np.cumsum(x) - x for x in df]
+    total = np.cumsum(pairs)
+    k = 0
+    while k < len(both):
+        m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + 4_000_000, "right")))
+        size = pairs[k:m]
+        t = np.repeat(np.arange(k, m), size)
+        nth = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+        i, j = own[0][start[0][t] + nth // df[1][t]], own[1][start[1][t] + nth % df[1][t]]
+        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
+        k = m
+    column = np.cumsum(~seldom) - 1
+    for k in range(0, int((~seldom).sum()), COUNT_SLICE):
+        part = []
+        for x, t, o in zip((a, b), tok, own, strict=True):
+            c = column[t] - k
+            use = ~seldom[t] & (c >= 0) & (c < COUNT_SLICE)
+            one = np.zeros((len(x), COUNT_SLICE), np.float32)
+            one[o[use], c[use]] = 1
+            part.append(one)
+        out += np.rint(part[0] @ part[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """How many rows each set links with: all others where side is 0, those of side 2 and 1 for sides 1 and 2."""
+    num, den = share
+    size = np.array([len(s) for s in sets])
+    left, right = (np.flatnonzero(side != x) for x in (2, 1))
+    out = np.zeros(len(sets), np.int64)
+    if not len(left) or not len(right):
+        return out
+    linked = (num + den) * overlaps([sets[k] for k in left], [sets[k] for k in right]) >= num * (size[left][:, None] + size[right])
+    if not side.any():
+        np.fill_diagonal(linked, False)
+        return linked @ copies
+    out[left] = linked @ copies[right]
+    out[right] = linked.T @ copies[left]
+    return out
+
+
+def _link_counts(named: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(h1, links): of classes (h1, n, copies, comp), how many rows of other classes each links with."""
+    size = named.groupBy("comp").agg(F.count("*").alias("c"), F.sum("copies").alias("rows"), F.sum("n").alias("shingles")).where("c > 1")
+    own = named.join(size, "comp")
+    two = own.where("c = 2").select("h1", (F.col("rows") - F.col("copies")).alias("links"))
+    small = (F.col("c") <= CHUNK) & (F.col("shingles") <= COUNT_SHINGLES)
+    own = own.where("c > 2").select("comp", "h1", "copies", "n", F.when(small, -2).otherwise(_size_class("n")).alias("z"))
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("long")
+    per = written(own.groupBy("comp", "z").agg(parts.alias("parts")), "link-chunks")
+    own = own.join(per, ["comp", "z"]).withColumn("i", F.pmod(F.xxhash64("h1"), F.col("parts")))
+    other = per.select("comp", F.col("z").alias("z2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i2"))
+    met = own.withColumn("z2", F.explode(F.when(F.col("z") == -2, F.array("z")).otherwise(F.array(F.col("z") - 1, "z", F.col("z") + 1)))).join(other, ["comp", "z2"])
+    here, there = F.struct(F.col("z").alias("z"), F.col("i").alias("i")), F.struct(F.col("z2").alias("z"), F.col("i2").alias("i"))
+    side = F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int")
+    met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "copies", side.alias("side"))
+    dealt = met.join(sets, "h1").select("u", "h1", "copies", "side", "s").repartition("u").sortWithinPartitions("u")
+
+    def run(batches):
+        held: list = []
+
+        def done():
+            one = {h: (c, k, s) for h, c, k, s in held}
+            hs = np.array(list(one), np.int64)
+            copies, side = (np.array([x[k] for x in one.values()], np.int64) for k in (0, 1))
+            links = link_counts([np.frombuffer(x[2], np.uint64) for x in one.values()], copies, side, share)
+            return pa.RecordBatch.from_arrays([pa.array(hs[links > 0]), pa.array(links[links > 0])], names=["h1", "links"])
+
+        last = None
+        for batch in batches:
+            u = batch.column(0).to_numpy()
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                if u[k] != last:
+                    if len(held) > 1:
+                        yield done()
+                    held.clear()
+                    last = u[k]
+                held.append(row)
+        if len(held) > 1:
+            yield done()
+
+    found = two.unionByName(dealt.mapInArrow(run, "h1 long, links long"))
+    return written(found, "link-counts").groupBy("h1").agg(F.sum("links").alias("links"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE, counted: bool = False) -> DataFrame:
     """(_id, n_shingles, class_id, component_id): one row a row of docs; ids of the smallest document in each.
 
+    counted: also n_links, with how many other rows of docs the row links, copies included.
+
     share must be 80% at least: the size classes of step 3 rest on it."""
     assert share[0] * 100 >= 80 * share[1]
     spark = docs.sparkSession
@@ -354,7 +466,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = written(signatures(rows), "sets")
     hot = frequent(sig.where("tok is not null").select("tok", "cnt"))
     owned = sig.where("tok is null")
-    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.first("mins").alias("mins")), "classes")
+    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
 
     # Shingles spread so thinly that no batch holds two show as long runs among the prefixes: they too go last.
     first = _prefixes(rows, spark.sparkContext.broadcast(hot), share)
@@ -416,11 +528,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = _joined_units(units.join(sets, "h1").select("u", "h1", "comp", "s"), share)
 
     comp = connected(near.union(written(far, "far-links")))
-    named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", F.coalesce("comp", "h1").alias("comp"))
+    named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", "copies", F.coalesce("comp", "h1").alias("comp"))
+    links = _link_counts(named := written(named, "components"), sets, share) if counted else None
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("h1", "h2", "n", F.col("rep").alias("class_id"), "component_id")
+    named = named.join(least, "comp")
+    more = []
+    if counted:
+        named = named.join(links, "h1", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+        more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    named = named.select("h1", "h2", "n", F.col("rep").alias("class_id"), "component_id", *(["n_links"] if counted else []))
     out = owned.select("_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
-    return out.select("_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("component_id", "_id").alias("component_id"))
+    return out.select("_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("component_id", "_id").alias("component_id"), *more)
 
 
 def op6_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -428,6 +546,11 @@ def op6_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(unkeyed().alias("doc_id"), "n_shingles", unkeyed("component_id").alias("component_id"))
 
 
+def op6_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), counted=True)
+    return out.select(unkeyed().alias("doc_id"), "n_shingles", "n_links", unkeyed("component_id").alias("component_id"))
+
+
 from .decontaminate import _SHINGLES, _WORDS  # noqa: E402
 
 ORACLE = f"""
@@ -438,3 +561,13 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (s) WHERE a.do
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id WHERE r.c < p.b)
 SELECT doc_id, len(l) AS n_shingles, c AS component_id FROM d JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)
 """
+
+#: The same join with each document's number of links.
+LINKS_ORACLE = f"""
+WITH d AS (SELECT doc_id, {_SHINGLES} AS l FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+s AS (SELECT doc_id, len(l) AS n, unnest(l) AS s FROM d),
+p AS (SELECT a.doc_id AS doc_id, b.doc_id AS b FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS ({ORACLE})
+SELECT doc_id, n_shingles, coalesce(k.n, 0) AS n_links, component_id FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id) k USING (doc_id)
+"""

@@ -86,6 +86,27 @@ def test_trie_join_cuts_large_blocks(spark, monkeypatch):
     test_trie_join(spark, 3)
 
 
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_trie_join_counts_every_link(spark, monkeypatch, chunk):
+    """Also those within a component: variants of one text, most of which link with most others."""
+    monkeypatch.setattr(trie_join, "CHUNK", chunk)
+    rng = random.Random(4)
+    text = [f"w{k}" for k in range(200)]
+    near = [(500 + k, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(10**6)}" for w in text[: rng.randrange(170, 200)])) for k in range(30)]
+    rows = corpus(4) + near + [(600, near[0][1])]
+    own = [sets(t) for _, t in rows]
+    want = [sum(j != k and bool(s) and bool(r) and 100 * len(s & r) >= 80 * len(s | r) for j, r in enumerate(own)) for k, s in enumerate(own)]
+    assert sum(want[60:]) > 200
+    got = sorted((r._id, r.n_shingles, r.n_links) for r in trie_join.jaccard_classes(table(spark, rows), counted=True).collect())
+    assert got == sorted((key(i), len(s), n) for (i, _), s, n in zip(rows, own, want, strict=True))
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(np.r_[rng.integers(0, 40, 20), rng.integers(40, 9000, 30)]).astype(np.uint64) for _ in range(n)] for n in (70, 50))
+    assert (trie_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_empty_tables(spark):
     none = table(spark, []).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
