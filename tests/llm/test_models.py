@@ -56,6 +56,15 @@ def test_context_mixing(spark):
     assert context_mixing.scored(df.limit(0)).count() == 0
 
 
+def test_long_unseen_words_cost_by_their_length(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(40)), 0) for i in range(60)]
+    word = "".join(rng.choice("qzjxvw") for _ in range(6000))
+    rows += [(None, word[:3000], 0), (None, word, 0)]
+    a, b = sorted((r.score for r in context_mixing.scored(spark.createDataFrame(rows, "doc_id long, text string, h int")).where("n_tokens = 2").collect()), reverse=True)
+    assert a < -1000 and 1.8 < b / a < 2.2
+
+
 def test_context_mixing_beats_the_base_on_held_out_documents(spark):
     from __spark_entry__ import queries
 
