@@ -10,7 +10,8 @@ points have none. The index holds three tables, all partitioned, none collected:
 
 ``insert`` sends the new documents' keys, counted before the shuffle, to their
 shard's filter. Keys that the filter lacks are new, and become reference counts
-as they are; only the others are looked up in the exact table. ``delete`` takes a
+as they are; only the others are looked up in the exact table, and those that it
+lacks (the filter was wrong) get a fingerprint of their own too. ``delete`` takes a
 document's postings back: counts fall, the largest id is found again for the keys
 touched, and keys that no document holds leave their filter. A filter that is full is
 built anew from its shard's exact keys. So inserting and then deleting documents gives
@@ -105,6 +106,9 @@ class LineIndex:
             both = self.refs.join(more, ["k1", "k2"], "full_outer")  # a filter may take a new key for a known one
             refs = both.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("top", "dtop").alias("top")).unionByName(new)
             refs, postings = written(refs, "line-refs"), self.postings.unionByName(postings)
+            # delete() takes out one fingerprint a key, so new keys that the filter took for known ones need theirs.
+            missed = _sharded(more.join(self.refs, ["k1", "k2"], "left_anti").select("k1", "k2"), self.shards)
+            filters = written(missed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_put_missed, "shard int, filter binary"), "line-filters")
             full = filters.where(F.length("filter") == 0).select("shard")
             rebuilt = _sharded(refs, self.shards).join(full, "shard").select("shard", "k1").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
             filters = written(filters.where(F.length("filter") > 0).unionByName(rebuilt), "line-filters")
@@ -192,6 +196,16 @@ def _insert(counts: pa.Table, filters: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([as_arrow(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
 
+def _put_missed(missed: pa.Table, filters: pa.Table) -> pa.Table:
+    """One shard's filter (empty: to be built anew) with the keys that it wrongly took for known ones."""
+    raw = filters["filter"][0].as_py()
+    if missed.num_rows and raw:
+        out = CuckooFilter.frombytes(raw)
+        fits = out.count() + missed.num_rows <= 0.95 * out.table.size and out.bulk(missed["k1"].to_numpy())
+        raw = out.tobytes() if fits else b""
+    return pa.table({"shard": filters["shard"].combine_chunks().slice(0, 1).cast(pa.int32()), "filter": pa.array([raw], pa.binary())})
+
+
 def _build(keys: pa.Table) -> pa.Table:
     """One shard's filter from its exact keys."""
     return pa.table({"shard": keys["shard"].combine_chunks().slice(0, 1).cast(pa.int32()), "filter": pa.array([CuckooFilter.of(keys["k1"].to_numpy()).tobytes()], pa.binary())})
