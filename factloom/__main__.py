@@ -50,9 +50,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     flags = files.read_flags(spark, a.out, "fund int, rule_ord int, flag_ord int, severity string, type string, docs string, detail string, evidence string, why_it_matters string, question_to_ask string, a double, b double")
     scores = reports.recommendation(reports.risk_score(flags, docs, "fund"))
-    rows = docs.orderBy("doc_ord").limit(10_000).collect()
     totals = reports.completeness(spark.read.parquet(f"{a.out}/metrics")).first()
-    print(sinks.memo(rows, flags.orderBy("rule_ord", "flag_ord").limit(10_000).collect(), totals, scores.first()))
+    for line in sinks.memo(docs.orderBy("doc_ord"), flags.orderBy("rule_ord", "flag_ord"), totals, scores.first()):
+        print(line)
     return 0
 
 

@@ -8,6 +8,7 @@ import json
 import os
 import platform
 import uuid
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,19 @@ from ..operators import reports
 from .pipeline import Analysis
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file, through the session's file systems."""
+def _put(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
+    """A text file, of one text or of lines as they come, through the session's file systems."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(conf).create(p, True)
-    out.write(bytearray(text.encode()))
+    held, size, sep = [], 0, ""
+    for line in [text] if isinstance(text, str) else text:
+        held.append(sep + line)
+        size, sep = size + len(line), "\n"
+        if size > 1 << 20:
+            out.write(bytearray("".join(held).encode()))
+            held, size = [], 0
+    out.write(bytearray("".join(held).encode()))
     out.close()
 
 
@@ -40,50 +48,52 @@ def _money(x) -> str:
     return f"${x:,.0f}"
 
 
-def memo(docs: list, flags: list, totals, decision) -> str:
-    """The summary in Markdown, of one fund's documents and flags as rows."""
-    count = lambda s: sum(f["severity"] == s for f in flags)
+def memo(docs: DataFrame, flags: DataFrame, totals, decision) -> Iterator[str]:
+    """Lines of the summary in Markdown, of one fund's documents and flags in order; rows stream through the driver."""
+    counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(flags).collect()}
+    count = lambda s: counts.get(s, 0)
     average = "N/A" if totals["avg_confidence"] is None else f"{totals['avg_confidence']:.0%}"
     out = ["# IC Diligence Summary", "", "## Executive Summary", "- Generated from extracted fields only."]
-    out += [f"- Documents analyzed: **{len(docs)}**", f"- Flags detected: **{count('RED')} RED**, **{count('YELLOW')} YELLOW**"]
+    out += [f"- Documents analyzed: **{docs.count()}**", f"- Flags detected: **{count('RED')} RED**, **{count('YELLOW')} YELLOW**"]
     out += [f"- Data completeness: **{totals['present']}/{totals['total']}** core fields extracted (avg confidence **{average}**)"]
     out += [f"- Recommendation: **{decision['decision']}** (confidence {decision['decision_confidence']:.2f})", ""]
     out += ["## Key Metrics by Source", "| Source | As-of | AUM | Net IRR | TVPI | Target IRR | Mgmt Fee | Carry |", "|---|---:|---:|---:|---:|---:|---:|---:|"]
-    for d in docs:
+    yield from out
+    for d in docs.toLocalIterator():
         v = {m: d[m]["value"] if d[m] else None for m in METRICS}
         hurdle = d["carry"]["hurdle"] if d["carry"] else None
         carry = _figure(v["carry"], ".0f", "%") + (f" over {hurdle:.0f}%" if v["carry"] is not None and hurdle is not None else "")
         cells = [d["doc_name"], d["doc_date"] or "N/A", _money(v["aum"]), _figure(v["net_irr"], ".1f", "%"), _figure(v["tvpi"], ".2f", "x"), _figure(v["target_irr"], ".1f", "%"), _figure(v["mgmt_fee"], ".2f", "%"), carry]
-        out.append("| " + " | ".join(cells) + " |")
-    out += ["", "## Evidence"]
-    for d in docs:
-        out.append(f"### {d['doc_name']}")
+        yield "| " + " | ".join(cells) + " |"
+    yield from ("", "## Evidence")
+    for d in docs.toLocalIterator():
+        yield f"### {d['doc_name']}"
         for label, m, always in (("AUM", "aum", True), ("Mgmt Fee", "mgmt_fee", True), ("Net IRR", "net_irr", False)):
             if always or d[m]["value"] is not None:
-                out.append(f'- {label}: p.{d[m]["page"]} — "{d[m]["snippet"]}"')
-        out.append("")
-    out.append("## Flags Queue")
-    for f in flags:
-        out += [f"### {f['severity']}: {f['type']}", *(f"- {label}: {f[k]}" for label, k in (("Docs", "docs"), ("Detail", "detail"), ("Evidence", "evidence"), ("Why it Matters", "why_it_matters"), ("Question to Ask", "question_to_ask"))), ""]
-    return "\n".join(out if flags else [*out, "No flags detected."])
+                yield f'- {label}: p.{d[m]["page"]} — "{d[m]["snippet"]}"'
+        yield ""
+    yield "## Flags Queue"
+    for f in flags.toLocalIterator():
+        yield from [f"### {f['severity']}: {f['type']}", *(f"- {label}: {f[k]}" for label, k in (("Docs", "docs"), ("Detail", "detail"), ("Evidence", "evidence"), ("Why it Matters", "why_it_matters"), ("Question to Ask", "question_to_ask"))), ""]
+    if not counts:
+        yield "No flags detected."
 
 
-def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = None, timings: dict | None = None, extractors: dict | None = None, most_docs: int = 10_000) -> dict:
-    """Writes a run's tables; the memo, for one engagement of at most ``most_docs`` documents, is built on the driver."""
+def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = None, timings: dict | None = None, extractors: dict | None = None) -> dict:
+    """Writes a run's tables, and for one engagement the memo, whose rows stream through the driver."""
     spark = a.docs.sparkSession
     for name, df in (("extracted", a.docs), ("metrics", a.metrics), ("candidates", a.candidates), ("mentions", a.mentions), ("flags", a.flags), ("scores", a.scores)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     reports.facts_table(a.docs).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/facts_table")
-    flags = a.flags.orderBy("fund", "rule_ord", "flag_ord").limit(most_docs).collect()
-    docs = a.docs.orderBy("fund", "doc_ord").limit(most_docs).collect()
     scores = a.scores.limit(2).collect()
-    if len(scores) == 1 and len(docs) < most_docs:
-        _put(spark, f"{folder}/ic_memo.md", memo(docs, flags, reports.completeness(a.metrics).first(), scores[0]))
-    counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(a.flags).collect()}
+    docs, flags = (spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("extracted", a.docs), ("flags", a.flags)))
+    if len(scores) == 1:
+        _put(spark, f"{folder}/ic_memo.md", memo(docs.orderBy("fund", "doc_ord"), flags.orderBy("fund", "rule_ord", "flag_ord"), reports.completeness(a.metrics).first(), scores[0]))
+    counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(flags).collect()}
     _put(spark, f"{folder}/config.json", json.dumps(dataclasses.asdict(config), indent=2))
     files = [r.asDict() for r in reports.input_manifest(inputs).collect()] if inputs is not None else []
     _put(spark, f"{folder}/inputs.json", json.dumps(files, indent=2))
-    summary = {"documents": len(docs), "flags_by_severity": counts, "timings_s": timings or {}, "extractors": extractors or {}}
+    summary = {"documents": docs.count(), "flags_by_severity": counts, "timings_s": timings or {}, "extractors": extractors or {}}
     _put(spark, f"{folder}/run_summary.json", json.dumps(summary, indent=2))
     made = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{parquet,csv,md,json}").load(folder)
     manifest = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom import __main__ as cli
 from factloom.config import Config, Trust, load
 from factloom.operators import extract, fusion, layout, reports, responses, rules
-from factloom.plans import pipeline
+from factloom.plans import pipeline, sinks
 
 C = "doc_id long, field string, extractor string, extractor_ord int, value double, hurdle double, confidence double, page int, snippet string"
 LPA = "Effective Date: 2026-01-15\nAssets Under Management (AUM): $1.20B\nNet IRR: 16.90%\nTVPI: 1.55x\nManagement Fee: 1.50%"
@@ -129,6 +129,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert "INVESTIGATE" in capsys.readouterr().out
 
 
+def test_sinks_keep_every_row(spark, tmp_path):
+    got = pipeline.analyse(spark.createDataFrame([(k, k, n, 0, 1, t) for k, (n, t) in enumerate((("lpa.txt", LPA), ("quarterly.txt", QUARTER)))], "doc_id long, doc_ord int, doc_name string, fund int, page_num int, text string"), Config())
+    many = spark.range(10_001).select(F.lit(1).alias("_one"))
+    got.docs, got.flags = got.docs.limit(1).crossJoin(many).drop("_one"), got.flags.limit(1).crossJoin(many).drop("_one")
+    manifest = sinks.write(got, str(tmp_path / "out"), Config())
+    text = (tmp_path / "out" / "ic_memo.md").read_text()
+    assert manifest["documents"] == 10_001 and "Documents analyzed: **10001**" in text
+    assert text.count("\n### RED: ") == 10_001 and text.count("\n| lpa.txt | ") + text.count("\n| quarterly.txt | ") == 10_001
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("rules:\n  mgmt_fee_abs_pct: 0.5\ntrust:\n  extractor_weights:\n    RegexExtractor: 0.1\n")
