@@ -84,20 +84,28 @@ def _signed(x) -> int:
     return int(np.uint64(x).astype(np.int64))
 
 
+def marked(u: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the hashes u have their bit in a map of bit_map()."""
+    slot = u >> np.uint64(64 - HOT_BITS)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def ordered(u: np.ndarray, hot: np.ndarray, first: int | None = None) -> np.ndarray:
     """The first order keys of a sorted set, or all: the top bit says that a shingle is frequent, the others are its hash."""
-    out = u >> np.uint64(1)
-    slot = u >> np.uint64(64 - HOT_BITS)
-    often = (hot[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    out, often = u >> np.uint64(1), marked(u, hot)
     return np.concatenate([out[~often], out[often] | np.uint64(1 << 63)])[:first]
 
 
 def frequent(counts: DataFrame) -> np.ndarray:
     """The bit map of the frequent shingles of (tok, cnt). A bit that another shingle shares makes it count as
     frequent everywhere alike, so the order stays global; the map's pieces are made where the shingles are."""
-    often = counts.groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_DF)
-    slot = F.shiftrightunsigned("tok", 64 - HOT_BITS)
-    often = often.select(F.shiftright(slot, HOT_PIECE).cast("int").alias("piece"), (slot % (1 << HOT_PIECE)).cast("int").alias("bit"))
+    return bit_map(counts.groupBy("tok").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= HOT_DF).select("tok"))
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """The bits of a column of 64-bit hashes in a map of 2^HOT_BITS, of one size for any number of them."""
+    slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - HOT_BITS)
+    often = hashes.select(F.shiftright(slot, HOT_PIECE).cast("int").alias("piece"), (slot % (1 << HOT_PIECE)).cast("int").alias("bit"))
 
     def pieces(batches):
         maps: dict[int, np.ndarray] = {}
@@ -284,6 +292,34 @@ def _joined_units(units: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def _with_sets(rows: DataFrame, members: DataFrame, hot, *cols: str) -> DataFrame:
+    """Members (u, h1, rep, cols) of units as (u, h1, cols, s), s being the ordered set of row rep's text.
+
+    Only rows that a bit map of the members' ids lets through are shuffled, as text, which is shorter than its set."""
+    members = written(members, "members")
+    spark = rows.sparkSession
+    bits = spark.sparkContext.broadcast(bit_map(members.select(F.xxhash64("rep"))))
+
+    kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in cols)
+
+    def those(batches):
+        for batch in batches:
+            keep = marked(batch.column(2).to_numpy().view(np.uint64), bits.value)
+            yield batch.filter(pa.array(keep)).select([0, 1])
+
+    some = rows.withColumn("h", F.xxhash64("_id")).select("_id", "text", "h").mapInArrow(those, "_id long, text string")
+
+    def with_set(batch):
+        h1, out = batch.column("h1").to_numpy(), []
+        for h, (_, sh) in zip(h1.tolist(), hashed_rows(batch.column("text")), strict=True):
+            s = distinct(sh)
+            out.append(ordered(s, hot.value).tobytes() if len(s) and _signed(s.sum()) == h else None)
+        return {"u": batch.column("u"), "h1": h1, "s": pa.array(out, pa.binary())} | {c: batch.column(c) for c in cols}
+
+    met = some.join(members.withColumnRenamed("rep", "_id").hint("merge"), "_id")  # a class may be a member of many units.select("text", "u", "h1", *cols)
+    return mapped(met, with_set, f"u long, h1 long, {kinds}, s binary").where("s is not null")
+
+
 #: Sizes in a link are at most 1.25 apart, so they are of one size class or of neighbours.
 _RATIO = float(np.log(1.26))
 
@@ -307,8 +343,8 @@ def _needed(share: tuple[int, int]):
     return F.least(at(F.greatest(F.col("least").cast("double"), num / den * n)), at(F.least(F.col("most").cast("double"), den / num * n)))
 
 
-def _prefixes(rows: DataFrame, hot, share: tuple[int, int]) -> DataFrame:
-    """(tok, h1, n): the prefix of each set, dealt by shingle (frequent ones salted) and sorted."""
+def _prefixes(rows: DataFrame, hot, share: tuple[int, int], *cols: str) -> DataFrame:
+    """(tok, h1, and n if it is asked for): the prefix of each set, dealt by shingle (frequent ones salted) and sorted."""
 
     def prefixes(batch):
         toks, hs, ns = [], [], []
@@ -321,7 +357,7 @@ def _prefixes(rows: DataFrame, hot, share: tuple[int, int]) -> DataFrame:
                 ns.append(np.full(p, len(u), np.int32))
         return {"tok": np.concatenate(toks), "h1": np.concatenate(hs), "n": np.concatenate(ns)} if toks else None
 
-    first = mapped(rows.select("text"), prefixes, "tok long, h1 long, n int")
+    first = mapped(rows.select("text"), prefixes, "tok long, h1 long" + ", n int" * ("n" in cols))
     return first.repartition("tok", F.when(F.col("tok") < 0, F.pmod("h1", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("tok")
 
 
@@ -410,13 +446,13 @@ def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, sh
     return out
 
 
-def _link_counts(named: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _link_counts(named: DataFrame, rows: DataFrame, hot, share: tuple[int, int]) -> DataFrame:
     """(h1, links): of classes (h1, n, copies, comp), how many rows of other classes each links with."""
     size = named.groupBy("comp").agg(F.count("*").alias("c"), F.sum("copies").alias("rows"), F.sum("n").alias("shingles")).where("c > 1")
     own = named.join(size, "comp")
     two = own.where("c = 2").select("h1", (F.col("rows") - F.col("copies")).alias("links"))
     small = (F.col("c") <= CHUNK) & (F.col("shingles") <= COUNT_SHINGLES)
-    own = own.where("c > 2").select("comp", "h1", "copies", "n", F.when(small, -2).otherwise(_size_class("n")).alias("z"))
+    own = own.where("c > 2").select("comp", "h1", "rep", "copies", "n", F.when(small, -2).otherwise(_size_class("n")).alias("z"))
     parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("long")
     per = written(own.groupBy("comp", "z").agg(parts.alias("parts")), "link-chunks")
     own = own.join(per, ["comp", "z"]).withColumn("i", F.pmod(F.xxhash64("h1"), F.col("parts")))
@@ -424,8 +460,8 @@ def _link_counts(named: DataFrame, sets: DataFrame, share: tuple[int, int]) -> D
     met = own.withColumn("z2", F.explode(F.when(F.col("z") == -2, F.array("z")).otherwise(F.array(F.col("z") - 1, "z", F.col("z") + 1)))).join(other, ["comp", "z2"])
     here, there = F.struct(F.col("z").alias("z"), F.col("i").alias("i")), F.struct(F.col("z2").alias("z"), F.col("i2").alias("i"))
     side = F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int")
-    met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "copies", side.alias("side"))
-    dealt = met.join(sets, "h1").select("u", "h1", "copies", "side", "s").repartition("u").sortWithinPartitions("u")
+    met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "rep", "copies", side.alias("side"))
+    dealt = _with_sets(rows, met, hot, "copies", "side").repartition("u").sortWithinPartitions("u")
 
     def run(batches):
         held: list = []
@@ -468,11 +504,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owned = sig.where("tok is null")
     classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
 
+    rep = classes.select("h1", "rep")
+
     # Shingles spread so thinly that no batch holds two show as long runs among the prefixes: they too go last.
     first = _prefixes(rows, spark.sparkContext.broadcast(hot), share)
     hot |= frequent(first.mapInArrow(_common, "tok long, cnt long"))
     shared_hot = spark.sparkContext.broadcast(hot)
-    first = _prefixes(rows, shared_hot, share)
+    first = _prefixes(rows, shared_hot, share, "n")
     met = written(first.mapInArrow(_met, _MET), "prefixes")
     often = met.where("tok < 0").drop("least", "most")
     sizes = often.groupBy("tok", "z").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("home").alias("any"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo <> hi and any")
@@ -490,21 +528,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     u = F.xxhash64("hub", "hi", "chunk").alias("u")  # blocks with the same ends are one
     star = written(star.select(u, "h1").union(star.select(u, F.col("hub").alias("h1"))).distinct(), "star-blocks")
 
-    wanted = met.select("h1").union(star.select("h1")).distinct()
-    wanted = classes.join(wanted, "h1").select(F.col("rep").alias("_id")).distinct()
-
-    def stored(batch):
-        hs, ss = [], []
-        for _, sh in hashed_rows(batch.column(0)):
-            s = distinct(sh)
-            hs.append(_signed(s.sum()))
-            ss.append(ordered(s, shared_hot.value).tobytes())
-        return {"h1": hs, "s": ss}
-
-    sets = mapped(rows.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select("text"), stored, "h1 long, s binary")
-    sets = written(sets, "ordered-sets")
-
-    near = _joined_units(star.join(sets, "h1").select("u", "h1", F.col("h1").alias("comp"), "s"), share)
+    near = _joined_units(_with_sets(rows, star.join(rep, "h1").withColumn("comp", F.col("h1")), shared_hot, "comp"), share)
     near = written(near, "near-links")
     comp = connected(near)
 
@@ -525,11 +549,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_rest = F.concat(F.transform(tops, lambda x: pair(0, x, r)), F.when(F.col("nr") > 1, F.transform(others, lambda x: pair(1, F.least(x, r), F.greatest(x, r)))).otherwise(F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>")))
     member = member.withColumn("p", F.explode(F.when(is_top, as_top).otherwise(as_rest)))
     units = written(member.select(F.xxhash64("lo", "hi", "p.kind", "p.a", "p.b").alias("u"), "h1", "comp").distinct(), "trie-blocks")
-    far = _joined_units(units.join(sets, "h1").select("u", "h1", "comp", "s"), share)
+    far = _joined_units(_with_sets(rows, units.join(rep, "h1"), shared_hot, "comp"), share)
 
     comp = connected(near.union(written(far, "far-links")))
     named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", "copies", F.coalesce("comp", "h1").alias("comp"))
-    links = _link_counts(named := written(named, "components"), sets, share) if counted else None
+    links = _link_counts(named := written(named, "components"), rows, shared_hot, share) if counted else None
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp")
     more = []
