@@ -69,23 +69,106 @@ def test_context_mixing_beats_the_base_on_held_out_documents(spark):
     from __spark_entry__ import queries
 
     test = [r for r in queries()["op5_context_mixing"](spark, SF).collect() if r.held_out]
-    assert sum(r.score for r in test) > sum(r.base_score for r in test)
+    assert sum(r.score for r in test) > 0.9 * sum(r.base_score for r in test)
+    assert np.mean([r.token_score > r.base_score for r in test]) > 0.95  # new words as one kind of token for both
+
+
+def small_model(rng, n=40_000):
+    """A code and a model of a small random corpus, with its words' hashes and counts."""
+    hashes = np.unique(rng.integers(0, 2**63, 600).astype(np.uint64) * np.uint64(2))
+    counts = rng.integers(1, 90, len(hashes))
+    hashes, counts = np.r_[hashes, context_mixing.END], np.r_[counts, 200]
+    lead = np.argsort(-counts[:-1], kind="stable")[: context_mixing.LEAD]
+    buckets = np.bincount((hashes >> np.uint64(56)).astype(int), counts, 256).astype(np.int64)
+    code = context_mixing.Code(hashes, counts, lead, buckets, int(counts.sum()), len(counts), 30)
+    seen = [rng.integers(0, 100, size) * (rng.random(size) < 0.5) for size in code.table_sizes()]
+    model = context_mixing.Model(seen, [(x * rng.random(len(x))).astype(int) for x in seen])
+    model.refine = np.clip(model.refine + rng.normal(size=model.refine.shape) * 0.02, 0.01, 0.99).astype(np.float32)
+    return code, model, hashes, counts
+
+
+def plain_bits(code, model, h, state):
+    """log10 of each bit's probability, bit by bit, and the weights and map that a document has learnt at its end."""
+    w, hits, every, waiting, out, n = *state, [], [], 0
+    for k, word in enumerate(h):
+        sym = int(code.look_up(np.array([word]))[0][0])
+        last, two = (h[k - 1] if k else np.uint64(1)), (h[k - 2] if k > 1 else np.uint64(1))
+        one = context_mixing.mixed(np.array([last]) * context_mixing._K).astype(np.uint32)[0]
+        both = context_mixing.mixed(context_mixing.mixed(np.array([two]) * context_mixing._K) + last).astype(np.uint32)[0]
+        for at in range(code.offsets[sym], code.offsets[sym + 1]):
+            node, bit = int(code.nodes[at]), float(code.values[at])
+            hashed = [context_mixing._slot(np.array([c]) + np.array([node], np.uint32) * context_mixing._K32, code.bits)[0] for c in (one, both)]
+            got = [int(model.slots[t][s]) for t, s in enumerate((node, *hashed))]
+            x = [np.int8(np.uint8(g & 255)) / 16 for g in got] + [0.3]
+            gate = (got[1] >> 8) * 4 + (got[2] >> 8)
+            dot = sum(a * b for a, b in zip(x, w[gate], strict=True))
+            p = 1 / (1 + np.exp(-dot))
+            cell = int(np.clip((dot + 8) * 2, 0, 32))
+            out.append(np.log10(np.clip((p + hits[gate, cell] / every[gate, cell]) / 2, 1e-5, 1 - 1e-5) * bit + (1 - np.clip((p + hits[gate, cell] / every[gate, cell]) / 2, 1e-5, 1 - 1e-5)) * (1 - bit)))
+            waiting.append((gate, cell, x, bit, p))
+            n += 1
+            if n % context_mixing.BLOCK == 0:
+                for g, c, v, y, q in waiting:
+                    w[g] += model.rate * (y - q) * np.array(v)
+                    hits[g, c] += y
+                    every[g, c] += 1
+                waiting = []
+    return out
+
+
+def test_context_mixing_against_bit_by_bit():
+    rng = np.random.default_rng(3)
+    code, model, hashes, _ = small_model(rng)
+    texts_ = [np.append(rng.choice(hashes[:-1], k), context_mixing.END) for k in (300, 0, 1, 170)]
+    texts_[0][5] = np.uint64(12345)  # a word that training lacks
+    part = context_mixing.Slice(code, list(range(4)), texts_, False, np.ones(2, np.uint64))
+    size, bit, slots = code.path(part.sym, part.one, part.two)
+    doc = np.repeat(part.doc, size)
+    starts = np.searchsorted(doc, np.arange(4))
+    x, gate = model.inputs(slots)
+    p = model.predict(x, gate, bit, doc, np.arange(len(bit)) - starts[doc], context_mixing.State(model, 4)).astype(float)
+    got = np.log10(np.where(bit, p, 1 - p))
+    start = lambda: (model.weights.astype(float).copy(), context_mixing.PRIOR * model.refine.astype(float), np.full(model.refine.shape, context_mixing.PRIOR))
+    want = np.concatenate([plain_bits(code, model, h, start()) for h in texts_])
+    # Single precision may put a prediction on the border of two cells of the map into the other one.
+    assert len(want) > 4 * context_mixing.BLOCK and (np.abs(got - want) < 2e-3).mean() > 0.98 and abs(got.sum() / want.sum() - 1) < 2e-3
 
 
 def test_context_mixing_is_a_probability():
-    """Over all symbols of a small code, the products of bit probabilities sum to 1."""
-    code = context_mixing.Code(np.array([5, 9, 11], np.uint64), np.array([9, 5, 2]), 30, 6, 2)
-    total = 0.0
-    for s in range(len(code.paths[0]) - 1):
-        size, _, bit, slots = code.bits(np.array([s]), np.array([True]))
-        p = np.array([0.2 + 0.6 * ((k * 7) % 5) / 5 for k in slots[0]])
-        total += float(np.prod(np.where(bit, p, 1 - p))) if size[0] else 1.0
-    assert abs(total - 1) < 1e-9
+    """After any words, the probabilities of all known words, an end and something new add up to 1."""
+    rng = np.random.default_rng(4)
+    code, model, hashes, counts = small_model(rng)
+    for before in (rng.choice(hashes, 2), np.ones(2, np.uint64)):
+        syms = np.arange(len(code.offsets) - 1)
+        syms = np.r_[syms[: code.end - 1], syms[code.end :]]  # the escape's code is the beginning of those behind it
+        one = np.full(len(syms), context_mixing.mixed(before[1:] * context_mixing._K).astype(np.uint32)[0])
+        size, bit, slots = code.path(syms, one, one)
+        x, gate = model.inputs(slots)
+        p = model.predict(x, gate, bit, np.repeat(np.arange(len(syms)), size), np.zeros(len(bit), int), context_mixing.State(model, len(syms))).astype(float)
+        each = 10 ** np.add.reduceat(np.log10(np.where(bit, p, 1 - p)), np.cumsum(size) - size)
+        assert abs(each.sum() - 1) < 1e-4
+        sym, count = code.look_up(hashes)
+        of = dict(zip(syms.tolist(), each.tolist(), strict=True))
+        words = sum(of[int(s)] * ((1 - code.new) * c / code.rest[s - code.fresh] if s >= code.fresh else 1) for s, c in zip(sym, count, strict=True))
+        behind = sum(v for k, v in of.items() if k >= code.fresh)
+        empty = sum(of[code.fresh + b] for b in range(256) if not ((hashes >> np.uint64(56)).astype(int) == b).any())
+        assert words + code.new * behind + (1 - code.new) * empty <= 1 + 1e-4 and words > 0.3
+
+
+def test_long_texts_are_scored_in_slices_alike(monkeypatch):
+    """A text cut into slices has the bits and contexts of the whole one."""
+    rng = np.random.default_rng(5)
+    code, model, hashes, _ = small_model(rng)
+    h = np.append(rng.choice(hashes[:-1], 500), context_mixing.END)
+    whole = context_mixing.Slice(code, [0], [h], False, np.ones(2, np.uint64))
+    cut = [context_mixing.Slice(code, [0], [h[a : a + 200]], a > 0, h[a - 2 : a] if a else np.ones(2, np.uint64)) for a in range(0, len(h), 200)]
+    for name in ("sym", "one", "two"):
+        assert (np.concatenate([getattr(x, name) for x in cut]) == getattr(whole, name)).all()
 
 
 def test_spelling():
     cut, bit, slots = context_mixing.spelled([b"ab", b"c"])
-    assert cut.tolist() == [0, 24] and len(bit) == 40 and len(slots) == 3
+    assert cut.tolist() == [0, 24] and len(bit) == 40 and len(slots) == len(context_mixing.SPELL)
     assert np.packbits(bit).tobytes() == b"ab c "
 
 
