@@ -83,6 +83,7 @@ def small_model(rng, n=40_000):
     code = context_mixing.Code(hashes, counts, lead, buckets, int(counts.sum()), len(counts), 30)
     seen = [rng.integers(0, 100, size) * (rng.random(size) < 0.5) for size in code.table_sizes()]
     model = context_mixing.Model(seen, [(x * rng.random(len(x))).astype(int) for x in seen])
+    model.weights += (rng.normal(size=model.weights.shape) * 0.01).astype(np.float32)
     model.refine = np.clip(model.refine + rng.normal(size=model.refine.shape) * 0.02, 0.01, 0.99).astype(np.float32)
     return code, model, hashes, counts
 
