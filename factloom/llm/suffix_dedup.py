@@ -13,11 +13,13 @@ covers it that also starts earlier (in a smaller id, or before in the same docum
    a group of its own, and salted where anchors are counted. All strings that repeat
    are together in some group. Equal regions are one, the later ones going whole.
 4. Regions, in corpus order and cut into pieces that overlap, are indexed: the suffix
-   order gives the BWT, kept as runs, with a run's head, length, LF target and the text
-   places at its ends; and for each interval of rows that share ``length`` bytes its
-   earliest place. Each piece is then streamed from its end through the runs by LF
-   steps; where the interval reached has an earlier place than the piece's own, the
-   matching statistic is at least ``length`` there, and the bytes are marked.
+   order gives the BWT, kept as runs with a run's head, symbol and LF target. Of the
+   intervals of rows that share ``length`` bytes, those that hold a run's end, or where
+   images of several intervals meet, have their earliest place sampled; any other is the
+   image of a whole interval within a run, and its earliest place is the one before.
+   Pieces are then streamed from their ends through the runs by LF steps, carrying the
+   matching statistic and the earliest place of the match from sample to sample; where
+   that is before the piece's own place, the bytes are marked.
 5. Marks are joined by document, and cut out of its text.
 
 Null text: empty. Rows that repeat id and text are one document and get equal rows;
@@ -28,6 +30,7 @@ Null ids are one id, smaller than others.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +125,9 @@ def _repeated(batches):
 
 
 class RunIndex:
-    """Run-length BWT of pieces of bytes, with the text places at run ends and the earliest place of each length-interval."""
+    """Run-length BWT of pieces of bytes, with the earliest places sampled at intervals that hold run ends.
+
+    What is kept after building grows with the runs, not the bytes: run heads, symbols and LF targets, and the samples."""
 
     def __init__(self, pieces: list[bytes], places: np.ndarray, length: int = LENGTH):
         """places: where each piece starts in the corpus, as numbers in corpus order that rise by 1 a byte."""
@@ -138,7 +143,7 @@ class RunIndex:
         rank, ready = self._ranks(sym, n, ends), 7
         half, open_ = None, np.arange(n)
         while half is None or len(open_):
-            if ready >= length // 2 and half is None:
+            if 2 * ready >= length and half is None:
                 half = (ready, rank)
             rank, open_ = self._doubled(rank, open_, ready)
             ready *= 2
@@ -149,18 +154,27 @@ class RunIndex:
         back = order + (length - size)
         a, b = r[order], np.where(back < n, r[np.minimum(back, n - 1)], -1)
         fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        self.interval = np.flatnonzero(fresh)
-        self.place = np.repeat(places - self.starts, sizes + 1) + np.arange(n)
-        self.earliest = np.minimum.reduceat(self.place[order], self.interval)
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.r_[first, n])
+        self.places = places
+        place = (np.repeat(places - self.starts, sizes + 1) + np.arange(n))[order]
+        earliest = np.minimum.reduceat(place, first)
         # Runs of the BWT; a separator is a symbol of its own, 0.
         bwt = np.where(order > 0, sym[order - 1], 0).astype(np.int64)
         self.head = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.char = bwt[self.head]
         run = np.diff(np.r_[self.head, n])
+        # An interval needs no sample of its own if it is the LF image of a whole interval within one run: the earliest
+        # place is then one less. Those that hold the end of a run, or lie where such an image meets others, are sampled.
+        after = (np.cumsum(fresh) - 1)[rank[np.minimum(order + 1, n - 1)]]
+        low, high = np.minimum.reduceat(after, first), np.maximum.reduceat(after, first)
+        sampled = (low != high) | (size[low] != size) | (order[first] == n - 1)
+        self.sampled = first[sampled]
+        self.sampled_end = (first + size)[sampled]
+        self.samples = earliest[sampled]
         by_char = np.argsort(self.char, kind="stable")
         self.lf = np.empty(len(self.head), np.int64)
         self.lf[by_char] = np.cumsum(run[by_char]) - run[by_char]
-        self.samples = np.stack([self.place[order[self.head]], self.place[order[self.head + run - 1]]], axis=1)
 
     @staticmethod
     def _ranks(sym: np.ndarray, n: int, ends: np.ndarray) -> np.ndarray:
@@ -200,23 +214,39 @@ class RunIndex:
         alone = new & np.r_[new[1:], True]
         return out, at[~alone]
 
-    def marks(self) -> np.ndarray:
-        """For each byte of the text (separators too): whether length bytes from here on start earlier."""
-        n = int((self.sizes + 1).sum())
-        out = np.zeros(n, bool)
+    def statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Streams all pieces from their ends at once; at each step (pieces, places in the text, matching statistics, earliest places).
+
+        A statistic is the length of a match with the earliest place known, from ``length`` on: a step to an image of
+        a whole interval lengthens it and moves its place back by one; at a sampled interval it begins anew."""
         live = np.arange(len(self.sizes))
         row = live.copy()  # separators have the first rows, in the order of the pieces
         at = self.starts + self.sizes
         ends = at.copy()
+        match = np.zeros(len(live), np.int64)
+        held = np.zeros(len(live), np.int64)
         while len(live):
-            run = np.searchsorted(self.head, row, "right") - 1
             go = at > self.starts[live]
-            live, run, row, at = live[go], run[go], row[go], at[go]
+            live, row, at, match, held = (x[go] for x in (live, row, at, match, held))
+            run = np.searchsorted(self.head, row, "right") - 1
             row = self.lf[run] + row - self.head[run]
             at = at - 1
             full = np.flatnonzero(ends[live] - at >= self.length)
-            interval = np.searchsorted(self.interval, row[full], "right") - 1
-            out[at[full]] = self.earliest[interval] < self.place[at[full]]
+            if not len(full):
+                continue
+            own = self.places[live[full]] + at[full] - self.starts[live[full]]
+            k = np.searchsorted(self.sampled, row[full], "right") - 1
+            new = (k >= 0) & (row[full] < self.sampled_end[k])
+            # Before its first sample a piece's windows are alone in their intervals.
+            held[full] = np.where(new, self.samples[k], np.where(match[full] > 0, held[full] - 1, own))
+            match[full] = np.where(new | (match[full] == 0), self.length, match[full] + 1)
+            yield live[full], at[full], match[full], held[full]
+
+    def marks(self) -> np.ndarray:
+        """For each byte of the text (separators too): whether length bytes from here on start earlier."""
+        out = np.zeros(int((self.sizes + 1).sum()), bool)
+        for piece, at, _, earliest in self.statistics():
+            out[at] = earliest < self.places[piece] + at - self.starts[piece]
         return out
 
 

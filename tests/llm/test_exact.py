@@ -206,6 +206,10 @@ def test_decontaminate(spark):
     for block in (10**7, 500):
         got = decontaminate.leaks(table(spark, rows), held, block_bytes=block).collect()
         assert {tuple(r) for r in got} == want
+        twice = decontaminate.leaks(table(spark, rows + rows), held, block_bytes=block).collect()
+        assert sorted(map(tuple, twice)) == sorted([tuple(r) for r in got] * 2)
+        left = decontaminate.clean(table(spark, rows), held, block_bytes=block)
+        assert sorted((key(r.doc_id), r.text or "") for r in left.collect()) == sorted((key(i), t or "") for i, t in rows if not any(100 * len(q & sets(t)) >= 80 * len(q) for _, x in items if (q := sets(x))))
 
 
 def removed(rows, length=100):
@@ -240,7 +244,41 @@ def test_run_index_keeps_little_of_repeats():
     piece = bytes(np.random.default_rng(1).integers(97, 123, 300, dtype=np.uint8))
     pieces = [piece] * 50
     index = suffix_dedup.RunIndex(pieces, np.arange(50, dtype=np.int64) << 32)
-    assert len(index.head) < 400 and index.marks().sum() == 49 * 201
+    assert len(index.head) < 400 and len(index.samples) < 400 and index.marks().sum() == 49 * 201
+
+
+def test_run_index_against_brute_force():
+    rng = np.random.default_rng(7)
+    for trial in range(25):
+        base = [bytes(rng.integers(97, 97 + rng.integers(1, 4), rng.integers(30, 120), dtype=np.uint8)) for _ in range(3)]
+        pieces = []
+        for _ in range(rng.integers(2, 12)):
+            x = bytearray(b"".join(base[k] for k in rng.integers(0, 3, 2))[rng.integers(0, 20) :])
+            for _ in range(rng.integers(0, 3)):
+                x[rng.integers(0, len(x))] = 122
+            pieces.append(bytes(x))
+        length = int(rng.integers(14, 30))
+        places = np.sort(rng.choice(40, len(pieces), False)).astype(np.int64) << 32
+        if trial % 3 == 0:  # pieces that overlap in one document
+            whole = b"".join(pieces)
+            pieces = [whole[k : k + 60 + length - 1] for k in range(0, max(1, len(whole) - length + 1), 60)]
+            places = np.arange(len(pieces), dtype=np.int64) * 60
+        index = suffix_dedup.RunIndex(pieces, places, length)
+        first = {}
+        for p, piece in zip(places.tolist(), pieces, strict=True):
+            for k in range(len(piece) - length + 1):
+                w = piece[k : k + length]
+                first[w] = min(first.get(w, p + k), p + k)
+        want = np.zeros(int((index.sizes + 1).sum()), bool)
+        for s, p, piece in zip(index.starts.tolist(), places.tolist(), pieces, strict=True):
+            for k in range(len(piece) - length + 1):
+                want[s + k] = first[piece[k : k + length]] < p + k
+        assert (index.marks() == want).all()
+        for piece, at, match, earliest in index.statistics():
+            for i, a, m, e in zip(piece.tolist(), at.tolist(), match.tolist(), earliest.tolist(), strict=True):
+                j = int(np.searchsorted(places, e, "right")) - 1
+                mine = pieces[i][a - int(index.starts[i]) :]
+                assert m >= length and len(mine) >= m and any(pieces[q][e - int(places[q]) :].startswith(mine[:m]) for q in range(j + 1) if e >= places[q])
 
 
 def test_chat_format(spark):
@@ -312,15 +350,29 @@ def test_positions_follow_the_schedule(spark):
         assert np.abs(np.interp(got, grid, area / area[-1]) - np.arange(1001) / 1000).max() < 1e-4
 
 
+def test_recall_with_more_lists_than_probes(spark):
+    """Of 5,000 vectors in groups, with 70 lists and 4 probes a vector."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(900, 24))
+    x = (base[rng.integers(0, 900, 5000)] + rng.normal(size=(5000, 24)) * rng.choice([0.1, 0.2, 0.3], (5000, 1))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = sum(int((unit[k : k + 500] @ unit.T >= 0.95).sum()) for k in range(0, 5000, 500)) - 5000
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sum(r.n_links for r in pq_neighbours.neighbours(df, probes=4).collect())
+    assert want > 5000 and 0.9 * want <= got <= want
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(30, 16))
     rows = [(i, (base[i % 30] + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.3]) * (i >= 30)).astype(np.float32).tolist()) for i in range(400)]
     rows += [(400, rows[0][1]), (401, [2 * x for x in rows[0][1]]), (402, None), (403, [0.0] * 16), (404, [float("nan")] * 16), (405, [None, *rows[0][1][1:]]), (406, [1.0, 2.0]), (None, rows[5][1]), (7, rows[7][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, k int").repartition(3)
-    ok = {key(i): np.array(v, float) for i, v in rows if v is not None and None not in v and len(v) == 16 and np.isfinite(v).all() and any(v)}
+    rows += [(408, [2.0, 4.0]), (409, [1.0, -2.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, k int").repartition(3)
+    ok = {key(i): np.array(v, float) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)}
     unit = {i: v / np.linalg.norm(v) for i, v in ok.items()}
-    linked = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.95]
+    linked = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
     links = defaultdict(int)
     for a, b in linked:
         links[a] += 1
