@@ -83,10 +83,10 @@ class LineIndex:
         return cls(none("_id long, k1 long, k2 long"), none("k1 long, k2 long, n long, top long"), none("shard int, filter binary"), shards, min_chars, min_docs)
 
     @classmethod
-    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-        """An index of docs, its shards sized by the number of postings."""
+    def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
+        """An index of docs; shards are sized by the number of its postings unless more documents are to come."""
         postings = written(line_keys(keyed(docs, id_col, text=text_col), min_chars), "line-postings")
-        shards = max(16, postings.count() // SHARD_KEYS)
+        shards = shards or max(16, postings.count() // SHARD_KEYS)
         return cls.empty(docs.sparkSession, shards, min_chars, min_docs)._add(postings, fresh=True)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
@@ -103,9 +103,10 @@ class LineIndex:
             refs = new
         else:
             more = keys.where("known").select("k1", "k2", F.col("n").alias("dn"), F.col("top").alias("dtop"))
-            both = self.refs.join(more, ["k1", "k2"], "full_outer")  # a filter may take a new key for a known one
+            old, rest = self._touched(keys.select("shard"))
+            both = old.join(more, ["k1", "k2"], "full_outer")  # a filter may take a new key for a known one
             refs = both.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), F.greatest("top", "dtop").alias("top")).unionByName(new)
-            refs, postings = written(refs, "line-refs"), self.postings.unionByName(postings)
+            refs, postings = written(refs, "line-refs").unionByName(rest), self.postings.unionByName(postings)
             # delete() takes out one fingerprint a key, so new keys that the filter took for known ones need theirs.
             missed = _sharded(more.join(self.refs, ["k1", "k2"], "left_anti").select("k1", "k2"), self.shards)
             filters = written(missed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_put_missed, "shard int, filter binary"), "line-filters")
@@ -115,13 +116,19 @@ class LineIndex:
         untouched = self.filters.join(filters, "shard", "left_anti")
         return LineIndex(postings, refs, filters if fresh else filters.unionByName(untouched), self.shards, self.min_chars, self.min_docs)
 
+    def _touched(self, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The reference counts of these shards, and those of the others, which a change leaves as they are."""
+        rows, some = _sharded(self.refs, self.shards), F.broadcast(shards.distinct())  # a row a shard
+        return tuple(rows.join(some, "shard", how).select("k1", "k2", "n", "top") for how in ("left_semi", "left_anti"))
+
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index without the documents of these ids; ids that it lacks change nothing."""
         gone = keyed(ids, id_col).distinct()
         left = written(self.postings.join(gone, "_id", "left_anti"), "line-postings")
-        touched = self.postings.join(gone, "_id", "left_semi").select("k1", "k2").distinct()
+        touched = written(self.postings.join(gone, "_id", "left_semi").select("k1", "k2").distinct(), "line-touched")
         now = left.join(touched, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("_id").alias("top"))
-        refs = written(self.refs.join(touched, ["k1", "k2"], "left_anti").select("k1", "k2", "n", "top").unionByName(now), "line-refs")
+        old, rest = self._touched(_sharded(touched, self.shards).select("shard"))
+        refs = written(old.join(touched, ["k1", "k2"], "left_anti").select("k1", "k2", "n", "top").unionByName(now), "line-refs").unionByName(rest)
         dead = _sharded(touched.join(now, ["k1", "k2"], "left_anti"), self.shards)
         filters = written(dead.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_remove, "shard int, filter binary"), "line-filters")
         return LineIndex(left, refs, filters, self.shards, self.min_chars, self.min_docs)
@@ -221,9 +228,17 @@ def _remove(dead: pa.Table, filters: pa.Table) -> pa.Table:
     return pa.table({"shard": filters["shard"].combine_chunks().slice(0, 1).cast(pa.int32()), "filter": pa.array([out.tobytes()], pa.binary())})
 
 
+def _shards(docs: DataFrame) -> int:
+    """Shards for an index of all docs: a line and key for each newline at most."""
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    return max(16, lines // SHARD_KEYS)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is built from half of the documents, and the others are inserted: their keys ask the filters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = LineIndex.build(docs).apply(docs)
+    late = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(False))
+    out = LineIndex.build(docs.where(~late), shards=_shards(docs)).insert(docs.where(late)).apply(docs)
     return out.select(unkeyed().alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
