@@ -11,17 +11,21 @@ of the item must hold one: no item above the threshold can be missed. A document
 visits the partitions whose items it can contain, and candidates are verified by
 exact containment of the shingles as words, not hashes.
 
-Items are broadcast in blocks of at most ``block_bytes`` of text, one pass over the
-documents a block, so what is broadcast is bounded whatever the benchmark's size.
-Documents are never shuffled. Empty items and documents match nothing; rows that
+Items are broadcast in blocks of about ``block_bytes`` of text with its sketches (less
+than twice that), one pass over the documents a block, so what is broadcast is bounded
+whatever the benchmark's size; the shingles of an item are made when it is a candidate.
+Items of an id stand in one block. Documents are never shuffled; rows that repeat a
+document each have their results. Empty items and documents match nothing; rows that
 repeat an item count once; null ids are ids of their own.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +45,11 @@ class ItemIndex:
     """One block of items: per size partition, sorted sketch hashes and whose they are."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: tuple[int, int] = SHARE):
-        self.items = [(i, s) for i, text in items if (s := word_shingles(words(text)))]
+        self.items = [(i, text) for i, text in items if words(text)]
         parts = defaultdict(list)
-        for k, (i, text) in enumerate((i, t) for i, t in items if words(t)):
+        for k, (_, text) in enumerate(self.items):
             sketch = distinct(shingles(word_hashes(text)))
-            n = len(self.items[k][1])
+            n = len(word_shingles(words(text)))
             need = -(-share[0] * n // share[1])
             parts[n.bit_length()].append((need, k, sketch[: n - need + 1]))
         self.parts = []
@@ -71,24 +75,39 @@ class ItemIndex:
         if not near:
             return []
         own = word_shingles(words(text))
-        hits = ((self.items[k][0], len(s := self.items[k][1]), len(s & own)) for k in near)
+        hits = ((self.items[k][0], len(s := word_shingles(words(self.items[k][1]))), len(s & own)) for k in near)
         return [x for x in hits if self.share[1] * x[2] >= self.share[0] * x[1]]
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: tuple[int, int] = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(_id, _item, n_item, n_shared) for each document row and item found in it."""
     rows = keyed(docs, id_col, text=text_col)
+    parts = [mapped(rows, _finder(index), "_id long, _item long, n_item long, n_shared long") for index in _blocks(items, item_id, item_text, share, block_bytes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: tuple[int, int] = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no item, each judged by itself, whatever its id: one pass a block, no shuffle."""
+    for index in _blocks(items, item_id, item_text, share, block_bytes):
+
+        def held(batches, index=index):
+            for batch in batches:
+                col = batch.column(batch.schema.get_field_index(text_col))
+                good = [not index.value.found(text, sh) for text, (_, sh) in zip(texts(batch, text_col), hashed_rows(col), strict=True)]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+        docs = docs.mapInArrow(held, docs.schema)
+    return docs
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, share: tuple[int, int], block_bytes: int):
+    """Broadcast indexes of the items, one for each block of them."""
     short = keyed(items, item_id, text=item_text).where("text is not null").distinct()
     total = short.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    schema = "_id long, _item long, n_item long, n_shared long"
-    out = None
     for b in range(blocks):
-        block = short if blocks == 1 else short.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        index = ItemIndex([(r[0], r[1].encode()) for r in block.orderBy("_id", "text").toLocalIterator()], share)
-        part = mapped(rows, _finder(docs.sparkSession.sparkContext.broadcast(index)), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if blocks > 1 else out
+        block = short.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1].encode()) for r in block.orderBy("_id", "text").toLocalIterator()], share))
 
 
 def _finder(index):
