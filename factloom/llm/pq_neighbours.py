@@ -1,7 +1,7 @@
 """Embedding near-dedup by product quantisation: inverted lists, table-lookup distances, exact rerank.
 
 1. Equal vectors become one class, so copies of any number are one point.
-2. From a bounded sample (``SAMPLE`` classes of the smallest hashes) the driver fits
+2. From a bounded sample (about ``SAMPLE`` classes of the smallest hashes) the driver fits
    coarse centroids and, per subspace, a codebook of the residuals.
 3. Every class is indexed in the list of its nearest centroid: its residual as one
    code a subspace, and the norm of what the codes leave out.
@@ -16,13 +16,15 @@
 A list is cut into tiles of at most ``TILE`` entries and ``QUERIES`` queries, whole
 lists never being in one task. Sizes of lists are all that is collected of the index.
 
-Null, zero or non-finite vectors, and those not of the commonest length, link with
-nothing. Rows that share id and vector are one vector, and each gets its row. Null
+Vectors of each length have an index of their own, as only vectors of one length have
+a cosine. Null, zero or non-finite vectors link with nothing. Rows that share id and vector are one vector, and each gets its row. Null
 ids are one id, the smallest, null in the result. No rows: no result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -121,16 +123,24 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     """(_id, n_links, component_id) for each row of vectors."""
     spark = vectors.sparkSession
     rows = written(signed_rows(vectors, id_col, vec_col), "vectors")
-    size = rows.where("d > 0").groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    if size is None:
+    lengths = sorted(r[0] for r in rows.where("d > 0").select("d").distinct().collect())  # of vectors, not their number
+    found = [_of_length(spark, rows, d, threshold, probes) for d in lengths]
+    if not found:
         return rows.select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
-    d = size[0]
+    out = rows.select("_id", "d", "h1", "h2").join(reduce(DataFrame.unionByName, found), ["d", "h1", "h2"], "left")
+    return out.select("_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def _of_length(spark: SparkSession, rows: DataFrame, d: int, threshold: float, probes: int) -> DataFrame:
+    """(d, h1, h2, n_links, component_id) of the classes of vectors of length d, from an index of their own."""
     classes = rows.where(F.col("d") == d).groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count_distinct("_id").alias("copies"), F.first("v").alias("v"))
     # A class is known by its place in no order at all, but one that reruns give again.
     classes = written(classes.withColumn("k", F.xxhash64("h1", "h2")), "vector-classes")
-    sample = classes.orderBy("k", "h1", "h2").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    n = classes.count()
+    low = -(2**63) + min(2**64 - 1, SAMPLE * 2**64 // n)  # about SAMPLE classes, those of the smallest hashes
+    sample = classes.where(F.col("k") <= low).select("k", "v").toArrow().sort_by("k")["v"].combine_chunks()
     sample = _unit(_flat(sample).reshape(-1, d))
-    index = Index(sample, min(LISTS, max(1, int(np.sqrt(classes.count())))))
+    index = Index(sample, min(LISTS, max(1, int(np.sqrt(n)))))
     shared = spark.sparkContext.broadcast(index)
 
     def placed(batch):
@@ -182,9 +192,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     counts = found.where("links is not null").groupBy("k").agg(F.sum("links").alias("links"))
     named = classes.join(counts, "k", "left").join(comp, classes["k"] == comp["node"], "left").select("h1", "h2", "rep", F.coalesce("comp", "k").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select(F.lit(d).alias("d"), "h1", "h2", "n_links", "component_id")
-    out = rows.select("_id", "d", "h1", "h2").join(named, ["d", "h1", "h2"], "left")
-    return out.select("_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_id").alias("component_id"))
+    return named.join(least, "comp").select(F.lit(d).alias("d"), "h1", "h2", "n_links", "component_id")
 
 
 def _tile(t: pa.Table, index: Index, threshold: float) -> pa.Table:
