@@ -39,13 +39,15 @@ def unkeyed(col: Column | str = "_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none and runs on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = found.get() if found.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"/tmp/checkpoints/factloom-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
