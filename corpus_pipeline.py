@@ -5,8 +5,10 @@ all that its predecessor kept, and returns a DataFrame. All but the last return
 columns of documents (with other columns that docs may have); n_chars follows the
 text where a stage changes it.
 
-Rows with null ids or texts pass through like others: a null text is an empty one,
-a null id a document of its own. An empty table stays empty in every stage.
+Rows with null ids or texts pass through like others: a null text is an empty one. The
+first, third and fourth stage judge each row by its own text, whatever its id; where line
+dedup and mixing count documents, rows that share an id are one, null ids being one id,
+the smallest. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -51,17 +53,25 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest document stays; without words, all do."""
-    groups = trie_join.jaccard_classes(docs)
-    gone = groups.where("_id <> component_id").select("_id").distinct()
-    return _matched(docs, gone.hint("shuffle_hash"), "left_anti")
+    """Of each group of near copies the smallest document stays; without words, all do.
+
+    Documents are told apart by id and text, so others of their id, null ones too, stay; rows that repeat both stand or fall together."""
+    key = F.xxhash64("doc_id", "text")
+    ids = docs.select(key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = written(trie_join.jaccard_classes(ids, "_key").select(F.col("_id").alias("_key"), F.col("component_id").alias("_comp")).where("_key <> _comp"), "near-copies")
+    # All of a group but its first by key are known so far; the smallest document takes that one's place.
+    members = groups.select("_key", "_comp").union(groups.select("_comp", "_comp")).distinct()
+    own = ids.select("_key", F.coalesce("doc_id", F.lit(NULL_KEY)).alias("_doc"))
+    first = members.join(own, "_key").groupBy("_comp").agg(F.min(F.struct("_doc", "_key"))["_key"].alias("_first"))
+    gone = members.join(first, "_comp").where("_key <> _first").select("_key").distinct()
+    keep, back = _internal(docs)
+    rows = docs.select(key.alias("_key"), *[F.col(f"`{c}`").alias(k) for k, c in keep.items()])
+    return rows.join(gone.hint("shuffle_hash"), "_key", "left_anti").select(*back)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select("_id").distinct(), "leaks")
-    return _matched(docs, gone.hint("shuffle_hash"), "left_anti")
+    """Documents that hold a benchmark item go, each row judged by its own text."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
