@@ -10,7 +10,7 @@ import time
 from pyspark.sql import functions as F
 
 from . import config as cfg
-from .operators import fusion, reports, rules
+from .operators import extractors, fusion, reports, rules
 from .plans import pipeline, sinks
 from .session import session
 from .sources import files, plugins
@@ -30,7 +30,10 @@ def main(argv: list[str] | None = None) -> int:
         start = time.time()
         folder = f"{a.input}/input" if a.command == "eval" else a.input
         pages = files.load(spark, folder, config.ocr).withColumn("fund", F.lit(0))
-        got = pipeline.analyse(pages, config, verify=a.command != "extract")
+        # The command evaluates the defaults, patterns alone; answers are kept beside the run, so a second run asks for new prompts only.
+        models = [] if a.command == "eval" else extractors.build(config)
+        extra = extractors.all_candidates(pages, models, config.redact, f"{a.out}/answers")
+        got = pipeline.analyse(pages, config, extra, verify=a.command != "extract")
         if a.command == "eval":
             expected = spark.read.option("multiLine", True).schema("type string, severity string").json(f"{a.input}/expected_flags.json")
             diff = [r.asDict() for r in reports.flag_difference(got.flags, expected).collect()]
@@ -48,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         flags.write.mode("overwrite").parquet(f"{a.out}/flags")
         print(json.dumps([r.asDict() for r in reports.risk_score(flags, docs, "fund").limit(20).collect()]))
         return 0
-    flags = files.read_flags(spark, a.out, "fund int, rule_ord int, flag_ord int, severity string, type string, docs string, detail string, evidence string, why_it_matters string, question_to_ask string, a double, b double")
+    flags = files.read_flags(spark, a.out, "fund int, rule_ord int, flag_ord long, severity string, type string, docs string, detail string, evidence string, why_it_matters string, question_to_ask string, a double, b double")
     scores = reports.recommendation(reports.risk_score(flags, docs, "fund"))
     totals = reports.completeness(spark.read.parquet(f"{a.out}/metrics")).first()
     for line in sinks.memo(docs.orderBy("doc_ord"), flags.orderBy("rule_ord", "flag_ord"), totals, scores.first()):

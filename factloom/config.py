@@ -28,6 +28,7 @@ class Trust:
     authority_default_weight: float = 0.50
 
 
+# Default models, limits and resolutions of the classes below.
 @dataclass(frozen=True)
 class Hosted:
     enabled: bool = False

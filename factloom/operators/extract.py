@@ -35,10 +35,19 @@ def first_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "field").agg(best).select("doc_id", "field", "b.*")
 
 
-def metric_candidates(pages: DataFrame, decimal_targets: bool = False) -> DataFrame:
-    """A row for each document and metric: value (null if missing), hurdle (of carry), confidence, page, snippet."""
-    fields = [(f, P.TARGET_DECIMAL if decimal_targets and f == "target_irr" else p) for f, p in P.FIELD_PATTERNS]
-    found = first_hits(pattern_hits(pages, fields))
+def all_hits(pages: DataFrame, decimal_targets: bool = False) -> DataFrame:
+    """first_hits() of metrics and dates in one pass over the pages."""
+    return first_hits(pattern_hits(pages, (*_fields(decimal_targets), ("doc_date", P.DATE_PATTERNS))))
+
+
+def _fields(decimal_targets: bool) -> list:
+    return [(f, P.TARGET_DECIMAL if decimal_targets and f == "target_irr" else p) for f, p in P.FIELD_PATTERNS]
+
+
+def metric_candidates(pages: DataFrame, decimal_targets: bool = False, hits: DataFrame | None = None) -> DataFrame:
+    """A row for each document and metric: value (null if missing), hurdle (of carry), confidence, page, snippet; hits: of all_hits()."""
+    fields = _fields(decimal_targets)
+    found = first_hits(pattern_hits(pages, fields)) if hits is None else hits
     value = F.col("raw").try_cast("double")
     found = found.withColumn("value", F.when(F.col("field") == "aum", value * 1e9).otherwise(value))
     wide = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.struct("value", "page", "snippet"))).alias(f) for f, _ in fields])
@@ -68,9 +77,9 @@ def missing_fields(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("doc_id").agg(F.flatten(F.transform(held, lambda x: x["n"])).alias("missing_fields"))
 
 
-def doc_dates(pages: DataFrame) -> DataFrame:
-    """(doc_id, doc_date): a date as it is written, null without one."""
-    found = first_hits(pattern_hits(pages, (("doc_date", P.DATE_PATTERNS),)))
+def doc_dates(pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(doc_id, doc_date): a date as it is written, null without one; hits: of all_hits()."""
+    found = first_hits(pattern_hits(pages, (("doc_date", P.DATE_PATTERNS),))) if hits is None else hits.where("field = 'doc_date'")
     return pages.select("doc_id").distinct().join(found.select("doc_id", F.col("raw").alias("doc_date")), "doc_id", "left")
 
 

@@ -20,15 +20,18 @@ def parsed(responses: DataFrame, raw: str = "response") -> DataFrame:
     return responses.withColumn("v", T.parsed_json(F.col(raw)))
 
 
-def response_metrics(responses: DataFrame) -> DataFrame:
-    """(doc_id, chunk, field, value, hurdle, basis, confidence, page, snippet, note) from parsed(); absent or odd metrics are null with confidence 0."""
+def response_metrics(responses: DataFrame, fields: tuple[str, ...] = METRICS) -> DataFrame:
+    """(doc_id, chunk, field, value, hurdle, basis, confidence, page, snippet, notes) from parsed(), of the fields asked for;
+    absent or odd metrics are null with confidence 0. The answer is read once, into one struct."""
+    form = ", ".join(f"{m}: struct<value: double, hurdle: double, basis: string, confidence: double, evidence: struct<page: int, snippet: string>>" for m in fields)
     rows = []
-    for m in METRICS:
-        raw, hurdle = _try(f"$.{m}.value", "double"), _try(f"$.{m}.hurdle", "double") if m == "carry" else F.lit(None).cast("double")
+    for m in fields:
+        own = F.col("_s")[m]
+        raw, hurdle = own["value"], own["hurdle"] if m == "carry" else F.lit(None).cast("double")
         fixed, fixed_hurdle = (T.percent_repaired(raw), T.percent_repaired(hurdle)) if m in PERCENTS else (raw, hurdle)
         changed = F.array_compact(F.array(*[F.when(a != b, F.concat(F.lit(f"{m}.{part}: model returned "), a.cast("string"), F.lit(" (looked like a fraction, not a percent) -- auto-corrected to "), b.cast("string"), F.lit(" per this schema's percent-number convention."))) for part, a, b in (("value", raw, fixed), ("hurdle", hurdle, fixed_hurdle))]))
-        rows.append(F.struct(F.lit(m).alias("field"), fixed.alias("value"), fixed_hurdle.alias("hurdle"), _try(f"$.{m}.basis", "string").alias("basis"), F.coalesce(_try(f"$.{m}.confidence", "double"), F.lit(0.0)).alias("confidence"), _try(f"$.{m}.evidence.page", "int").alias("page"), F.coalesce(_try(f"$.{m}.evidence.snippet", "string"), F.lit("")).alias("snippet"), changed.alias("notes")))
-    return responses.select("doc_id", "chunk", F.inline(F.array(*rows)))
+        rows.append(F.struct(F.lit(m).alias("field"), fixed.alias("value"), fixed_hurdle.alias("hurdle"), own["basis"].alias("basis"), F.coalesce(own["confidence"], F.lit(0.0)).alias("confidence"), own["evidence"]["page"].alias("page"), F.coalesce(own["evidence"]["snippet"], F.lit("")).alias("snippet"), changed.alias("notes")))
+    return responses.select("doc_id", "chunk", _try("$", f"struct<{form}>").alias("_s")).select("doc_id", "chunk", F.inline(F.array(*rows)))
 
 
 def response_dates(responses: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 why_it_matters, question_to_ask, and the numbers a and b that it compared.
 
 docs: doc_id, fund, doc_ord, doc_name, the six metrics as structs (fusion.wide), basis struct.
-Rules on pairs join documents of one fund, so they are equi-joins with a condition on top,
-and the pairs of one fund are the only quadratic thing there is.
+Rules on pairs test the distinct values of a fund against each other, and join documents
+only to pairs of values that break the rule: all joins have equal keys, and documents meet
+no others than those that they are flagged with. flag_ord orders a fund's flags of a rule;
+it is made of the documents' order, so flags are never numbered in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Rules
+from ..config import METRICS, Rules
 from .extract import local_basis
 
 FLAG = ("fund", "rule_ord", "flag_ord", "severity", "type", "docs", "detail", "evidence", "why_it_matters", "question_to_ask", "a", "b")
@@ -31,7 +33,8 @@ WHY = {
 
 def _flags(df: DataFrame, rule: int, severity: str, kind: str, docs: Column, detail: Column, evidence: Column, a: Column, b: Column, order: list, ask: Column | None = None) -> DataFrame:
     why, question = WHY[kind]
-    number = F.row_number().over(Window.partitionBy("fund").orderBy(*order)) - 1
+    second = F.col(order[1]) if len(order) > 1 else F.lit(0)
+    number = F.shiftleft(F.col(order[0]).cast("long"), 32) + second.cast("long")
     return df.select(
         "fund", F.lit(rule).alias("rule_ord"), number.alias("flag_ord"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), docs.alias("docs"), detail.alias("detail"),
         evidence.alias("evidence"), F.lit(why).alias("why_it_matters"), (ask if ask is not None else F.lit(question)).alias("question_to_ask"), a.alias("a"), b.alias("b"),
@@ -42,11 +45,13 @@ def pct_delta(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), (F.abs(a) + F.abs(b)) / 2), F.lit(0.0))
 
 
-def _pairs(docs: DataFrame, value: Column, *more: Column) -> DataFrame:
-    """Ordered pairs of a fund's documents that have the value, with little but what the flag needs."""
+def _pairs(docs: DataFrame, value: Column, test, *more: Column) -> DataFrame:
+    """Ordered pairs of a fund's documents whose values test() finds at odds, with little but what the flag needs."""
     one = docs.select("fund", "doc_ord", "doc_name", value.alias("v"), *more).where("v is not null")
+    values = one.select("fund", "v").distinct()
+    odd = values.withColumnRenamed("v", "v_a").join(values.withColumnRenamed("v", "v_b"), "fund").where(test(F.col("v_a"), F.col("v_b")))
     a, b = (one.select("fund", *[F.col(c).alias(f"{c}_{s}") for c in one.columns if c != "fund"]) for s in "ab")
-    return a.join(b, "fund").where("doc_ord_a < doc_ord_b")
+    return a.join(odd, ["fund", "v_a"]).join(b, ["fund", "v_b"]).where("doc_ord_a < doc_ord_b")
 
 
 def _versus() -> Column:
@@ -58,8 +63,7 @@ def _cited(doc: str, page: str, snippet: str) -> Column:
 
 
 def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str, test, detail) -> DataFrame:
-    p = _pairs(docs, F.col(metric)["value"], F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet"))
-    p = p.where(test(F.col("v_a"), F.col("v_b")))
+    p = _pairs(docs, F.col(metric)["value"], test, F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet"))
     said = F.concat(_cited("doc_name_a", "page_a", "snippet_a"), F.lit(" | "), _cited("doc_name_b", "page_b", "snippet_b"))
     return _flags(p, rule, severity, kind, _versus(), detail(F.col("v_a"), F.col("v_b")), said, F.col("v_a"), F.col("v_b"), ["doc_ord_a", "doc_ord_b"])
 
@@ -82,7 +86,7 @@ def _convention(s: str = "") -> Column:
 
 
 def definition_drift(docs: DataFrame) -> DataFrame:
-    p = _pairs(docs, F.col("basis")["basis"], F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet")).where("v_a <> v_b")
+    p = _pairs(docs, F.col("basis")["basis"], lambda a, b: a != b, F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet"))
     detail = F.concat(F.lit('Documents state different IRR return conventions: "'), "v_a", F.lit('" vs "'), "v_b", F.lit('".'))
     said = F.concat(F.col("doc_name_a"), _convention("_a"), F.lit(" | "), F.col("doc_name_b"), _convention("_b"))
     none = F.lit(None).cast("double")
@@ -107,16 +111,21 @@ def under_target(docs: DataFrame) -> DataFrame:
 def extractor_disagreement(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found: fusion.disagreements()"""
     d = docs.select("doc_id", "fund", "doc_ord", "doc_name").join(found, "doc_id")
+    d = d.withColumn("_field", F.array_position(F.array(*[F.lit(m) for m in sorted(METRICS)]), F.col("field")))
     values = F.array_join(F.transform("by_extractor", lambda x: F.concat(x["extractor"], F.lit("="), x["value"].cast("string"))), ", ")
     detail = F.concat(F.lit("Extractors disagree on "), "field", F.lit(": "), values, F.lit(" (agreement="), F.format_string("%.2f", F.col("agreement")), F.lit(")"))
     ask = F.replace(F.replace(F.lit(WHY["EXTRACTOR_DISAGREEMENT"][1]), F.lit("{field}"), F.col("field")), F.lit("{doc}"), F.col("doc_name"))
-    return _flags(d, 6, "YELLOW", "EXTRACTOR_DISAGREEMENT", F.col("doc_name"), detail, values, F.col("agreement"), F.lit(None).cast("double"), ["doc_ord", "field"], ask)
+    return _flags(d, 6, "YELLOW", "EXTRACTOR_DISAGREEMENT", F.col("doc_name"), detail, values, F.col("agreement"), F.lit(None).cast("double"), ["doc_ord", "_field"], ask)
 
 
 def unreconciled(mentions: DataFrame, known: DataFrame, tolerance: float, key: list[str]) -> DataFrame:
-    """Mentions within ``tolerance`` of no known value of their key; all of them where there is none."""
-    k = known.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("value").alias("_known"))
-    near = F.abs(F.col("value") - F.col("_known")) <= tolerance
+    """Mentions within ``tolerance`` of no known value of their key; all of them where there is none.
+
+    Values meet in bands of twice the tolerance, a known one in its own band and those beside it."""
+    band = lambda v: F.floor(v / F.lit(2 * tolerance if tolerance > 0 else 1.0))
+    k = known.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("value").alias("_known")).distinct()
+    k = k.withColumn("_band", F.explode(F.sequence(band(F.col("_known")) - 1, band(F.col("_known")) + 1)))
+    near = (band(F.col("value")) == F.col("_band")) & (F.abs(F.col("value") - F.col("_known")) <= tolerance)
     for c in key:
         near = (F.col(c) == F.col(f"_{c}")) & near
     return mentions.join(k, near, "left_anti")

@@ -13,6 +13,7 @@ from ..config import AUTHORITY_WEIGHTS, METRICS
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import extract, fusion, layout, reports, responses, rules, tables
+from ..sources import files
 from . import pipeline
 from .reports_data import PAGES, pages
 
@@ -75,9 +76,10 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "section_ord", "title", "canonical_type", F.sha2("text", 256).alias("text_sha"))
 
 
-@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no)::int - 1 AS fn_ord, trim(regexp_extract(text, {_quoted(P.FOOTNOTE)}, 1), '().*') AS marker, text FROM ({_KINDS}) WHERE kind = 'footnote'")
+@query("SELECT s_suppkey::bigint AS doc_id, 0 AS fn_ord, '1' AS marker, '1) Unaudited, see note.' AS text, 2 AS page_num FROM supplier")
 def text_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.text_footnotes(_table(spark, sf_dir, "documents")).select("doc_id", "fn_ord", "marker", "text")
+    """Of the fund documents' second pages; the table documents has no line that reads as a footnote."""
+    return layout.text_footnotes(pages(spark, sf_dir).where("page_num = 2"), page=2).select("doc_id", "fn_ord", "marker", "text", "page_num")
 
 
 @query(f"SELECT doc_id, coalesce(array_to_string(list(canonical_type ORDER BY o) FILTER (WHERE canonical_type IS NOT NULL), ','), '') AS section_types FROM (SELECT doc_id, canonical_type, min(section_ord) AS o FROM ({_SECTIONS}) GROUP BY doc_id, canonical_type) GROUP BY doc_id")
@@ -268,6 +270,39 @@ def verify_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir)[0].select("doc_id", "field", "confidence", "match_ratio")
 
 
+_DAMAGE = "CASE doc_id % 3 WHEN 0 THEN 'not found verbatim' WHEN 1 THEN 'matched page fuzzily' END"
+
+
+@query(f"""{_M}, {_SCORED}, d AS (SELECT *, CASE WHEN value IS NOT NULL THEN {_DAMAGE} END AS damage FROM v)
+SELECT doc_id, field, final * CASE damage WHEN 'not found verbatim' THEN 0.4::double WHEN 'matched page fuzzily' THEN 0.75::double ELSE 1.0::double END AS confidence, damage AS note FROM d""")
+def verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of a third of the documents replaced by what no page says, of another third with their first letter lost in a scan."""
+    p = pages(spark, sf_dir)
+    docs = p.select("doc_id", "doc_ord", "doc_name", "fund").distinct().join(extract.doc_dates(p), "doc_id")
+    m = fusion.fused(extract.metric_candidates(p).withColumn("extractor_ord", F.lit(0)))
+    d = F.col("doc_id") % 3
+    m = m.withColumn("snippet", F.when(F.col("value").isNull(), F.col("snippet")).when(d == 0, F.lit("#~#~#~#~#~#~#~#~#~#~")).when(d == 1, F.concat(F.lit("#"), F.substring("snippet", 2, 10_000))).otherwise(F.col("snippet")))
+    out = fusion.verified(m, p, docs)
+    note = F.when(F.col("note").contains("not found verbatim"), "not found verbatim").when(F.col("note").contains("matched page fuzzily"), "matched page fuzzily")
+    return out.select("doc_id", "field", "confidence", note.alias("note"))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'what the scan of page ' || o_orderkey::varchar || ' says' WHEN o_orderkey % 3 = 0 THEN ' few ' ELSE 'a text layer of ' || o_orderkey::varchar || ' with enough characters' END AS text FROM orders")
+def ocr_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with next to no text take the scan's if it has more; the others keep theirs."""
+    o = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "1 AS page_num", "CASE WHEN o_orderkey % 3 = 0 THEN ' few ' ELSE concat('a text layer of ', CAST(o_orderkey AS STRING), ' with enough characters') END AS text")
+    scan = o.selectExpr("doc_id", "page_num", "CASE WHEN doc_id % 2 = 0 THEN concat('what the scan of page ', CAST(doc_id AS STRING), ' says') ELSE 'x' END AS ocr_text")
+    return files.with_ocr(o, scan).select("doc_id", "text")
+
+
+@query(f"""{_M}, w AS (SELECT doc_id, doc_ord, doc_name, fund, max(value) FILTER (WHERE field = 'mgmt_fee') AS v FROM m GROUP BY ALL)
+SELECT x.fund, x.doc_ord * 4294967296 + y.doc_ord AS flag_ord, x.doc_name || ' vs ' || y.doc_name AS docs, printf('Management fee differs: %.2f%% vs %.2f%%', x.v, y.v) AS detail,
+  'Fee terms directly affect net returns and legal obligations; LPA typically governs.' AS why_it_matters, 'Confirm the controlling fee schedule and whether any side-letter modifies the base fee.' AS question_to_ask
+FROM w x JOIN w y ON x.fund = y.fund AND x.doc_ord < y.doc_ord WHERE abs(x.v - y.v) > 0.25""")
+def fee_flag_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.fee_mismatch(_docs(spark, sf_dir)).select("fund", "flag_ord", "docs", "detail", "why_it_matters", "question_to_ask")
+
+
 @query()
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets with characters lost, as scans lose them: difflib decides, so there is no SQL."""
@@ -422,14 +457,14 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS chunk, CASE l_linenumber % 3 WHEN 0 THEN 0.02::double * 100 WHEN 1 THEN 2.5::double END AS value, l_linenumber % 3 = 0 AS repaired FROM lineitem")
 def percent_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = responses.response_metrics(_responses(spark, sf_dir)).where("field = 'mgmt_fee'")
+    m = responses.response_metrics(_responses(spark, sf_dir), ("mgmt_fee",))
     return m.select("doc_id", "chunk", "value", (F.size("notes") > 0).alias("repaired"))
 
 
 @query("SELECT l_orderkey AS doc_id, arg_max(CASE l_linenumber % 3 WHEN 0 THEN 0.02::double * 100 ELSE 2.5::double END, l_linenumber) FILTER (WHERE l_linenumber % 3 < 2) AS value, max(l_linenumber / 10.0::double) FILTER (WHERE l_linenumber % 3 < 2) AS confidence FROM lineitem GROUP BY l_orderkey")
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = responses.merged_chunks(responses.response_metrics(_responses(spark, sf_dir)))
-    return m.where("field = 'mgmt_fee'").select("doc_id", "value", "confidence")
+    m = responses.merged_chunks(responses.response_metrics(_responses(spark, sf_dir), ("mgmt_fee",)))
+    return m.select("doc_id", "value", "confidence")
 
 
 @query("SELECT l_orderkey AS doc_id, 'chunk|line|Document processed in ' || count(DISTINCT l_linenumber)::varchar || ' chunks due to length (hosted).' AS notes FROM lineitem GROUP BY l_orderkey")

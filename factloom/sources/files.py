@@ -16,10 +16,11 @@ from . import plugins
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, doc_ord, doc_name, path, content) of the *.pdf and *.txt files right in a folder, in the order of their paths.
 
-    One row a file: the order is over a list of names, as long as the folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,txt}").load(folder).select("path", "content")
+    The order is over the names alone, which are as many as the folder has files; contents are not read for it, nor moved."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,txt}").load(folder)
     order = F.row_number().over(Window.orderBy("path")) - 1
-    return files.select(F.sha2("path", 256).alias("doc_id"), order.cast("long").alias("doc_ord"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "path", "content")
+    listed = files.select("path").select("path", order.cast("long").alias("doc_ord"))
+    return files.select("path", "content").join(listed, "path").select(F.sha2("path", 256).alias("doc_id"), "doc_ord", F.element_at(F.split("path", "/"), -1).alias("doc_name"), "path", "content")
 
 
 def text_pages(files: DataFrame) -> DataFrame:

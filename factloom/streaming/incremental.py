@@ -1,7 +1,7 @@
-"""New documents as a stream: extraction per row, and the rules over all documents after each batch.
+"""New documents as a stream: a batch's pages are read once; the rules compare all documents' rows after each batch.
 
 There is no event time in the model, so there is nothing to set a watermark on. A batch's
-metrics are written under its number, so a batch that runs again replaces itself.
+tables are written under its number, so a batch that runs again replaces itself. A batch holds whole documents.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ def start(pages: DataFrame, out: str, checkpoint: str, config: Config = Config()
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
-        got = pipeline.analyse(spark.read.schema(PAGES).parquet(f"{out}/pages"), config)
-        got.metrics.write.mode("overwrite").parquet(f"{out}/metrics")
-        got.flags.write.mode("overwrite").parquet(f"{out}/flags")
-        got.scores.write.mode("overwrite").parquet(f"{out}/scores")
+        got = pipeline.extracted(batch, config)
+        for name in ("docs", "metrics", "candidates", "mentions", "disagreements"):
+            getattr(got, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        so_far = {name: spark.read.schema(getattr(got, name).schema).parquet(f"{out}/{name}") for name in ("docs", "metrics", "candidates", "mentions", "disagreements")}
+        all_ = pipeline.compared(pipeline.Extracted(**so_far), config)
+        all_.flags.write.mode("overwrite").parquet(f"{out}/flags")
+        all_.scores.write.mode("overwrite").parquet(f"{out}/scores")
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

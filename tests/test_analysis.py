@@ -161,3 +161,45 @@ def test_registered_queries():
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "risk_score" in e.queries()
     assert extract.CONFIDENCE == 0.55 and len(rules.REGISTRY) == 8
+
+
+def test_models_chunks_fallback_redaction_and_cache(spark, tmp_path):
+    """A fake client answers the first page's chunk, fails on the second and sees no e-mail address; answers are asked for once."""
+    from factloom.operators import extractors
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def client(prompt, folder=str(asked)):
+        import os
+        import uuid
+
+        assert "@" not in prompt
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        if "Net IRR" in prompt.split("Document:")[1]:
+            return 'Here: {"aum": {"value": 2.5e9, "confidence": 0.9, "evidence": {"page": 1, "snippet": "AUM"}}, "mgmt_fee": {"value": 0.02, "confidence": 0.4}, "notes": ["read"],}'
+        raise OSError("no answer")
+
+    rows = [(1, 0, "a.txt", 0, 1, "Net IRR: 16.8% write to me@example.com " + "x" * 60), (1, 0, "a.txt", 0, 2, "Management Fee: 1.75% " + "y" * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, doc_ord long, doc_name string, fund long, page_num int, text string")
+    model = extractors.Model("OllamaExtractor", 1, "local", client, 120, attempts=2, backoff_s=0.0)
+    for _ in range(2):
+        got, notes = extractors.candidates(df, model, redact=True, cache=str(tmp_path / "answers"))
+        by = {r.field: r for r in got.collect()}
+    assert by["aum"].value == 2.5e9 and by["mgmt_fee"].value == 1.75 and by["mgmt_fee"].confidence == 0.55 and by["net_irr"].value is None
+    said = notes.first().notes
+    assert "read" in said and any("patterns were used" in n for n in said) and "2 chunks" in said[-1]
+    assert len(list(asked.iterdir())) == 1 + 2 * 2  # the answer once; the failure twice a run
+    a = pipeline.analyse(df, extra=got)
+    assert {r.field: r.value for r in a.metrics.collect()}["aum"] == 2.5e9
+
+
+def test_files_are_numbered_without_moving_contents(spark, tmp_path):
+    from factloom.sources import files
+
+    for k in range(30):
+        (tmp_path / f"f{k:02}.txt").write_text(f"text {k}")
+    found = files.discover(spark, str(tmp_path))
+    assert [(r.doc_ord, r.doc_name, bytes(r.content).decode()) for r in found.orderBy("doc_ord").collect()] == [(k, f"f{k:02}.txt", f"text {k}") for k in range(30)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert all("content" not in line for line in plan.split("\n") if "SinglePartition" in line)
