@@ -383,3 +383,30 @@ def test_neighbours(spark):
     found = sum(r.n_links for r in got)
     assert found >= 0.9 * sum(links[key(i)] for i, _ in rows) and all(r.n_links <= links[r._id] for r in got)
     assert sum(r.component_id == comp[r._id] for r in got) >= 0.95 * len(got)
+
+
+def test_texts_of_more_than_a_slice(spark):
+    """Texts over 1 MiB, beyond which they are hashed one by one, in every operator of lines, words and bytes."""
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(4000)}" for _ in range(220_000))
+    near = long + " and a few words more"
+    rows = [(1, long), (2, near), (3, "short one"), (4, long[500_000:500_900]), (5, None), (6, "x" * 1_200_000)]
+    assert len(long) > 1 << 20
+    df = table(spark, rows)
+    own = [sets(t) for _, t in rows]
+    got = {r._id: (r.n_shingles, r.component_id) for r in trie_join.jaccard_classes(df).collect()}
+    assert got == {i: (len(s), 1 if i == 2 else i) for (i, _), s in zip(rows, own, strict=True)}
+    item = " ".join(long.split()[150_000:150_020])
+    held = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted(r._id for r in decontaminate.leaks(df, held).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, held).collect()) == [3, 4, 5, 6]
+    cut = {r._id: (r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df).collect()}
+    assert cut[1][1] == 0 and cut[2][1] == len(long) and cut[4] == (900, 900) and cut[6] == (1_200_000, 1_199_999)
+    sizes = {r._id: r.size for r in mixing.sized(df.withColumn("source", F.lit("a"))).collect()}
+    assert sizes == {1: 220_000, 2: 220_005, 3: 2, 4: len(rows[3][1].split()), 5: 0, 6: 1}
+    assert line_dedup.LineIndex.build(df).apply(df).agg(F.sum("n_dropped")).first()[0] == 0
+
+
+def test_no_conversations(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digests(chat_format.formatted(none)).count() == 0

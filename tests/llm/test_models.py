@@ -236,3 +236,22 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             docs.collect()
+
+
+def test_a_text_of_more_than_a_slice_is_scored(spark):
+    """Some 0.7 MB of words go in several slices, with the base of brute force."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(130_000))
+    rows = [(k, " ".join(rng.choice(words) for _ in range(100)), 0) for k in range(40)] + [(None, long, 0)]
+    got = {r._id: r for r in context_mixing.scored(spark.createDataFrame(rows, "doc_id long, text string, h int")).collect()}
+    one = got[-(2**63)]
+    assert one.n_tokens == 130_001 and one.n_known <= one.n_tokens and one.score < 0
+    c = Counter(w for i, t, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 10 for w in [*t.split(), None])
+    n, v = sum(c.values()), len(c)
+    assert abs(one.base_score - sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*long.split(), None])) < 1e-3
+
+
+def test_no_texts_to_count(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert token_counts.edited(token_counts.trees(none), token_counts.revision(F.col("text"))).count() == 0
