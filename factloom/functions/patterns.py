@@ -52,3 +52,8 @@ REDACTIONS = (
     (r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", "[REDACTED-PHONE]"),
     (r"(?i)\b(?:account|acct)\s*(?:no\.?|number|#)?\s*[:#]?\s*\d{6,}\b", "[REDACTED-ACCOUNT]"),
 )
+
+#: What is replaced, one after the other, to make a memo plain text.
+MEMO_MARKS = ((r"```(?:markdown)?", ""), (r"(?m)^#+\s*", ""), (r"(?m)^---+$", ""), (r"\*\*", ""), (r"\n{3,}", "\n\n"))
+#: Kind of a stripped memo line and its pattern, in the order in which they are tried; the last group is its text.
+MEMO_LINES = (("blank", r"^()$"), ("rule", r"^-{3,}()$"), ("heading", r"^#{1,6}\s+(.*)$"), ("bullet", r"^[-*]\s+(.*)$"), ("numbered", r"^(\d+\.\s+.*)$"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import CANONICAL_PATTERNS, FOOTNOTE, GROSS_PATTERNS, NET_PATTERNS, REDACTIONS
+from .patterns import CANONICAL_PATTERNS, FOOTNOTE, GROSS_PATTERNS, MEMO_MARKS, NET_PATTERNS, REDACTIONS
 
 #: Line breaks that end a line: LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS.
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -111,6 +111,17 @@ def unfenced(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^```[a-z]*\s*\n?", ""), r"\n?```\s*$", ""))
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def plain_memo(c: Column) -> Column:
+    """A memo without fences, heading marks, rules and bold marks, with no more than one blank line in a row."""
+    for p, to in MEMO_MARKS:
+        c = F.regexp_replace(c, f"(?dU){p}", to)
+    return stripped(c)
+
+
 def percent_repaired(c: Column) -> Column:
     """A fraction between 0 and 1 that stands for a percent number, as that number."""
     return F.when((c > 0) & (c < 1), c * 100).otherwise(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import METRICS
+from ..functions import patterns as P
 from ..functions import text as T
 from .rules import unreconciled
 
@@ -97,3 +98,16 @@ def flag_difference(got: DataFrame, expected: DataFrame) -> DataFrame:
 def input_manifest(files: DataFrame, content: str = "content") -> DataFrame:
     """path and sha256 of each file of a binaryFile scan."""
     return files.select("path", F.sha2(F.col(content), 256).alias("sha256"))
+
+
+def memo_lines(memos: DataFrame, key: str = "doc_id", text: str = "memo") -> DataFrame:
+    """(key, line_ord, kind, level, text) of every line of a memo without its outer fences: heading (level 1 to 6),
+    bullet, numbered, rule, blank or body; the text is without its mark, escaped, with bold and italic as tags."""
+    lines = memos.select(key, F.posexplode(F.split(T.unfenced(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("line_ord", "line")).withColumn("line", T.stripped(F.col("line")))
+    kind, said = F.lit(None).cast("string"), F.col("line")
+    for name, p in reversed(P.MEMO_LINES):
+        hit = F.col("line").rlike(f"(?dU){p}")
+        kind, said = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("line", f"(?dU){p}", 1)).otherwise(said)
+    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", "^#+", 0)))
+    out = lines.withColumns({"kind": F.coalesce(kind, F.lit("body")), "said": T.stripped(said)})
+    return out.select(key, "line_ord", "kind", level.alias("level"), T.inline_markup(F.col("said")).alias("text"))

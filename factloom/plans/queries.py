@@ -445,6 +445,146 @@ def irr_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.irr_figures(_docs(spark, sf_dir), extract.irr_mentions(pages(spark, sf_dir)))
 
 
+# ---- strings, layout of PDFs, tables and memos
+
+_CITED = """sn AS (SELECT doc_id, field, page, array_to_string(string_split(trim(regexp_replace(substring(text, greatest(st - 50, 1), st + len + 49 - greatest(st - 50, 1) + 1), '\\s+', ' ', 'g')), ' ')[1:20], ' ') AS snippet
+  FROM (SELECT *, strpos(text, hit) AS st, length(hit) AS len FROM f WHERE field <> 'hurdle'))"""
+_AROUND = "trim(regexp_replace(substring(text, greatest(strpos(text, hit) - 30, 1), strpos(text, hit) + length(hit) + 30 - greatest(strpos(text, hit) - 30, 1)), '\\s+', ' ', 'g'))"
+_SAID = f"""ms AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_num, o))::int - 1 AS mention_ord, {_AROUND} AS snippet
+  FROM ({" UNION ALL ".join(f"SELECT doc_id, page_num, {o} AS o, text, regexp_extract(text, {_quoted(x)}, 0, 'i') AS hit FROM p" for o, x in enumerate((_NET_IRR, _TARGET_IRR, _PROSE_IRR)))}) WHERE hit <> '')"""
+
+
+@query(f"WITH p AS ({PAGES}), {_SAID} SELECT * FROM ms")
+def irr_mention_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.irr_mentions(pages(spark, sf_dir)).select("doc_id", "mention_ord", "snippet")
+
+
+_BOTH = lambda n, x, detail: f"""SELECT x.fund, {n} AS rule_ord, x.doc_ord * 4294967296 + y.doc_ord AS flag_ord, x.doc_name || ' vs ' || y.doc_name AS docs, {detail} AS detail,
+  x.doc_name || ' (p.' || x.page || '): ' || x.snippet || ' | ' || y.doc_name || ' (p.' || y.page || '): ' || y.snippet AS evidence
+  FROM c x JOIN c y ON x.fund = y.fund AND x.field = y.field AND x.doc_ord < y.doc_ord WHERE x.field = '{x[0]}' AND {x[1]}"""
+_DELTA = "abs(x.value - y.value) / ((abs(x.value) + abs(y.value)) / 2)"
+_RULED = "' (p.1, ' || {0}.section || '): \"' || {0}.snippet || '\"'"
+
+
+@query(f"""{_M}, {_WIDE}, {_BASIS}, {_MENTIONED}, {_CITED}, {_SAID}, c AS (SELECT m.*, sn.snippet FROM m JOIN sn USING (doc_id, field)), k AS (SELECT w.*, b.basis, b.section, b.snippet FROM w JOIN b USING (doc_id))
+{_BOTH(0, ("aum", f"{_DELTA} > 0.03"), f"printf('AUM differs by %.1f%%', {_DELTA} * 100)")} UNION ALL {_BOTH(1, ("mgmt_fee", "abs(x.value - y.value) > 0.25"), "printf('Management fee differs: %.2f%% vs %.2f%%', x.value, y.value)")}
+UNION ALL {_BOTH(2, ("target_irr", "abs(x.value - y.value) > 2.0"), "printf('Target IRR differs: %.1f%% vs %.1f%%', x.value, y.value)")}
+UNION ALL SELECT x.fund, 3, x.doc_ord * 4294967296 + y.doc_ord, x.doc_name || ' vs ' || y.doc_name, 'Documents state different IRR return conventions: "' || x.basis || '" vs "' || y.basis || '".', x.doc_name || {_RULED.format("x")} || ' | ' || y.doc_name || {_RULED.format("y")} FROM k x JOIN k y ON x.fund = y.fund AND x.doc_ord < y.doc_ord WHERE x.basis <> y.basis
+UNION ALL SELECT k.fund, 4, k.doc_ord * 4294967296, k.doc_name, 'The reported IRR figure reads as "net" but this document defines its convention as "gross" elsewhere.', 'Figure (p.' || c.page || '): "' || c.snippet || '" | Convention' || {_RULED.format("k")} FROM k JOIN c ON c.doc_id = k.doc_id AND c.field = 'net_irr' WHERE k.basis = 'gross'
+UNION ALL SELECT fund, 5, doc_ord * 4294967296, doc_name, 'Net IRR below target IRR', 'Net IRR=' || net_irr::varchar || '% | Target IRR=' || target_irr::varchar || '%' FROM w WHERE net_irr < target_irr
+UNION ALL SELECT w.fund, 7, w.doc_ord * 4294967296 + n.mention_ord, w.doc_name, 'Document also states a ' || coalesce(n.basis || ' ', '') || 'IRR of ' || n.value::varchar || '% elsewhere, which does not match the extracted Target IRR (' || coalesce(w.target_irr::varchar, 'None') || '%) or Net IRR (' || coalesce(w.net_irr::varchar, 'None') || '%).', 'p.' || n.page || ': "' || ms.snippet || '"'
+  FROM n JOIN w USING (doc_id) JOIN ms USING (doc_id, mention_ord) WHERE NOT coalesce(abs(n.value - w.target_irr) <= 1.0, false) AND NOT coalesce(abs(n.value - w.net_irr) <= 1.0, false)""")
+def flag_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the flags say and cite; the documents state no figure twice, so no mention repeats another."""
+    p = pages(spark, sf_dir)
+    nothing = fusion.disagreements(extract.metric_candidates(p).withColumn("extractor_ord", F.lit(0)))
+    flags = rules.run_rules(_docs(spark, sf_dir), extract.irr_mentions(p), nothing)
+    return flags.select("fund", "rule_ord", "flag_ord", "docs", "detail", "evidence")
+
+
+# Spark writes 1.05E9 where DuckDB writes 1050000000.0.
+_DIGITS = "rtrim(substring(replace(value::varchar, '.', ''), 2), '0')"
+_NUMBER = f"CASE WHEN field = 'aum' THEN left(value::varchar, 1) || '.' || CASE WHEN {_DIGITS} = '' THEN '0' ELSE {_DIGITS} END || 'E9' ELSE value::varchar END"
+
+
+@query(f"""{_C}, v AS (SELECT doc_id, field, string_agg(extractor || '=' || {_NUMBER}, ', ' ORDER BY o) FILTER (WHERE value IS NOT NULL) AS evidence FROM c GROUP BY doc_id, field)
+SELECT m.fund, m.doc_name AS docs, 'Extractors disagree on ' || m.field || ': ' || evidence || ' (agreement=' || printf('%.2f', a.agreement) || ')' AS detail, evidence,
+  'Manually confirm the correct ' || m.field || ' value from the source document ' || m.doc_name || '.' AS question_to_ask FROM a JOIN m USING (doc_id, field) JOIN v USING (doc_id, field) WHERE distinct_values > 1 AND a.agreement < 0.85""")
+def disagreement_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.extractor_disagreement(_docs(spark, sf_dir), fusion.disagreements(_candidates(spark, sf_dir))).select("fund", "docs", "detail", "evidence", "question_to_ask")
+
+
+@query(f"""{_M}, {_CITED}, d AS (SELECT doc_id, regexp_extract(text, '(As-of|Effective) Date: ([0-9-]+)', 2) AS d FROM p WHERE page_num = 1),
+q AS (SELECT doc_id, array_to_string(list(n ORDER BY o, s) FILTER (WHERE n IS NOT NULL), ', ') AS missing FROM (SELECT doc_id, CASE WHEN value IS NULL THEN field || '.value' END AS n, list_position({list(METRICS)!r}, field) AS o, 0 AS s FROM m UNION ALL SELECT doc_id, CASE WHEN hurdle IS NULL AND field = 'carry' THEN 'carry.hurdle' END, 6, 1 FROM m) GROUP BY doc_id)
+SELECT g.doc_name, nullif(d, '') AS doc_date, coalesce(x.snippet, '') AS aum_snippet, y.page AS mgmt_fee_page, y.snippet AS mgmt_fee_snippet, coalesce(q.missing, '') AS missing_fields, '' AS notes
+FROM g JOIN d USING (doc_id) JOIN q USING (doc_id) JOIN sn y ON y.doc_id = g.doc_id AND y.field = 'mgmt_fee' LEFT JOIN sn x ON x.doc_id = g.doc_id AND x.field = 'aum'""")
+def facts_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.facts_table(_analysis(spark, sf_dir).docs).select("doc_name", "doc_date", "aum_snippet", "mgmt_fee_page", "mgmt_fee_snippet", "missing_fields", "notes")
+
+
+#: A document an order, with a heading, bold words, a canonical heading and a footnote; SQL that both engines run.
+_PDF = """SELECT DISTINCT l_orderkey AS doc_id, CAST(floor((l_linenumber + 1) / 2) AS INT) AS page_num, l_linenumber AS line_no,
+CASE l_linenumber % 4 WHEN 1 THEN concat('Part ', CAST(l_linenumber AS STRING)) WHEN 2 THEN concat('said on line ', CAST(l_linenumber AS STRING)) WHEN 3 THEN 'Risk factors, in short.' ELSE '(2) A note.' END AS text,
+CAST(CASE l_linenumber % 4 WHEN 1 THEN 14 WHEN 0 THEN 8 ELSE 10 END AS DOUBLE) AS size, l_linenumber % 4 = 2 AND l_orderkey % 2 = 0 AS bold, CAST(CASE l_linenumber % 4 WHEN 0 THEN 9 ELSE 3 END AS DOUBLE) / 10 AS y_frac FROM lineitem"""
+_PDF_KINDS = f"""l AS (SELECT *, median(size) OVER (PARTITION BY doc_id) AS body, {_CANON} AS canon FROM ({_PDF})),
+k AS (SELECT *, CASE WHEN y_frac > 0.82::double AND size < body * 0.9::double AND regexp_matches(text, {_quoted(P.FOOTNOTE)}) THEN 'footnote' WHEN canon IS NOT NULL OR ({_WORDS} <= 12 AND (size >= body * 1.15::double OR (bold AND NOT regexp_matches(text, '[.,;]$')))) THEN 'heading' ELSE 'text' END AS kind FROM l)"""
+_PDF_SECTIONS = f"""{_PDF_KINDS}, o AS (SELECT *, (sum((kind = 'heading')::int) OVER (PARTITION BY doc_id ORDER BY page_num, line_no))::int AS section_ord FROM k),
+z AS (SELECT doc_id, min(page_num) AS p0, max(page_num) AS p1 FROM k GROUP BY doc_id),
+e AS (SELECT doc_id, section_ord, max(text) FILTER (WHERE kind = 'heading') AS title, max(canon) FILTER (WHERE kind = 'heading') AS canon, min(page_num) AS first, trim(coalesce(string_agg(text, ' ' ORDER BY page_num, line_no) FILTER (WHERE kind = 'text'), '')) AS text FROM o GROUP BY doc_id, section_ord),
+s AS (SELECT u.doc_id, u.section_ord, coalesce(e.title, 'Front Matter') AS title, e.canon AS canonical_type, CASE WHEN u.section_ord = 0 THEN z.p0 ELSE e.first END AS page_start, coalesce(e.text, '') AS text, z.p1
+  FROM (SELECT DISTINCT doc_id, 0 AS section_ord FROM k UNION SELECT doc_id, section_ord FROM e) u JOIN z USING (doc_id) LEFT JOIN e USING (doc_id, section_ord)),
+t AS (SELECT doc_id, section_ord, title, canonical_type, page_start, coalesce(lead(page_start) OVER (PARTITION BY doc_id ORDER BY section_ord), p1) AS page_end, text FROM s)"""
+
+
+def _pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_PDF.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
+
+
+@query(f"WITH {_PDF_SECTIONS} SELECT * FROM t")
+def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sections_from_lines(_pdf_lines(spark, sf_dir))
+
+
+@query(f"WITH {_PDF_KINDS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY page_num, line_no))::int - 1 AS fn_ord, '2' AS marker, text, page_num FROM k WHERE kind = 'footnote'")
+def pdf_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.pdf_footnotes(_pdf_lines(spark, sf_dir))
+
+
+@query(f"WITH {_PDF_SECTIONS} SELECT n.doc_id, n.page_num, min(section_ord) AS section_ord, arg_min(title, section_ord) AS title FROM (SELECT DISTINCT doc_id, page_num FROM k) n JOIN t ON t.doc_id = n.doc_id AND n.page_num BETWEEN page_start AND page_end GROUP BY n.doc_id, n.page_num")
+def section_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _pdf_lines(spark, sf_dir)
+    return layout.section_for_page(layout.sections_from_lines(lines), lines.select("doc_id", "page_num").distinct())
+
+
+@query("SELECT s_suppkey::bigint AS doc_id, 0 AS source_ord, 0 AS table_ord, 't_' || s_suppkey::bigint AS table_id FROM supplier UNION ALL SELECT s_suppkey::bigint, 1, 1, 'u_' || s_suppkey::bigint FROM supplier WHERE s_suppkey % 2 = 0")
+def table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _doc_tables(spark, sf_dir)
+    two = one.where("doc_id % 2 = 0").withColumn("table_id", F.concat(F.lit("u_"), F.col("doc_id").cast("string")))
+    return tables.all_tables(one, two).select("doc_id", "source_ord", "table_ord", "table_id")
+
+
+@query(f"""{_M}, t AS ({_TABLES}), x AS (SELECT m.*, t.value AS other, m.value IS NULL AND t.value IS NOT NULL AS filled FROM m LEFT JOIN t ON t.doc_id = m.doc_id AND m.field = CASE t.metric WHEN 'irr' THEN 'net_irr' ELSE t.metric END)
+SELECT doc_id, field, 'RegexExtractor' AS extractor, value, confidence, NOT filled AS winner FROM x UNION ALL SELECT doc_id, field, 'TableParser', other, 0.85::double, true FROM x WHERE filled""")
+def table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = extract.metric_candidates(pages(spark, sf_dir)).withColumn("extractor_ord", F.lit(0))
+    filled = tables.with_fallback(fusion.fused(own), tables.table_metrics(_doc_tables(spark, sf_dir)))
+    return tables.with_table_candidates(fusion.scored_candidates(own), filled).select("doc_id", "field", "extractor", "value", "confidence", "winner")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 1.0 END::double AS weight FROM orders")
+def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain days have no age; moments of the nineties are as old as counts, those to come not old at all."""
+    date = "CASE o_orderkey % 3 WHEN 0 THEN '1995-03-01' WHEN 1 THEN '1995-03-01T00:00:00Z' ELSE '2999-03-01T00:00:00+01:00' END"
+    return _table(spark, sf_dir, "orders").select("o_orderkey", fusion.recency(F.expr(date)).alias("weight"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'N/A' WHEN c_custkey % 4 = 1 THEN '$' || (c_custkey % 9 + 1) || '.50B' WHEN c_custkey % 4 = 2 THEN '$' || (c_custkey % 9 + 1) || '.25M' ELSE '$' || (c_custkey % 9 + 1) || ',500' END AS money,
+CASE c_custkey % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN '1.5' ELSE 'N/A' END AS cell, '<b>' || c_name || '</b> &amp; <i>is</i> &lt;x&gt;' AS markup FROM customer""")
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    digit = (k % 9 + 1).cast("double")
+    amount = F.when(k % 4 == 1, (digit + 0.5) * 1e9).when(k % 4 == 2, (digit + 0.25) * 1e6).when(k % 4 == 3, digit * 1000 + 500)
+    value = F.when(k % 3 == 0, F.lit(float("nan"))).when(k % 3 == 1, F.lit(1.5))
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.money(amount).alias("money"), T.cell(value).alias("cell"), T.inline_markup(F.concat(F.lit("**"), "c_name", F.lit("** & *is* <x>"))).alias("markup"))
+
+
+def _memos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("```markdown\n# Memo "), k, F.lit("\n\n\n\n### **Terms**\n---\n- fee of *two* & more\n1. first\n-- so **said** "), k, F.lit("\n```"))
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("memo"))
+
+
+@query("""SELECT s_suppkey::bigint AS doc_id, x.line_ord, x.kind, x.level, x.text || CASE WHEN x.line_ord IN (0, 8) THEN s_suppkey::bigint::varchar ELSE '' END AS text FROM supplier CROSS JOIN (VALUES (0, 'heading', 1, 'Memo '), (1, 'blank', NULL, ''), (2, 'blank', NULL, ''), (3, 'blank', NULL, ''),
+(4, 'heading', 3, '<b>Terms</b>'), (5, 'rule', NULL, ''), (6, 'bullet', NULL, 'fee of <i>two</i> &amp; more'), (7, 'numbered', NULL, '1. first'), (8, 'body', NULL, '-- so <b>said</b> ')) x(line_ord, kind, level, text)""")
+def memo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.memo_lines(_memos(spark, sf_dir))
+
+
+@query("SELECT s_suppkey::bigint AS doc_id, 'Memo ' || s_suppkey::bigint || chr(10) || chr(10) || 'Terms' || chr(10) || chr(10) || '- fee of *two* & more' || chr(10) || '1. first' || chr(10) || '-- so said ' || s_suppkey::bigint AS memo FROM supplier")
+def memo_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memos(spark, sf_dir).select("doc_id", T.plain_memo(F.col("memo")).alias("memo"))
+
+
 # ---- answers of language models, made from order lines: a document an order, a chunk a line
 
 _ANSWER = """concat('{"mgmt_fee": {"value": ', CASE WHEN l_linenumber % 3 = 0 THEN '0.02' WHEN l_linenumber % 3 = 1 THEN '2.5' ELSE 'null' END, ', "confidence": 0.', CAST(l_linenumber AS STRING), '}, "notes": ["chunk", {"text": "line"}], "doc_date": {"value": "2025-01-0', CAST(l_linenumber AS STRING), '"}}')"""
@@ -471,3 +611,16 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _responses(spark, sf_dir)
     return responses.merged_notes(responses.response_notes(r), r, "hosted").select("doc_id", F.array_join("notes", "|").alias("notes"))
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS chunk, '2025-01-0' || l_linenumber::varchar AS doc_date FROM lineitem")
+def answer_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses.response_dates(_responses(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS doc_id, 2 AS page, 1 AS chart_ord, 'bar' AS chart_type, 'Sales ' || c_custkey AS title, 'a:1.5,:null,7:2.0' AS series, 0.6::double AS confidence, 'Sales ' || c_custkey AS snippet FROM customer WHERE c_custkey % 4 > 0")
+def chart_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers on charts with items that are none; every fourth has no list of them."""
+    said = """CASE WHEN c_custkey % 4 = 0 THEN '{"charts": "none"}' ELSE concat('{"charts": ["no chart", {"chart_type": "bar", "title": "Sales ', CAST(c_custkey AS STRING), '", "series": [{"label": "a", "value": 1.5}, 3, {"value": null}, {"label": 7, "value": 2}]}]}') END AS response"""
+    c = responses.charts(responses.parsed(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "2 AS page", said)))
+    points = F.transform("series", lambda x: F.concat(x["label"], F.lit(":"), F.coalesce(x["value"].cast("string"), F.lit("null"))))
+    return c.select("doc_id", "page", "chart_ord", "chart_type", "title", F.array_join(points, ",").alias("series"), "confidence", "snippet")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import extract, layout, tables
+from factloom.operators import extract, layout, reports, tables
 
 DDL = "doc_id long, doc_ord long, doc_name string, page_num int, text string"
 
@@ -106,3 +106,11 @@ def test_formats(spark):
     df = spark.createDataFrame([(1.25e9, "a **b** & *c*", "```md\nx\n```")], "m double, s string, f string")
     got = df.select(T.money(F.col("m")), T.inline_markup(F.col("s")), T.unfenced(F.col("f")), T.tier(F.col("m") / 2e9), T.cell(F.lit(float("nan")))).first()
     assert tuple(got) == ("$1.25B", "a <b>b</b> &amp; <i>c</i>", "x", "Medium", "N/A")
+
+
+def test_memos(spark):
+    df = spark.createDataFrame([(1, "```md\n## **A** & b\n* one\n2. two\n----\n\nplain\n```"), (2, None), (3, "")], "doc_id long, memo string")
+    got = [(r.kind, r.level, r.text) for r in reports.memo_lines(df).where("doc_id = 1").orderBy("line_ord").collect()]
+    assert got == [("heading", 2, "<b>A</b> &amp; b"), ("bullet", None, "one"), ("numbered", None, "2. two"), ("rule", None, ""), ("blank", None, ""), ("body", None, "plain")]
+    assert [r.kind for r in reports.memo_lines(df).where("doc_id > 1").collect()] == ["blank", "blank"]
+    assert [r[0] for r in df.orderBy("doc_id").select(T.plain_memo(F.col("memo"))).collect()] == ["md\nA & b\n* one\n2. two\n\nplain", None, ""]
