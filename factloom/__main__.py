@@ -27,21 +27,40 @@ def main(argv: list[str] | None = None) -> int:
     config = cfg.load(a.config)
     spark = session(a.master)
     if a.command in ("run", "extract", "eval"):
-        start = time.time()
+        log, start = sinks.RunLog(), time.time()
         folder = f"{a.input}/input" if a.command == "eval" else a.input
+        found = files.discover(spark, folder)
+        lines, doc_tables = files.pdf_layout(found)
         pages = files.load(spark, folder, config.ocr).withColumn("fund", F.lit(0))
         # The command evaluates the defaults, patterns alone; answers are kept beside the run, so a second run asks for new prompts only.
         models = [] if a.command == "eval" else extractors.build(config)
-        extra = extractors.all_candidates(pages, models, config.redact, f"{a.out}/answers")
-        got = pipeline.analyse(pages, config, extra, verify=a.command != "extract")
+        cache = f"{a.out}/answers" if config.cache else None
+        extra = extractors.all_candidates(pages, models, config.redact, cache)
+        asked = time.time()
+        known = pipeline.extracted(pages, config, extra, doc_tables, a.command != "extract", lines)
+        seer = None if a.command == "eval" else extractors.build_charts(config)
+        if config.vision.enabled and config.redact and a.command != "eval":
+            note = F.when(F.lower("doc_name").endswith(".pdf"), F.array(F.lit(extractors.NO_CHARTS)))
+            known.docs = known.docs.withColumn("notes", F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.coalesce(note, F.array().cast("array<string>"))))
+        extracted = time.time()
+        got = pipeline.compared(known, config)
+        if seer is not None and plugins.available("pdf"):
+            images = plugins.rendered_pages(found.where(F.lower("doc_name").endswith(".pdf")), None, config.vision.dpi, config.vision.max_pages)
+            got.charts = extractors.charts(images, seer, cache and f"{cache}/charts")
         if a.command == "eval":
             expected = spark.read.option("multiLine", True).schema("type string, severity string").json(f"{a.input}/expected_flags.json")
             diff = [r.asDict() for r in reports.flag_difference(got.flags, expected).collect()]
             print(json.dumps({"pass": not diff, "difference": diff}))
             return 0
-        listed = files.discover(spark, folder).select("path", "content")
         status = plugins.status(config.hosted.enabled, config.local.host, config.local.model)
-        sinks.write(got, a.out, config, listed, {"total_s": round(time.time() - start, 3)}, status)
+        for name, state in status.items():
+            sinks.LOG.info("extractor %s: %s", name, state)
+        compared = time.time()
+        timings = {"models_s": asked - start, "extract_s": extracted - asked, "rules_plan_s": compared - extracted, "total_s": compared - start}
+        writer = next((m.client for m in models if m.label == "hosted"), None)
+        made = sinks.write(got, a.out, config, found.select("path", "content"), {k: round(v, 3) for k, v in timings.items()}, status, writer)
+        sinks.LOG.info("run complete: %s", json.dumps({k: made.get(k) for k in ("documents", "flags_by_severity", "risk_score", "recommendation", "timings_s")}))
+        log.save(spark, a.out)
         print(json.dumps([r.asDict() for r in got.scores.limit(20).collect()]))
         return 0
     docs = files.read_extracted(spark, a.out)

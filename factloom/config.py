@@ -55,9 +55,12 @@ class Vision:
     enabled: bool = False
     model: str = "qwen2.5vl:7b"
     host: str = "http://localhost:11434"
+    temperature: float = 0.0
     dpi: int = 150
     max_pages: int = 20
     confidence: float = 0.60
+    attempts: int = 2
+    timeout_s: float = 180.0
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,39 @@ class Ocr:
     min_text_chars: int = 20
 
 
+@dataclass(frozen=True)
+class Prompts:
+    """Prompt files; without a folder the built-in prompts are used."""
+
+    folder: str | None = None
+    extract: str = "extract_v1.txt"
+    charts: str = "chart_extract_v1.txt"
+
+
+# Settings of files in the other layout, and where they go; None: read, and without effect here.
+OTHER_LAYOUT = {
+    "model.provider": None,
+    "model.model": "hosted.model",
+    "model.temperature": "hosted.temperature",
+    "ollama.enabled": "local.enabled",
+    "ollama.model": "local.model",
+    "ollama.temperature": "local.temperature",
+    "ollama.host": "local.host",
+    "vision.provider": None,
+    "vision.prompt": "prompts.charts",
+    "run.use_cohere": "hosted.enabled",
+    "run.cache_dir": None,
+    "run.enable_disk_cache": "cache",
+    "run.prompts_dir": "prompts.folder",
+    "run.extract_prompt": "prompts.extract",
+    "run.memo_prompt": None,
+    "run.enable_ocr": None,
+    "run.enable_pdf_output": None,
+    "run.enable_streamlit": None,
+    "run.redact_before_llm": "redact",
+}
+
+
 @dataclass(frozen=True)
 class Config:
     rules: Rules = field(default_factory=Rules)
@@ -75,7 +111,9 @@ class Config:
     local: Local = field(default_factory=Local)
     vision: Vision = field(default_factory=Vision)
     ocr: Ocr = field(default_factory=Ocr)
+    prompts: Prompts = field(default_factory=Prompts)
     redact: bool = False
+    cache: bool = True
 
 
 def load(path: str | None = None) -> Config:
@@ -89,7 +127,22 @@ def load(path: str | None = None) -> Config:
             import yaml
 
             given = yaml.safe_load(f)
-    return _set(Config(), given or {})
+    return _set(Config(), _renamed(given or {}))
+
+
+def _renamed(given: dict) -> dict:
+    """given, with the settings of the other layout under this one's names."""
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in given.items()}
+    for old, new in OTHER_LAYOUT.items():
+        section, name = old.split(".")
+        if name not in (out.get(section) or {}):
+            continue
+        value = out[section].pop(name)
+        if new is not None:
+            *into, last = new.split(".")
+            target = out.setdefault(into[0], {}) if into else out
+            target[last] = value
+    return {k: v for k, v in out.items() if v != {}}
 
 
 def _set(base, given: dict):

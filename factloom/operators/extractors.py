@@ -26,6 +26,10 @@ PROMPT = "Extract the fund's figures from the pages below. Answer with one JSON
 COLUMNS = ("doc_id", "field", "value", "hurdle", "confidence", "page", "snippet", "extractor", "extractor_ord")
 
 
+CHART_PROMPT = 'Find every bar, line, pie, donut, area or scatter chart in this page image; tables of text are no charts. Answer with one JSON object {"charts": [{"chart_type": "", "title": null, "x_label": null, "y_label": null, "series": [{"label": "", "value": null}], "summary": ""}]}, with null for what can not be read, and an empty list if there is no chart.'
+NO_CHARTS = "Charts were not read: redaction is on, and page images can not be redacted."
+
+
 @dataclass(frozen=True)
 class Model:
     name: str
@@ -35,6 +39,19 @@ class Model:
     max_chars: int
     attempts: int = 3
     backoff_s: float = 2.0
+    prompt: str = PROMPT
+
+
+@dataclass(frozen=True)
+class ChartModel:
+    """Reads charts off page images: client is a function of prompt and PNG."""
+
+    name: str
+    client: Callable[[str, bytes], str]
+    attempts: int = 2
+    backoff_s: float = 2.0
+    confidence: float = 0.60
+    prompt: str = CHART_PROMPT
 
 
 def hosted_client(model: str, temperature: float = 0.0, url: str | None = None, key: str | None = None, timeout: float = 180.0) -> Callable[[str], str]:
@@ -52,16 +69,50 @@ def hosted_client(model: str, temperature: float = 0.0, url: str | None = None,
 
 def build(config: Config) -> list[Model]:
     """The models that are switched on and can be reached, in their order; the patterns always come last."""
-    out = []
+    out, prompt = [], prompt_text(config, config.prompts.extract, PROMPT)
     if config.hosted.enabled and os.environ.get("FACTLOOM_MODEL_URL") and os.environ.get("FACTLOOM_MODEL_KEY"):
         h = config.hosted
-        out.append(Model("CohereExtractor", 0, "hosted", hosted_client(h.model, h.temperature), h.max_chars, h.attempts, h.backoff_s))
+        out.append(Model("CohereExtractor", 0, "hosted", hosted_client(h.model, h.temperature), h.max_chars, h.attempts, h.backoff_s, prompt))
     if config.local.enabled and plugins.reachable(config.local.host, config.local.model):
         x = config.local
-        out.append(Model("OllamaExtractor", 1, "local", plugins.local_model(x.host, x.model, x.timeout_s, x.temperature), x.max_chars, x.attempts))
+        out.append(Model("OllamaExtractor", 1, "local", plugins.local_model(x.host, x.model, x.timeout_s, x.temperature), x.max_chars, x.attempts, prompt=prompt))
     return out
 
 
+def prompt_text(config: Config, name: str, default: str) -> str:
+    """The prompt file of that name, or the default where no folder is set. A missing file is an error."""
+    if config.prompts.folder is None:
+        return default
+    with open(os.path.join(config.prompts.folder, name), encoding="utf-8") as f:
+        return f.read()
+
+
+def build_charts(config: Config) -> ChartModel | None:
+    """The vision model, if it is switched on, reachable and there, and pages are not to be redacted."""
+    v = config.vision
+    if not v.enabled or config.redact or not plugins.reachable(v.host, v.model):
+        return None
+    prompt = prompt_text(config, config.prompts.charts, CHART_PROMPT)
+    return ChartModel(v.model, plugins.local_vision_model(v.host, v.model, v.timeout_s, v.temperature), v.attempts, confidence=v.confidence, prompt=prompt)
+
+
+def charts(images: DataFrame, model: ChartModel, cache: str | None = None) -> DataFrame:
+    """Rows of responses.charts() over page images (doc_id, page_num, png), as plugins.rendered_pages() gives them.
+
+    Equal images are asked for once, and kept in the folder cache by model, prompt and image. A page without a readable answer has no charts."""
+    key = files.content_key(F.lit(model.name), F.lit(model.prompt), F.sha2("png", 256))
+    pages = staged(images.select("doc_id", F.col("page_num").alias("page"), "png", key.alias("key")), "page-images")
+
+    def compute(new: DataFrame) -> DataFrame:
+        return plugins.image_answers(new, model.prompt, model.client, model.attempts, model.backoff_s).select("key", "response", "error")
+
+    if cache:
+        said = files.cached(pages.sparkSession, pages.select("key", "png"), "key", lambda new: compute(new).where("response is not null"), cache)
+    else:
+        said = staged(compute(pages.dropDuplicates(["key"])), "chart-answers")
+    return responses.charts(responses.parsed(pages.select("doc_id", "page", "key").join(said, "key")), model.confidence)
+
+
 def candidates(pages: DataFrame, model: Model, redact: bool = False, cache: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, notes (doc_id, notes)) of one model over pages (doc_id, doc_name, page_num, text).
 
@@ -70,7 +121,8 @@ def candidates(pages: DataFrame, model: Model, redact: bool = False, cache: str
     own = pages.withColumn("text", T.redacted(F.col("text"))) if redact else pages
     chunks = layout.chunked(own, model.max_chars)
     names = pages.groupBy("doc_id").agg(F.first("doc_name").alias("doc_name"))
-    head = F.replace(F.replace(F.lit(PROMPT), F.lit("{form}"), responses.schema_hint(F.col("doc_name"))), F.lit("{name}"), F.col("doc_name"))
+    text = model.prompt if "{form}" in model.prompt else model.prompt + "\n{form}\nDocument: {name}"
+    head = F.replace(F.replace(F.lit(text), F.lit("{form}"), responses.schema_hint(F.col("doc_name"))), F.lit("{name}"), F.col("doc_name"))
     asked = responses.prompts(own, chunks, "").join(names, "doc_id").withColumn("prompt", F.concat(head, F.col("prompt")))
     asked = staged(asked.select("doc_id", "chunk", "prompt", files.content_key(F.lit(model.name), F.col("prompt")).alias("key")), "prompts")
 

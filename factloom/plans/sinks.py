@@ -5,10 +5,13 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import logging
 import os
 import platform
+import subprocess
+import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,8 @@ from ..config import METRICS, Config
 from ..operators import reports
 from .pipeline import Analysis
 
+LOG = logging.getLogger("factloom")
+
 
 def _put(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
     """A text file, of one text or of lines as they come, through the session's file systems."""
@@ -79,25 +84,103 @@ def memo(docs: DataFrame, flags: DataFrame, totals, decision) -> Iterator[str]:
         yield "No flags detected."
 
 
-def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = None, timings: dict | None = None, extractors: dict | None = None) -> dict:
-    """Writes a run's tables, and for one engagement the memo, whose rows stream through the driver."""
-    spark = a.docs.sparkSession
+MEMO_PROMPT = """Write an investment committee memo in Markdown from the rows below, and from nothing else.
+State missing figures as missing. The decision is fixed: {decision} (confidence {confidence:.2f}); repeat it as it stands.
+Give the three gravest risks, each from a flag below, then the contradictions between documents, then the decision with its evidence.
+Documents:
+{docs}
+Flags:
+{flags}
+"""
+
+
+def json_lines(df: DataFrame) -> Iterator[str]:
+    """The rows as lines of one JSON array, as they stream through the driver."""
+    rows, sep = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator(), ""
+    yield "["
+    held = None
+    for r in rows:
+        if held is not None:
+            yield held + ","
+        held = r["j"]
+    if held is not None:
+        yield held
+    yield "]"
+
+
+def model_memo(docs: DataFrame, flags: DataFrame, decision, client: Callable[[str], str], most: int) -> str | None:
+    """The memo as a model writes it; None, for the template, if the rows exceed ``most`` characters or the model fails."""
+    parts, left = [], most
+    for df in (docs, flags):
+        held = []
+        for line in json_lines(df):
+            held.append(line)
+            left -= len(line) + 1
+            if left < 0:
+                return None
+        parts.append("\n".join(held))
+    try:
+        return client(MEMO_PROMPT.format(decision=decision["decision"], confidence=decision["decision_confidence"], docs=parts[0], flags=parts[1]))
+    except Exception as e:  # noqa: BLE001 - whatever the client raises, the template is there
+        LOG.warning("memo by model failed, template used: %s", e)
+        return None
+
+
+def git_commit() -> str | None:
+    """The commit of the code that runs, if it runs from a checkout."""
+    try:
+        got = subprocess.run(["git", "rev-parse", "HEAD"], cwd=os.path.dirname(os.path.abspath(__file__)), capture_output=True, text=True, timeout=5)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return got.stdout.strip() or None if got.returncode == 0 else None
+
+
+class RunLog(logging.Handler):
+    """Keeps a run's log lines, to be put beside its tables in whatever store they are; one run's, as handlers are replaced."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.lines: list[str] = []
+        self.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s | %(message)s"))
+        LOG.setLevel(logging.INFO)
+        LOG.handlers = [self, logging.StreamHandler()]
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.lines.append(self.format(record))
+
+    def save(self, spark: SparkSession, folder: str) -> None:
+        _put(spark, f"{folder}/run.log", "".join(x + "\n" for x in self.lines))
+
+
+def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = None, timings: dict | None = None, extractors: dict | None = None, memo_client: Callable[[str], str] | None = None) -> dict:
+    """Writes a run's tables, and for one engagement the memo, whose rows stream through the driver.
+
+    memo_client: a model that writes the memo instead, from rows of at most config.hosted.max_chars characters."""
+    spark, began = a.docs.sparkSession, time.time()
     for name, df in (("extracted", a.docs), ("metrics", a.metrics), ("candidates", a.candidates), ("mentions", a.mentions), ("flags", a.flags), ("scores", a.scores)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     reports.facts_table(a.docs).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/facts_table")
     scores = a.scores.limit(2).collect()
     docs, flags = (spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("extracted", a.docs), ("flags", a.flags)))
     if len(scores) == 1:
-        _put(spark, f"{folder}/ic_memo.md", memo(docs.orderBy("fund", "doc_ord"), flags.orderBy("fund", "rule_ord", "flag_ord"), reports.completeness(a.metrics).first(), scores[0]))
+        in_order = docs.orderBy("fund", "doc_ord"), flags.orderBy("fund", "rule_ord", "flag_ord")
+        said = memo_client and model_memo(*in_order, scores[0], memo_client, config.hosted.max_chars)
+        _put(spark, f"{folder}/ic_memo.md", said or memo(*in_order, reports.completeness(a.metrics).first(), scores[0]))
+        for name, df in zip(("extracted", "flags"), in_order, strict=True):
+            _put(spark, f"{folder}/{name}.json", json_lines(df))
+    if a.charts is not None:
+        a.charts.write.mode("overwrite").parquet(f"{folder}/charts")
     counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(flags).collect()}
     _put(spark, f"{folder}/config.json", json.dumps(dataclasses.asdict(config), indent=2))
     files = [r.asDict() for r in reports.input_manifest(inputs).collect()] if inputs is not None else []
     _put(spark, f"{folder}/inputs.json", json.dumps(files, indent=2))
-    summary = {"documents": docs.count(), "flags_by_severity": counts, "timings_s": timings or {}, "extractors": extractors or {}}
+    summary = {"documents": docs.count(), "flags_by_severity": counts, "timings_s": (timings or {}) | {"write_s": round(time.time() - began, 3)}, "extractors": extractors or {}}
+    if len(scores) == 1:
+        summary |= {"risk_score": scores[0]["risk_score"], "recommendation": scores[0]["decision"], "recommendation_confidence": scores[0]["decision_confidence"]}
     _put(spark, f"{folder}/run_summary.json", json.dumps(summary, indent=2))
     made = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{parquet,csv,md,json}").load(folder)
     manifest = {
-        "run_id": str(uuid.uuid4()), "generated_at_utc": datetime.now(UTC).isoformat(), "python_version": platform.python_version(), "spark_version": spark.version, "platform": platform.platform(),
+        "run_id": str(uuid.uuid4()), "git_commit": git_commit(), "models": {"hosted": config.hosted.model, "local": config.local.model, "local_host": config.local.host, "vision": config.vision.model}, "generated_at_utc": datetime.now(UTC).isoformat(), "python_version": platform.python_version(), "spark_version": spark.version, "platform": platform.platform(),
         "operator": os.environ.get("USER", "unknown"), "config_sha256": hashlib.sha256(json.dumps(dataclasses.asdict(config), sort_keys=True).encode()).hexdigest(),
         "inputs": files, "outputs": [r.asDict() for r in made.select("path", F.sha2("content", 256).alias("sha256")).collect()], **summary,
     }

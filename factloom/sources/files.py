@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Ocr
+from ..operators import layout, tables
 from . import plugins
 
 
@@ -54,6 +55,17 @@ def load(spark: SparkSession, folder: str, ocr: Ocr = Ocr()) -> DataFrame:
     return pages
 
 
+def pdf_layout(files: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(lines, tables with their pages' footnotes) of the PDFs among discovered files, each None where its reader is not installed."""
+    pdfs = files.where(F.lower("doc_name").endswith(".pdf"))
+    lines = plugins.pdf_lines(pdfs) if plugins.available("pdf") else None
+    found = [read(pdfs) for kind, read in (("lattice", plugins.ruled_tables), ("tables", plugins.pdf_tables)) if plugins.available(kind)]
+    if not found:
+        return lines, None
+    both = tables.all_tables(*found)
+    return lines, both if lines is None else layout.linked_footnotes(both, layout.pdf_footnotes(lines))
+
+
 def cached(spark: SparkSession, inputs: DataFrame, key: str, compute, folder: str) -> DataFrame:
     """compute(rows) of the inputs by content key, kept in a Parquet table: only keys that it lacks are computed.
 

@@ -6,9 +6,11 @@ an expression does not keep rows from a Python function.
 
 from __future__ import annotations
 
+import base64
 import importlib.util
 import io
 import json
+import tempfile
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -17,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 NEEDS = {"pdf": ("fitz",), "ocr": ("pytesseract", "PIL", "fitz"), "tables": ("pdfplumber",), "lattice": ("camelot",)}
+TABLES = "doc_id string, table_ord int, table_id string, page int, headers array<string>, rows array<array<struct<header:string,value:string>>>, raw_text string, confidence double, footnotes array<string>"
+# Kinds of tables in the order in which they are tried, with the confidence of each.
+RULED = (("lattice", 0.85), ("stream", 0.65))
 
 
 def available(kind: str) -> bool:
@@ -125,7 +130,38 @@ def pdf_tables(files: DataFrame) -> DataFrame:
                                 n += 1
             yield pd.DataFrame(out, columns=["doc_id", "table_ord", "table_id", "page", "headers", "rows", "raw_text", "confidence", "footnotes"])
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id string, table_ord int, table_id string, page int, headers array<string>, rows array<array<struct<header:string,value:string>>>, raw_text string, confidence double, footnotes array<string>")
+    return files.select("doc_id", "content").mapInPandas(read, TABLES)
+
+
+def ruled_tables(files: DataFrame) -> DataFrame:
+    """As pdf_tables, of ruled tables, or of those that blanks align in documents without any; a document that can't be read has none."""
+    _need("lattice")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import camelot
+
+        for df in batches:
+            out = []
+            for r in df.itertuples():
+                with tempfile.NamedTemporaryFile(suffix=".pdf") as f:  # the library reads paths only; the file lives as long as this row
+                    f.write(r.content)
+                    f.flush()
+                    for flavor, confidence in RULED:
+                        try:
+                            found = list(camelot.read_pdf(f.name, pages="all", flavor=flavor))
+                        except Exception:  # noqa: BLE001 - a kind of table that the document does not have
+                            found = []
+                        for n, t in enumerate(found):
+                            grid = t.df.astype(str)
+                            if len(grid.columns):
+                                head = list(grid.iloc[0])
+                                rows = [[{"header": h, "value": v} for h, v in zip(head, row, strict=True)] for row in grid.iloc[1:].itertuples(index=False)]
+                                out.append((r.doc_id, n, f"{flavor}_{n}", int(t.page), head, rows, grid.to_string(), confidence, []))
+                        if found:
+                            break
+            yield pd.DataFrame(out, columns=["doc_id", "table_ord", "table_id", "page", "headers", "rows", "raw_text", "confidence", "footnotes"])
+
+    return files.select("doc_id", "content").mapInPandas(read, TABLES)
 
 
 def reachable(host: str, model: str | None = None, timeout: float = 2.0) -> bool:
@@ -147,6 +183,27 @@ def local_model(host: str, model: str, timeout: float, temperature: float = 0.0)
     return ask
 
 
+def local_vision_model(host: str, model: str, timeout: float, temperature: float = 0.0) -> Callable[[str, bytes], str]:
+    def ask(prompt: str, png: bytes) -> str:
+        body = json.dumps({"model": model, "prompt": prompt, "images": [base64.b64encode(png).decode()], "stream": False, "format": "json", "options": {"temperature": temperature}}).encode()
+        with urllib.request.urlopen(urllib.request.Request(f"{host}/api/generate", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+            return json.load(r)["response"]
+
+    return ask
+
+
+def _asked(call: Callable[[], str], attempts: int, backoff_s: float) -> tuple[str | None, str | None]:
+    """(answer, error) of up to ``attempts`` calls, waiting twice as long each time."""
+    error = None
+    for k in range(attempts):
+        try:
+            return call(), None
+        except Exception as e:  # noqa: BLE001 - whatever the client raises is its answer's error
+            error = str(e)
+            time.sleep(backoff_s * 2**k if k + 1 < attempts else 0)
+    return None, error
+
+
 def answers(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3, backoff_s: float = 2.0) -> DataFrame:
     """(doc_id, chunk, response, error): each prompt asked up to ``attempts`` times, waiting twice as long each time.
 
@@ -155,23 +212,24 @@ def answers(prompts: DataFrame, client: Callable[[str], str], attempts: int = 3,
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            out = []
-            for r in df.itertuples():
-                said, error = None, None
-                for k in range(attempts):
-                    try:
-                        said, error = client(r.prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - whatever the client raises is its answer's error
-                        error = str(e)
-                        time.sleep(backoff_s * 2**k if k + 1 < attempts else 0)
-                out.append((r.doc_id, r.chunk, said, error))
+            out = [(r.doc_id, r.chunk, *_asked(lambda r=r: client(r.prompt), attempts, backoff_s)) for r in df.itertuples()]
             yield pd.DataFrame(out, columns=["doc_id", "chunk", "response", "error"])
 
     kind = prompts.schema["doc_id"].dataType.simpleString()
     return prompts.select("doc_id", "chunk", "prompt").mapInPandas(ask, f"doc_id {kind}, chunk int, response string, error string")
 
 
+def image_answers(images: DataFrame, prompt: str, client: Callable[[str, bytes], str], attempts: int = 2, backoff_s: float = 2.0) -> DataFrame:
+    """(key, response, error) of images (key, png), asked as in answers()."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = [(r.key, *_asked(lambda r=r: client(prompt, r.png), attempts, backoff_s)) for r in df.itertuples()]
+            yield pd.DataFrame(out, columns=["key", "response", "error"])
+
+    return images.select("key", "png").mapInPandas(ask, "key string, response string, error string")
+
+
 def status(hosted: bool, local_host: str, local_model_name: str) -> dict[str, str]:
     """What is there to work with, for the audit manifest."""
     out = {k: "available" if available(k) else "not installed" for k in NEEDS}

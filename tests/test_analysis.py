@@ -203,3 +203,82 @@ def test_files_are_numbered_without_moving_contents(spark, tmp_path):
     assert [(r.doc_ord, r.doc_name, bytes(r.content).decode()) for r in found.orderBy("doc_ord").collect()] == [(k, f"f{k:02}.txt", f"text {k}") for k in range(30)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert all("content" not in line for line in plan.split("\n") if "SinglePartition" in line)
+
+
+def test_other_layout_of_settings(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"model": {"provider": "cohere", "model": "m"}, "ollama": {"enabled": True, "host": "h"}, "vision": {"max_pages": 3, "prompt": "p.txt"}, "rules": {"aum_tolerance_pct": 0.1}, "run": {"use_cohere": True, "redact_before_llm": True, "enable_disk_cache": False, "prompts_dir": str(tmp_path)}}))
+    got = load(str(path))
+    assert got.hosted.model == "m" and got.hosted.enabled and got.local.enabled and got.local.host == "h" and got.vision.max_pages == 3
+    assert got.redact and not got.cache and got.rules.aum_tolerance_pct == 0.1
+    from factloom.operators import extractors
+
+    (tmp_path / "p.txt").write_text("own prompt")
+    assert extractors.prompt_text(got, got.prompts.charts, "x") == "own prompt" and extractors.prompt_text(Config(), "none.txt", "x") == "x"
+    with pytest.raises(FileNotFoundError):
+        extractors.prompt_text(got, "none.txt", "x")
+
+
+def test_charts_of_page_images(spark, tmp_path):
+    """Equal images are asked for once and kept; a failing page has no charts, and is asked twice a run."""
+    from factloom.operators import extractors
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def client(prompt, png, folder=str(asked)):
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        if png == b"bad":
+            raise OSError("no answer")
+        return json.dumps({"charts": [{"title": png.decode(), "series": [{"label": "a", "value": 1}]}]})
+
+    images = spark.createDataFrame([(1, 1, b"one"), (1, 2, b"bad"), (2, 1, b"one")], "doc_id long, page_num int, png binary")
+    model = extractors.ChartModel("m", client, backoff_s=0.0)
+    for _ in range(2):
+        got = extractors.charts(images, model, str(tmp_path / "kept")).orderBy("doc_id", "page").collect()
+    assert [(r.doc_id, r.page, r.title, r.confidence) for r in got] == [(1, 1, "one", 0.6), (2, 1, "one", 0.6)]
+    assert len(list(asked.iterdir())) == 1 + 2 * 2
+
+
+def test_sections_of_pdf_lines_and_tables(spark):
+    """Documents named *.pdf take sections from their lines, others from their text; a table fills what no extractor found."""
+    pages = spark.createDataFrame([(1, 0, "a.pdf", 0, 1, "FEES:\nnothing"), (2, 1, "b.txt", 0, 1, "FEES:\nnothing")], "doc_id long, doc_ord long, doc_name string, fund long, page_num int, text string")
+    lines = spark.createDataFrame([(1, 1, 0, "Management Fees", 20.0, True, 0.1), (1, 1, 1, "body text", 10.0, False, 0.2), (1, 1, 2, "more text", 10.0, False, 0.3)], "doc_id long, page_num int, line_no int, text string, size double, bold boolean, y_frac double")
+    rows = [[{"header": "", "value": "Net IRR"}, {"header": "2024", "value": "14.2%"}]]
+    found = spark.createDataFrame([(1, 0, "t0", 1, rows, [])], "doc_id long, table_ord int, table_id string, page int, rows array<array<struct<header:string,value:string>>>, footnotes array<string>")
+    got = pipeline.analyse(pages, doc_tables=found, lines=lines)
+    assert {(r.doc_id, r.value) for r in got.metrics.where("field = 'net_irr'").collect()} == {(1, 14.2), (2, None)}
+    from factloom.functions import text as T
+
+    kinds = {r.doc_id: r.section_types for r in got.docs.collect()}
+    wanted = spark.sql("SELECT 'Management Fees' AS t").select(T.canonical(F.col("t"))).first()[0]
+    assert kinds[1] == ([wanted] if wanted else [])
+
+
+def test_exports_log_and_memo_by_model(spark, tmp_path):
+    rows = [(k, k, n, 0, 1, t) for k, (n, t) in enumerate((("lpa.txt", LPA), ("quarterly.txt", QUARTER)))]
+    got = pipeline.analyse(spark.createDataFrame(rows, "doc_id long, doc_ord int, doc_name string, fund int, page_num int, text string"), Config())
+    log, seen = sinks.RunLog(), []
+
+    def client(prompt):
+        seen.append(prompt)
+        return "# Memo of a model"
+
+    made = sinks.write(got, str(tmp_path / "out"), Config(), timings={"extract_s": 1.0}, memo_client=client)
+    sinks.LOG.info("done")
+    log.save(spark, str(tmp_path / "out"))
+    assert (tmp_path / "out/ic_memo.md").read_text() == "# Memo of a model" and made["recommendation"] in seen[0]
+    assert [d["doc_name"] for d in json.loads((tmp_path / "out/extracted.json").read_text())] == ["lpa.txt", "quarterly.txt"]
+    assert [f["type"] for f in json.loads((tmp_path / "out/flags.json").read_text())] == ["MGMT_FEE_MISMATCH"]
+    assert (tmp_path / "out/run.log").read_text().endswith("| INFO | done\n") and set(made["timings_s"]) == {"extract_s", "write_s"}
+    assert "git_commit" in made and made["risk_score"] > 0
+
+    def broken(prompt):
+        raise OSError("away")
+
+    docs, flags, decision = got.docs, got.flags, got.scores.first()
+    assert sinks.model_memo(docs, flags, decision, broken, 10**6) is None and sinks.model_memo(docs, flags, decision, client, 10) is None and len(seen) == 1
+    assert json.loads("".join(sinks.json_lines(docs.limit(0)))) == []
