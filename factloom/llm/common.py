@@ -12,7 +12,6 @@ Conventions for all operators of this subpackage:
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -58,9 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Spark removes a job's shuffle files when the driver collects its plan; asked for here, a chain of steps holds one step's files.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
