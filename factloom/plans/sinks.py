@@ -53,17 +53,30 @@ def _money(x) -> str:
     return f"${x:,.0f}"
 
 
+# The memo's wording and the labels of its fields.
+MEMO_HEAD = """# IC Diligence Summary
+
+## Executive Summary
+- Generated from extracted fields only.
+- Documents analyzed: **{documents}**
+- Flags detected: **{red} RED**, **{yellow} YELLOW**
+- Data completeness: **{present}/{total}** core fields extracted (avg confidence **{average}**)
+- Recommendation: **{decision}** (confidence {confidence:.2f})
+
+## Key Metrics by Source
+| Source | As-of | AUM | Net IRR | TVPI | Target IRR | Mgmt Fee | Carry |
+|---|---:|---:|---:|---:|---:|---:|---:|"""
+MEMO_EVIDENCE = (("AUM", "aum", True), ("Mgmt Fee", "mgmt_fee", True), ("Net IRR", "net_irr", False))
+MEMO_FLAG = (("Docs", "docs"), ("Detail", "detail"), ("Evidence", "evidence"), ("Why it Matters", "why_it_matters"), ("Question to Ask", "question_to_ask"))
+NO_FLAGS = "No flags detected."
+
+
 def memo(docs: DataFrame, flags: DataFrame, totals, decision) -> Iterator[str]:
     """Lines of the summary in Markdown, of one fund's documents and flags in order; rows stream through the driver."""
     counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(flags).collect()}
     count = lambda s: counts.get(s, 0)
     average = "N/A" if totals["avg_confidence"] is None else f"{totals['avg_confidence']:.0%}"
-    out = ["# IC Diligence Summary", "", "## Executive Summary", "- Generated from extracted fields only."]
-    out += [f"- Documents analyzed: **{docs.count()}**", f"- Flags detected: **{count('RED')} RED**, **{count('YELLOW')} YELLOW**"]
-    out += [f"- Data completeness: **{totals['present']}/{totals['total']}** core fields extracted (avg confidence **{average}**)"]
-    out += [f"- Recommendation: **{decision['decision']}** (confidence {decision['decision_confidence']:.2f})", ""]
-    out += ["## Key Metrics by Source", "| Source | As-of | AUM | Net IRR | TVPI | Target IRR | Mgmt Fee | Carry |", "|---|---:|---:|---:|---:|---:|---:|---:|"]
-    yield from out
+    yield from MEMO_HEAD.format(documents=docs.count(), red=count("RED"), yellow=count("YELLOW"), present=totals["present"], total=totals["total"], average=average, decision=decision["decision"], confidence=decision["decision_confidence"]).split("\n")
     for d in docs.toLocalIterator():
         v = {m: d[m]["value"] if d[m] else None for m in METRICS}
         hurdle = d["carry"]["hurdle"] if d["carry"] else None
@@ -73,15 +86,15 @@ def memo(docs: DataFrame, flags: DataFrame, totals, decision) -> Iterator[str]:
     yield from ("", "## Evidence")
     for d in docs.toLocalIterator():
         yield f"### {d['doc_name']}"
-        for label, m, always in (("AUM", "aum", True), ("Mgmt Fee", "mgmt_fee", True), ("Net IRR", "net_irr", False)):
+        for label, m, always in MEMO_EVIDENCE:
             if always or d[m]["value"] is not None:
                 yield f'- {label}: p.{d[m]["page"]} — "{d[m]["snippet"]}"'
         yield ""
     yield "## Flags Queue"
     for f in flags.toLocalIterator():
-        yield from [f"### {f['severity']}: {f['type']}", *(f"- {label}: {f[k]}" for label, k in (("Docs", "docs"), ("Detail", "detail"), ("Evidence", "evidence"), ("Why it Matters", "why_it_matters"), ("Question to Ask", "question_to_ask"))), ""]
+        yield from [f"### {f['severity']}: {f['type']}", *(f"- {label}: {f[k]}" for label, k in MEMO_FLAG), ""]
     if not counts:
-        yield "No flags detected."
+        yield NO_FLAGS
 
 
 MEMO_PROMPT = """Write an investment committee memo in Markdown from the rows below, and from nothing else.

@@ -40,8 +40,15 @@ def with_ocr(pages: DataFrame, ocr: DataFrame | None, config: Ocr = Ocr()) -> Da
     return pages.join(ocr, ["doc_id", "page_num"], "left").withColumn("text", F.when(better, F.col("ocr_text")).otherwise(F.col("text"))).drop("ocr_text")
 
 
-def load(spark: SparkSession, folder: str, ocr: Ocr = Ocr()) -> DataFrame:
-    """Pages of all documents of a folder; PDFs by the plugin, which must be installed if there are any."""
+def other_types(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the files in a folder whose type has no reader."""
+    return spark.read.format("binaryFile").load(folder).select("path").where(~F.lower("path").rlike(r"\.(pdf|txt)$"))
+
+
+def load(spark: SparkSession, folder: str, ocr: Ocr = Ocr(), strict: bool = False) -> DataFrame:
+    """Pages of all documents of a folder; PDFs by the plugin, which must be installed if there are any. strict: files of other types are an error."""
+    if strict and (odd := other_types(spark, folder).first()):
+        raise ValueError(f"no reader for {odd['path']}")
     files = discover(spark, folder)
     pages = text_pages(files)
     pdfs = files.where(F.lower("doc_name").endswith(".pdf"))

@@ -201,6 +201,10 @@ def test_files_are_numbered_without_moving_contents(spark, tmp_path):
         (tmp_path / f"f{k:02}.txt").write_text(f"text {k}")
     found = files.discover(spark, str(tmp_path))
     assert [(r.doc_ord, r.doc_name, bytes(r.content).decode()) for r in found.orderBy("doc_ord").collect()] == [(k, f"f{k:02}.txt", f"text {k}") for k in range(30)]
+    assert files.load(spark, str(tmp_path), strict=True).count() == 30
+    (tmp_path / "odd.docx").write_text("x")
+    with pytest.raises(ValueError, match="odd.docx"):
+        files.load(spark, str(tmp_path), strict=True)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert all("content" not in line for line in plan.split("\n") if "SinglePartition" in line)
 
