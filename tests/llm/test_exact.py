@@ -310,6 +310,7 @@ def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i if i else None, " ".join(["w"] * rng.randrange(30)) if rng.random() > 0.1 else None, rng.choice(["a", "b", "b", "b", "ç", None, "one"])) for i in range(300)]
     rows.append((301, "w " * 50, "solo"))
+    rows += [(302, "w w w", "b")] * 3 + [(303, "w w", "a"), (303, "w " * 9, "a"), (303, "w", None)]  # ids that repeat, with equal rows and others
     df = spark.createDataFrame([r + ("x",) for r in rows], "doc_id long, text string, source string, target string").repartition(4)
     got = mixing.plan(mixing.sized(df)).collect()
     assert len(got) == len(rows)
