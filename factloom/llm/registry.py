@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_mixing, decontaminate, line_dedup, mixing, pq_neighbours, quality, suffix_dedup, token_counts, trie_join
+from . import chat_format, collocations, context_mixing, decontaminate, line_dedup, mixing, pq_neighbours, quality, rp_forest, suffix_dedup, token_counts, trie_join, tsqr
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_rp_forest": rp_forest.op11_rp_forest,
+    "op12_tsqr_whitening": tsqr.op12_tsqr_whitening,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE = {
     "op4_mixing": mixing.ORACLE,
@@ -23,4 +26,5 @@ ORACLE = {
     "op6_join_links": trie_join.LINKS_ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
