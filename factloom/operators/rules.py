@@ -2,18 +2,22 @@
 why_it_matters, question_to_ask, and the numbers a and b that it compared.
 
 docs: doc_id, fund, doc_ord, doc_name, the six metrics as structs (fusion.wide), basis struct.
-Rules on pairs test the distinct values of a fund against each other, and join documents
-only to pairs of values that break the rule: all joins have equal keys, and documents meet
-no others than those that they are flagged with. flag_ord orders a fund's flags of a rule;
+Rules on pairs find the distinct values of a fund that are at odds by value ranges (bands.py;
+all three rules on figures in one go), and join documents only to such pairs of values: no join is by fund alone, and
+documents meet no others than those that they are flagged with. flag_ord orders a fund's flags of a rule;
 it is made of the documents' order, so flags are never numbered in one task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import METRICS, Rules
+from . import bands
 from .extract import local_basis
 
 FLAG = ("fund", "rule_ord", "flag_ord", "severity", "type", "docs", "detail", "evidence", "why_it_matters", "question_to_ask", "a", "b")
@@ -45,13 +49,26 @@ def pct_delta(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), (F.abs(a) + F.abs(b)) / 2), F.lit(0.0))
 
 
-def _pairs(docs: DataFrame, value: Column, test, *more: Column) -> DataFrame:
-    """Ordered pairs of a fund's documents whose values test() finds at odds, with little but what the flag needs."""
-    one = docs.select("fund", "doc_ord", "doc_name", value.alias("v"), *more).where("v is not null")
-    values = one.select("fund", "v").distinct()
-    odd = values.withColumnRenamed("v", "v_a").join(values.withColumnRenamed("v", "v_b"), "fund").where(test(F.col("v_a"), F.col("v_b")))
-    a, b = (one.select("fund", *[F.col(c).alias(f"{c}_{s}") for c in one.columns if c != "fund"]) for s in "ab")
-    return a.join(odd, ["fund", "v_a"]).join(b, ["fund", "v_b"]).where("doc_ord_a < doc_ord_b")
+def figures_at_odds(docs: DataFrame, rules: Rules = Rules(), metrics: tuple[str, ...] = ("aum", "mgmt_fee", "target_irr")) -> DataFrame:
+    """(fund, metric, v_lo, v_hi) of the figures of a fund that are too far apart; all metrics share one search."""
+    v, m = F.col("v"), F.col("metric")
+    most = {"mgmt_fee": rules.mgmt_fee_abs_pct, "target_irr": rules.target_irr_abs_pct}
+    values = docs.select("fund", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x)["value"].alias("v")) for x in metrics])).alias("m")).select("fund", "m.*")
+    limit, test = bands.beyond_share(v, rules.aum_tolerance_pct), lambda a, b: pct_delta(a, b) > rules.aum_tolerance_pct
+    for name, by in most.items():
+        limit = F.when(m == name, bands.beyond_difference(v, by)).otherwise(limit)
+        test = (lambda a, b, by=by, name=name, rest=test: F.when(m == name, F.abs(a - b) > by).otherwise(rest(a, b)))
+    return bands.apart(values, ["fund", "metric"], limit, test)
+
+
+def _paired(one: DataFrame, odd: DataFrame) -> DataFrame:
+    """Pairs of documents with values v_lo and v_hi, as columns *_a and *_b in the documents' order."""
+    more = [c for c in one.columns if c != "fund"]
+    low, high = (one.select("fund", F.col("v").alias(f"v_{s}"), F.struct(*more).alias(s)) for s in ("lo", "hi"))
+    both = odd.join(low, ["fund", "v_lo"]).join(high, ["fund", "v_hi"]).where("lo.doc_ord <> hi.doc_ord")
+    first = F.col("lo.doc_ord") < F.col("hi.doc_ord")
+    a, b = F.when(first, F.col("lo")).otherwise(F.col("hi")), F.when(first, F.col("hi")).otherwise(F.col("lo"))
+    return both.select("fund", a.alias("_a"), b.alias("_b")).select("fund", *[F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in "ab" for c in more])
 
 
 def _versus() -> Column:
@@ -62,22 +79,24 @@ def _cited(doc: str, page: str, snippet: str) -> Column:
     return F.concat(F.col(doc), F.lit(" (p."), F.coalesce(F.col(page).cast("string"), F.lit("None")), F.lit("): "), F.coalesce(F.col(snippet), F.lit("")))
 
 
-def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str, test, detail) -> DataFrame:
-    p = _pairs(docs, F.col(metric)["value"], test, F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet"))
+def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str, detail, rules: Rules, odd: DataFrame | None) -> DataFrame:
+    odd = figures_at_odds(docs, rules, (metric,)) if odd is None else odd
+    one = docs.select("fund", "doc_ord", "doc_name", F.col(metric)["value"].alias("v"), F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet")).where("v is not null")
+    p = _paired(one, odd.where(F.col("metric") == metric).drop("metric"))
     said = F.concat(_cited("doc_name_a", "page_a", "snippet_a"), F.lit(" | "), _cited("doc_name_b", "page_b", "snippet_b"))
     return _flags(p, rule, severity, kind, _versus(), detail(F.col("v_a"), F.col("v_b")), said, F.col("v_a"), F.col("v_b"), ["doc_ord_a", "doc_ord_b"])
 
 
-def aum_mismatch(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return _mismatch(docs, 0, "RED", "AUM_MISMATCH", "aum", lambda a, b: pct_delta(a, b) > rules.aum_tolerance_pct, lambda a, b: F.format_string("AUM differs by %.1f%%", pct_delta(a, b) * 100))
+def aum_mismatch(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
+    return _mismatch(docs, 0, "RED", "AUM_MISMATCH", "aum", lambda a, b: F.format_string("AUM differs by %.1f%%", pct_delta(a, b) * 100), rules, odd)
 
 
-def fee_mismatch(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return _mismatch(docs, 1, "RED", "MGMT_FEE_MISMATCH", "mgmt_fee", lambda a, b: F.abs(a - b) > rules.mgmt_fee_abs_pct, lambda a, b: F.format_string("Management fee differs: %.2f%% vs %.2f%%", a, b))
+def fee_mismatch(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
+    return _mismatch(docs, 1, "RED", "MGMT_FEE_MISMATCH", "mgmt_fee", lambda a, b: F.format_string("Management fee differs: %.2f%% vs %.2f%%", a, b), rules, odd)
 
 
-def target_irr_drift(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return _mismatch(docs, 2, "YELLOW", "TARGET_IRR_DRIFT", "target_irr", lambda a, b: F.abs(a - b) > rules.target_irr_abs_pct, lambda a, b: F.format_string("Target IRR differs: %.1f%% vs %.1f%%", a, b))
+def target_irr_drift(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
+    return _mismatch(docs, 2, "YELLOW", "TARGET_IRR_DRIFT", "target_irr", lambda a, b: F.format_string("Target IRR differs: %.1f%% vs %.1f%%", a, b), rules, odd)
 
 
 def _convention(s: str = "") -> Column:
@@ -86,7 +105,11 @@ def _convention(s: str = "") -> Column:
 
 
 def definition_drift(docs: DataFrame) -> DataFrame:
-    p = _pairs(docs, F.col("basis")["basis"], lambda a, b: a != b, F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet"))
+    one = docs.select("fund", "doc_ord", "doc_name", F.col("basis")["basis"].alias("v"), F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet")).where("v is not null")
+    # A fund has few conventions, so their pairs come of one row a fund.
+    held = one.groupBy("fund").agg(F.array_sort(F.collect_set("v")).alias("vs"))
+    odd = held.select("fund", F.explode("vs").alias("v_lo"), "vs").select("fund", "v_lo", F.explode("vs").alias("v_hi")).where("v_lo < v_hi")
+    p = _paired(one, odd)
     detail = F.concat(F.lit('Documents state different IRR return conventions: "'), "v_a", F.lit('" vs "'), "v_b", F.lit('".'))
     said = F.concat(F.col("doc_name_a"), _convention("_a"), F.lit(" | "), F.col("doc_name_b"), _convention("_b"))
     none = F.lit(None).cast("double")
@@ -145,22 +168,37 @@ def irr_mention_conflict(docs: DataFrame, mentions: DataFrame, rules: Rules = Ru
     return _flags(d, 7, "YELLOW", "IRR_MENTION_CONFLICT", F.col("doc_name"), detail, said, F.col("value"), F.lit(None).cast("double"), ["doc_ord", "mention_ord"], ask)
 
 
-#: name -> function of (docs, mentions, disagreements, rules) that gives flags; add to it to extend what run_rules() does.
+@dataclass
+class Case:
+    """What rules read."""
+
+    docs: DataFrame
+    mentions: DataFrame
+    found: DataFrame
+    rules: Rules = Rules()
+
+    @cached_property
+    def odd(self) -> DataFrame:
+        """Figures at odds of all three rules on figures, in ranges that are written once."""
+        return figures_at_odds(self.docs, self.rules)
+
+
+#: name -> function of a Case that gives flags; add to it to extend what run_rules() does.
 REGISTRY = {
-    "aum_mismatch": lambda d, m, x, r: aum_mismatch(d, r),
-    "fee_mismatch": lambda d, m, x, r: fee_mismatch(d, r),
-    "target_irr_drift": lambda d, m, x, r: target_irr_drift(d, r),
-    "definition_drift": lambda d, m, x, r: definition_drift(d),
-    "definition_drift_internal": lambda d, m, x, r: definition_drift_internal(d),
-    "under_target": lambda d, m, x, r: under_target(d),
-    "extractor_disagreement": lambda d, m, x, r: extractor_disagreement(d, x),
-    "irr_mention_conflict": lambda d, m, x, r: irr_mention_conflict(d, m, r),
+    "aum_mismatch": lambda c: aum_mismatch(c.docs, c.rules, c.odd),
+    "fee_mismatch": lambda c: fee_mismatch(c.docs, c.rules, c.odd),
+    "target_irr_drift": lambda c: target_irr_drift(c.docs, c.rules, c.odd),
+    "definition_drift": lambda c: definition_drift(c.docs),
+    "definition_drift_internal": lambda c: definition_drift_internal(c.docs),
+    "under_target": lambda c: under_target(c.docs),
+    "extractor_disagreement": lambda c: extractor_disagreement(c.docs, c.found),
+    "irr_mention_conflict": lambda c: irr_mention_conflict(c.docs, c.mentions, c.rules),
 }
 
 
 def run_rules(docs: DataFrame, mentions: DataFrame, found: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    out = None
+    case, out = Case(docs, mentions, found, rules), None
     for rule in REGISTRY.values():
-        part = rule(docs, mentions, found, rules).select(*FLAG)
+        part = rule(case).select(*FLAG)
         out = part if out is None else out.unionByName(part)
     return out
