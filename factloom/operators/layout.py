@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunking import chunked as chunked
 
 FRONT = "Front Matter"
 HEADING_WORDS, HEADING_RATIO = 12, 1.15
@@ -108,23 +109,3 @@ def section_for_page(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_num, section_ord, title): the first section whose pages hold each page."""
     both = pages.select("doc_id", "page_num").join(sections, "doc_id").where("page_num between page_start and page_end")
     return both.groupBy("doc_id", "page_num").agg(F.min_by(F.struct("section_ord", "title"), "section_ord").alias("s")).select("doc_id", "page_num", "s.*")
-
-
-def chunked(pages: DataFrame, most: int, key: str = "doc_id", order: str = "page_num", size: Column | None = None) -> DataFrame:
-    """(key, order, chunk): a page opens a new chunk if the current one has pages and would grow beyond ``most`` characters."""
-    size = F.length(F.coalesce("text", F.lit(""))) if size is None else size
-    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("n"))))
-    empty = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("pages"), F.array().cast("array<struct<o:bigint,chunk:int>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["pages"] > 0) & (acc["len"] + x["n"] > most)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(
-            chunk.alias("chunk"),
-            (F.when(full, F.lit(0)).otherwise(acc["len"]) + x["n"]).alias("len"),
-            (F.when(full, F.lit(0)).otherwise(acc["pages"]) + 1).alias("pages"),
-            F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), chunk.alias("chunk")))).alias("out"),
-        )
-
-    folded = pages.groupBy(key).agg(F.aggregate(held, empty, step)["out"].alias("out"))
-    return folded.select(key, F.inline("out")).withColumnRenamed("o", order)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.config import Rules
-from factloom.operators import bands, rules
+from factloom.operators import bands, chunking, layout, rules
 
 DOC = "fund int, doc_ord long, doc_name string, " + ", ".join(f"{m} struct<value:double,page:int,snippet:string>" for m in ("aum", "mgmt_fee", "target_irr"))
 
@@ -47,3 +47,61 @@ def test_one_fund_of_many_documents_and_few_flags(spark):
     plan = odd._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.split("\n") if "Join" in line]
     assert joins and all("part" in line for line in joins)
+
+
+def fold(rows, most):
+    """Chunks page by page, as the definition has it."""
+    out, key, length, pages = [], object(), 0, 0
+    for k, o, n in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if k != key:
+            key, chunk, length, pages = k, 0, 0, 0
+        if pages and length + n > most:
+            chunk, length, pages = chunk + 1, 0, 0
+        length, pages = length + n, pages + 1
+        out.append((k, o, chunk))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_chunks_over_ranges(spark, parts):
+    """Keys that span ranges, pages without text, oversize pages, repeated page numbers, whatever the ranges."""
+    rng = random.Random(parts)
+    rows = [(k, o if rng.random() > 0.05 else o - 1, rng.choice([0, 0, 1, 30, 60, 99, 250])) for k in range(30) for o in range(rng.choice([1, 2, 5, 300]))]
+    df = spark.createDataFrame(rows, "doc_id long, page_num int, n long").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = layout.chunked(df, 100, size=F.col("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == fold(rows, 100)
+    assert layout.chunked(df.limit(0), 100, size=F.col("n")).count() == 0
+
+
+def test_a_document_of_a_million_pages(spark):
+    n, most = 1_000_000, 24_000
+    size = F.pmod(F.xxhash64("id"), F.lit(5000))
+    pages = spark.range(n).select(F.lit("big").alias("doc_id"), F.col("id").alias("page_num"), size.alias("n"))
+    got = layout.chunked(pages, most, size=F.col("n")).join(pages, ["doc_id", "page_num"]).orderBy("page_num").select("chunk", "n").toArrow()
+    chunk, length, pages_in = 0, 0, 0
+    for c, x in zip(got["chunk"].to_pylist(), got["n"].to_pylist(), strict=True):
+        if pages_in and length + x > most:
+            chunk, length, pages_in = chunk + 1, 0, 0
+        length, pages_in = length + x, pages_in + 1
+        assert c == chunk
+    assert chunk > 90_000 and got.num_rows == n
+
+
+def test_summaries_of_runs_agree_with_walking_them():
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 5, 9, 20]) for _ in range(rng.randint(1, 30))]
+        import numpy as np
+
+        r = chunking.Run(np.array(sizes), np.array([0, len(sizes)]), 12)
+        count, left = r.summary(0, len(sizes))
+        for i in range(len(sizes)):
+            opens = np.flatnonzero(r.openings(i))
+            assert count[i] == len(opens) and left[i] == sum(sizes[opens[-1] :])
