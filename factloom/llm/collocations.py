@@ -1,9 +1,11 @@
 """Phrase collocations: exact counts in arrays by slots of a minimal perfect hash over Apriori-safe candidates.
 
-1. Every task hashes its phrases of 1 to 5 words into ``2^BUCKETS`` saturating counters a
-   length, two independent arrays of them; the arrays of all tasks are summed in a tree. A
-   phrase can be frequent only if both its buckets are, and those of its first and last words
-   but one: the resulting bit maps (of a fixed size) are broadcast.
+1. Every task hashes its phrases of 1 to 5 words into saturating counters, two independent
+   arrays of them for each length; the arrays of all tasks are summed in a tree. A
+   phrase can be frequent only if both its buckets are, and so are its first and its last words
+   but one: the resulting bit maps are broadcast. There is a bucket for some ``BYTES`` bytes of text, so that
+   as large a share of the rare phrases passes whatever the corpus, up to ``2^MOST_BITS`` buckets (42 MB of
+   bits in all); in a corpus beyond some 2 GB more and more rare phrases pass, which costs work, not results.
 2. The distinct phrases that pass are the candidates; a frequent phrase is always among
    them. They are written with their text and dealt into blocks of about ``BLOCK`` by hash.
 3. For each block the driver makes a minimal perfect hash of its keys (128 bits a phrase,
@@ -25,7 +27,6 @@ stand there. No text: no result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +41,8 @@ from .common import _MUL, SLICE, _Powers, dropped, mapped, mixed, written
 from .mph import PerfectHash
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BUCKETS, BLOCK, PIECE, FAN, SALTS = 22, 4_000_000, 1 << 16, 16, 32
+BYTES, MOST_BITS = 64, 25
+BLOCK, PIECE, FAN, SALTS = 4_000_000, 1 << 16, 16, 32
 
 #: floor(1000 * a * n / (l * r)) in decimals of 38 digits.
 SCORE = "cast(cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)"
@@ -125,19 +127,21 @@ def gathered(batches) -> Iterator[tuple[Grams, list[str]]]:
         yield made()
 
 
+def _bit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).view(bool)
+
+
 def passing(grams: Grams, maps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """grams without phrases that can't be frequent by their own buckets or their parts'."""
     shift = np.uint64(64 - bits)
     before = None
     for k, at, h1, h2 in grams:
-        ok = np.ones(len(at), bool)
         if before is not None:
             ok = before[at] & before[at + 1]
             at, h1, h2 = at[ok], h1[ok], h2[ok]
-            ok = np.ones(len(at), bool)
-        for a, h in enumerate((h1, h2)):
-            ok &= maps[k - 1, a, (h >> shift).astype(np.int64)]
-        at, h1, h2 = at[ok], h1[ok], h2[ok]
+        for a in (0, 1):
+            ok = _bit(maps[k - 1, a], ((h1, h2)[a] >> shift).astype(np.int64))
+            at, h1, h2 = at[ok], h1[ok], h2[ok]
         before = np.zeros(len(grams.first) + 1, bool)
         before[at] = True
         yield k, at, h1, h2
@@ -147,12 +151,11 @@ def summed(pieces: DataFrame, kind: str, most: int | None = None) -> DataFrame:
     """Arrays (block, piece, node, data) of all nodes added up in a tree, FAN at a time; at most ``most`` an entry where given."""
 
     def merged(table: pa.Table) -> pa.Table:
-        total = None
+        total = np.zeros(PIECE, np.int64)
         for raw in table["data"]:
-            part = np.frombuffer(zlib.decompress(raw.as_py()), kind)
-            total = part.astype(np.int64) if total is None else total + part
+            total += _unpacked(raw.as_py(), kind)
         total = (np.minimum(total, most) if most else total).astype(kind)
-        return pa.table({"block": table["block"][:1].cast(pa.int32()), "piece": table["piece"][:1].cast(pa.int32()), "node": table["node"][:1].cast(pa.int64()), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return pa.table({"block": table["block"][:1].cast(pa.int32()), "piece": table["piece"][:1].cast(pa.int32()), "node": table["node"][:1].cast(pa.int64()), "data": pa.array([_packed(total)], pa.binary())})
 
     now = pieces
     while now.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0] > 0:
@@ -163,11 +166,20 @@ def summed(pieces: DataFrame, kind: str, most: int | None = None) -> DataFrame:
     return now
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, kind: str, n: int = PIECE) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
 def _pieces(block: int, counts: np.ndarray, node: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Pieces of PIECE counts; what is missing is 0."""
     for k in range(0, len(counts), PIECE):
         part = counts[k : k + PIECE]
         if part.any():
-            yield block, k // PIECE, node, zlib.compress(part.tobytes(), 1)
+            yield block, k // PIECE, node, _packed(np.pad(part, (0, PIECE - len(part))))
 
 
 def _batch(rows, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -190,8 +202,10 @@ def bucket_maps(docs: DataFrame, least: int, bits: int) -> tuple[np.ndarray, Dat
         words: dict[str, int] = {}
 
         def flush(k):
-            n = np.bincount(np.concatenate(held[k]), minlength=top)
-            counts[k] = np.minimum(counts[k] + n, limit)
+            x = np.sort(np.concatenate(held[k]))
+            cut = np.flatnonzero(np.r_[len(x) > 0, x[1:] != x[:-1]])
+            n = np.diff(cut, append=len(x))
+            counts[k, x[cut]] = np.minimum(counts[k, x[cut]] + np.minimum(n, limit), limit)
             held[k] = []
 
         for grams, langs in gathered(batches):
@@ -211,13 +225,17 @@ def bucket_maps(docs: DataFrame, least: int, bits: int) -> tuple[np.ndarray, Dat
             yield _batch([(*r, None, None) for r in _pieces(k, row, node)], more)
         yield _batch([(None, None, None, None, *r) for r in words.items()], more)
 
+    def bits_of(batch):
+        rows = [np.packbits(_unpacked(x, "u1") >= limit).tobytes() for x in batch.column(2).to_pylist()]
+        return {"block": batch.column(0), "piece": batch.column(1), "data": pa.array(rows, pa.binary())}
+
     # Counts saturate at the limit, and so do their sums.
     both = written(docs.mapInArrow(run, f"{ARRAYS}, lang string, n long"), "buckets")
-    out = np.zeros((2 * LONGEST, top), bool)
-    for r in summed(both.where("lang is null").drop("lang", "n"), "u1", limit).collect():  # a fixed number of pieces
-        part = np.frombuffer(zlib.decompress(r.data), np.uint8)
-        out[r.block, r.piece * PIECE : r.piece * PIECE + len(part)] = part >= limit
-    return out.reshape(LONGEST, 2, top), both.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    total = summed(both.where("lang is null").drop("lang", "n"), "u1", limit)
+    out = np.zeros((2 * LONGEST, top // 8), np.uint8)
+    for r in mapped(total.select("block", "piece", "data"), bits_of, "block int, piece int, data binary").toLocalIterator():  # of a fixed size
+        out[r.block, r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(r.data, np.uint8)
+    return out.reshape(LONGEST, 2, -1), both.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 class Slots:
@@ -239,7 +257,7 @@ class Slots:
     def counts(self, b: int, n: int) -> np.ndarray:
         out = np.zeros(n, np.int64)
         for r in self.sums[b].collect():
-            part = np.frombuffer(zlib.decompress(r.data), np.int64)
+            part = _unpacked(r.data, "i8")[: n - r.piece * PIECE]
             out[r.piece * PIECE : r.piece * PIECE + len(part)] = part
         return out
 
@@ -258,24 +276,21 @@ def _keys(batch, *at: int) -> list[np.ndarray]:
     return [batch.column(i).to_numpy().view(np.uint64) for i in at]
 
 
-def counted(docs: DataFrame, least: int = LEAST, bits: int = BUCKETS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
+def counted(docs: DataFrame, least: int = LEAST, bits: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
     """(h1, h2, k, lang, phrase, f) of all phrases of 1 to 5 words that stand at least so often in a language's texts,
     (lang, n) of the words of each language, and the counts by slot; docs: lang, text."""
     spark = docs.sparkSession
+    if bits is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        bits = min(MOST_BITS, max(16, (size // BYTES).bit_length()))
     found, words = bucket_maps(docs, least, bits)
-    maps = spark.sparkContext.broadcast(np.packbits(found, axis=2))
-    opened: list[np.ndarray] = []
-
-    def bit_maps():
-        if not opened:
-            opened.append(np.unpackbits(maps.value, axis=2).view(bool))
-        return opened[0]
+    maps = spark.sparkContext.broadcast(found)
 
     def distinct(batches):
         seen = [np.zeros(0, np.uint64)] * (LONGEST + 1)
         for grams, langs in gathered(batches):
             rows = []
-            for k, at, h1, h2 in passing(grams, bit_maps(), bits):
+            for k, at, h1, h2 in passing(grams, maps.value, bits):
                 # By half of the key within a task: two phrases that share it (64 bits) would need to be in no other task to be lost.
                 _, one = np.unique(h1, return_index=True)
                 new = one[~np.isin(h1[one], seen[k], assume_unique=True)]
@@ -287,7 +302,7 @@ def counted(docs: DataFrame, least: int = LEAST, bits: int = BUCKETS, block: int
     slots = Slots(written(one.agg(*[F.first(c).alias(c) for c in ("k", "lang", "phrase")]), "candidates"), block)
     for b in range(slots.blocks):
         shared = spark.sparkContext.broadcast(slots.table(b))
-        slots.sums[b] = summed(written(docs.mapInArrow(_counting(shared, bit_maps, bits), ARRAYS), "counts"), "i8")
+        slots.sums[b] = summed(written(docs.mapInArrow(_counting(shared, maps, bits), ARRAYS), "counts"), "i8")
         shared.unpersist()
 
     def frequent(batch, table, counts):
@@ -299,12 +314,12 @@ def counted(docs: DataFrame, least: int = LEAST, bits: int = BUCKETS, block: int
     return kept.withColumn("phrase", F.col("phrase").cast("string")), words, slots
 
 
-def _counting(shared, bit_maps, bits: int):
+def _counting(shared, maps, bits: int):
     def run(batches):
         table = shared.value
         counts, held, n = np.zeros(len(table), np.int64), [], 0
         for grams, _ in gathered(batches):
-            for _, _, h1, h2 in passing(grams, bit_maps(), bits):
+            for _, _, h1, h2 in passing(grams, maps.value, bits):
                 slots = table.slots(h1, h2)
                 held.append(slots[slots >= 0])
                 n += len(held[-1])
@@ -332,7 +347,7 @@ def with_parts(frequent: DataFrame) -> DataFrame:
     return mapped(frequent.where("k > 1").select("h1", "h2", "lang", "phrase", "k", "f"), each, "h1 long, h2 long, lang string, phrase string, a long, cuts array<struct<cut:int,l1:long,l2:long,r1:long,r2:long>>")
 
 
-def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     docs = documents.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     frequent, words, slots = counted(docs, least, bits, block)
