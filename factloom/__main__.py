@@ -35,9 +35,9 @@ def main(argv: list[str] | None = None) -> int:
         # The command evaluates the defaults, patterns alone; answers are kept beside the run, so a second run asks for new prompts only.
         models = [] if a.command == "eval" else extractors.build(config)
         cache = f"{a.out}/answers" if config.cache else None
-        extra = extractors.all_candidates(pages, models, config.redact, cache)
+        extra, details = extractors.all_candidates(pages, models, config.redact, cache)
         asked = time.time()
-        known = pipeline.extracted(pages, config, extra, doc_tables, a.command != "extract", lines)
+        known = pipeline.extracted(pages, config, extra, doc_tables, a.command != "extract", lines, details, f"{a.out}/kept" if config.cache and a.command != "eval" else None)
         seer = None if a.command == "eval" else extractors.build_charts(config)
         if config.vision.enabled and config.redact and a.command != "eval":
             note = F.when(F.lower("doc_name").endswith(".pdf"), F.array(F.lit(extractors.NO_CHARTS)))

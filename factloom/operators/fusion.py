@@ -18,6 +18,10 @@ from ..functions import text as T
 DISAGREEMENT, TOLERANCE = 0.85, 0.05
 FUZZY, FUZZY_FACTOR, MISSING_FACTOR, NO_SNIPPET_FACTOR = 0.80, 0.75, 0.40, 0.50
 NO_DATE_RECENCY = 0.50
+# What notes say of evidence.
+NO_SNIPPET = ": missing evidence snippet"
+FUZZY_MATCH = (": evidence snippet matched page fuzzily (", "% — likely OCR/rendering noise, not verbatim)")
+NOT_FOUND = ": evidence snippet not found verbatim on cited page"
 
 
 def _chain(pairs, test, default: float) -> Column:
@@ -70,6 +74,14 @@ def disagreements(candidates: DataFrame) -> DataFrame:
     return bad.join(out, ["doc_id", "field"]).select("doc_id", "field", "agreement", "by_extractor")
 
 
+def first_details(details: DataFrame) -> DataFrame:
+    """(doc_id, extractor_ord, doc_date, notes, missing_fields) of each document's first extractor.
+
+    details: a row a document and extractor; metrics come from the best one, all else from the first, whether or not it found it."""
+    of = F.min_by(F.struct("extractor_ord", "doc_date", "notes", "missing_fields"), "extractor_ord").alias("d")
+    return details.groupBy("doc_id").agg(of).select("doc_id", "d.*")
+
+
 def recency(date: Column) -> Column:
     """A date without a time zone has no age here, so its weight is that of a missing one."""
     zoned = F.when(date.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & date.rlike("T"), date.try_cast("timestamp"))
@@ -92,7 +104,6 @@ def match_ratios(metrics: DataFrame, pages: DataFrame) -> DataFrame:
 
     Only what is left after the built-in test reaches Python, by a split of the rows: conditions don't guard a UDF."""
     said = pages.select("doc_id", F.col("page_num").alias("page"), F.coalesce("text", F.lit("")).alias("page_text"))
-    said = said.groupBy("doc_id", "page").agg(F.first("page_text").alias("page_text"))
     rows = metrics.join(said, ["doc_id", "page"], "left")
     rows = rows.withColumns({"_s": T.normalised(F.col("snippet")), "_p": T.normalised(F.col("page_text"))}).drop("page_text")
     skip = F.col("value").isNull() | (F.col("_s") == "")
@@ -103,15 +114,20 @@ def match_ratios(metrics: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def verified(metrics: DataFrame, pages: DataFrame, docs: DataFrame, trust: Trust = Trust()) -> DataFrame:
-    """metrics (with agreement) with final confidence and a note; docs has doc_id, doc_name, doc_date."""
-    rows = match_ratios(metrics, pages).join(docs.select("doc_id", authority_weight(F.col("doc_name"), trust).alias("_a"), recency(F.col("doc_date")).alias("_r")), "doc_id")
+    """metrics (with agreement) with final confidence and a note; docs has doc_id, doc_name, doc_date; pages are unique."""
+    return weighed(match_ratios(metrics, pages), docs, trust)
+
+
+def weighed(ratios: DataFrame, docs: DataFrame, trust: Trust = Trust()) -> DataFrame:
+    """As verified(), of match_ratios()."""
+    rows = ratios.join(docs.select("doc_id", authority_weight(F.col("doc_name"), trust).alias("_a"), recency(F.col("doc_date")).alias("_r")), "doc_id")
     ratio = F.col("match_ratio")
     factor = F.when(ratio.isNull(), NO_SNIPPET_FACTOR).when(ratio >= 1, 1.0).when(ratio >= FUZZY, FUZZY_FACTOR).otherwise(MISSING_FACTOR)
     note = (
         F.when(F.col("value").isNull() | (ratio >= 1), None)
-        .when(ratio.isNull(), F.concat("field", F.lit(": missing evidence snippet")))
-        .when(ratio >= FUZZY, F.concat("field", F.lit(": evidence snippet matched page fuzzily ("), F.format_string("%.0f", F.bround(ratio * 100)), F.lit("% — likely OCR/rendering noise, not verbatim)")))
-        .otherwise(F.concat("field", F.lit(": evidence snippet not found verbatim on cited page")))
+        .when(ratio.isNull(), F.concat("field", F.lit(NO_SNIPPET)))
+        .when(ratio >= FUZZY, F.concat("field", F.lit(FUZZY_MATCH[0]), F.format_string("%.0f", F.bround(ratio * 100)), F.lit(FUZZY_MATCH[1])))
+        .otherwise(F.concat("field", F.lit(NOT_FOUND)))
     )
     final = confidence(F.col("confidence"), F.col("_a"), F.coalesce("agreement", F.lit(1.0)), F.col("_r")) * factor
     return rows.withColumn("note", note).withColumn("confidence", F.when(F.col("value").isNull(), 0.0).otherwise(final)).drop("_a", "_r")

@@ -73,6 +73,13 @@ def sections_from_text(docs: DataFrame, text: str = "text", page: int = 1) -> Da
     return _sections(lines, docs)
 
 
+def sections_from_pages(pages: DataFrame, text: str = "text", page: int = 1) -> DataFrame:
+    """As of their joined texts, but lines are cut page by page: no document is put together in one row."""
+    split = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), T.LINE_BREAKS)).alias("n", "line")
+    lines = pages.select("doc_id", "page_num", split).select("doc_id", (F.col("page_num").cast("long") * (1 << 32) + F.col("n")).alias("line_no"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+    return _sections(_kinds_of_text(lines).withColumn("page_num", F.lit(page)), pages)
+
+
 def sections_from_lines(lines: DataFrame) -> DataFrame:
     """As above, of lines with font size, weight and place; documents without lines have no section."""
     return _sections(_kinds_of_pdf(lines), None)

@@ -9,6 +9,18 @@ from ..config import METRICS
 from ..functions import text as T
 
 PERCENTS = ("net_irr", "target_irr", "mgmt_fee", "carry")
+# What notes say of a repaired percent figure and of a document of several chunks.
+REPAIRED = "{what}: model returned {was} (looked like a fraction, not a percent) -- auto-corrected to {now} per this schema's percent-number convention."
+CHUNKED = "Document processed in {n} chunks due to length ({source})."
+
+
+def _filled(form: str, **parts: Column) -> Column:
+    """A wording with columns in its places."""
+    out, rest = [], form
+    for name, col in parts.items():
+        before, rest = rest.split("{" + name + "}")
+        out += [F.lit(before), col.cast("string")]
+    return F.concat(*out, F.lit(rest))
 
 
 def _try(path: str, kind: str):
@@ -29,7 +41,7 @@ def response_metrics(responses: DataFrame, fields: tuple[str, ...] = METRICS) ->
         own = F.col("_s")[m]
         raw, hurdle = own["value"], own["hurdle"] if m == "carry" else F.lit(None).cast("double")
         fixed, fixed_hurdle = (T.percent_repaired(raw), T.percent_repaired(hurdle)) if m in PERCENTS else (raw, hurdle)
-        changed = F.array_compact(F.array(*[F.when(a != b, F.concat(F.lit(f"{m}.{part}: model returned "), a.cast("string"), F.lit(" (looked like a fraction, not a percent) -- auto-corrected to "), b.cast("string"), F.lit(" per this schema's percent-number convention."))) for part, a, b in (("value", raw, fixed), ("hurdle", hurdle, fixed_hurdle))]))
+        changed = F.array_compact(F.array(*[F.when(a != b, _filled(REPAIRED, what=F.lit(f"{m}.{part}"), was=a, now=b)) for part, a, b in (("value", raw, fixed), ("hurdle", hurdle, fixed_hurdle))]))
         rows.append(F.struct(F.lit(m).alias("field"), fixed.alias("value"), fixed_hurdle.alias("hurdle"), own["basis"].alias("basis"), F.coalesce(own["confidence"], F.lit(0.0)).alias("confidence"), own["evidence"]["page"].alias("page"), F.coalesce(own["evidence"]["snippet"], F.lit("")).alias("snippet"), changed.alias("notes")))
     return responses.select("doc_id", "chunk", _try("$", f"struct<{form}>").alias("_s")).select("doc_id", "chunk", F.inline(F.array(*rows)))
 
@@ -60,10 +72,44 @@ def merged_notes(notes: DataFrame, chunks: DataFrame, source: str) -> DataFrame:
     held = F.array_sort(F.collect_list(F.struct("chunk", "note_ord", "note")))
     said = notes.groupBy("doc_id").agg(F.array_distinct(F.transform(held, lambda x: x["note"])).alias("n"))
     per = chunks.groupBy("doc_id").agg(F.count_distinct("chunk").alias("c")).join(said, "doc_id", "left")
-    last = F.concat(F.lit("Document processed in "), F.col("c").cast("string"), F.lit(f" chunks due to length ({source})."))
+    last = _filled(CHUNKED, n=F.col("c"), source=F.lit(source))
     return per.select("doc_id", F.concat(F.coalesce("n", F.array().cast("array<string>")), F.array(last)).alias("notes"))
 
 
+def response_missing(responses: DataFrame) -> DataFrame:
+    """(doc_id, chunk, missing_fields): what an answer itself lists as missing, as texts."""
+    items = F.coalesce(F.try_variant_get("v", "$.missing_fields", "array<variant>"), F.array().cast("array<variant>"))
+    return responses.select("doc_id", "chunk", F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))).alias("missing_fields"))
+
+
+def chunk_details(good: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(doc_id, chunk, doc_date, notes, missing_fields) of answers: their own notes, then those on repaired figures.
+
+    good: parsed() answers that can be read; metrics: their response_metrics()."""
+    fields = F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("field")).cast("int")
+    repairs = metrics.select("doc_id", "chunk", fields.alias("f"), F.posexplode("notes").alias("k", "note")).select("doc_id", "chunk", ((1 << 20) + F.col("f") * 2 + F.col("k")).cast("int").alias("note_ord"), "note")
+    held = F.array_sort(F.collect_list(F.struct("note_ord", "note")))
+    notes = response_notes(good).unionByName(repairs).groupBy("doc_id", "chunk").agg(F.transform(held, lambda x: x["note"]).alias("notes"))
+    out = response_dates(good).join(response_missing(good), ["doc_id", "chunk"]).join(notes, ["doc_id", "chunk"], "left")
+    return out.withColumn("notes", F.coalesce("notes", F.array().cast("array<string>"))).select("doc_id", "chunk", "doc_date", "notes", "missing_fields")
+
+
+def merged_details(details: DataFrame, missing: DataFrame, source: str) -> DataFrame:
+    """(doc_id, doc_date, notes, missing_fields) of chunk_details(): of a document in one piece what its answer says;
+    of several chunks the first date, all notes once with one on the number of chunks, and what is missing after merging (doc_id, missing_fields)."""
+    held = F.array_sort(F.collect_list(F.struct("chunk", "doc_date", "notes", "missing_fields")))
+    per = details.groupBy("doc_id").agg(held.alias("h")).join(missing.withColumnRenamed("missing_fields", "_m"), "doc_id", "left")
+    n = F.size("h")
+    dates = F.filter(F.transform("h", lambda x: F.nullif(x["doc_date"], F.lit(""))), lambda x: x.isNotNull())
+    said = F.flatten(F.transform("h", lambda x: x["notes"]))
+    last = F.array(_filled(CHUNKED, n=n, source=F.lit(source)))
+    one = F.col("h")[0]
+    return per.select(
+        "doc_id", F.get(dates, F.lit(0)).alias("doc_date"), F.when(n == 1, one["notes"]).otherwise(F.concat(F.array_distinct(said), last)).alias("notes"),
+        F.when(n == 1, one["missing_fields"]).otherwise(F.coalesce("_m", F.array().cast("array<string>"))).alias("missing_fields"),
+    )
+
+
 def schema_hint(name: Column) -> Column:
     """The JSON object that a prompt shows as the form of an answer, for a column of document names."""
     evidence = F.struct(name.alias("doc_name"), F.lit(None).cast("int").alias("page"), F.lit("").alias("snippet"))

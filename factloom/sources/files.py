@@ -73,26 +73,6 @@ def pdf_layout(files: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     return lines, both if lines is None else layout.linked_footnotes(both, layout.pdf_footnotes(lines))
 
 
-def cached(spark: SparkSession, inputs: DataFrame, key: str, compute, folder: str) -> DataFrame:
-    """compute(rows) of the inputs by content key, kept in a Parquet table: only keys that it lacks are computed.
-
-    For calls that cost: key is a column of inputs that stands for all that the answer depends on."""
-    try:
-        kept = spark.read.parquet(folder)
-    except Exception as e:  # noqa: BLE001 - no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        kept = None
-    new = inputs if kept is None else inputs.join(kept.select(key), key, "left_anti")
-    compute(new.dropDuplicates([key])).write.mode("append").parquet(folder)
-    return spark.read.parquet(folder).join(inputs.select(key).distinct(), key, "left_semi")
-
-
-def content_key(*parts):
-    """24 hex digits over parts that are told apart."""
-    return F.left(F.sha2(F.concat_ws("\u001f", *parts), 256), F.lit(24))
-
-
 def read_extracted(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/extracted")
 
