@@ -1,16 +1,16 @@
 """Phrase collocations: exact counts in arrays by slots of a minimal perfect hash over Apriori-safe candidates.
 
-1. Every task hashes its phrases of 1 to 5 words into saturating counters, two independent
-   arrays of them for each length; the arrays of all tasks are summed in a tree. A
+1. Every task hashes its phrases of 1 to 5 words into ``2^BUCKETS`` saturating counters a
+   length, two independent arrays of them; the arrays of all tasks are summed in a tree. A
    phrase can be frequent only if both its buckets are, and so are its first and its last words
-   but one: the resulting bit maps are broadcast. There is a bucket for some ``BYTES`` bytes of text, so that
-   as large a share of the rare phrases passes whatever the corpus, up to ``2^MOST_BITS`` buckets (42 MB of
-   bits in all); in a corpus beyond some 2 GB more and more rare phrases pass, which costs work, not results.
+   but one: the resulting bit maps (of a fixed size) are broadcast. They thin out rare phrases in corpora
+   of up to some GB; in larger ones more of them pass, which costs work, not results.
 2. The distinct phrases that pass are the candidates; a frequent phrase is always among
-   them. They are written with their text and dealt into blocks of about ``BLOCK`` by hash.
-3. For each block the driver makes a minimal perfect hash of its keys (128 bits a phrase,
-   stored at the slots and compared at every lookup) and broadcasts it. Tasks count occurrences by slot with
-   bincount; pieces of these arrays are summed in a tree.
+   them. Tasks give them as arrays of keys (128 bits a phrase), united in a tree.
+3. For each block of about ``BLOCK`` candidates the driver makes a minimal perfect hash of its keys,
+   which are stored at the slots and compared at every lookup, and broadcasts it. Tasks count occurrences by
+   slot with bincount, and note by slot the smallest of 2^16 marks of the texts that hold it; pieces of these
+   arrays are summed (or their least taken) in a tree. A last pass spells frequent phrases where the text has that mark.
 4. The lengths l and r of a phrase's cuts are read by the slots of its parts; the lowest
    score counts, in decimals of 38 digits. Phrases inside one that is as frequent are
    dropped: it is enough to look at phrases that are one word longer, as what lies between
@@ -41,8 +41,8 @@ from .common import _MUL, SLICE, _Powers, dropped, mapped, mixed, written
 from .mph import PerfectHash
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-BYTES, MOST_BITS = 64, 25
-BLOCK, PIECE, FAN, SALTS = 4_000_000, 1 << 16, 16, 32
+BUCKETS, BLOCK, PIECE, FAN, SHARDS, SALTS = 22, 4_000_000, 1 << 16, 16, 256, 32
+MARKS = 1 << 16
 
 #: floor(1000 * a * n / (l * r)) in decimals of 38 digits.
 SCORE = "cast(cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)"
@@ -66,6 +66,7 @@ class Grams:
         self.piece = np.cumsum(kind == 2)[self.first] if len(self.first) else self.first
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(ends, self.first, "right")
+        self.marks = np.array([xxhash.xxh3_64_intdigest(t) % MARKS for t in texts], np.uint16)
         up, down = _Powers.to(len(data))
         self.words, self.seeds = [], seeds[:, self.text] if len(texts) else seeds
         for value in _VALUES:
@@ -147,25 +148,55 @@ def passing(grams: Grams, maps: np.ndarray, bits: int) -> Iterator[tuple[int, np
         yield k, at, h1, h2
 
 
-def summed(pieces: DataFrame, kind: str, most: int | None = None) -> DataFrame:
-    """Arrays (block, piece, node, data) of all nodes added up in a tree, FAN at a time; at most ``most`` an entry where given."""
+def _tree(pieces: DataFrame, name: str, merge) -> DataFrame:
+    """(block, piece, node, data) of all nodes merged in a tree, FAN at a time: merge(list of data) -> data."""
 
     def merged(table: pa.Table) -> pa.Table:
-        total = np.zeros(PIECE, np.int64)
-        for raw in table["data"]:
-            total += _unpacked(raw.as_py(), kind)
-        total = (np.minimum(total, most) if most else total).astype(kind)
-        return pa.table({"block": table["block"][:1].cast(pa.int32()), "piece": table["piece"][:1].cast(pa.int32()), "node": table["node"][:1].cast(pa.int64()), "data": pa.array([_packed(total)], pa.binary())})
+        out = merge(table["data"].to_pylist())
+        return pa.table({"block": table["block"][:1].cast(pa.int32()), "piece": table["piece"][:1].cast(pa.int32()), "node": table["node"][:1].cast(pa.int64()), "data": pa.array([out], pa.binary())})
 
     now = pieces
     while now.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0] > 0:
         up = now.select("block", "piece", F.expr(f"node div {FAN}").alias("node"), "data")
-        new = written(up.groupBy("block", "piece", "node").applyInArrow(merged, "block int, piece int, node long, data binary"), "sums")
+        new = written(up.groupBy("block", "piece", "node").applyInArrow(merged, ARRAYS), name)
         dropped(now)
         now = new
     return now
 
 
+def summed(pieces: DataFrame, kind: str, most: int | None = None) -> DataFrame:
+    """Arrays added up, to at most ``most`` an entry where given."""
+
+    def merge(parts):
+        total = np.zeros(PIECE, np.int64)
+        for raw in parts:
+            total += _unpacked(raw, kind)
+        return _packed((np.minimum(total, most) if most else total).astype(kind))
+
+    return _tree(pieces, "sums", merge)
+
+
+def least_of(pieces: DataFrame, kind: str) -> DataFrame:
+    return _tree(pieces, "least", lambda parts: _packed(np.minimum.reduce([_unpacked(raw, kind) for raw in parts])))
+
+
+def united(pieces: DataFrame) -> DataFrame:
+    """Sets of keys united; a set is its first halves, then its second halves, in order."""
+    return _tree(pieces, "keys", lambda parts: _set(*(np.concatenate(x) for x in zip(*map(_halves, parts), strict=True))))
+
+
+def _halves(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
+def _set(h1: np.ndarray, h2: np.ndarray) -> bytes:
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return h1[new].tobytes() + h2[new].tobytes()
+
+
 def _packed(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
@@ -174,12 +205,20 @@ def _unpacked(raw: bytes, kind: str, n: int = PIECE) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _pieces(block: int, counts: np.ndarray, node: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """Pieces of PIECE counts; what is missing is 0."""
-    for k in range(0, len(counts), PIECE):
-        part = counts[k : k + PIECE]
-        if part.any():
-            yield block, k // PIECE, node, _packed(np.pad(part, (0, PIECE - len(part))))
+def _pieces(block: int, x: np.ndarray, node: int, empty: int = 0) -> Iterator[tuple[int, int, int, bytes]]:
+    """Pieces of PIECE entries; what is missing is empty."""
+    for k in range(0, len(x), PIECE):
+        part = x[k : k + PIECE]
+        if (part != empty).any():
+            yield block, k // PIECE, node, _packed(np.pad(part, (0, PIECE - len(part)), constant_values=empty))
+
+
+def _joined(pieces: DataFrame, kind: str, n: int, empty: int = 0) -> np.ndarray:
+    out = np.full(n, empty, kind)
+    for r in pieces.collect():  # of a bounded block
+        part = _unpacked(r.data, kind)[: n - r.piece * PIECE]
+        out[r.piece * PIECE : r.piece * PIECE + len(part)] = part
+    return out
 
 
 def _batch(rows, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -239,34 +278,31 @@ def bucket_maps(docs: DataFrame, least: int, bits: int) -> tuple[np.ndarray, Dat
 
 
 class Slots:
-    """Candidates (h1, h2, k, lang, phrase) with a perfect hash for each block of them, and counts by slot."""
-
-    def __init__(self, candidates: DataFrame, block: int):
-        self.spark, self.candidates = candidates.sparkSession, candidates
-        self.blocks = max(1, -(-candidates.count() // block))
-        self.sums: dict[int, DataFrame] = {}
-
-    def of(self, b: int) -> DataFrame:
-        return self.candidates.where(F.pmod(F.xxhash64("h1", "h2"), F.lit(self.blocks)) == b)
+    """Candidates' keys, with a perfect hash for each block of them, and counts by slot. keys: of united()."""
+
+    def __init__(self, keys: DataFrame, block: int):
+        self.spark, self.keys = keys.sparkSession, keys
+        self.blocks: list[list[int]] = [[]]
+        held = 0
+        for piece, n in keys.select("piece", (F.length("data") / 16).cast("long")).orderBy("piece").collect():  # a row a shard
+            if held + n > block and self.blocks[-1]:
+                self.blocks.append([])
+                held = 0
+            self.blocks[-1].append(piece)
+            held += n
+        self.counts: list[np.ndarray | DataFrame] = []
 
     def table(self, b: int) -> PerfectHash:
         """Of the keys of one block, so of a bounded number; slots don't depend on their order."""
-        keys = self.of(b).select("h1", "h2").toArrow()
-        return PerfectHash(*(keys[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2")))
-
-    def counts(self, b: int, n: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        for r in self.sums[b].collect():
-            part = _unpacked(r.data, "i8")[: n - r.piece * PIECE]
-            out[r.piece * PIECE : r.piece * PIECE + len(part)] = part
-        return out
+        rows = self.keys.where(F.col("piece").isin(self.blocks[b])).select("data").collect() if self.blocks[b] else []
+        return PerfectHash(*(np.concatenate([np.zeros(0, np.uint64), *x]) for x in (zip(*(_halves(r.data) for r in rows), strict=True) if rows else ([], []))))
 
     def read(self, rows: DataFrame, each, schema: str, name: str) -> DataFrame:
         """each(batch, table, counts) of all rows with every block in turn, one block at a time being broadcast."""
         parts = []
-        for b in range(self.blocks):
+        for b in range(len(self.blocks)):
             table = self.table(b)
-            shared = self.spark.sparkContext.broadcast((table, self.counts(b, len(table))))
+            shared = self.spark.sparkContext.broadcast((table, _joined(self.counts[b], "i8", len(table))))
             parts.append(written(mapped(rows, lambda batch, shared=shared: each(batch, *shared.value), schema, 20_000), name))
             shared.unpersist()
         return reduce(DataFrame.unionByName, parts)
@@ -276,59 +312,100 @@ def _keys(batch, *at: int) -> list[np.ndarray]:
     return [batch.column(i).to_numpy().view(np.uint64) for i in at]
 
 
-def counted(docs: DataFrame, least: int = LEAST, bits: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
+def _sorted_pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs; one may be left twice if others share its first half."""
+    h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h1)
+    h1, h2 = h1[order], h2[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return h1[new], h2[new]
+
+
+def counted(docs: DataFrame, least: int = LEAST, bits: int = BUCKETS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
     """(h1, h2, k, lang, phrase, f) of all phrases of 1 to 5 words that stand at least so often in a language's texts,
     (lang, n) of the words of each language, and the counts by slot; docs: lang, text."""
     spark = docs.sparkSession
-    if bits is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = min(MOST_BITS, max(16, (size // BYTES).bit_length()))
     found, words = bucket_maps(docs, least, bits)
     maps = spark.sparkContext.broadcast(found)
 
     def distinct(batches):
-        seen = [np.zeros(0, np.uint64)] * (LONGEST + 1)
-        for grams, langs in gathered(batches):
-            rows = []
-            for k, at, h1, h2 in passing(grams, maps.value, bits):
-                # By half of the key within a task: two phrases that share it (64 bits) would need to be in no other task to be lost.
-                _, one = np.unique(h1, return_index=True)
-                new = one[~np.isin(h1[one], seen[k], assume_unique=True)]
-                seen[k] = np.union1d(seen[k], h1[new])
-                rows += [(a, b, k, langs[t], grams.spelled(i, k)) for a, b, t, i in zip(h1[new].view(np.int64).tolist(), h2[new].view(np.int64).tolist(), grams.text[at[new]].tolist(), at[new].tolist(), strict=True)]
-            yield _batch(rows, {"h1": pa.int64(), "h2": pa.int64(), "k": pa.int32(), "lang": pa.string(), "phrase": pa.binary()})
-
-    one = docs.mapInArrow(distinct, "h1 long, h2 long, k int, lang string, phrase binary").groupBy("h1", "h2")
-    slots = Slots(written(one.agg(*[F.first(c).alias(c) for c in ("k", "lang", "phrase")]), "candidates"), block)
-    for b in range(slots.blocks):
-        shared = spark.sparkContext.broadcast(slots.table(b))
-        slots.sums[b] = summed(written(docs.mapInArrow(_counting(shared, maps, bits), ARRAYS), "counts"), "i8")
+        held, n = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))], 0
+        for grams, _ in gathered(batches):
+            for _, _, h1, h2 in passing(grams, maps.value, bits):
+                held.append((h1, h2))
+                n += len(h1)
+            if n > 1 << 21:
+                held, n = [_sorted_pairs(held)], 0
+        h1, h2 = _sorted_pairs(held)
+        shard = (h2 % np.uint64(SHARDS)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+        node = TaskContext.get().partitionId()
+        for k in range(SHARDS):
+            some = order[cut[k] : cut[k + 1]]
+            if len(some):
+                yield _batch([(0, k, node, _set(h1[some], h2[some]))], _ARRAYS)
+
+    slots = Slots(united(written(docs.mapInArrow(distinct, ARRAYS), "candidates")), block)
+    phrases = []
+    for b in range(len(slots.blocks)):
+        table = slots.table(b)
+        shared = spark.sparkContext.broadcast(table)
+        both = written(docs.mapInArrow(_counting(shared, maps, bits), ARRAYS), "counts")
+        slots.counts.append(summed(both.where("block = 0"), "i8"))
+        marks = _joined(least_of(both.where("block = 1"), "u2"), "u2", len(table), MARKS - 1)
+        read = spark.sparkContext.broadcast((table, _joined(slots.counts[b], "i8", len(table)), marks))
+        schema = "h1 long, h2 long, k int, lang string, phrase string, f long"
+        spelled = docs.mapInArrow(_spelling(read, maps, bits, least), schema).groupBy("h1", "h2")
+        phrases.append(written(spelled.agg(*[F.first(c).alias(c) for c in ("k", "lang", "phrase", "f")]), "phrases"))
         shared.unpersist()
-
-    def frequent(batch, table, counts):
-        f = np.append(counts, 0)[table.slots(*_keys(batch, 0, 1))]  # -1, of no slot here, reads the 0
-        keep = pa.array(np.flatnonzero(f >= least))
-        return {"f": f[f >= least]} | {c: batch.column(i).take(keep) for i, c in enumerate(("h1", "h2", "k", "lang", "phrase"))}
-
-    kept = slots.read(slots.candidates.select("h1", "h2", "k", "lang", "phrase"), frequent, "f long, h1 long, h2 long, k int, lang string, phrase binary", "phrases")
-    return kept.withColumn("phrase", F.col("phrase").cast("string")), words, slots
+        read.unpersist()
+    return reduce(DataFrame.unionByName, phrases), words, slots
 
 
 def _counting(shared, maps, bits: int):
+    """Counts (block 0) and least marks (block 1) by slot."""
+
     def run(batches):
         table = shared.value
-        counts, held, n = np.zeros(len(table), np.int64), [], 0
+        counts, marks, held, n = np.zeros(len(table), np.int64), np.full(len(table), MARKS - 1, np.uint16), [], 0
         for grams, _ in gathered(batches):
-            for _, _, h1, h2 in passing(grams, maps.value, bits):
+            for _, at, h1, h2 in passing(grams, maps.value, bits):
                 slots = table.slots(h1, h2)
-                held.append(slots[slots >= 0])
+                known = slots >= 0
+                held.append(slots[known])
                 n += len(held[-1])
+                np.minimum.at(marks, held[-1], grams.marks[grams.text[at[known]]])
             if n > 1 << 21:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
                 held, n = [], 0
         if n:
             counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        yield _batch(list(_pieces(0, counts, TaskContext.get().partitionId())), _ARRAYS)
+        node = TaskContext.get().partitionId()
+        yield _batch([*_pieces(0, counts, node), *_pieces(1, marks, node, MARKS - 1)], _ARRAYS)
+
+    return run
+
+
+def _spelling(read, maps, bits: int, least: int):
+    """Frequent phrases as their texts with the least mark have them, once a task."""
+    kinds = {"h1": pa.int64(), "h2": pa.int64(), "k": pa.int32(), "lang": pa.string(), "phrase": pa.string(), "f": pa.int64()}
+
+    def run(batches):
+        table, counts, marks = read.value
+        open_ = counts >= least
+        for grams, langs in gathered(batches):
+            rows = []
+            for k, at, h1, h2 in passing(grams, maps.value, bits):
+                slots = table.slots(h1, h2)
+                some = np.flatnonzero((slots >= 0) & open_[slots])
+                some = some[marks[slots[some]] == grams.marks[grams.text[at[some]]]]
+                _, first = np.unique(slots[some], return_index=True)
+                some = some[first]
+                open_[slots[some]] = False
+                rows += [(a, b, k, langs[t], grams.spelled(i, k).decode(), f) for a, b, t, i, f in zip(h1[some].view(np.int64).tolist(), h2[some].view(np.int64).tolist(), grams.text[at[some]].tolist(), at[some].tolist(), counts[slots[some]].tolist(), strict=True)]
+            yield _batch(rows, kinds)
 
     return run
 
@@ -347,7 +424,7 @@ def with_parts(frequent: DataFrame) -> DataFrame:
     return mapped(frequent.where("k > 1").select("h1", "h2", "lang", "phrase", "k", "f"), each, "h1 long, h2 long, lang string, phrase string, a long, cuts array<struct<cut:int,l1:long,l2:long,r1:long,r2:long>>")
 
 
-def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int | None = None, block: int = BLOCK) -> DataFrame:
+def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = BUCKETS, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     docs = documents.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     frequent, words, slots = counted(docs, least, bits, block)

@@ -151,7 +151,7 @@ def brute_phrases(rows, least, top):
     return want
 
 
-@pytest.mark.parametrize(("bits", "block", "top"), [(None, 4_000_000, 2000), (16, 40, 7)])
+@pytest.mark.parametrize(("bits", "block", "top"), [(22, 4_000_000, 2000), (16, 40, 7)])
 def test_collocations(spark, bits, block, top):
     rng = random.Random(8)
     words = ["The", "of", "Été", "x\x1cy", " ", "don't", "a", "été", "zoë"]
