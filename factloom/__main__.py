@@ -10,9 +10,9 @@ import time
 from pyspark.sql import functions as F
 
 from . import config as cfg
-from .operators import extractors, fusion, reports, rules
-from .plans import pipeline, sinks
-from .session import session
+from .operators import extractors, reports, rules
+from .plans import artifacts, pipeline, sinks
+from .session import session, staged
 from .sources import files, plugins
 
 
@@ -63,17 +63,17 @@ def main(argv: list[str] | None = None) -> int:
         log.save(spark, a.out)
         print(json.dumps([r.asDict() for r in got.scores.limit(20).collect()]))
         return 0
-    docs = files.read_extracted(spark, a.out)
+    known = artifacts.read_documents(spark, f"{a.out}/extracted.json")
     if a.command == "flag":
-        kept = spark.read.parquet(f"{a.out}/mentions"), spark.read.parquet(f"{a.out}/candidates")
-        flags = rules.run_rules(docs, kept[0], fusion.disagreements(kept[1]), config.rules)
+        flags = staged(rules.run_rules(known.docs, known.mentions, known.disagreements, config.rules), "flags")
         flags.write.mode("overwrite").parquet(f"{a.out}/flags")
-        print(json.dumps([r.asDict() for r in reports.risk_score(flags, docs, "fund").limit(20).collect()]))
+        sinks.put_json(spark, f"{a.out}/flags.json", artifacts.flags(flags.orderBy("fund", "rule_ord", "flag_ord")))
+        print(json.dumps([r.asDict() for r in reports.risk_score(flags, known.docs, "fund").limit(20).collect()]))
         return 0
-    flags = files.read_flags(spark, a.out, "fund int, rule_ord int, flag_ord long, severity string, type string, docs string, detail string, evidence string, why_it_matters string, question_to_ask string, a double, b double")
-    scores = reports.recommendation(reports.risk_score(flags, docs, "fund"))
-    totals = reports.completeness(spark.read.parquet(f"{a.out}/metrics")).first()
-    for line in sinks.memo(docs.orderBy("doc_ord"), flags.orderBy("rule_ord", "flag_ord"), totals, scores.first()):
+    flags = artifacts.read_flags(spark, f"{a.out}/flags.json").withColumn("fund", F.lit(0))
+    scores = reports.recommendation(reports.risk_score(flags, known.docs, "fund"))
+    totals = reports.completeness(known.metrics).first()
+    for line in sinks.memo(known.docs.orderBy("doc_ord"), flags.orderBy("flag_ord"), totals, scores.first()):
         print(line)
     return 0
 

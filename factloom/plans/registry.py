@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import run_queries  # noqa: F401
 from .queries import ORACLE, QUERIES  # noqa: F401
 
 FLAGSHIP = "risk_score"

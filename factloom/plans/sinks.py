@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import METRICS, Config
 from ..operators import reports
+from . import artifacts
 from .pipeline import Analysis
 
 LOG = logging.getLogger("factloom")
@@ -121,6 +122,11 @@ def json_lines(df: DataFrame) -> Iterator[str]:
     yield "]"
 
 
+def put_json(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """The rows as one JSON array with a record a line."""
+    _put(spark, path, json_lines(df))
+
+
 def model_memo(docs: DataFrame, flags: DataFrame, decision, client: Callable[[str], str], most: int) -> str | None:
     """The memo as a model writes it; None, for the template, if the rows exceed ``most`` characters or the model fails."""
     parts, left = [], most
@@ -179,8 +185,8 @@ def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = N
         in_order = docs.orderBy("fund", "doc_ord"), flags.orderBy("fund", "rule_ord", "flag_ord")
         said = memo_client and model_memo(*in_order, scores[0], memo_client, config.hosted.max_chars)
         _put(spark, f"{folder}/ic_memo.md", said or memo(*in_order, reports.completeness(a.metrics).first(), scores[0]))
-        for name, df in zip(("extracted", "flags"), in_order, strict=True):
-            _put(spark, f"{folder}/{name}.json", json_lines(df))
+        _put(spark, f"{folder}/extracted.json", json_lines(artifacts.documents(a).orderBy("doc_ord").drop("doc_ord")))
+        _put(spark, f"{folder}/flags.json", json_lines(artifacts.flags(in_order[1])))
     if a.charts is not None:
         a.charts.write.mode("overwrite").parquet(f"{folder}/charts")
     counts = {r["severity"]: r["n_flags"] for r in reports.severity_counts(flags).collect()}

@@ -71,17 +71,3 @@ def pdf_layout(files: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         return lines, None
     both = tables.all_tables(*found)
     return lines, both if lines is None else layout.linked_footnotes(both, layout.pdf_footnotes(lines))
-
-
-def read_extracted(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/extracted")
-
-
-def read_flags(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A run's flags; none where it has no such table."""
-    try:
-        return spark.read.parquet(f"{folder}/flags")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
