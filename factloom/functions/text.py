@@ -23,6 +23,11 @@ def word_count(c: Column) -> Column:
     return F.when(collapsed(c) == "", 0).otherwise(F.size(F.split(collapsed(c), " ")))
 
 
+def folded(c: Column) -> Column:
+    """Lower case, with the four other characters that match an ASCII letter when case is ignored as that letter."""
+    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match ignoring case; null without one."""
     return F.nullif(F.regexp_extract(c, f"(?iuU){pattern}", group), F.lit(""))

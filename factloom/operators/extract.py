@@ -6,6 +6,9 @@ is per page and document, in built-in expressions: no join but the grouping by d
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +20,28 @@ CONFIDENCE = 0.55
 EXTRACTOR = "RegexExtractor"
 
 
+def anchor(pattern: str) -> str:
+    """What every match of a pattern begins with, folded; empty if it begins with no plain text."""
+    plain = re.match(r"(?:[A-Za-z :-]|\\[()])*", pattern)[0]
+    if re.match(r"[?*{]", pattern[len(plain) :]):  # the last character may be missing
+        plain = plain[: -2 if plain.endswith(("\\(", "\\)")) else -1]
+    return "" if "|" in re.sub(r"\([^()]*\)", "", pattern) else plain.replace("\\", "").lower()
+
+
 def pattern_hits(pages: DataFrame, fields=P.FIELD_PATTERNS) -> DataFrame:
     """(doc_id, field, pattern_ord, page_num, raw, snippet): each pattern's first match on each page."""
-    c = F.col("text")
-    tried = [
-        F.struct(F.lit(name).alias("field"), F.lit(k).alias("pattern_ord"), T.first_group(c, p).alias("raw"), T.snippet(c, p, 50, 20).alias("snippet"))
-        for name, ps in fields
-        for k, p in enumerate(ps)
-    ]
-    hits = pages.select("doc_id", "page_num", F.explode(F.filter(F.array(*tried), lambda x: x["raw"].isNotNull())).alias("h"))
-    return hits.select("doc_id", "page_num", "h.*")
+    c, low = F.col("text"), F.col("_low")
+    every = [(name, k, p, anchor(p)) for name, ps in fields for k, p in enumerate(ps)]
+    own = pages.select("doc_id", "page_num", "text", T.folded(c).alias("_low"))
+    if all(a for *_, a in every):
+        some = [F.contains(low, F.lit(a)) for a in sorted({a for *_, a in every})]
+        own = own.where(reduce(Column.__or__, some))
+    # A pattern is tried where the text has what it begins with, and snippets are cut for matches only.
+    tried = [F.struct(F.lit(n).alias("n"), (F.when(F.contains(low, F.lit(a)), T.first_group(c, p)) if a else T.first_group(c, p)).alias("raw")) for n, (_, _, p, a) in enumerate(every)]
+    hits = own.select("doc_id", "page_num", "text", F.inline(F.filter(F.array(*tried), lambda x: x["raw"].isNotNull())))
+    n = F.col("n")
+    by = lambda value: reduce(lambda out, x: out.when(n == x[0], value(x[1])), list(enumerate(every))[1:], F.when(n == 0, value(every[0])))
+    return hits.select("doc_id", "page_num", by(lambda x: F.lit(x[0])).alias("field"), by(lambda x: F.lit(x[1])).alias("pattern_ord"), "raw", by(lambda x: T.snippet(c, x[2], 50, 20)).alias("snippet"))
 
 
 def first_hits(hits: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ candidates: doc_id, field, extractor, extractor_ord, value, hurdle, confidence,
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from ..config import METRICS, Trust
 from ..functions import text as T
+from ..functions.matching import matching_size
 
 DISAGREEMENT, TOLERANCE = 0.85, 0.05
 FUZZY, FUZZY_FACTOR, MISSING_FACTOR, NO_SNIPPET_FACTOR = 0.80, 0.75, 0.40, 0.50
@@ -96,7 +95,7 @@ def confidence(extraction: Column, authority: Column, agreement: Column, recent:
 @F.pandas_udf(DoubleType())
 def _blocks_ratio(snippet: pd.Series, page: pd.Series) -> pd.Series:
     """Share of a snippet in matching blocks with a page, as difflib finds them."""
-    return pd.Series([sum(b.size for b in difflib.SequenceMatcher(None, p, s, autojunk=False).get_matching_blocks()) / len(s) for s, p in zip(snippet, page, strict=True)])
+    return pd.Series([matching_size(p, s) / len(s) for s, p in zip(snippet, page, strict=True)], dtype=float)
 
 
 def match_ratios(metrics: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from .chunking import chunked as chunked
 
 FRONT = "Front Matter"
 HEADING_WORDS, HEADING_RATIO = 12, 1.15
+BOLD_FLAG = 16
 FOOTNOTE_RATIO, FOOTNOTE_Y, FOOTNOTE_WORDS = 0.90, 0.82, 40
 
 
@@ -19,6 +20,27 @@ def text_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", split).select("doc_id", "line_no", F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
 
 
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_num, line_no, text, size, bold, y_frac) of pages as a reader lays them out:
+    (doc_id, page_num, height, blocks array<struct<lines array<struct<y0, spans array<struct<text, size, flags>>>>>>).
+
+    A line is its spans' texts, stripped, with the largest size, bold if any span is, at the height of its upper edge;
+    lines without text are left out. Null blocks (images), lines and spans count as empty. All of it within the row."""
+    lines = F.flatten(F.transform(F.coalesce("blocks", F.array().cast(blocks.schema["blocks"].dataType)), lambda b: F.coalesce(b["lines"], F.array())))
+    high = F.when(F.col("height") > 0, F.col("height")).otherwise(1.0)
+
+    def line(x: Column) -> Column:
+        spans = F.coalesce(x["spans"], F.array())
+        text = F.array_join(F.transform(spans, lambda s: F.coalesce(s["text"], F.lit(""))), "")
+        return F.struct(
+            F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"), F.coalesce(F.array_max(F.transform(spans, lambda s: s["size"])), F.lit(0.0)).cast("double").alias("size"),
+            F.exists(spans, lambda s: F.coalesce(s["flags"], F.lit(0)).bitwiseAND(BOLD_FLAG) != 0).alias("bold"), (x["y0"] / high).alias("y_frac"),
+        )
+
+    held = F.filter(F.transform(lines, line), lambda x: x["text"] != "")
+    return blocks.select("doc_id", "page_num", F.posexplode(held).alias("line_no", "l")).select("doc_id", "page_num", "line_no", "l.*")
+
+
 def _kinds_of_text(lines: DataFrame) -> DataFrame:
     c = F.col("text")
     words = T.word_count(c)

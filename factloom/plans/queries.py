@@ -520,6 +520,23 @@ def _pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_PDF.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_table(spark, sf_dir, "lineitem"))
 
 
+@query("""SELECT doc_id, page_num, (row_number() OVER (PARTITION BY doc_id ORDER BY n % 2, n))::int - 1 AS line_no, text, size, bold, y_frac FROM (
+  SELECT DISTINCT l_orderkey AS doc_id, 1 AS page_num, l_linenumber AS n, 'Line ' || l_linenumber::varchar || CASE WHEN l_linenumber % 3 = 0 THEN ' of ' || l_orderkey::varchar ELSE '' END AS text,
+    CASE WHEN l_linenumber % 3 = 0 THEN 14.0 ELSE 10.0 END::double AS size, l_linenumber % 2 = 0 AND l_linenumber % 3 = 0 AS bold, l_linenumber * 40.0::double / CASE WHEN l_orderkey % 4 = 0 THEN 1.0 ELSE 800.0 END::double AS y_frac
+  FROM lineitem WHERE l_linenumber % 5 <> 0)""")
+def block_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page an order, with a block for odd and one for even lines, blank lines, images without lines and pages without height."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    spans = """array(named_struct('text', CASE WHEN n % 5 = 0 THEN '  ' ELSE '  Line ' END, 'size', 10.0D, 'flags', 4), named_struct('text', CASE WHEN n % 5 = 0 THEN CAST(NULL AS STRING) ELSE concat(CAST(n AS STRING), ' ') END, 'size', 9.0D, 'flags', CAST(NULL AS INT)),
+      named_struct('text', CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN concat('of ', CAST(k AS STRING), '\t') ELSE '' END, 'size', CASE WHEN n % 3 = 0 THEN 14.0D ELSE 8.0D END, 'flags', CASE WHEN n % 2 = 0 AND n % 3 = 0 THEN 20 ELSE 1 END))"""
+    line = F.expr(f"named_struct('y0', n * 40.0D, 'spans', {spans})").alias("line")
+    lines = rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).select("k", "n", line)
+    held = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("n") % 2 == odd, F.struct("n", "line")))), lambda x: x["line"])
+    pages_ = lines.groupBy("k").agg(held(0).alias("even"), held(1).alias("odd"))
+    blocks = F.array(F.struct(F.col("even").alias("lines")), F.struct(F.lit(None).cast(pages_.schema["even"].dataType).alias("lines")), F.struct(F.col("odd").alias("lines")))
+    return layout.block_lines(pages_.select(F.col("k").alias("doc_id"), F.lit(1).alias("page_num"), F.when(F.col("k") % 4 == 0, 0.0).otherwise(800.0).alias("height"), blocks.alias("blocks")))
+
+
 @query(f"WITH {_PDF_SECTIONS} SELECT * FROM t")
 def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sections_from_lines(_pdf_lines(spark, sf_dir))

@@ -65,7 +65,7 @@ def load(spark: SparkSession, folder: str, ocr: Ocr = Ocr(), strict: bool = Fals
 def pdf_layout(files: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """(lines, tables with their pages' footnotes) of the PDFs among discovered files, each None where its reader is not installed."""
     pdfs = files.where(F.lower("doc_name").endswith(".pdf"))
-    lines = plugins.pdf_lines(pdfs) if plugins.available("pdf") else None
+    lines = layout.block_lines(plugins.pdf_blocks(pdfs)) if plugins.available("pdf") else None
     found = [read(pdfs) for kind, read in (("lattice", plugins.ruled_tables), ("tables", plugins.pdf_tables)) if plugins.available(kind)]
     if not found:
         return lines, None

@@ -50,10 +50,16 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "doc_ord", "doc_name", "content").mapInPandas(read, "doc_id string, doc_ord long, doc_name string, page_num int, text string")
 
 
-def pdf_lines(files: DataFrame) -> DataFrame:
-    """(doc_id, page_num, line_no, text, size, bold, y_frac): lines with their largest font size, weight and place."""
+BLOCKS = "doc_id string, page_num int, height double, blocks array<struct<lines: array<struct<y0: double, spans: array<struct<text: string, size: double, flags: int>>>>>>"
+
+
+def pdf_blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, page_num, height, blocks): pages as the reader lays them out, for layout.block_lines()."""
     _need("pdf")
 
+    def span(s: dict) -> dict:
+        return {"text": s.get("text"), "size": float(s.get("size", 0.0)), "flags": int(s.get("flags", 0))}
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import fitz
 
@@ -62,16 +68,11 @@ def pdf_lines(files: DataFrame) -> DataFrame:
             for r in df.itertuples():
                 with fitz.open(stream=r.content, filetype="pdf") as doc:
                     for p, page in enumerate(doc):
-                        high, n = page.rect.height or 1.0, 0
-                        for line in (x for b in page.get_text("dict")["blocks"] for x in b.get("lines", [])):
-                            spans = line["spans"]
-                            text = "".join(s["text"] for s in spans).strip()
-                            if text:
-                                rows.append((r.doc_id, p + 1, n, text, max(float(s["size"]) for s in spans), any(s["flags"] & 16 for s in spans), line["bbox"][1] / high))
-                                n += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "line_no", "text", "size", "bold", "y_frac"])
+                        blocks = [{"lines": [{"y0": float(x["bbox"][1]), "spans": [span(s) for s in x.get("spans", [])]} for x in b.get("lines", [])]} for b in page.get_text("dict").get("blocks", [])]
+                        rows.append((r.doc_id, p + 1, float(page.rect.height), blocks))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "height", "blocks"])
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id string, page_num int, line_no int, text string, size double, bold boolean, y_frac double")
+    return files.select("doc_id", "content").mapInPandas(read, BLOCKS)
 
 
 def rendered_pages(files: DataFrame, wanted: DataFrame | None = None, dpi: int = 200, most: int | None = None) -> DataFrame:

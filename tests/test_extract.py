@@ -114,3 +114,54 @@ def test_memos(spark):
     assert got == [("heading", 2, "<b>A</b> &amp; b"), ("bullet", None, "one"), ("numbered", None, "2. two"), ("rule", None, ""), ("blank", None, ""), ("body", None, "plain")]
     assert [r.kind for r in reports.memo_lines(df).where("doc_id > 1").collect()] == ["blank", "blank"]
     assert [r[0] for r in df.orderBy("doc_id").select(T.plain_memo(F.col("memo"))).collect()] == ["md\nA & b\n* one\n2. two\n\nplain", None, ""]
+
+
+def test_matching_blocks_equal_difflib():
+    import difflib
+    import random
+
+    from factloom.functions.matching import matching_size
+
+    rng = random.Random(3)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc ", "abcdefgh é𝔸"])
+        page = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        said = "".join(rng.choice(letters) for _ in range(rng.randint(1, 25)))
+        if page and rng.random() < 0.3:
+            k = rng.randrange(len(page))
+            said = (page[k : k + 20] + said)[:25]
+        assert matching_size(page, said) == sum(b.size for b in difflib.SequenceMatcher(None, page, said, autojunk=False).get_matching_blocks())
+    assert matching_size("", "a") == matching_size("a", "") == 0
+
+
+def test_patterns_are_tried_wherever_they_could_match(spark):
+    """Against every pattern on every page, with letters that match others only when case is ignored."""
+    import random
+
+    from factloom.functions import patterns as P
+    from factloom.functions import text as T
+
+    rng = random.Random(4)
+    bits = ["AUM) $1.25B", "assetſ under management: $2.5B", "NET İRR: 12.5%", "net ırr 3.5%", "TVPI: 1.5x", "MarKet", "Management fee 1.75%", "target irr: 18%", "carrıed interest 20%", "Carry: 15%", "over an 8% preferred", "hurdle 7%", "As-of Date: 2025-01-01", "effective date: 2025-02-02", "x" * 90, "\n", "Assets Under Management Fee: 2.25% $3.50B"]
+    rows = [(k, 1, None if k == 0 else " ".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))) for k in range(150)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_num int, text string")
+    fields = (*P.FIELD_PATTERNS, ("doc_date", P.DATE_PATTERNS), ("odd", (r"(?:a|b)(x)",)))
+    got = sorted(map(tuple, extract.pattern_hits(pages, fields).collect()))
+    want = []
+    for name, ps in fields:
+        for k, p in enumerate(ps):
+            c = F.col("text")
+            want += [(r.doc_id, 1, name, k, r.raw, r.snippet) for r in pages.select("doc_id", T.first_group(c, p).alias("raw"), T.snippet(c, p, 50, 20).alias("snippet")).where("raw is not null").collect()]
+    assert got == sorted(want) and len(got) > 300
+    assert {extract.anchor(p) for _, ps in P.FIELD_PATTERNS for p in ps} == {"aum)", "assets under management", "net irr", "tvpi", "target irr", "management fee", "carry:", "carried interest", "over an", "hurdle"}
+    assert extract.anchor(r"ab?c") == "a" and extract.anchor(r"ab|c") == "" and extract.anchor(r"\s*x") == ""
+
+
+def test_lines_of_blocks(spark):
+    """Blocks without lines, lines without spans, blank texts, missing sizes and flags, pages without height."""
+    ddl = "doc_id string, page_num int, height double, blocks array<struct<lines: array<struct<y0: double, spans: array<struct<text: string, size: double, flags: int>>>>>>"
+    span = lambda *s: [{"text": t, "size": z, "flags": f} for t, z, f in s]
+    blocks = [{"lines": None}, {"lines": [{"y0": 10.0, "spans": span((" Net ", 9.0, 0), ("IRR ", 11.5, 16))}, {"y0": 20.0, "spans": None}, {"y0": 30.0, "spans": span(("  ", 30.0, 16))}]}, None, {"lines": [{"y0": 50.0, "spans": span((None, None, None), ("x", None, 4))}]}]
+    df = spark.createDataFrame([("a", 1, 100.0, blocks), ("a", 2, 0.0, blocks[1:2]), ("b", 1, None, None)], ddl)
+    got = sorted(map(tuple, layout.block_lines(df).collect()))
+    assert got == [("a", 1, 0, "Net IRR", 11.5, True, 0.1), ("a", 1, 1, "x", 0.0, False, 0.5), ("a", 2, 0, "Net IRR", 11.5, True, 10.0)]
