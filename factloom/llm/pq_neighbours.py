@@ -17,7 +17,7 @@ A list is cut into tiles of at most ``TILE`` entries and ``QUERIES`` queries, wh
 lists never being in one task. Sizes of lists are all that is collected of the index.
 
 Vectors of each length have an index of their own, as only vectors of one length have
-a cosine. Null, zero or non-finite vectors link with nothing. Rows that share id and vector are one vector, and each gets its row. Null
+a cosine. Null, zero or non-finite vectors link with nothing; finite ones of any size do, as they are scaled first. Rows that share id and vector are one vector, and each gets its row. Null
 ids are one id, the smallest, null in the result. No rows: no result.
 """
 
@@ -94,6 +94,8 @@ def _flat(col: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; by their largest entry first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -105,9 +107,7 @@ def signed_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         d, h1, h2, ok = [], [], [], []
         for x in batch.column(1):
             a = np.array(x.values.to_numpy(zero_copy_only=False), float) if x.is_valid and x.values.null_count == 0 and len(x.values) else None
-            with np.errstate(over="ignore"):
-                norm = float((a**2).sum()) if a is not None else 0.0
-            good = norm > 0 and np.isfinite(norm)
+            good = a is not None and bool(np.isfinite(a).all()) and bool(a.any())
             raw = xxhash.xxh3_128_digest((a + 0.0).tobytes()) if good else bytes(16)
             both = np.frombuffer(raw, "<i8")
             d.append(len(a) if good else 0)

@@ -411,3 +411,10 @@ def test_texts_of_more_than_a_slice(spark):
 def test_no_conversations(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(chat_format.formatted(none)).count() == 0
+
+
+def test_pq_vectors_of_any_size(spark):
+    """Squares that over- or underflow make no difference: the cosine alone counts."""
+    rows = [(1, [1.0, 1.0]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.7e308, 1.6e308]), (5, [5e-324, 5e-324]), (6, [1e200, -1e200]), (7, [0.0, 0.0]), (8, [1e-160, -1e-160]), (9, [float("inf"), 1.0])]
+    got = {r._id: (r.n_links, r.component_id) for r in pq_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 5), (4, 1)), 6: (1, 6), 8: (1, 6), 7: (0, 7), 9: (0, 9)}
