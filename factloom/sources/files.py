@@ -6,6 +6,8 @@ Spark's own readers, never by the driver's file system.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,23 @@ from ..operators import layout, tables
 from . import plugins
 
 
+def _empty(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the *.pdf and *.txt files right in a folder that have no byte, which Spark's readers leave out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    none = [(s.getPath().toString(),) for s in found if s.isFile() and not s.getLen()]
+    return spark.createDataFrame([r for r in none if re.search(r"/[^._/][^/]*\.(pdf|txt)$", r[0])], "path string")
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, doc_ord, doc_name, path, content) of the *.pdf and *.txt files right in a folder, in the order of their paths.
 
     The order is over the names alone, which are as many as the folder has files; contents are not read for it, nor moved."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,txt}").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,txt}").load(folder).select("path", "content")
+    files = files.unionByName(_empty(spark, folder).withColumn("content", F.lit(b"")))
     order = F.row_number().over(Window.orderBy("path")) - 1
     listed = files.select("path").select("path", order.cast("long").alias("doc_ord"))
-    return files.select("path", "content").join(listed, "path").select(F.sha2("path", 256).alias("doc_id"), "doc_ord", F.element_at(F.split("path", "/"), -1).alias("doc_name"), "path", "content")
+    return files.join(listed, "path").select(F.sha2("path", 256).alias("doc_id"), "doc_ord", F.element_at(F.split("path", "/"), -1).alias("doc_name"), "path", "content")
 
 
 def text_pages(files: DataFrame) -> DataFrame:

@@ -141,3 +141,37 @@ def test_flag_and_report_read_the_artifacts(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "MGMT_FEE_MISMATCH" in said and "| lpa_agreement.txt | 2026-01-15 |" in said
     assert extract.CONFIDENCE == 0.55
+
+
+def test_documents_as_a_data_source(spark, tmp_path):
+    """Batches and streams give the rows of files.load(); a file is taken once by a stream, whatever runs between."""
+    from factloom.sources import datasource, files
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    texts = {"b.txt": b"one\r\ntwo\rthree", "a.txt": b"bad \xff byte", "empty.txt": b"", "d e.txt": "é".encode() * 10, ".hidden.txt": b"x", "_part.txt": b"x", "note.md": b"x"}
+    for name, raw in texts.items():
+        (folder / name).write_bytes(raw)
+    spark.dataSource.register(datasource.Documents)
+    rows = lambda df: sorted(tuple(r[c] for c in ("doc_id", "doc_ord", "doc_name", "page_num", "text")) for r in df.collect())
+    want = rows(files.load(spark, str(folder)))
+    assert len(want) == 4
+    for path in (str(folder), f"file://{folder}"):
+        got = spark.read.format("documents").option("partitionBytes", "15").load(path)
+        assert rows(got) == want and got.rdd.getNumPartitions() > 1
+    latin = spark.read.format("documents").option("encoding", "latin-1").load(str(folder)).where("doc_name = 'a.txt'").first()
+    assert latin.text == "bad ÿ byte"
+    with pytest.raises(Exception, match="note.md"):
+        spark.read.format("documents").option("strict", "true").load(str(folder)).collect()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def drain():
+        spark.readStream.format("documents").load(str(folder)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(120)
+        return rows(spark.read.parquet(out))
+
+    assert drain() == want and drain() == want
+    (folder / "late.txt").write_text("later")
+    got = drain()
+    assert [r for r in got if r[2] != "late.txt"] == want and [r[1:] for r in got if r[2] == "late.txt"] == [(4, "late.txt", 1, "later")]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("documents").load(str(tmp_path / "none")).count() == 0
