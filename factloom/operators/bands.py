@@ -36,12 +36,23 @@ def beyond_share(v: Column, most: float) -> Column:
     return v * F.when(v >= 0, up).otherwise(1 / up)
 
 
-def apart(values: DataFrame, key: list[str], limit: Column, at_odds, size: int = RANGE) -> DataFrame:
+def apart(values: DataFrame, key: list[str], limit: Column, at_odds, fresh: str | None = None, size: int = RANGE) -> DataFrame:
     """(*key, v_lo, v_hi): the pairs of distinct values v of a key with v_lo < v_hi that at_odds(lo, hi) holds for.
 
-    limit: of column v; at_odds() must hold for no value at or under it but by rounding, and for every value from the first one on that it holds for."""
+    limit: of column v; at_odds() must hold for no value at or under it but by rounding, and for every value from the first one on that it holds for.
+    fresh: a boolean column; only pairs with a fresh value are looked for. The values under a fresh one are found above it with all signs
+    turned, so limit and at_odds() must not mind that."""
+    if fresh is not None:
+        up = _beyond(values, key, limit, at_odds, fresh, size)
+        down = _beyond(values.withColumn("v", -F.col("v")), key, limit, at_odds, fresh, size)
+        return up.unionByName(down.select(*key, (-F.col("v_hi")).alias("v_lo"), (-F.col("v_lo")).alias("v_hi"))).distinct()
+    return _beyond(values, key, limit, at_odds, None, size)
+
+
+def _beyond(values: DataFrame, key: list[str], limit: Column, at_odds, fresh: str | None, size: int) -> DataFrame:
     spark = values.sparkSession
-    one = values.select(*key, "v").where("v is not null").distinct()
+    is_fresh = F.lit(True) if fresh is None else F.col(fresh)
+    one = values.where("v is not null").groupBy(*key, "v").agg(F.max(is_fresh).alias("fresh"))
     slack = (F.abs("v") + F.abs(limit)) * 1e-12
     one = one.withColumn("limit", limit - F.when(slack < float("inf"), slack).otherwise(0.0))
     ranges = min(MOST, -(-one.count() // size))
@@ -69,14 +80,14 @@ def apart(values: DataFrame, key: list[str], limit: Column, at_odds, size: int =
                             last[a:b] = parts[-1]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(last, pa.int32())], [*batch.schema.names, "first", "last"])
 
-        asked = one.mapInArrow(starts, f"{kinds}, first int, last int")
+        asked = one.where("fresh").mapInArrow(starts, f"{kinds}, first int, last int")
         from_ = F.greatest("first", F.col("part") + 1)
         own = F.when(F.col("first") <= F.col("part"), F.array("part")).otherwise(F.array().cast("array<int>"))
         later = F.when(from_ <= F.col("last"), F.sequence(from_, F.col("last"))).otherwise(F.array().cast("array<int>"))
         low = asked.select(*key, F.col("v").alias("v_lo"), F.col("limit").alias("limit_lo"), F.explode(F.concat(own, later)).alias("part"))
     else:
         one = one.withColumn("part", F.lit(0))
-        low = one.select(*key, F.col("v").alias("v_lo"), F.col("limit").alias("limit_lo"), "part")
+        low = one.where("fresh").select(*key, F.col("v").alias("v_lo"), F.col("limit").alias("limit_lo"), "part")
     high = one.select(*key, "part", F.col("v").alias("v_hi"))
     pairs = low.join(high, [*key, "part"]).where((F.col("v_hi") > F.col("v_lo")) & (F.col("v_hi") > F.col("limit_lo")))
     return pairs.where(at_odds(F.col("v_lo"), F.col("v_hi"))).select(*key, "v_lo", "v_hi")

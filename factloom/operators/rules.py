@@ -1,7 +1,8 @@
 """Contradiction rules. Each gives flags: fund, rule_ord, flag_ord, severity, type, docs, detail, evidence,
-why_it_matters, question_to_ask, and the numbers a and b that it compared.
+why_it_matters, question_to_ask, the numbers a and b that it compared, and the documents that it is of (doc_a, doc_b: twice the same one in rules on one document).
 
-docs: doc_id, fund, doc_ord, doc_name, the six metrics as structs (fusion.wide), basis struct.
+docs: doc_id, fund, doc_ord, doc_name, the six metrics as structs (fusion.wide), basis struct. Where docs have a boolean column fresh,
+only flags of fresh documents are given: fresh ones by themselves, and pairs with at least one of them.
 Rules on pairs find the distinct values of a fund that are at odds by value ranges (bands.py;
 all three rules on figures in one go), and join documents only to such pairs of values: no join is by fund alone, and
 documents meet no others than those that they are flagged with. flag_ord orders a fund's flags of a rule;
@@ -20,7 +21,7 @@ from ..config import METRICS, Rules
 from . import bands
 from .extract import local_basis
 
-FLAG = ("fund", "rule_ord", "flag_ord", "severity", "type", "docs", "detail", "evidence", "why_it_matters", "question_to_ask", "a", "b")
+FLAG = ("fund", "rule_ord", "flag_ord", "severity", "type", "docs", "detail", "evidence", "why_it_matters", "question_to_ask", "a", "b", "doc_a", "doc_b")
 
 # What the flags say.
 WHY = {
@@ -37,11 +38,12 @@ WHY = {
 
 def _flags(df: DataFrame, rule: int, severity: str, kind: str, docs: Column, detail: Column, evidence: Column, a: Column, b: Column, order: list, ask: Column | None = None) -> DataFrame:
     why, question = WHY[kind]
+    of = [F.col(c) for c in ("doc_id_a", "doc_id_b")] if "doc_id_a" in df.columns else [F.col("doc_id")] * 2
     second = F.col(order[1]) if len(order) > 1 else F.lit(0)
     number = F.shiftleft(F.col(order[0]).cast("long"), 32) + second.cast("long")
     return df.select(
         "fund", F.lit(rule).alias("rule_ord"), number.alias("flag_ord"), F.lit(severity).alias("severity"), F.lit(kind).alias("type"), docs.alias("docs"), detail.alias("detail"),
-        evidence.alias("evidence"), F.lit(why).alias("why_it_matters"), (ask if ask is not None else F.lit(question)).alias("question_to_ask"), a.alias("a"), b.alias("b"),
+        evidence.alias("evidence"), F.lit(why).alias("why_it_matters"), (ask if ask is not None else F.lit(question)).alias("question_to_ask"), a.alias("a"), b.alias("b"), of[0].alias("doc_a"), of[1].alias("doc_b"),
     )
 
 
@@ -53,19 +55,34 @@ def figures_at_odds(docs: DataFrame, rules: Rules = Rules(), metrics: tuple[str,
     """(fund, metric, v_lo, v_hi) of the figures of a fund that are too far apart; all metrics share one search."""
     v, m = F.col("v"), F.col("metric")
     most = {"mgmt_fee": rules.mgmt_fee_abs_pct, "target_irr": rules.target_irr_abs_pct}
-    values = docs.select("fund", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x)["value"].alias("v")) for x in metrics])).alias("m")).select("fund", "m.*")
+    fresh = [c for c in docs.columns if c == "fresh"]
+    values = docs.select("fund", *fresh, F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x)["value"].alias("v")) for x in metrics])).alias("m")).select("fund", *fresh, "m.*")
     limit, test = bands.beyond_share(v, rules.aum_tolerance_pct), lambda a, b: pct_delta(a, b) > rules.aum_tolerance_pct
     for name, by in most.items():
         limit = F.when(m == name, bands.beyond_difference(v, by)).otherwise(limit)
         test = (lambda a, b, by=by, name=name, rest=test: F.when(m == name, F.abs(a - b) > by).otherwise(rest(a, b)))
-    return bands.apart(values, ["fund", "metric"], limit, test)
+    return bands.apart(values, ["fund", "metric"], limit, test, *fresh)
+
+
+def _own(docs: DataFrame) -> list[str]:
+    return ["doc_id", "doc_ord", "doc_name", *[c for c in docs.columns if c == "fresh"]]
+
+
+def _fresh(docs: DataFrame) -> DataFrame:
+    return docs.where("fresh").drop("fresh") if "fresh" in docs.columns else docs
 
 
 def _paired(one: DataFrame, odd: DataFrame) -> DataFrame:
     """Pairs of documents with values v_lo and v_hi, as columns *_a and *_b in the documents' order."""
-    more = [c for c in one.columns if c != "fund"]
-    low, high = (one.select("fund", F.col("v").alias(f"v_{s}"), F.struct(*more).alias(s)) for s in ("lo", "hi"))
-    both = odd.join(low, ["fund", "v_lo"]).join(high, ["fund", "v_hi"]).where("lo.doc_ord <> hi.doc_ord")
+    more = [c for c in one.columns if c not in ("fund", "fresh")]
+    low, high = (one.select("fund", F.col("v").alias(f"v_{s}"), F.struct(*more).alias(s), *[F.col(c) for c in one.columns if c == "fresh"]) for s in ("lo", "hi"))
+    if "fresh" in one.columns:
+        new, old = (x.where(c).drop("fresh") for x, c in ((low, "fresh"), (low, "not fresh")))
+        first = odd.join(new, ["fund", "v_lo"]).join(high.drop("fresh"), ["fund", "v_hi"])
+        both = first.unionByName(odd.join(high.where("fresh").drop("fresh"), ["fund", "v_hi"]).join(old, ["fund", "v_lo"]).select(*first.columns))
+    else:
+        both = odd.join(low, ["fund", "v_lo"]).join(high, ["fund", "v_hi"])
+    both = both.where("lo.doc_ord <> hi.doc_ord")
     first = F.col("lo.doc_ord") < F.col("hi.doc_ord")
     a, b = F.when(first, F.col("lo")).otherwise(F.col("hi")), F.when(first, F.col("hi")).otherwise(F.col("lo"))
     return both.select("fund", a.alias("_a"), b.alias("_b")).select("fund", *[F.col(f"_{s}")[c].alias(f"{c}_{s}") for s in "ab" for c in more])
@@ -81,7 +98,7 @@ def _cited(doc: str, page: str, snippet: str) -> Column:
 
 def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str, detail, rules: Rules, odd: DataFrame | None) -> DataFrame:
     odd = figures_at_odds(docs, rules, (metric,)) if odd is None else odd
-    one = docs.select("fund", "doc_ord", "doc_name", F.col(metric)["value"].alias("v"), F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet")).where("v is not null")
+    one = docs.select("fund", *_own(docs), F.col(metric)["value"].alias("v"), F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet")).where("v is not null")
     p = _paired(one, odd.where(F.col("metric") == metric).drop("metric"))
     said = F.concat(_cited("doc_name_a", "page_a", "snippet_a"), F.lit(" | "), _cited("doc_name_b", "page_b", "snippet_b"))
     return _flags(p, rule, severity, kind, _versus(), detail(F.col("v_a"), F.col("v_b")), said, F.col("v_a"), F.col("v_b"), ["doc_ord_a", "doc_ord_b"])
@@ -105,7 +122,7 @@ def _convention(s: str = "") -> Column:
 
 
 def definition_drift(docs: DataFrame) -> DataFrame:
-    one = docs.select("fund", "doc_ord", "doc_name", F.col("basis")["basis"].alias("v"), F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet")).where("v is not null")
+    one = docs.select("fund", *_own(docs), F.col("basis")["basis"].alias("v"), F.col("basis")["page"].alias("page"), F.col("basis")["section"].alias("section"), F.col("basis")["snippet"].alias("snippet")).where("v is not null")
     # A fund has few conventions, so their pairs come of one row a fund.
     held = one.groupBy("fund").agg(F.array_sort(F.collect_set("v")).alias("vs"))
     odd = held.select("fund", F.explode("vs").alias("v_lo"), "vs").select("fund", "v_lo", F.explode("vs").alias("v_hi")).where("v_lo < v_hi")
@@ -117,7 +134,7 @@ def definition_drift(docs: DataFrame) -> DataFrame:
 
 
 def definition_drift_internal(docs: DataFrame) -> DataFrame:
-    d = docs.select("fund", "doc_ord", "doc_name", F.col("net_irr")["page"].alias("at"), F.coalesce(F.col("net_irr")["snippet"], F.lit("")).alias("near"), "basis.*")
+    d = _fresh(docs).select("fund", "doc_id", "doc_ord", "doc_name", F.col("net_irr")["page"].alias("at"), F.coalesce(F.col("net_irr")["snippet"], F.lit("")).alias("near"), "basis.*")
     d = d.withColumn("local", local_basis(F.col("near"))).where("local <> basis")
     detail = F.concat(F.lit('The reported IRR figure reads as "'), "local", F.lit('" but this document defines its convention as "'), "basis", F.lit('" elsewhere.'))
     said = F.concat(F.lit("Figure (p."), F.coalesce(F.col("at").cast("string"), F.lit("None")), F.lit('): "'), "near", F.lit('" | Convention'), _convention())
@@ -128,12 +145,12 @@ def definition_drift_internal(docs: DataFrame) -> DataFrame:
 def under_target(docs: DataFrame) -> DataFrame:
     net, target = F.col("net_irr")["value"], F.col("target_irr")["value"]
     said = F.concat(F.lit("Net IRR="), net.cast("string"), F.lit("% | Target IRR="), target.cast("string"), F.lit("%"))
-    return _flags(docs.where(net < target), 5, "YELLOW", "UNDER_TARGET_PERFORMANCE", F.col("doc_name"), F.lit("Net IRR below target IRR"), said, net, target, ["doc_ord"])
+    return _flags(_fresh(docs).where(net < target), 5, "YELLOW", "UNDER_TARGET_PERFORMANCE", F.col("doc_name"), F.lit("Net IRR below target IRR"), said, net, target, ["doc_ord"])
 
 
 def extractor_disagreement(docs: DataFrame, found: DataFrame) -> DataFrame:
     """found: fusion.disagreements()"""
-    d = docs.select("doc_id", "fund", "doc_ord", "doc_name").join(found, "doc_id")
+    d = _fresh(docs).select("doc_id", "fund", "doc_ord", "doc_name").join(found, "doc_id")
     d = d.withColumn("_field", F.array_position(F.array(*[F.lit(m) for m in sorted(METRICS)]), F.col("field")))
     values = F.array_join(F.transform("by_extractor", lambda x: F.concat(x["extractor"], F.lit("="), x["value"].cast("string"))), ", ")
     detail = F.concat(F.lit("Extractors disagree on "), "field", F.lit(": "), values, F.lit(" (agreement="), F.format_string("%.2f", F.col("agreement")), F.lit(")"))
@@ -155,6 +172,7 @@ def unreconciled(mentions: DataFrame, known: DataFrame, tolerance: float, key: l
 
 
 def irr_mention_conflict(docs: DataFrame, mentions: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    docs = _fresh(docs)
     known = docs.select("doc_id", F.explode(F.array_compact(F.array(F.col("target_irr")["value"], F.col("net_irr")["value"]))).alias("value"))
     rest = unreconciled(mentions, known, rules.internal_irr_mention_tolerance_pct, ["doc_id"])
     first = Window.partitionBy("doc_id", F.bround("value", 1), "basis").orderBy("mention_ord")

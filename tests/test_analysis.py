@@ -153,7 +153,7 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame(rows, incremental.PAGES).write.parquet(str(tmp_path / "in"))
     q = incremental.start(incremental.pages_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/flags")).count() == 1
+    assert incremental.flags(spark, str(tmp_path / "out")).count() == 1
 
 
 def test_registered_queries():

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from factloom.config import Rules
 from factloom.operators import bands, chunking, layout, rules
 
-DOC = "fund int, doc_ord long, doc_name string, " + ", ".join(f"{m} struct<value:double,page:int,snippet:string>" for m in ("aum", "mgmt_fee", "target_irr"))
+DOC = "fund int, doc_id long, doc_ord long, doc_name string, " + ", ".join(f"{m} struct<value:double,page:int,snippet:string>" for m in ("aum", "mgmt_fee", "target_irr"))
 
 
 def fund_docs(spark, rows):
     """rows: (fund, aum, fee, target)"""
-    return spark.createDataFrame([(f, k, f"d{k}", *((v, 1, "s") for v in vs)) for k, (f, *vs) in enumerate(rows)], DOC)
+    return spark.createDataFrame([(f, k, k, f"d{k}", *((v, 1, "s") for v in vs)) for k, (f, *vs) in enumerate(rows)], DOC)
 
 
 @pytest.mark.parametrize("size", [3, 4096])
 def test_pairs_at_odds(spark, monkeypatch, size):
     monkeypatch.setattr(bands, "RANGE", size)
-    monkeypatch.setattr(bands.apart, "__defaults__", (size,))
+    monkeypatch.setattr(bands.apart, "__defaults__", (None, size))
     rng = random.Random(size)
     pick = lambda xs: rng.choice([None, *xs])
     rows = [(rng.choice([1, 1, 1, 2, None]), pick([-2e9, -1.9e9, 0.0, 1e9, 1.05e9, 1.1e9, 5e9, rng.random()]), pick([1.5, 1.6, 1.7, 2.0, 1.5 + 0.1, rng.random()]), pick([15.0, 18.0, 20.0, 17.5 + rng.random()])) for _ in range(60)]
@@ -32,13 +32,18 @@ def test_pairs_at_odds(spark, monkeypatch, size):
     got = [x for f in (rules.aum_mismatch, rules.fee_mismatch, rules.target_irr_drift) for x in f(docs, r, odd).collect()]
     assert sorted((x.rule_ord, x.flag_ord, x.a, x.b) for x in got) == want and len(want) > 50
     assert sorted((x.flag_ord, x.a) for x in rules.fee_mismatch(docs, r).collect()) == sorted(w[1:3] for w in want if w[0] == 1)
+    # Only what fresh documents are part of, whether their values are new or not.
+    some = docs.withColumn("fresh", F.col("doc_id") % 7 == 3)
+    odd = rules.figures_at_odds(some, r)
+    got = [x for f in (rules.aum_mismatch, rules.fee_mismatch, rules.target_irr_drift) for x in f(some, r, odd).collect()]
+    assert sorted((x.rule_ord, x.flag_ord, x.a, x.b) for x in got) == [w for w in want if 3 in ((w[1] >> 32) % 7, (w[1] & (1 << 32) - 1) % 7)]
 
 
 def test_one_fund_of_many_documents_and_few_flags(spark):
     """100,000 documents of one fund with as many fees: values meet by range, never all of them, and no join is by fund alone."""
     n, r = 100_000, Rules()
     fee = 1.5 + r.mgmt_fee_abs_pct * 1.0001 * F.col("id") / n  # only the first and the last dozen are at odds
-    docs = spark.range(n).select(F.lit(1).alias("fund"), F.col("id").alias("doc_ord"), F.concat(F.lit("d"), "id").alias("doc_name"), F.struct(fee.alias("value"), F.lit(1).alias("page"), F.lit("s").alias("snippet")).alias("mgmt_fee"))
+    docs = spark.range(n).select(F.lit(1).alias("fund"), F.col("id").alias("doc_id"), F.col("id").alias("doc_ord"), F.concat(F.lit("d"), "id").alias("doc_name"), F.struct(fee.alias("value"), F.lit(1).alias("page"), F.lit("s").alias("snippet")).alias("mgmt_fee"))
     odd = rules.figures_at_odds(docs, r, ("mgmt_fee",))
     got = rules.fee_mismatch(docs, r, odd).collect()
     fees = [1.5 + r.mgmt_fee_abs_pct * 1.0001 * i / n for i in range(n)]
