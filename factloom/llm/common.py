@@ -30,6 +30,12 @@ def keyed(df: DataFrame, id_col: str, **cols: str) -> DataFrame:
     return df.select(F.coalesce(c(id_col).cast("long"), F.lit(NULL_KEY)).alias("_id"), *[c(v).alias(k) for k, v in cols.items()])
 
 
+def with_text_key(rows: DataFrame) -> DataFrame:
+    """rows (_id, text, ...) with ``_t``, a hash of the text: id and hash together tell rows that share an id apart, so
+    joins back to rows go by both, and an id of very many rows (null among them) is no hot key."""
+    return rows.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def unkeyed(col: Column | str = "_id") -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return F.when(col != F.lit(NULL_KEY), col)

@@ -4,7 +4,7 @@ A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-
 lower-cased, held as a 128-bit hash; lines whose key has under ``min_chars`` code
 points have none. The index holds three tables, all partitioned, none collected:
 
-* ``postings`` (_id, k1, k2): once for each document and key;
+* ``postings`` (_id, _t, k1, k2): once for each document, text (a hash of it) and key;
 * ``refs`` (k1, k2, n, top): exact number of documents and largest id of each key;
 * ``filters`` (shard, filter): a cuckoo filter over the keys of each shard.
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_arrow, keyed, mapped, texts, unkeyed, written
+from .common import as_arrow, keyed, mapped, texts, unkeyed, with_text_key, written
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -51,19 +51,20 @@ def key_of(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(_id, k1, k2), once for each row and key; docs has _id and text."""
+    """(_id, _t, k1, k2), once for each row and key; docs has _id, text and _t."""
 
     def each(batch):
-        ids, keys = [], []
-        for i, text in zip(batch.column(0).to_numpy(), texts(batch), strict=True):
+        ids, hashes, keys = [], [], []
+        for i, t, text in zip(batch.column(0).to_numpy(), batch.column(2).to_numpy(), texts(batch), strict=True):
             found = {key_of(x, min_chars) for x in text.lower().split(b"\n")}
             found.discard(None)
             keys.extend(found)
             ids.append(np.full(len(found), i, np.int64))
+            hashes.append(np.full(len(found), t, np.int64))
         halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        return {"_id": np.concatenate(ids) if ids else [], "k1": halves[:, 0], "k2": halves[:, 1]}
+        return {"_id": np.concatenate(ids) if ids else [], "_t": np.concatenate(hashes) if ids else [], "k1": halves[:, 0], "k2": halves[:, 1]}
 
-    return mapped(docs, each, "_id long, k1 long, k2 long")
+    return mapped(docs, each, "_id long, _t long, k1 long, k2 long")
 
 
 def _sharded(counts: DataFrame, shards: int) -> DataFrame:
@@ -80,21 +81,21 @@ class LineIndex:
     @classmethod
     def empty(cls, spark: SparkSession, shards: int = 16, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         none = lambda ddl: spark.createDataFrame([], ddl)
-        return cls(none("_id long, k1 long, k2 long"), none("k1 long, k2 long, n long, top long"), none("shard int, filter binary"), shards, min_chars, min_docs)
+        return cls(none("_id long, _t long, k1 long, k2 long"), none("k1 long, k2 long, n long, top long"), none("shard int, filter binary"), shards, min_chars, min_docs)
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> LineIndex:
         """An index of docs; shards are sized by the number of its postings unless more documents are to come."""
-        postings = written(line_keys(keyed(docs, id_col, text=text_col), min_chars), "line-postings")
+        postings = written(line_keys(with_text_key(keyed(docs, id_col, text=text_col)), min_chars), "line-postings")
         shards = shards or max(16, postings.count() // SHARD_KEYS)
         return cls.empty(docs.sparkSession, shards, min_chars, min_docs)._add(postings, fresh=True)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """docs' ids must not be in the index yet; delete() an old version first."""
-        return self._add(written(line_keys(keyed(docs, id_col, text=text_col), self.min_chars), "line-postings"))
+        return self._add(written(line_keys(with_text_key(keyed(docs, id_col, text=text_col)), self.min_chars), "line-postings"))
 
     def _add(self, postings: DataFrame, fresh: bool = False) -> LineIndex:
-        pairs = postings.distinct()
+        pairs = postings.select("_id", "k1", "k2").distinct()
         counts = _sharded(pairs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("_id").alias("top")), self.shards)
         stepped = written(counts.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_insert, _STEP), "line-step")
         keys, filters = _parts(stepped)
@@ -126,7 +127,7 @@ class LineIndex:
         gone = keyed(ids, id_col).distinct()
         left = written(self.postings.join(gone, "_id", "left_anti"), "line-postings")
         touched = written(self.postings.join(gone, "_id", "left_semi").select("k1", "k2").distinct(), "line-touched")
-        now = left.join(touched, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("_id").alias("top"))
+        now = left.select("_id", "k1", "k2").join(touched, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("_id").alias("top"))
         old, rest = self._touched(_sharded(touched, self.shards).select("shard"))
         refs = written(old.join(touched, ["k1", "k2"], "left_anti").select("k1", "k2", "n", "top").unionByName(now), "line-refs").unionByName(rest)
         dead = _sharded(touched.join(now, ["k1", "k2"], "left_anti"), self.shards)
@@ -134,16 +135,16 @@ class LineIndex:
         return LineIndex(left, refs, filters, self.shards, self.min_chars, self.min_docs)
 
     def cuts(self) -> DataFrame:
-        """(_id, keys): for each document, the 16-byte keys whose lines it loses, end to end."""
+        """(_id, _t, keys): for each text of a document, the 16-byte keys whose lines it loses, end to end."""
         often = self.refs.where(F.col("n") >= self.min_docs).select("k1", "k2", "top")
         hits = self.postings.distinct().join(often, ["k1", "k2"]).where("_id < top")
-        return hits.groupBy("_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+        return hits.groupBy("_id", "_t").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
-        """(_id, n_lines, n_dropped, text) and columns to keep (internal name -> column), a row for each row of docs."""
+        """(_id, n_lines, n_dropped, text) and columns to keep (internal name -> column), a row for each row of docs, which stand in the index as they are."""
         keep = keep or {}
-        rows = keyed(docs, id_col, text=text_col, **keep)
-        joined = rows.join(self.cuts().hint("shuffle_hash"), "_id", "left")
+        rows = with_text_key(keyed(docs, id_col, text=text_col, **keep))
+        joined = rows.join(self.cuts().hint("shuffle_hash"), ["_id", "_t"], "left")
         low = self.min_chars
 
         def each(batch):

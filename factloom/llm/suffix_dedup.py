@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, _Powers, keyed, mapped, mixed, texts, unkeyed, written
+from .common import _Powers, keyed, mapped, mixed, SLICE, texts, unkeyed, with_text_key, written
 
 LENGTH, K = 100, 40
 PIECE, INDEX_BYTES = 400, 1_000_000
@@ -306,18 +306,18 @@ def _spans(batches, length: int = LENGTH):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(_id, n_bytes, n_removed, n_spans, kept_sha256, text) for each row of docs; text is what is kept, as bytes."""
-    rows = keyed(docs, id_col, text=text_col)
+    rows = with_text_key(keyed(docs, id_col, text=text_col))
 
     def summed(batch):
-        out = {"_id": batch.column(0), "n": [], "h": [], "h2": [], "sha": []}
+        out = {"_id": batch.column(0), "_t": batch.column(2), "n": [], "h": [], "h2": [], "sha": []}
         for t in texts(batch):
             a, b = _halves(t)
             for k, v in (("n", len(t)), ("h", a), ("h2", b), ("sha", hashlib.sha256(t).hexdigest())):
                 out[k].append(v)
         return out
 
-    sums = written(mapped(rows, summed, "_id long, n long, h long, h2 long, sha string"), "text-hashes")
-    classes = sums.groupBy("h", "h2").agg(F.min("_id").alias("rep"))
+    sums = written(mapped(rows, summed, "_id long, _t long, n long, h long, h2 long, sha string"), "text-hashes")
+    classes = sums.groupBy("h", "h2").agg(F.min("_id").alias("rep"), F.first("_t").alias("_t"))
 
     def anchored(batch):
         a_, h_, p_, o_ = [], [], [], []
@@ -340,13 +340,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     found = found.repartition("a", salt).sortWithinPartitions("a")
     found = written(found.mapInArrow(_repeated, "a long, h long, pos int, g long"), "anchors")
     places = found.groupBy("h", "g").agg(F.collect_set("pos").alias("pos"))  # of one text, so bounded by it
-    places = places.join(classes, "h").groupBy(F.col("rep").alias("_id"), "h").agg(F.collect_list(F.struct("g", "pos")).alias("groups"))
+    places = places.join(classes, "h").groupBy(F.col("rep").alias("_id"), "_t", "h").agg(F.collect_list(F.struct("g", "pos")).alias("groups"))
 
-    def regions(batch):
+    def regions(batches):
+        seen: set[tuple[int, int]] = set()  # a row that repeats id and text is one
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                yield pa.RecordBatch.from_pydict(cut_out(whole.slice(k, 500), seen), schema=pa.schema([("g", pa.int64()), ("_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("raw", pa.binary())]))
+
+    def cut_out(batch, seen):
         out = {k: [] for k in ("g", "_id", "h", "start", "raw")}
         for i, h, groups, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), texts(batch), strict=True):
-            if groups is None or _halves(text)[0] != h:
+            if groups is None or (i, h) in seen or _halves(text)[0] != h:
                 continue
+            seen.add((i, h))
             for group in groups:
                 pos = np.sort(np.array(group["pos"], np.int64))
                 lo, hi = np.maximum(pos + K - length, 0), np.minimum(pos + length, len(text))
@@ -357,15 +364,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                             out[k].append(v)
         return out
 
-    cut = rows.join(places.hint("shuffle_hash"), "_id").select("_id", "text", "h", "groups")
-    parts = mapped(cut, regions, "g long, _id long, h long, start int, raw binary", rows=500)
+    cut = rows.join(places.hint("shuffle_hash"), ["_id", "_t"]).select("_id", "text", "h", "groups")
+    parts = cut.mapInArrow(regions, "g long, _id long, h long, start int, raw binary")
     parts = parts.repartition("g").sortWithinPartitions("g", "_id", "h", "start")
     spans = parts.mapInArrow(lambda b: _spans(b, length), "_id long, h long, s int, e int")
     spans = spans.groupBy("_id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     # What happens to each class: copies go whole, the smallest id loses its spans.
-    facts = sums.join(classes, ["h", "h2"]).select("_id", "n", "h", "sha", (F.col("_id") > F.col("rep")).alias("copy"))
+    facts = sums.join(classes, ["h", "h2"]).select("_id", sums["_t"], "n", "h", "sha", (F.col("_id") > F.col("rep")).alias("copy"))
     facts = facts.distinct()
-    facts = facts.join(spans, ["_id", "h"], "left").groupBy("_id").agg(F.collect_list(F.struct("h", "copy", "spans", "sha")).alias("facts"))
+    facts = facts.join(spans, ["_id", "h"], "left").groupBy("_id", "_t").agg(F.collect_list(F.struct("h", "copy", "spans", "sha")).alias("facts"))  # one, but for texts of one _t
 
     def kept(batch):
         out = {k: [] for k in ("_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
@@ -387,7 +394,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 out[k].append(v)
         return out
 
-    final = rows.join(facts.hint("shuffle_hash"), "_id").select("_id", "text", "facts")
+    final = rows.join(facts.hint("shuffle_hash"), ["_id", "_t"]).select("_id", "text", "facts")
     return mapped(final, kept, "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary")
 
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct, hashed_rows, keyed, mapped, mixed, unkeyed, written
+from .common import distinct, hashed_rows, keyed, mapped, mixed, unkeyed, with_text_key, written
 from .components import Forest, connected
 
 WORDS, SHARE = 5, (80, 100)
@@ -60,7 +60,7 @@ COUNT_SHINGLES, COUNT_SLICE = 2_000_000, 2048
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """Of rows (_id, text): n, h1, h2, mins of each set, and rows (tok, cnt) of shingles that repeat in a batch."""
+    """Of rows (_id, text, _t): n, h1, h2, mins of each set, and rows (tok, cnt) of shingles that repeat in a batch."""
 
     def each(batch):
         ids, n, h1, h2, mins, every = [], [], [], [], [], []
@@ -75,9 +75,9 @@ def signatures(rows: DataFrame) -> DataFrame:
         tok, cnt = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         tok, cnt = tok[cnt > 1], cnt[cnt > 1]
         pad = lambda x: x + [None] * len(tok)
-        return {"_id": pad(ids), "n": pad(n), "h1": pad(h1), "h2": pad(h2), "mins": pad(mins), "tok": pa.array([None] * len(ids) + tok.view(np.int64).tolist(), pa.int64()), "cnt": pa.array([None] * len(ids) + cnt.tolist(), pa.int64())}
+        return {"_id": pad(ids), "n": pad(n), "h1": pad(h1), "h2": pad(h2), "mins": pad(mins), "_t": pad(batch.column(2).to_pylist()), "tok": pa.array([None] * len(ids) + tok.view(np.int64).tolist(), pa.int64()), "cnt": pa.array([None] * len(ids) + cnt.tolist(), pa.int64())}
 
-    return mapped(rows, each, "_id long, n long, h1 long, h2 long, mins array<long>, tok long, cnt long", rows=10_000)
+    return mapped(rows, each, "_id long, _t long, n long, h1 long, h2 long, mins array<long>, tok long, cnt long", rows=10_000)
 
 
 def _signed(x) -> int:
@@ -293,21 +293,24 @@ def _joined_units(units: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def _with_sets(rows: DataFrame, members: DataFrame, hot, *cols: str) -> DataFrame:
-    """Members (u, h1, rep, cols) of units as (u, h1, cols, s), s being the ordered set of row rep's text.
+    """Members (u, h1, rep, rep_t, cols) of units as (u, h1, cols, s), s being the ordered set of row rep's text.
 
     Only rows that a bit map of the members' ids lets through are shuffled, as text, which is shorter than its set."""
     members = written(members, "members")
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(bit_map(members.select(F.xxhash64("rep"))))
+    bits = spark.sparkContext.broadcast(bit_map(members.select(F.xxhash64("rep", "rep_t"))))
 
     kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in cols)
 
     def those(batches):
+        seen: set[tuple[int, int]] = set()  # a row that repeats id and text is one
         for batch in batches:
-            keep = marked(batch.column(2).to_numpy().view(np.uint64), bits.value)
-            yield batch.filter(pa.array(keep)).select([0, 1])
+            at = np.flatnonzero(marked(batch.column(3).to_numpy().view(np.uint64), bits.value))
+            pairs = zip(batch.column(0).to_numpy()[at].tolist(), batch.column(2).to_numpy()[at].tolist(), strict=True)
+            new = [k for k, pair in zip(at.tolist(), pairs, strict=True) if not (pair in seen or seen.add(pair))]
+            yield batch.take(pa.array(new, pa.int64())).select([0, 1, 2])
 
-    some = rows.withColumn("h", F.xxhash64("_id")).select("_id", "text", "h").mapInArrow(those, "_id long, text string")
+    some = rows.select("_id", "text", "_t", F.xxhash64("_id", "_t").alias("h")).mapInArrow(those, "_id long, text string, _t long")
 
     def with_set(batch):
         h1, out = batch.column("h1").to_numpy(), []
@@ -316,7 +319,8 @@ def _with_sets(rows: DataFrame, members: DataFrame, hot, *cols: str) -> DataFram
             out.append(ordered(s, hot.value).tobytes() if len(s) and _signed(s.sum()) == h else None)
         return {"u": batch.column("u"), "h1": h1, "s": pa.array(out, pa.binary())} | {c: batch.column(c) for c in cols}
 
-    met = some.join(members.withColumnRenamed("rep", "_id").hint("merge"), "_id")  # a class may be a member of many units.select("text", "u", "h1", *cols)
+    # A class may be a member of many units.
+    met = some.join(members.withColumnsRenamed({"rep": "_id", "rep_t": "_t"}).hint("merge"), ["_id", "_t"]).select("text", "u", "h1", *cols)
     return mapped(met, with_set, f"u long, h1 long, {kinds}, s binary").where("s is not null")
 
 
@@ -452,7 +456,7 @@ def _link_counts(named: DataFrame, rows: DataFrame, hot, share: tuple[int, int])
     own = named.join(size, "comp")
     two = own.where("c = 2").select("h1", (F.col("rows") - F.col("copies")).alias("links"))
     small = (F.col("c") <= CHUNK) & (F.col("shingles") <= COUNT_SHINGLES)
-    own = own.where("c > 2").select("comp", "h1", "rep", "copies", "n", F.when(small, -2).otherwise(_size_class("n")).alias("z"))
+    own = own.where("c > 2").select("comp", "h1", "rep", "rep_t", "copies", "n", F.when(small, -2).otherwise(_size_class("n")).alias("z"))
     parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / COUNT_SHINGLES)).cast("long")
     per = written(own.groupBy("comp", "z").agg(parts.alias("parts")), "link-chunks")
     own = own.join(per, ["comp", "z"]).withColumn("i", F.pmod(F.xxhash64("h1"), F.col("parts")))
@@ -460,7 +464,7 @@ def _link_counts(named: DataFrame, rows: DataFrame, hot, share: tuple[int, int])
     met = own.withColumn("z2", F.explode(F.when(F.col("z") == -2, F.array("z")).otherwise(F.array(F.col("z") - 1, "z", F.col("z") + 1)))).join(other, ["comp", "z2"])
     here, there = F.struct(F.col("z").alias("z"), F.col("i").alias("i")), F.struct(F.col("z2").alias("z"), F.col("i2").alias("i"))
     side = F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int")
-    met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "rep", "copies", side.alias("side"))
+    met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "rep", "rep_t", "copies", side.alias("side"))
     dealt = _with_sets(rows, met, hot, "copies", "side").repartition("u").sortWithinPartitions("u")
 
     def run(batches):
@@ -498,13 +502,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share must be 80% at least: the size classes of step 3 rest on it."""
     assert share[0] * 100 >= 80 * share[1]
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text=text_col)
+    rows = with_text_key(keyed(docs, id_col, text=text_col))
     sig = written(signatures(rows), "sets")
     hot = frequent(sig.where("tok is not null").select("tok", "cnt"))
     owned = sig.where("tok is null")
-    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
+    classes = written(owned.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("_id", "_t")).alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")).withColumns({"rep_t": F.col("rep._t"), "rep": F.col("rep._id")}), "classes")
 
-    rep = classes.select("h1", "rep")
+    rep = classes.select("h1", "rep", "rep_t")
 
     # Shingles spread so thinly that no batch holds two show as long runs among the prefixes: they too go last.
     first = _prefixes(rows, spark.sparkContext.broadcast(hot), share)
@@ -552,7 +556,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     far = _joined_units(_with_sets(rows, units.join(rep, "h1"), shared_hot, "comp"), share)
 
     comp = connected(near.union(written(far, "far-links")))
-    named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", "copies", F.coalesce("comp", "h1").alias("comp"))
+    named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", "rep_t", "copies", F.coalesce("comp", "h1").alias("comp"))
     links = _link_counts(named := written(named, "components"), rows, shared_hot, share) if counted else None
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp")

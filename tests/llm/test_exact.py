@@ -418,3 +418,38 @@ def test_pq_vectors_of_any_size(spark):
     rows = [(1, [1.0, 1.0]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.7e308, 1.6e308]), (5, [5e-324, 5e-324]), (6, [1e200, -1e200]), (7, [0.0, 0.0]), (8, [1e-160, -1e-160]), (9, [float("inf"), 1.0])]
     got = {r._id: (r.n_links, r.component_id) for r in pq_neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {**dict.fromkeys((1, 2, 3, 4, 5), (4, 1)), 6: (1, 6), 8: (1, 6), 7: (0, 7), 9: (0, 9)}
+
+
+def crowded(spark, n=5000, same_id=True):
+    """n rows that share an id (or null) with texts of their own that all hold a passage, near copies among them, and rows that repeat."""
+    rng = random.Random(12)
+    passage = " ".join(f"word{rng.randrange(10**6)}" for _ in range(20))
+    rows = []
+    for k in range(n):
+        own = " ".join(f"w{rng.randrange(10**5)}" for _ in range(12))
+        rows.append(f"{own}\n{passage}\n{own[::-1]}")
+    rows = [t if k % 10 else rows[0] + f" x{k % 3}" for k, t in enumerate(rows)]
+    return [(None if same_id is None else 7 if same_id else k, t) for k, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind", [None, True])
+def test_many_rows_of_one_id_cost_no_more(spark, kind):
+    """Null ids and one id of thousands of rows take about as long as ids of their own, and rows fare as if judged one by one."""
+    import time
+
+    took, out = {}, {}
+    for ids in (False, kind):
+        rows = crowded(spark, same_id=ids)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        start = time.time()
+        out[ids] = (
+            sorted((r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df).select("n_bytes", "n_removed").collect()),
+            sorted(r.n_shingles for r in trie_join.jaccard_classes(df).select("n_shingles").collect()),
+            sorted(r.n_dropped for r in line_dedup.LineIndex.build(df).apply(df).select("n_dropped").collect()),
+        )
+        took[ids] = time.time() - start
+    assert took[kind] < 3 * took[False] + 20
+    sizes = sorted(len(t.encode()) for _, t in rows)
+    assert [n for n, _ in out[kind][0]] == sizes and out[kind][1] == out[False][1]
+    assert set(out[kind][2]) == {0}  # one document, so no line is held by three
+    assert sum(m for _, m in out[False][0]) > 0
