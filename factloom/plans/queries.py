@@ -76,7 +76,12 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "section_ord", "title", "canonical_type", F.sha2("text", 256).alias("text_sha"))
 
 
-@query("SELECT s_suppkey::bigint AS doc_id, 0 AS fn_ord, '1' AS marker, '1) Unaudited, see note.' AS text, 2 AS page_num FROM supplier")
+_OF = lambda sql, source: sql.replace("FROM documents", f"FROM ({source})")
+_SECOND_PAGES = f"SELECT doc_id, text FROM ({PAGES}) WHERE page_num = 2"
+_NOTES = f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no))::int - 1 AS fn_ord, trim(regexp_extract(text, {_quoted(P.FOOTNOTE)}, 1), '().*') AS marker, text, 2 AS page_num FROM ({_OF(_KINDS, _SECOND_PAGES)}) WHERE kind = 'footnote'"
+
+
+@query(_NOTES)
 def text_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the fund documents' second pages; the table documents has no line that reads as a footnote."""
     return layout.text_footnotes(pages(spark, sf_dir).where("page_num = 2"), page=2).select("doc_id", "fn_ord", "marker", "text", "page_num")
@@ -167,10 +172,12 @@ def irr_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.irr_mentions(pages(spark, sf_dir)).drop("snippet")
 
 
-# 'net of fees' and 'gross of fees' stand in Definitions, which come first; else 'Net IRR' in the performance summary.
-_BASIS = """b AS (SELECT doc_id, CASE WHEN bool_or(contains(text, 'net of fees')) THEN 'net' WHEN bool_or(contains(text, 'gross of fees')) THEN 'gross' ELSE 'net' END AS basis,
-  CASE WHEN bool_or(contains(text, 'net of fees')) THEN 'net of fees' WHEN bool_or(contains(text, 'gross of fees')) THEN 'gross of fees' ELSE 'Net IRR' END AS snippet,
-  CASE WHEN bool_or(contains(text, ' of fees.')) THEN 'Definitions' ELSE 'Performance Summary' END AS section FROM p GROUP BY doc_id)"""
+_FIRST_OF = lambda found, c: "CASE " + " ".join(f"WHEN regexp_matches({c}, {_quoted(p)}, 'i') THEN " + (_quoted(b) if found == "basis" else f"regexp_extract({c}, {_quoted(p)}, 0, 'i')") for b, ps in (("net", P.NET_PATTERNS), ("gross", P.GROSS_PATTERNS)) for p in ps) + " END"
+_WHOLE = f"SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS text FROM ({PAGES}) GROUP BY doc_id"
+_BASIS = f"""b AS (SELECT doc_id, basis, snippet, section FROM (
+  SELECT doc_id, {_FIRST_OF("basis", "text")} AS basis, {_FIRST_OF("snippet", "text")} AS snippet, title AS section, 0 AS tier, coalesce(list_position({list(P.BASIS_SECTIONS)!r}, canonical_type), 99) AS rank, section_ord AS o FROM ({_OF(_SECTIONS, _WHOLE)})
+  UNION ALL SELECT doc_id, {_FIRST_OF("basis", "text")}, {_FIRST_OF("snippet", "text")}, NULL, 1, 0, page_num FROM p)
+  WHERE basis IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier, rank, o) = 1)"""
 
 
 @query(f"WITH p AS ({PAGES}), {_BASIS} SELECT doc_id, basis, snippet, section FROM b")
@@ -214,7 +221,8 @@ def table_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_fallback(own, tables.table_metrics(_doc_tables(spark, sf_dir))).select("doc_id", "field", "value", "from_table")
 
 
-@query("SELECT s_suppkey::bigint AS doc_id, (s_suppkey % 2 + 1)::int AS page, CASE WHEN s_suppkey % 2 = 1 THEN '1) Unaudited, see note.' ELSE '' END AS footnotes FROM supplier")
+@query(f"""SELECT s_suppkey::bigint AS doc_id, (s_suppkey % 2 + 1)::int AS page, coalesce(string_agg(n.text, '|' ORDER BY n.fn_ord), '') AS footnotes
+FROM supplier LEFT JOIN ({_NOTES}) n ON n.doc_id = s_suppkey AND n.page_num = s_suppkey % 2 + 1 GROUP BY s_suppkey""")
 def footnote_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = pages(spark, sf_dir).where("page_num = 2")
     out = layout.linked_footnotes(_doc_tables(spark, sf_dir), layout.text_footnotes(second, page=2))
@@ -270,11 +278,17 @@ def verify_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verified(spark, sf_dir)[0].select("doc_id", "field", "confidence", "match_ratio")
 
 
-_DAMAGE = "CASE doc_id % 3 WHEN 0 THEN 'not found verbatim' WHEN 1 THEN 'matched page fuzzily' END"
+#: Evidence as pages say it: a snippet that lost its first letter matches in one block less that letter, one of other signs nowhere.
+_PLAIN = lambda c: f"lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+_DAMAGED = f"""o AS (SELECT doc_id, field, text, strpos(text, hit) AS st, length(hit) AS len FROM f WHERE field <> 'hurdle'),
+s AS (SELECT doc_id, field, text, array_to_string(string_split(trim(regexp_replace(substring(text, greatest(st - 50, 1), st + len + 49 - greatest(st - 50, 1) + 1), '\\s+', ' ', 'g')), ' ')[1:20], ' ') AS snippet FROM o),
+x AS (SELECT doc_id, field, {_PLAIN('text')} AS page_text, {_PLAIN("CASE doc_id % 3 WHEN 0 THEN '#~#~#~#~#~#~#~#~#~#~' WHEN 1 THEN '#' || substring(snippet, 2) ELSE snippet END")} AS said FROM s),
+r AS (SELECT doc_id, field, CASE WHEN contains(page_text, said) THEN 1.0 WHEN contains(page_text, substring(said, 2)) THEN (length(said) - 1) / length(said) ELSE 0.0 END::double AS ratio FROM x)"""
 
 
-@query(f"""{_M}, {_SCORED}, d AS (SELECT *, CASE WHEN value IS NOT NULL THEN {_DAMAGE} END AS damage FROM v)
-SELECT doc_id, field, final * CASE damage WHEN 'not found verbatim' THEN 0.4::double WHEN 'matched page fuzzily' THEN 0.75::double ELSE 1.0::double END AS confidence, damage AS note FROM d""")
+@query(f"""{_M}, {_SCORED}, {_DAMAGED}
+SELECT v.doc_id, v.field, final * CASE WHEN v.value IS NULL OR ratio >= 1 THEN 1.0::double WHEN ratio >= 0.8 THEN 0.75 ELSE 0.4 END AS confidence,
+  CASE WHEN v.value IS NULL OR ratio >= 1 THEN NULL WHEN ratio >= 0.8 THEN 'matched page fuzzily' ELSE 'not found verbatim' END AS note FROM v LEFT JOIN r ON r.doc_id = v.doc_id AND r.field = v.field""")
 def verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets of a third of the documents replaced by what no page says, of another third with their first letter lost in a scan."""
     p = pages(spark, sf_dir)
@@ -287,12 +301,15 @@ def verify_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "field", "confidence", note.alias("note"))
 
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'what the scan of page ' || o_orderkey::varchar || ' says' WHEN o_orderkey % 3 = 0 THEN ' few ' ELSE 'a text layer of ' || o_orderkey::varchar || ' with enough characters' END AS text FROM orders")
+_LAYER = "CASE WHEN o_orderkey % 3 = 0 THEN ' few ' ELSE concat('a text layer of ', CAST(o_orderkey AS STRING), ' with enough characters') END"
+_SCAN = "CASE WHEN o_orderkey % 2 = 0 THEN concat('what the scan of page ', CAST(o_orderkey AS STRING), ' says') ELSE 'x' END"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(trim(own)) < 20 AND length(trim(scan)) > length(trim(own)) THEN scan ELSE own END AS text FROM (SELECT o_orderkey AS doc_id, {_LAYER} AS own, {_SCAN} AS scan FROM orders)")
 def ocr_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with next to no text take the scan's if it has more; the others keep theirs."""
-    o = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "1 AS page_num", "CASE WHEN o_orderkey % 3 = 0 THEN ' few ' ELSE concat('a text layer of ', CAST(o_orderkey AS STRING), ' with enough characters') END AS text")
-    scan = o.selectExpr("doc_id", "page_num", "CASE WHEN doc_id % 2 = 0 THEN concat('what the scan of page ', CAST(doc_id AS STRING), ' says') ELSE 'x' END AS ocr_text")
-    return files.with_ocr(o, scan).select("doc_id", "text")
+    o = _table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", "1 AS page_num", f"{_LAYER} AS text", f"{_SCAN} AS ocr_text")
+    return files.with_ocr(o.drop("ocr_text"), o.drop("text")).select("doc_id", "text")
 
 
 @query(f"""{_M}, w AS (SELECT doc_id, doc_ord, doc_name, fund, max(value) FILTER (WHERE field = 'mgmt_fee') AS v FROM m GROUP BY ALL)
@@ -553,7 +570,8 @@ def section_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.section_for_page(layout.sections_from_lines(lines), lines.select("doc_id", "page_num").distinct())
 
 
-@query("SELECT s_suppkey::bigint AS doc_id, 0 AS source_ord, 0 AS table_ord, 't_' || s_suppkey::bigint AS table_id FROM supplier UNION ALL SELECT s_suppkey::bigint, 1, 1, 'u_' || s_suppkey::bigint FROM supplier WHERE s_suppkey % 2 = 0")
+@query("""SELECT doc_id, source_ord, (row_number() OVER (PARTITION BY doc_id ORDER BY source_ord, table_id))::int - 1 AS table_ord, table_id FROM (
+  SELECT s_suppkey::bigint AS doc_id, 0 AS source_ord, 't_' || s_suppkey::bigint AS table_id FROM supplier UNION ALL SELECT s_suppkey::bigint, 1, 'u_' || s_suppkey::bigint FROM supplier WHERE s_suppkey % 2 = 0)""")
 def table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _doc_tables(spark, sf_dir)
     two = one.where("doc_id % 2 = 0").withColumn("table_id", F.concat(F.lit("u_"), F.col("doc_id").cast("string")))
@@ -568,15 +586,23 @@ def table_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.with_table_candidates(fusion.scored_candidates(own), filled).select("doc_id", "field", "extractor", "value", "confidence", "winner")
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.3 ELSE 1.0 END::double AS weight FROM orders")
+_WHEN = "CASE o_orderkey % 4 WHEN 0 THEN substring(CAST(o_orderdate AS STRING), 1, 10) WHEN 1 THEN concat(substring(CAST(o_orderdate AS STRING), 1, 10), 'T00:00:00Z') WHEN 2 THEN concat(CAST(2010 + o_orderkey % 15 AS STRING), substring(CAST(o_orderdate AS STRING), 5, 6), 'T12:00:00+02:00') ELSE '2999-03-01T00:00:00+01:00' END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN z IS NULL THEN 0.5 ELSE greatest(0.30::double, least(1.0::double, 1.0::double - date_diff('day', (z AT TIME ZONE 'UTC')::date, (now() AT TIME ZONE 'UTC')::date) / 3650.0::double)) END::double AS weight
+FROM (SELECT o_orderkey, CASE WHEN regexp_matches(d, '(Z|[+-]\\d{{2}}:?\\d{{2}})$') AND contains(d, 'T') THEN TRY_CAST(d AS TIMESTAMPTZ) END AS z FROM (SELECT o_orderkey, {_WHEN} AS d FROM orders))""")
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain days have no age; moments of the nineties are as old as counts, those to come not old at all."""
-    date = "CASE o_orderkey % 3 WHEN 0 THEN '1995-03-01' WHEN 1 THEN '1995-03-01T00:00:00Z' ELSE '2999-03-01T00:00:00+01:00' END"
-    return _table(spark, sf_dir, "orders").select("o_orderkey", fusion.recency(F.expr(date)).alias("weight"))
+    """Plain days have no age; moments of the nineties are as old as counts, later ones by their days, those to come not old at all."""
+    return _table(spark, sf_dir, "orders").select("o_orderkey", fusion.recency(F.expr(_WHEN)).alias("weight"))
+
+
+_MARKED_UP = lambda c: f"regexp_replace(regexp_replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g'), '\\*([^*]+)\\*', '<i>\\1</i>', 'g')"
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'N/A' WHEN c_custkey % 4 = 1 THEN '$' || (c_custkey % 9 + 1) || '.50B' WHEN c_custkey % 4 = 2 THEN '$' || (c_custkey % 9 + 1) || '.25M' ELSE '$' || (c_custkey % 9 + 1) || ',500' END AS money,
-CASE c_custkey % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN '1.5' ELSE 'N/A' END AS cell, '<b>' || c_name || '</b> &amp; <i>is</i> &lt;x&gt;' AS markup FROM customer""")
+@query(f"""SELECT c_custkey, CASE WHEN m IS NULL THEN 'N/A' WHEN m >= 1e9 THEN printf('$%.2fB', m / 1e9) WHEN m >= 1e6 THEN printf('$%.2fM', m / 1e6) ELSE '$' || format('{{:,}}', m::bigint) END AS money,
+  CASE WHEN v IS NULL OR isnan(v) THEN 'N/A' ELSE v::varchar END AS cell, {_MARKED_UP("t")} AS markup FROM (
+  SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN (c_custkey % 9 + 1.5) * 1e9 WHEN 2 THEN (c_custkey % 9 + 1.25) * 1e6 WHEN 3 THEN (c_custkey % 9 + 1) * 1000.0 + 500 END::double AS m,
+    CASE c_custkey % 3 WHEN 0 THEN 'nan' WHEN 1 THEN '1.5' END::double AS v, '**' || c_name || '** & *is* <x>' AS t FROM customer)""")
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     digit = (k % 9 + 1).cast("double")
@@ -585,19 +611,30 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", T.money(amount).alias("money"), T.cell(value).alias("cell"), T.inline_markup(F.concat(F.lit("**"), "c_name", F.lit("** & *is* <x>"))).alias("markup"))
 
 
+_MEMO = "concat('```markdown', chr(10), '# Memo ', CAST(CAST(s_suppkey AS BIGINT) AS STRING), chr(10), chr(10), chr(10), chr(10), '### **Terms**', chr(10), '---', chr(10), '- fee of *two* & more', chr(10), '1. first', chr(10), '-- so **said** ', CAST(CAST(s_suppkey AS BIGINT) AS STRING), chr(10), '```')"
+
+
 def _memos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey").cast("string")
-    text = F.concat(F.lit("```markdown\n# Memo "), k, F.lit("\n\n\n\n### **Terms**\n---\n- fee of *two* & more\n1. first\n-- so **said** "), k, F.lit("\n```"))
-    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), text.alias("memo"))
+    return _table(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS doc_id", f"{_MEMO} AS memo")
+
+
+_LINE_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, {_quoted(p)}) THEN {_quoted(n)}" for n, p in P.MEMO_LINES) + " ELSE 'body' END"
+_LINE_TEXT = "CASE " + " ".join(f"WHEN regexp_matches(line, {_quoted(p)}) THEN regexp_extract(line, {_quoted(p)}, 1)" for _, p in P.MEMO_LINES) + " ELSE line END"
 
 
-@query("""SELECT s_suppkey::bigint AS doc_id, x.line_ord, x.kind, x.level, x.text || CASE WHEN x.line_ord IN (0, 8) THEN s_suppkey::bigint::varchar ELSE '' END AS text FROM supplier CROSS JOIN (VALUES (0, 'heading', 1, 'Memo '), (1, 'blank', NULL, ''), (2, 'blank', NULL, ''), (3, 'blank', NULL, ''),
-(4, 'heading', 3, '<b>Terms</b>'), (5, 'rule', NULL, ''), (6, 'bullet', NULL, 'fee of <i>two</i> &amp; more'), (7, 'numbered', NULL, '1. first'), (8, 'body', NULL, '-- so <b>said</b> ')) x(line_ord, kind, level, text)""")
+@query(f"""WITH u AS (SELECT s_suppkey::bigint AS doc_id, string_split(regexp_replace(regexp_replace(trim({_MEMO}), '^```[a-z]*\\s*\\n?', ''), '\\n?```\\s*$', ''), chr(10)) AS ls FROM supplier),
+l AS (SELECT doc_id, generate_subscripts(ls, 1)::int - 1 AS line_ord, trim(unnest(ls)) AS line FROM u)
+SELECT doc_id, line_ord, {_LINE_KIND} AS kind, CASE WHEN {_LINE_KIND} = 'heading' THEN length(regexp_extract(line, '^#+'))::int END AS level, {_MARKED_UP(f"trim({_LINE_TEXT})")} AS text FROM l""")
 def memo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.memo_lines(_memos(spark, sf_dir))
 
 
-@query("SELECT s_suppkey::bigint AS doc_id, 'Memo ' || s_suppkey::bigint || chr(10) || chr(10) || 'Terms' || chr(10) || chr(10) || '- fee of *two* & more' || chr(10) || '1. first' || chr(10) || '-- so said ' || s_suppkey::bigint AS memo FROM supplier")
+_UNMARKED = _MEMO
+for _p, _to in P.MEMO_MARKS:
+    _UNMARKED = f"regexp_replace({_UNMARKED}, {_quoted(_p)}, {_quoted(_to)}, 'g')"
+
+
+@query(f"SELECT s_suppkey::bigint AS doc_id, regexp_replace({_UNMARKED}, '^\\s+|\\s+$', '', 'g') AS memo FROM supplier")
 def memo_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memos(spark, sf_dir).select("doc_id", T.plain_memo(F.col("memo")).alias("memo"))
 
@@ -624,20 +661,29 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "value", "confidence")
 
 
-@query("SELECT l_orderkey AS doc_id, 'chunk|line|Document processed in ' || count(DISTINCT l_linenumber)::varchar || ' chunks due to length (hosted).' AS notes FROM lineitem GROUP BY l_orderkey")
+@query(f"""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS chunk, ({_ANSWER})::JSON AS j FROM lineitem),
+n AS (SELECT doc_id, chunk, unnest(json_extract(j, '$.notes[*]')) AS x, generate_subscripts(json_extract(j, '$.notes[*]'), 1) AS o FROM a),
+t AS (SELECT doc_id, chunk * 100 + o AS o, CASE WHEN json_type(x) = 'OBJECT' THEN x->>'$.text' ELSE x->>'$' END AS note FROM n),
+d AS (SELECT doc_id, note, min(o) AS o FROM t GROUP BY doc_id, note)
+SELECT doc_id, string_agg(note, '|' ORDER BY o) || '|Document processed in ' || (SELECT count(DISTINCT chunk) FROM a WHERE a.doc_id = d.doc_id)::varchar || ' chunks due to length (hosted).' AS notes FROM d GROUP BY doc_id""")
 def merged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _responses(spark, sf_dir)
     return responses.merged_notes(responses.response_notes(r), r, "hosted").select("doc_id", F.array_join("notes", "|").alias("notes"))
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS chunk, '2025-01-0' || l_linenumber::varchar AS doc_date FROM lineitem")
+@query(f"SELECT l_orderkey AS doc_id, l_linenumber AS chunk, ({_ANSWER})::JSON->>'$.doc_date.value' AS doc_date FROM lineitem")
 def answer_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.response_dates(_responses(spark, sf_dir))
 
 
-@query("SELECT c_custkey AS doc_id, 2 AS page, 1 AS chart_ord, 'bar' AS chart_type, 'Sales ' || c_custkey AS title, 'a:1.5,:null,7:2.0' AS series, 0.6::double AS confidence, 'Sales ' || c_custkey AS snippet FROM customer WHERE c_custkey % 4 > 0")
+_CHARTS = """CASE WHEN c_custkey % 4 = 0 THEN '{"charts": "none"}' ELSE concat('{"charts": ["no chart", {"chart_type": "bar", "title": "Sales ', CAST(c_custkey AS STRING), '", "series": [{"label": "a", "value": 1.5}, 3, {"value": null}, {"label": 7, "value": 2}]}]}') END"""
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS doc_id, json_extract(({_CHARTS})::JSON, '$.charts[*]') AS cs FROM customer),
+c AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1)::int - 1 AS chart_ord FROM r),
+k AS (SELECT doc_id, chart_ord, c->>'$.chart_type' AS chart_type, c->>'$.title' AS title, list_filter(json_extract(c, '$.series[*]'), lambda x: json_type(x) = 'OBJECT') AS points FROM c WHERE json_type(c) = 'OBJECT')
+SELECT doc_id, 2 AS page, chart_ord, chart_type, title, array_to_string(list_transform(points, lambda x: coalesce(x->>'$.label', '') || ':' || coalesce((x->>'$.value')::double::varchar, 'null')), ',') AS series, 0.6::double AS confidence, title AS snippet FROM k""")
 def chart_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers on charts with items that are none; every fourth has no list of them."""
-    said = """CASE WHEN c_custkey % 4 = 0 THEN '{"charts": "none"}' ELSE concat('{"charts": ["no chart", {"chart_type": "bar", "title": "Sales ', CAST(c_custkey AS STRING), '", "series": [{"label": "a", "value": 1.5}, 3, {"value": null}, {"label": 7, "value": 2}]}]}') END AS response"""
-    c = responses.charts(responses.parsed(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "2 AS page", said)))
+    c = responses.charts(responses.parsed(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "2 AS page", f"{_CHARTS} AS response")))
     points = F.transform("series", lambda x: F.concat(x["label"], F.lit(":"), F.coalesce(x["value"].cast("string"), F.lit("null"))))
     return c.select("doc_id", "page", "chart_ord", "chart_type", "title", F.array_join(points, ",").alias("series"), "confidence", "snippet")
