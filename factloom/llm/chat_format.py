@@ -111,7 +111,7 @@ def formatted(conversations: DataFrame, path: str = TOKENIZER, loss_role: str =
     schema = pa.schema([("_id", pa.int64()), ("part", pa.int64()), ("turns", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_())), ("spans", pa.list_(pa.int64()))])
 
     def run(batches):
-        last, part, turns, size, ready = None, 0, [], 0, []
+        last, part, turns, size, ready, held = None, 0, [], 0, [], 0
 
         def batch_of(ready):
             done = [(i, p, len(t), *render(t, loss_role)) for i, p, t in ready]
@@ -124,11 +124,10 @@ def formatted(conversations: DataFrame, path: str = TOKENIZER, loss_role: str =
             for i, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if turns and (i != last or size >= segment):
                     ready.append((last, part, turns))
-                    part, turns = part + 1, []
-                    if sum(len(t) for *_, t in ready) >= 500 or size >= segment:
+                    part, turns, held, size = part + 1, [], held + size, 0
+                    if sum(len(t) for *_, t in ready) >= 500 or held >= segment:
                         yield batch_of(ready)
-                        ready = []
-                    size = 0
+                        ready, held = [], 0
                 if i != last:
                     last, part = i, 0
                 turns.append((role, text))

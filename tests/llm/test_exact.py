@@ -453,3 +453,26 @@ def test_many_rows_of_one_id_cost_no_more(spark, kind):
     assert [n for n, _ in out[kind][0]] == sizes and out[kind][1] == out[False][1]
     assert set(out[kind][2]) == {0}  # one document, so no line is held by three
     assert sum(m for _, m in out[False][0]) > 0
+
+
+def test_many_large_conversations_are_encoded_in_bounded_batches(spark, monkeypatch):
+    """Conversations just under a segment flush by their characters, not by their number of turns."""
+    sizes = []
+    true_tokenizer = chat_format.tokenizer
+
+    class Watched:
+        def encode_batch(self, many, **more):
+            sizes.append(sum(map(len, many)))
+            return true_tokenizer(chat_format.TOKENIZER).encode_batch(many, **more)
+
+    rows = [(c, t, "assistant" if t else "user", "word " * 180) for c in range(60) for t in (0, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    plain = sorted(map(tuple, chat_format.digests(chat_format.formatted(df)).drop("n_tokens", "loss_tokens").collect()))
+    parts = chat_format.formatted(df, segment=2000)
+    assert parts.count() == 60 and sorted(map(tuple, chat_format.digests(parts).drop("n_tokens", "loss_tokens").collect())) == plain
+    batches = []
+    monkeypatch.setattr(chat_format, "tokenizer", lambda path: Watched())
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: batches.append(f) or self)
+    chat_format.formatted(df, segment=2000)
+    list(batches[0]([__import__("pyarrow").RecordBatch.from_pydict({"_id": [r[0] for r in rows], "turn": [r[1] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})]))
+    assert max(sizes) < 3 * 2000 and len(sizes) >= 30

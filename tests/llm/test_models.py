@@ -255,3 +255,71 @@ def test_a_text_of_more_than_a_slice_is_scored(spark):
 def test_no_texts_to_count(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.edited(token_counts.trees(none), token_counts.revision(F.col("text"))).count() == 0
+
+
+def plain_trees(x, y, trees, depth, rate=0.2, bins=64, l2=1.0, least=5):
+    """The same trees node by node and split by split: a list of nested (feature, threshold, left, right) or leaf values."""
+    n, width = x.shape
+    base = np.log((y.sum() + 0.5) / (n + 1) / (1 - (y.sum() + 0.5) / (n + 1)))
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins)[1:-1])) for f in range(width)]
+    raw, out = np.full(n, base), []
+
+    def grow(rows, level):
+        g, h = p[rows] - y[rows], p[rows] * (1 - p[rows])
+        if level == depth:
+            return -rate * g.sum() / (h.sum() + l2)
+        best = (1e-9, None, None)
+        for f in range(width):
+            for e in edges[f]:
+                left = x[rows, f] <= e
+                if left.sum() >= least and (~left).sum() >= least:
+                    gain = g[left].sum() ** 2 / (h[left].sum() + l2) + g[~left].sum() ** 2 / (h[~left].sum() + l2) - g.sum() ** 2 / (h.sum() + l2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, e)
+        if best[1] is None:
+            return (0, np.inf, grow(rows, level + 1), grow(rows[:0], level + 1))
+        right = x[rows, best[1]] > best[2]
+        return (best[1], best[2], grow(rows[~right], level + 1), grow(rows[right], level + 1))
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        out.append(grow(np.arange(n), 0))
+        raw = raw + np.array([walked(out[-1], r) for r in x])
+    return base, out
+
+
+def walked(node, row):
+    while isinstance(node, tuple):
+        node = node[3] if row[node[0]] > node[1] else node[2]
+    return node
+
+
+def nested(trees, t, node=0):
+    inner = trees.feature.shape[1]
+    if node >= inner:
+        return trees.leaf[t, node - inner]
+    return (int(trees.feature[t, node]), trees.threshold[t, node], nested(trees, t, 2 * node + 1), nested(trees, t, 2 * node + 2))
+
+
+def test_trees_equal_plain_ones():
+    rng = np.random.default_rng(4)
+    for seed in range(3):
+        x = rng.normal(size=(120, 4)).round(2)
+        y = ((x[:, 0] > 0.2) ^ (x[:, 1] + 0.3 * rng.normal(size=120) > 0)).astype(float)
+        fitted = gbdt.fit(x, y, trees=5, depth=3)
+        base, plain = plain_trees(x, y, 5, 3)
+        new = rng.normal(size=(200, 4)).round(2)
+        want = 1 / (1 + np.exp(-(base + np.array([sum(walked(t, r) for t in plain) for r in new]))))
+        assert np.allclose(fitted.predict(new), want, atol=1e-9), seed
+
+
+def test_quality_scores_equal_walking_the_trees(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trees = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    forest = [nested(trees, t) for t in range(len(trees.feature))]
+    got = {r._id: r.score for r in quality.score(docs, trees).collect()}
+    for r in docs.collect():
+        raw = trees.base + sum(walked(t, quality.stats((r.text or "").encode())) for t in forest)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-raw))) < 1e-12
+    learnt = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    assert len(got) == docs.count() and learnt & set(got)
