@@ -24,8 +24,8 @@ n - ceil(0.8 n) + 1 shingles. The steps:
    the overlap so far and what remains of both sides, can't reach the threshold.
    Pairs already connected are not tested, and only links that connect are kept:
    never more rows than members.
-5. ``counted``: all links lie within components, so every pair of classes of one is
-   verified once by its exact overlap, in chunks of a size class and its neighbours.
+5. ``counted``: all links lie within components, so the classes of one are joined once more,
+   in chunks of a size class and its neighbours: a chunk's sets walk the other's trie together, sharing nodes and pruned as in step 4.
    Links are weighted by copies and counted, not emitted. A component of two classes is one link.
 
 So no link that connects two components is lost, and no block's pairs are emitted.
@@ -55,8 +55,8 @@ SEEDS = 3
 #: Members of a chunk that is joined in one go, and of one with a common smallest class.
 CHUNK, STAR = 1000, 256
 SALTS = 64
-#: Shingles of a chunk in which links are counted, and those that are multiplied in one go.
-COUNT_SHINGLES, COUNT_SLICE = 2_000_000, 2048
+#: Shingles of a chunk in which links are counted.
+COUNT_SHINGLES = 2_000_000
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -391,62 +391,45 @@ def _common(batches):
         yield chosen(*held)
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set of a with each of b; sets have distinct members."""
-    out = np.zeros((len(a), len(b)), np.int64)
-    flat = [np.concatenate(x) for x in (a, b)]
-    own = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
-    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-    if not len(both):
-        return out
-    tok, df = [], []
-    for k in (0, 1):
-        at = np.minimum(np.searchsorted(both, flat[k]), len(both) - 1)
-        hit = both[at] == flat[k]
-        order = np.argsort(at[hit], kind="stable")
-        tok.append(at[hit][order])
-        own[k] = own[k][hit][order]
-        df.append(np.bincount(tok[k], minlength=len(both)))
-    seldom = df[0] * df[1] * 200 < out.size  # cheaper pair by pair than as a column
-    pairs = np.where(seldom, df[0] * df[1], 0)
-    start = [np.cumsum(x) - x for x in df]
-    total = np.cumsum(pairs)
-    k = 0
-    while k < len(both):
-        m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + 4_000_000, "right")))
-        size = pairs[k:m]
-        t = np.repeat(np.arange(k, m), size)
-        nth = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
-        i, j = own[0][start[0][t] + nth // df[1][t]], own[1][start[1][t] + nth % df[1][t]]
-        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
-        k = m
-    column = np.cumsum(~seldom) - 1
-    for k in range(0, int((~seldom).sum()), COUNT_SLICE):
-        part = []
-        for x, t, o in zip((a, b), tok, own, strict=True):
-            c = column[t] - k
-            use = ~seldom[t] & (c >= 0) & (c < COUNT_SLICE)
-            one = np.zeros((len(x), COUNT_SLICE), np.float32)
-            one[o[use], c[use]] = 1
-            part.append(one)
-        out += np.rint(part[0] @ part[1].T).astype(np.int64)
-    return out
-
-
 def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """How many rows each set links with: all others where side is 0, those of side 2 and 1 for sides 1 and 2."""
+    """How many rows each set links with: all others where side is 0, those of side 2 and 1 for sides 1 and 2.
+
+    All sets of one side walk the trie of the other's together, each node once with those that can still reach the threshold below it."""
     num, den = share
     size = np.array([len(s) for s in sets])
-    left, right = (np.flatnonzero(side != x) for x in (2, 1))
+    asking, stored = (np.flatnonzero(side != x) for x in (2, 1))
     out = np.zeros(len(sets), np.int64)
-    if not len(left) or not len(right):
+    if not len(asking) or not len(stored):
         return out
-    linked = (num + den) * overlaps([sets[k] for k in left], [sets[k] for k in right]) >= num * (size[left][:, None] + size[right])
-    if not side.any():
-        np.fill_diagonal(linked, False)
-        return linked @ copies
-    out[left] = linked @ copies[right]
-    out[right] = linked.T @ copies[left]
+    trie = Trie(share)
+    for k in stored.tolist():
+        trie.add(k, sets[k])
+    # Which asking sets hold a shingle: theirs stand together.
+    flat, owner = np.concatenate([sets[k] for k in asking]), np.repeat(asking, size[asking])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    stack = [(kid, asking, np.zeros(len(asking), np.int64), 0) for kid in trie.root.kids.values()]
+    while stack:
+        node, who, overlap, depth = stack.pop()
+        depth += len(node.seg)
+        fit = (den * node.high >= num * size[who]) & (num * node.low <= den * size[who])
+        who, overlap = who[fit], overlap[fit]
+        lo, hi = np.searchsorted(flat, node.seg), np.searchsorted(flat, node.seg, "right")
+        held = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
+        overlap = overlap + np.bincount(owner[held], minlength=len(sets))[who]
+        least = -(-num * (size[who] + np.maximum(node.low, -(-num * size[who] // den))) // (num + den))
+        fit = overlap + np.minimum(node.high - depth, size[who] - overlap) >= least
+        who, overlap = who[fit], overlap[fit]
+        if not len(who):
+            continue
+        if node.ends:
+            linked = who[(num + den) * overlap >= num * (size[who] + depth)]
+            for member in node.ends:
+                others = linked[linked != member]
+                out[others] += copies[member]
+                if side.any():
+                    out[member] += copies[others].sum()
+        stack.extend((kid, who, overlap, depth) for kid in node.kids.values())
     return out
 
 

@@ -101,10 +101,18 @@ def test_trie_join_counts_every_link(spark, monkeypatch, chunk):
     assert got == sorted((key(i), len(s), n) for (i, _), s, n in zip(rows, own, want, strict=True))
 
 
-def test_overlaps():
+def test_link_counts_by_the_trie():
+    """Of one chunk with itself and of two, with copies, prefixes of others and sizes that can't link."""
     rng = np.random.default_rng(2)
-    a, b = ([np.unique(np.r_[rng.integers(0, 40, 20), rng.integers(40, 9000, 30)]).astype(np.uint64) for _ in range(n)] for n in (70, 50))
-    assert (trie_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    for turn in range(30):
+        base = np.unique(rng.integers(0, 300, 40))
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(25, len(base) + 1)], rng.integers(0, 300, rng.integers(0, 6))]).astype(np.uint64) for _ in range(40)]
+        sets += [sets[0][:-2], sets[0][:3], np.array([5], np.uint64)]
+        copies = rng.integers(1, 5, len(sets))
+        side = np.zeros(len(sets), np.int64) if turn % 2 else rng.integers(1, 3, len(sets))
+        link = lambda i, j: i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) and (turn % 2 or side[i] != side[j])  # noqa: E731, B023
+        want = [sum(copies[j] for j in range(len(sets)) if link(i, j)) for i in range(len(sets))]
+        assert trie_join.link_counts(sets, copies, side, (80, 100)).tolist() == want and sum(want) > 50
 
 
 def test_empty_tables(spark):
