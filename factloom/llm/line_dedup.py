@@ -14,7 +14,7 @@ as they are; only the others are looked up in the exact table, and those that it
 lacks (the filter was wrong) get a fingerprint of their own too. ``delete`` takes a
 document's postings back: counts fall, the largest id is found again for the keys
 touched, and keys that no document holds leave their filter. A filter that is full is
-built anew from its shard's exact keys. So inserting and then deleting documents gives
+built anew from its shard's exact keys, and an index that has outgrown its shards is dealt into more of them. So inserting and then deleting documents gives
 the counts that there were before, and filters of the same keys.
 
 A key of at least ``min_docs`` documents loses its lines everywhere but in the
@@ -92,7 +92,16 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """docs' ids must not be in the index yet; delete() an old version first."""
-        return self._add(written(line_keys(with_text_key(keyed(docs, id_col, text=text_col)), self.min_chars), "line-postings"))
+        return self._add(written(line_keys(with_text_key(keyed(docs, id_col, text=text_col)), self.min_chars), "line-postings"))._grown()
+
+    def _grown(self) -> LineIndex:
+        """With more shards and filters of their own, once shards hold twice the keys that one is sized for."""
+        n = self.refs.count()
+        if n <= 2 * SHARD_KEYS * self.shards:
+            return self
+        shards = -(-n // SHARD_KEYS)
+        filters = written(_sharded(self.refs, shards).select("shard", "k1").groupBy("shard").applyInArrow(_build, "shard int, filter binary"), "line-filters")
+        return LineIndex(self.postings, self.refs, filters, shards, self.min_chars, self.min_docs)
 
     def _add(self, postings: DataFrame, fresh: bool = False) -> LineIndex:
         pairs = postings.select("_id", "k1", "k2").distinct()

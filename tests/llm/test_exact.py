@@ -484,3 +484,24 @@ def test_many_large_conversations_are_encoded_in_bounded_batches(spark, monkeypa
     chat_format.formatted(df, segment=2000)
     list(batches[0]([__import__("pyarrow").RecordBatch.from_pydict({"_id": [r[0] for r in rows], "turn": [r[1] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})]))
     assert max(sizes) < 3 * 2000 and len(sizes) >= 30
+
+
+def test_line_index_grows_shards(spark, monkeypatch):
+    """Inserts deal an index into more shards; counts, filters and deletions stay right."""
+    from factloom.llm import line_dedup as ld
+
+    monkeypatch.setattr(ld, "SHARD_KEYS", 20)
+    text = lambda k: "\n".join(f"a line of document {k % 7} number {j}, long enough" for j in range(20))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(30)], "doc_id long, text string")
+    index = ld.LineIndex.build(docs.where("doc_id < 3"), shards=1)
+    assert index.shards == 1
+    index = index.insert(docs.where("doc_id >= 3"))
+    assert index.shards == 7 and index.refs.count() == 140 and index.filters.count() <= 7
+    fresh = ld.LineIndex.build(docs, shards=7)
+    key = lambda df: sorted(map(tuple, df.select("k1", "k2", "n", "top").collect()))
+    assert key(index.refs) == key(fresh.refs)
+    keys = np.array([r.k1 for r in index.refs.collect()])
+    held = {r.shard: ld.CuckooFilter.frombytes(r.filter) for r in index.filters.collect()}
+    assert all(held[int(k % 7)].has(np.array([k]))[0] for k in keys)
+    gone = index.delete(docs.where("doc_id % 7 = 2"))
+    assert gone.refs.count() == 120 and sum(ld.CuckooFilter.frombytes(r.filter).count() for r in gone.filters.collect()) == 120
