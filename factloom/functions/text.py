@@ -11,6 +11,15 @@ from .patterns import CANONICAL_PATTERNS, FOOTNOTE, GROSS_PATTERNS, MEMO_MARKS,
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+def filled(form: str, **parts: Column) -> Column:
+    """A wording with columns in its places, which are named in braces; null if one of them is."""
+    out, rest = [], form
+    for name, col in sorted(parts.items(), key=lambda x: form.index("{" + x[0] + "}")):
+        before, rest = rest.split("{" + name + "}")
+        out += [F.lit(before), col.cast("string")]
+    return F.concat(*out, F.lit(rest))
+
+
 def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 

@@ -14,15 +14,6 @@ REPAIRED = "{what}: model returned {was} (looked like a fraction, not a percent)
 CHUNKED = "Document processed in {n} chunks due to length ({source})."
 
 
-def _filled(form: str, **parts: Column) -> Column:
-    """A wording with columns in its places."""
-    out, rest = [], form
-    for name, col in parts.items():
-        before, rest = rest.split("{" + name + "}")
-        out += [F.lit(before), col.cast("string")]
-    return F.concat(*out, F.lit(rest))
-
-
 def _try(path: str, kind: str):
     return F.try_variant_get("v", path, kind)
 
@@ -41,7 +32,7 @@ def response_metrics(responses: DataFrame, fields: tuple[str, ...] = METRICS) ->
         own = F.col("_s")[m]
         raw, hurdle = own["value"], own["hurdle"] if m == "carry" else F.lit(None).cast("double")
         fixed, fixed_hurdle = (T.percent_repaired(raw), T.percent_repaired(hurdle)) if m in PERCENTS else (raw, hurdle)
-        changed = F.array_compact(F.array(*[F.when(a != b, _filled(REPAIRED, what=F.lit(f"{m}.{part}"), was=a, now=b)) for part, a, b in (("value", raw, fixed), ("hurdle", hurdle, fixed_hurdle))]))
+        changed = F.array_compact(F.array(*[F.when(a != b, T.filled(REPAIRED, what=F.lit(f"{m}.{part}"), was=a, now=b)) for part, a, b in (("value", raw, fixed), ("hurdle", hurdle, fixed_hurdle))]))
         rows.append(F.struct(F.lit(m).alias("field"), fixed.alias("value"), fixed_hurdle.alias("hurdle"), own["basis"].alias("basis"), F.coalesce(own["confidence"], F.lit(0.0)).alias("confidence"), own["evidence"]["page"].alias("page"), F.coalesce(own["evidence"]["snippet"], F.lit("")).alias("snippet"), changed.alias("notes")))
     return responses.select("doc_id", "chunk", _try("$", f"struct<{form}>").alias("_s")).select("doc_id", "chunk", F.inline(F.array(*rows)))
 
@@ -72,7 +63,7 @@ def merged_notes(notes: DataFrame, chunks: DataFrame, source: str) -> DataFrame:
     held = F.array_sort(F.collect_list(F.struct("chunk", "note_ord", "note")))
     said = notes.groupBy("doc_id").agg(F.array_distinct(F.transform(held, lambda x: x["note"])).alias("n"))
     per = chunks.groupBy("doc_id").agg(F.count_distinct("chunk").alias("c")).join(said, "doc_id", "left")
-    last = _filled(CHUNKED, n=F.col("c"), source=F.lit(source))
+    last = T.filled(CHUNKED, n=F.col("c"), source=F.lit(source))
     return per.select("doc_id", F.concat(F.coalesce("n", F.array().cast("array<string>")), F.array(last)).alias("notes"))
 
 
@@ -102,7 +93,7 @@ def merged_details(details: DataFrame, missing: DataFrame, source: str) -> DataF
     n = F.size("h")
     dates = F.filter(F.transform("h", lambda x: F.nullif(x["doc_date"], F.lit(""))), lambda x: x.isNotNull())
     said = F.flatten(F.transform("h", lambda x: x["notes"]))
-    last = F.array(_filled(CHUNKED, n=n, source=F.lit(source)))
+    last = F.array(T.filled(CHUNKED, n=n, source=F.lit(source)))
     one = F.col("h")[0]
     return per.select(
         "doc_id", F.get(dates, F.lit(0)).alias("doc_date"), F.when(n == 1, one["notes"]).otherwise(F.concat(F.array_distinct(said), last)).alias("notes"),

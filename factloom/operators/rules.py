@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import METRICS, Rules
+from ..functions import text as T
 from . import bands
 from .extract import local_basis
 
@@ -34,6 +35,31 @@ WHY = {
     "EXTRACTOR_DISAGREEMENT": ("Regex and LLM extraction produced materially different values for the same field within one document; fusion selected a single winner by confidence weighting, but the discarded value may have been correct.", "Manually confirm the correct {field} value from the source document {doc}."),
     "IRR_MENTION_CONFLICT": ("A document citing multiple, differently labeled IRR figures for what reads as the same underlying claim is a red flag for underwriting consistency and may indicate marketing language diverging from the governing performance figures.", "Confirm which IRR figure actually governs ({claim} vs. the extracted figures) and reconcile the discrepancy."),
 }
+# The details of flags and what they cite. Figures are formatted before they are put in.
+DETAIL = {
+    "AUM_MISMATCH": "AUM differs by {pct}%",
+    "MGMT_FEE_MISMATCH": "Management fee differs: {a}% vs {b}%",
+    "TARGET_IRR_DRIFT": "Target IRR differs: {a}% vs {b}%",
+    "IRR_DEFINITION_DRIFT": 'Documents state different IRR return conventions: "{a}" vs "{b}".',
+    "IRR_DEFINITION_DRIFT_INTERNAL": 'The reported IRR figure reads as "{local}" but this document defines its convention as "{basis}" elsewhere.',
+    "UNDER_TARGET_PERFORMANCE": "Net IRR below target IRR",
+    "EXTRACTOR_DISAGREEMENT": "Extractors disagree on {field}: {values} (agreement={agreement})",
+    "IRR_MENTION_CONFLICT": "Document also states a {claim} elsewhere, which does not match the extracted Target IRR ({target}%) or Net IRR ({net}%).",
+}
+CITED = "{doc} (p.{page}): {snippet}"
+CONVENTION = ' (p.{page}, {section}): "{snippet}"'
+FIGURE = 'Figure (p.{page}): "{near}" | Convention'
+TARGET = "Net IRR={net}% | Target IRR={target}%"
+MENTION = 'p.{page}: "{snippet}"'
+
+
+def _shown(c: str) -> Column:
+    """A page or figure as text, None where there is none."""
+    return F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
+
+def _number(form: str, c: Column) -> Column:
+    return F.format_string(form, c)
 
 
 def _flags(df: DataFrame, rule: int, severity: str, kind: str, docs: Column, detail: Column, evidence: Column, a: Column, b: Column, order: list, ask: Column | None = None) -> DataFrame:
@@ -93,7 +119,7 @@ def _versus() -> Column:
 
 
 def _cited(doc: str, page: str, snippet: str) -> Column:
-    return F.concat(F.col(doc), F.lit(" (p."), F.coalesce(F.col(page).cast("string"), F.lit("None")), F.lit("): "), F.coalesce(F.col(snippet), F.lit("")))
+    return T.filled(CITED, doc=F.col(doc), page=_shown(page), snippet=F.coalesce(F.col(snippet), F.lit("")))
 
 
 def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str, detail, rules: Rules, odd: DataFrame | None) -> DataFrame:
@@ -101,24 +127,23 @@ def _mismatch(docs: DataFrame, rule: int, severity: str, kind: str, metric: str,
     one = docs.select("fund", *_own(docs), F.col(metric)["value"].alias("v"), F.col(metric)["page"].alias("page"), F.col(metric)["snippet"].alias("snippet")).where("v is not null")
     p = _paired(one, odd.where(F.col("metric") == metric).drop("metric"))
     said = F.concat(_cited("doc_name_a", "page_a", "snippet_a"), F.lit(" | "), _cited("doc_name_b", "page_b", "snippet_b"))
-    return _flags(p, rule, severity, kind, _versus(), detail(F.col("v_a"), F.col("v_b")), said, F.col("v_a"), F.col("v_b"), ["doc_ord_a", "doc_ord_b"])
+    return _flags(p, rule, severity, kind, _versus(), detail(DETAIL[kind], F.col("v_a"), F.col("v_b")), said, F.col("v_a"), F.col("v_b"), ["doc_ord_a", "doc_ord_b"])
 
 
 def aum_mismatch(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
-    return _mismatch(docs, 0, "RED", "AUM_MISMATCH", "aum", lambda a, b: F.format_string("AUM differs by %.1f%%", pct_delta(a, b) * 100), rules, odd)
+    return _mismatch(docs, 0, "RED", "AUM_MISMATCH", "aum", lambda said, a, b: T.filled(said, pct=_number("%.1f", pct_delta(a, b) * 100)), rules, odd)
 
 
 def fee_mismatch(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
-    return _mismatch(docs, 1, "RED", "MGMT_FEE_MISMATCH", "mgmt_fee", lambda a, b: F.format_string("Management fee differs: %.2f%% vs %.2f%%", a, b), rules, odd)
+    return _mismatch(docs, 1, "RED", "MGMT_FEE_MISMATCH", "mgmt_fee", lambda said, a, b: T.filled(said, a=_number("%.2f", a), b=_number("%.2f", b)), rules, odd)
 
 
 def target_irr_drift(docs: DataFrame, rules: Rules = Rules(), odd: DataFrame | None = None) -> DataFrame:
-    return _mismatch(docs, 2, "YELLOW", "TARGET_IRR_DRIFT", "target_irr", lambda a, b: F.format_string("Target IRR differs: %.1f%% vs %.1f%%", a, b), rules, odd)
+    return _mismatch(docs, 2, "YELLOW", "TARGET_IRR_DRIFT", "target_irr", lambda said, a, b: T.filled(said, a=_number("%.1f", a), b=_number("%.1f", b)), rules, odd)
 
 
 def _convention(s: str = "") -> Column:
-    where = F.concat(F.lit(" (p."), F.coalesce(F.col(f"page{s}").cast("string"), F.lit("None")), F.lit(", "), F.coalesce(F.col(f"section{s}"), F.lit("n/a")), F.lit('): "'), F.col(f"snippet{s}"), F.lit('"'))
-    return where
+    return T.filled(CONVENTION, page=_shown(f"page{s}"), section=F.coalesce(F.col(f"section{s}"), F.lit("n/a")), snippet=F.col(f"snippet{s}"))
 
 
 def definition_drift(docs: DataFrame) -> DataFrame:
@@ -127,7 +152,7 @@ def definition_drift(docs: DataFrame) -> DataFrame:
     held = one.groupBy("fund").agg(F.array_sort(F.collect_set("v")).alias("vs"))
     odd = held.select("fund", F.explode("vs").alias("v_lo"), "vs").select("fund", "v_lo", F.explode("vs").alias("v_hi")).where("v_lo < v_hi")
     p = _paired(one, odd)
-    detail = F.concat(F.lit('Documents state different IRR return conventions: "'), "v_a", F.lit('" vs "'), "v_b", F.lit('".'))
+    detail = T.filled(DETAIL["IRR_DEFINITION_DRIFT"], a=F.col("v_a"), b=F.col("v_b"))
     said = F.concat(F.col("doc_name_a"), _convention("_a"), F.lit(" | "), F.col("doc_name_b"), _convention("_b"))
     none = F.lit(None).cast("double")
     return _flags(p, 3, "YELLOW", "IRR_DEFINITION_DRIFT", _versus(), detail, said, none, none, ["doc_ord_a", "doc_ord_b"])
@@ -136,16 +161,16 @@ def definition_drift(docs: DataFrame) -> DataFrame:
 def definition_drift_internal(docs: DataFrame) -> DataFrame:
     d = _fresh(docs).select("fund", "doc_id", "doc_ord", "doc_name", F.col("net_irr")["page"].alias("at"), F.coalesce(F.col("net_irr")["snippet"], F.lit("")).alias("near"), "basis.*")
     d = d.withColumn("local", local_basis(F.col("near"))).where("local <> basis")
-    detail = F.concat(F.lit('The reported IRR figure reads as "'), "local", F.lit('" but this document defines its convention as "'), "basis", F.lit('" elsewhere.'))
-    said = F.concat(F.lit("Figure (p."), F.coalesce(F.col("at").cast("string"), F.lit("None")), F.lit('): "'), "near", F.lit('" | Convention'), _convention())
+    detail = T.filled(DETAIL["IRR_DEFINITION_DRIFT_INTERNAL"], local=F.col("local"), basis=F.col("basis"))
+    said = F.concat(T.filled(FIGURE, page=_shown("at"), near=F.col("near")), _convention())
     none = F.lit(None).cast("double")
     return _flags(d, 4, "YELLOW", "IRR_DEFINITION_DRIFT_INTERNAL", F.col("doc_name"), detail, said, none, none, ["doc_ord"])
 
 
 def under_target(docs: DataFrame) -> DataFrame:
     net, target = F.col("net_irr")["value"], F.col("target_irr")["value"]
-    said = F.concat(F.lit("Net IRR="), net.cast("string"), F.lit("% | Target IRR="), target.cast("string"), F.lit("%"))
-    return _flags(_fresh(docs).where(net < target), 5, "YELLOW", "UNDER_TARGET_PERFORMANCE", F.col("doc_name"), F.lit("Net IRR below target IRR"), said, net, target, ["doc_ord"])
+    said = T.filled(TARGET, net=net, target=target)
+    return _flags(_fresh(docs).where(net < target), 5, "YELLOW", "UNDER_TARGET_PERFORMANCE", F.col("doc_name"), F.lit(DETAIL["UNDER_TARGET_PERFORMANCE"]), said, net, target, ["doc_ord"])
 
 
 def extractor_disagreement(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -153,7 +178,7 @@ def extractor_disagreement(docs: DataFrame, found: DataFrame) -> DataFrame:
     d = _fresh(docs).select("doc_id", "fund", "doc_ord", "doc_name").join(found, "doc_id")
     d = d.withColumn("_field", F.array_position(F.array(*[F.lit(m) for m in sorted(METRICS)]), F.col("field")))
     values = F.array_join(F.transform("by_extractor", lambda x: F.concat(x["extractor"], F.lit("="), x["value"].cast("string"))), ", ")
-    detail = F.concat(F.lit("Extractors disagree on "), "field", F.lit(": "), values, F.lit(" (agreement="), F.format_string("%.2f", F.col("agreement")), F.lit(")"))
+    detail = T.filled(DETAIL["EXTRACTOR_DISAGREEMENT"], field=F.col("field"), values=values, agreement=_number("%.2f", F.col("agreement")))
     ask = F.replace(F.replace(F.lit(WHY["EXTRACTOR_DISAGREEMENT"][1]), F.lit("{field}"), F.col("field")), F.lit("{doc}"), F.col("doc_name"))
     return _flags(d, 6, "YELLOW", "EXTRACTOR_DISAGREEMENT", F.col("doc_name"), detail, values, F.col("agreement"), F.lit(None).cast("double"), ["doc_ord", "_field"], ask)
 
@@ -179,10 +204,9 @@ def irr_mention_conflict(docs: DataFrame, mentions: DataFrame, rules: Rules = Ru
     rest = rest.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     d = docs.select("doc_id", "fund", "doc_ord", "doc_name", F.col("target_irr")["value"].alias("t"), F.col("net_irr")["value"].alias("n")).join(rest, "doc_id")
     claim = F.concat(F.coalesce(F.concat("basis", F.lit(" ")), F.lit("")), F.lit("IRR of "), F.col("value").cast("string"), F.lit("%"))
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
-    detail = F.concat(F.lit("Document also states a "), claim, F.lit(" elsewhere, which does not match the extracted Target IRR ("), text("t"), F.lit("%) or Net IRR ("), text("n"), F.lit("%)."))
+    detail = T.filled(DETAIL["IRR_MENTION_CONFLICT"], claim=claim, target=_shown("t"), net=_shown("n"))
     ask = F.replace(F.lit(WHY["IRR_MENTION_CONFLICT"][1]), F.lit("{claim}"), F.concat(F.coalesce(F.concat("basis", F.lit(" ")), F.lit("")), F.col("value").cast("string"), F.lit("%")))
-    said = F.concat(F.lit("p."), text("page"), F.lit(': "'), "snippet", F.lit('"'))
+    said = T.filled(MENTION, page=_shown("page"), snippet=F.col("snippet"))
     return _flags(d, 7, "YELLOW", "IRR_MENTION_CONFLICT", F.col("doc_name"), detail, said, F.col("value"), F.lit(None).cast("double"), ["doc_ord", "mention_ord"], ask)
 
 

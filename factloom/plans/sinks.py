@@ -23,6 +23,8 @@ from . import artifacts
 from .pipeline import Analysis
 
 LOG = logging.getLogger("factloom")
+#: Rows of a part file, so that a file can be read, and hashed, as one value of under 2 GB.
+PART_ROWS = 1_000_000
 
 
 def _put(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
@@ -171,13 +173,20 @@ class RunLog(logging.Handler):
         _put(spark, f"{folder}/run.log", "".join(x + "\n" for x in self.lines))
 
 
+def _hashed(files: DataFrame) -> DataFrame:
+    """(path, sha256) of files; null where one is too long to be one value, as a JSON file of very many flags may be."""
+    small = F.col("length") < (1 << 31) - 1
+    long = files.where(~small).select("path", F.lit(None).cast("string").alias("sha256"))
+    return files.where(small).select("path", F.sha2("content", 256).alias("sha256")).unionByName(long)
+
+
 def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = None, timings: dict | None = None, extractors: dict | None = None, memo_client: Callable[[str], str] | None = None) -> dict:
     """Writes a run's tables, and for one engagement the memo, whose rows stream through the driver.
 
     memo_client: a model that writes the memo instead, from rows of at most config.hosted.max_chars characters."""
     spark, began = a.docs.sparkSession, time.time()
     for name, df in (("extracted", a.docs), ("metrics", a.metrics), ("candidates", a.candidates), ("mentions", a.mentions), ("flags", a.flags), ("scores", a.scores)):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).parquet(f"{folder}/{name}")
     reports.facts_table(a.docs).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/facts_table")
     scores = a.scores.limit(2).collect()
     docs, flags = (spark.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("extracted", a.docs), ("flags", a.flags)))
@@ -201,7 +210,7 @@ def write(a: Analysis, folder: str, config: Config, inputs: DataFrame | None = N
     manifest = {
         "run_id": str(uuid.uuid4()), "git_commit": git_commit(), "models": {"hosted": config.hosted.model, "local": config.local.model, "local_host": config.local.host, "vision": config.vision.model}, "generated_at_utc": datetime.now(UTC).isoformat(), "python_version": platform.python_version(), "spark_version": spark.version, "platform": platform.platform(),
         "operator": os.environ.get("USER", "unknown"), "config_sha256": hashlib.sha256(json.dumps(dataclasses.asdict(config), sort_keys=True).encode()).hexdigest(),
-        "inputs": files, "outputs": [r.asDict() for r in made.select("path", F.sha2("content", 256).alias("sha256")).collect()], **summary,
+        "inputs": files, "outputs": [r.asDict() for r in _hashed(made).collect()], **summary,
     }
     _put(spark, f"{folder}/audit_manifest.json", json.dumps(manifest, indent=2))
     return manifest
