@@ -103,6 +103,11 @@ OTHER_LAYOUT = {
 }
 
 
+#: Sections that only the other layout has, and its defaults where they differ from the ones here.
+OTHER_SECTIONS = {"model", "ollama", "run"}
+OTHER_DEFAULTS = {"hosted": {"enabled": True}, "local": {"enabled": True}}
+
+
 @dataclass(frozen=True)
 class Config:
     rules: Rules = field(default_factory=Rules)
@@ -117,7 +122,9 @@ class Config:
 
 
 def load(path: str | None = None) -> Config:
-    """None: defaults. A .json file is JSON, any other YAML; a missing file is an error, an unknown name too."""
+    """None: defaults. A .json file is JSON, any other YAML; a missing file is an error, an unknown name too.
+
+    A file of the other layout has its defaults for what it leaves out: text models are on, where they can be reached."""
     if path is None:
         return Config()
     with open(path, encoding="utf-8") as f:
@@ -127,12 +134,14 @@ def load(path: str | None = None) -> Config:
             import yaml
 
             given = yaml.safe_load(f)
-    return _set(Config(), _renamed(given or {}))
+    given = given or {}
+    base = _set(Config(), OTHER_DEFAULTS) if OTHER_SECTIONS & given.keys() else Config()
+    return _set(base, _renamed(given))
 
 
 def _renamed(given: dict) -> dict:
     """given, with the settings of the other layout under this one's names."""
-    out = {k: dict(v) if isinstance(v, dict) else v for k, v in given.items()}
+    out = {k: {} if v is None else dict(v) if isinstance(v, dict) else v for k, v in given.items()}
     for old, new in OTHER_LAYOUT.items():
         section, name = old.split(".")
         if name not in (out.get(section) or {}):

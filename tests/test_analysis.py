@@ -217,6 +217,10 @@ def test_other_layout_of_settings(tmp_path):
     assert got.redact and not got.cache and got.rules.aum_tolerance_pct == 0.1
     from factloom.operators import extractors
 
+    for text, on in (("run:\n  use_cohere: true\n", (True, True)), ("ollama:\n  enabled: false\n", (True, False)), ("rules:\n  mgmt_fee_abs_pct: 0.5\n", (False, False)), ("run:\n", (True, True))):
+        (tmp_path / "c.yaml").write_text(text)
+        own = load(str(tmp_path / "c.yaml"))
+        assert (own.hosted.enabled, own.local.enabled) == on and not own.vision.enabled
     (tmp_path / "p.txt").write_text("own prompt")
     assert extractors.prompt_text(got, got.prompts.charts, "x") == "own prompt" and extractors.prompt_text(Config(), "none.txt", "x") == "x"
     with pytest.raises(FileNotFoundError):
