@@ -428,7 +428,7 @@ def test_pq_vectors_of_any_size(spark):
     assert got == {**dict.fromkeys((1, 2, 3, 4, 5), (4, 1)), 6: (1, 6), 8: (1, 6), 7: (0, 7), 9: (0, 9)}
 
 
-def crowded(spark, n=5000, same_id=True):
+def crowded(spark, n=2500, same_id=True):
     """n rows that share an id (or null) with texts of their own that all hold a passage, near copies among them, and rows that repeat."""
     rng = random.Random(12)
     passage = " ".join(f"word{rng.randrange(10**6)}" for _ in range(20))
