@@ -19,8 +19,9 @@ from . import plugins
 def _empty(spark: SparkSession, folder: str) -> DataFrame:
     """(path) of the *.pdf and *.txt files right in a folder that have no byte, which Spark's readers leave out."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-    none = [(s.getPath().toString(),) for s in found if s.isFile() and not s.getLen()]
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [d.getPath() for d in fs.globStatus(at) or [] if d.isDirectory()]
+    none = [(s.getPath().toString(),) for d in folders for s in fs.listStatus(d) if s.isFile() and not s.getLen()]
     return spark.createDataFrame([r for r in none if re.search(r"/[^._/][^/]*\.(pdf|txt)$", r[0])], "path string")
 
 
