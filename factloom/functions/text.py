@@ -34,7 +34,8 @@ def word_count(c: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """Lower case, with the four other characters that match an ASCII letter when case is ignored as that letter."""
-    return F.lower(F.translate(c, "\u017f\u0131\u0130\u212a", "siik"))
+    others = "\u017f\u0131\u0130\u212a"
+    return F.lower(F.when(c.rlike(f"[{others}]"), F.translate(c, others, "siik")).otherwise(c))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
