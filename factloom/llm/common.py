@@ -113,6 +113,8 @@ def as_arrow(x, kind: pa.DataType) -> pa.Array:
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Bytes of text that are hashed in one go; a longer text is one go of its own.
 SLICE = 1 << 20
+#: Bytes of short texts that are hashed in one go, so that what is made of them stays in the processor's cache.
+HASHED = 1 << 17
 
 
 def words(text: bytes) -> list[bytes]:
@@ -136,12 +138,22 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: A random number for each byte, the same for A-Z as for a-z.
 _VALUE = np.array([int(xxhash.xxh3_64_intdigest(bytes([k]).lower())) | 1 for k in range(256)], np.uint64)
 
 
+def _places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each word of the texts data[bounds[k]:bounds[k+1]]."""
+    solid = (data != 32) & (data - np.uint8(9) > np.uint8(4))
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    begins = solid & cut[:-1]
+    begins[1:] |= solid[1:] > solid[:-1]
+    ends = solid & cut[1:]
+    ends[:-1] |= solid[:-1] > solid[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
 def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of the texts data[bounds[k]:bounds[k+1]], and the bounds of each text's words.
 
@@ -149,14 +161,7 @@ def _hashed(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    solid = ~_BLANK[data]
-    cut = np.zeros(n + 1, bool)
-    cut[bounds] = True
-    begins = solid & cut[:-1]
-    begins[1:] |= solid[1:] & ~solid[:-1]
-    ends = solid & cut[1:]
-    ends[:-1] |= solid[:-1] & ~solid[1:]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    first, last = _places(data, bounds)
     up, down = _Powers.to(n)
     value = _VALUE[data] * up
     total = np.cumsum(value, dtype=np.uint64)
@@ -169,20 +174,47 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def hashed_rows(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word hashes, shingle hashes) of each text of a string column in order; see shingles()."""
+    for data, bounds in _sliced(col):
+        h, at = _hashed(data, bounds)
+        runs = shingles(h) if len(h) >= 5 else h[:0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield h[a:b], runs[a : b - 4] if b - a >= 5 else shingles(h[a:b])
+
+
+def _sliced(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of some texts of a string column in order, and the texts' bounds in them."""
     col = col.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     k = 0
     while k < len(col):
-        m = max(k + 1, int(np.searchsorted(offsets, offsets[k] + SLICE, "right")) - 1)
+        m = max(k + 1, int(np.searchsorted(offsets, offsets[k] + HASHED, "right")) - 1)
         m = min(m, len(col))
-        h, at = _hashed(data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k])
-        runs = shingles(h) if len(h) >= 5 else h[:0]
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield h[a:b], runs[a : b - 4] if b - a >= 5 else shingles(h[a:b])
+        yield data[offsets[k] : offsets[m]], offsets[k : m + 1] - offsets[k]
         k = m
 
 
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def words_at(col: pa.Array, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the words of a string column's texts, counted through from 0, those of the sorted places, some at a time: their
+    bytes with A-Z lower-cased, a blank behind each, and their sizes with the blank."""
+    seen = 0
+    for data, bounds in _sliced(col):
+        if not len(data):
+            continue
+        first, last = _places(data, bounds)
+        own = which[slice(*np.searchsorted(which, (seen, seen + len(first))))] - seen
+        seen += len(first)
+        if len(own):
+            size = last[own] - first[own] + 2
+            ends = np.cumsum(size)
+            found = _LOWER[data[np.minimum(np.repeat(first[own] - ends + size, size) + np.arange(ends[-1]), len(data) - 1)]]
+            found[ends - 1] = 32
+            yield found, size
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; np.unique without its overhead on short arrays."""
     x = np.sort(x)

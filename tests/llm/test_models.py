@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import context_mixing, gbdt, quality, token_counts
+from factloom.llm.common import word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -323,3 +324,41 @@ def test_quality_scores_equal_walking_the_trees(spark):
         assert abs(got[r.doc_id] - 1 / (1 + np.exp(-raw))) < 1e-12
     learnt = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
     assert len(got) == docs.count() and learnt & set(got)
+
+
+def test_starting_weights_are_fitted_to_every_training_bit(spark):
+    """Joint counts and grams of all rows, by brute force; more rows than any sample would take."""
+    rng = random.Random(2)
+    texts_ = [" ".join(rng.choice(["An", "the\u00e9", "of", "w" + str(rng.randrange(400))]) for _ in range(rng.randrange(6))) for _ in range(2500)]
+    rows = spark.createDataFrame([(t,) for t in texts_], "text string").coalesce(1)
+    code = context_mixing._code(context_mixing.written(context_mixing._counted(rows), "test"))
+    send = spark.sparkContext.broadcast
+    bits = context_mixing.written(context_mixing._tables(rows, send(code)), "test")
+    _, said, _ = context_mixing.fitted(bits.where(f"t <> {context_mixing.GRAMS}"), code.table_sizes())
+    n, ones = context_mixing._whole(context_mixing._joint(rows, send((code.short(), said))), context_mixing.JOINT)
+
+    parts = [np.append(word_hashes(t.encode()), context_mixing.END) for t in texts_]
+    part = context_mixing.Slice(code, list(range(len(parts))), parts, False, np.ones(2, np.uint64))
+    _, bit, slots = code.path(part.sym, part.one, part.two)
+    seen, hits = ([Counter() for _ in range(3)] for _ in range(2))
+    for t in range(3):
+        seen[t].update(slots[t].tolist())
+        hits[t].update(slots[t][bit].tolist())
+    want, want_ones = Counter(), Counter()
+    for *at, y in zip(*(s.tolist() for s in slots), bit.tolist(), strict=True):
+        cell = 0
+        for t, s in enumerate(at):
+            left, k = seen[t][s] - 1, hits[t][s] - y
+            x = np.clip(np.log((k + 0.15) / (left - k + 0.15)), -7.9, 7.9)
+            level = int(np.rint(x * context_mixing.STEPS)) + context_mixing.LEVELS // 2
+            cell = cell * (4 * context_mixing.LEVELS if t else 1) + level + (context_mixing.LEVELS * sum(left >= e for e in (1, 8, 64)) if t else 0)
+        want[cell] += 1
+        want_ones[cell] += y
+    assert n.sum() == len(bit) and {k: (int(n[k]), int(ones[k])) for k in np.flatnonzero(n).tolist()} == {k: (want[k], want_ones[k]) for k in want}
+
+    count = Counter(w for t in texts_ for w in t.encode().lower().split())
+    grams = Counter(bytes((w + b" ")[max(0, k - 5) : k + 1][::-1]).ljust(8, b"\0") for w in count if count[w] <= context_mixing.SELDOM for k in range(len(w) + 1))
+    got = Counter()
+    for r in bits.where(f"t = {context_mixing.GRAMS}").collect():
+        got.update(dict(zip((bytes(r.n[k : k + 8]) for k in range(0, len(r.n), 8)), context_mixing._wide(r.ones, None, 0).tolist(), strict=True)))
+    assert got == grams and len(grams) > 300
