@@ -292,13 +292,15 @@ def _joined_units(units: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _with_sets(rows: DataFrame, members: DataFrame, hot, *cols: str) -> DataFrame:
+def _with_sets(rows: DataFrame, members: DataFrame, hot, sent: list, *cols: str) -> DataFrame:
     """Members (u, h1, rep, rep_t, cols) of units as (u, h1, cols, s), s being the ordered set of row rep's text.
+    What is broadcast for it joins sent.
 
     Only rows that a bit map of the members' ids lets through are shuffled, as text, which is shorter than its set."""
     members = written(members, "members")
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(bit_map(members.select(F.xxhash64("rep", "rep_t"))))
+    sent.append(bits)
 
     kinds = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in cols)
 
@@ -433,7 +435,7 @@ def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, sh
     return out
 
 
-def _link_counts(named: DataFrame, rows: DataFrame, hot, share: tuple[int, int]) -> DataFrame:
+def _link_counts(named: DataFrame, rows: DataFrame, hot, sent: list, share: tuple[int, int]) -> DataFrame:
     """(h1, links): of classes (h1, n, copies, comp), how many rows of other classes each links with."""
     size = named.groupBy("comp").agg(F.count("*").alias("c"), F.sum("copies").alias("rows"), F.sum("n").alias("shingles")).where("c > 1")
     own = named.join(size, "comp")
@@ -448,7 +450,7 @@ def _link_counts(named: DataFrame, rows: DataFrame, hot, share: tuple[int, int])
     here, there = F.struct(F.col("z").alias("z"), F.col("i").alias("i")), F.struct(F.col("z2").alias("z"), F.col("i2").alias("i"))
     side = F.when(here == there, 0).when(here < there, 1).otherwise(2).cast("int")
     met = met.select(F.xxhash64("comp", F.least(here, there), F.greatest(here, there)).alias("u"), "h1", "rep", "rep_t", "copies", side.alias("side"))
-    dealt = _with_sets(rows, met, hot, "copies", "side").repartition("u").sortWithinPartitions("u")
+    dealt = _with_sets(rows, met, hot, sent, "copies", "side").repartition("u").sortWithinPartitions("u")
 
     def run(batches):
         held: list = []
@@ -494,9 +496,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = classes.select("h1", "rep", "rep_t")
 
     # Shingles spread so thinly that no batch holds two show as long runs among the prefixes: they too go last.
-    first = _prefixes(rows, spark.sparkContext.broadcast(hot), share)
+    first_hot = spark.sparkContext.broadcast(hot)
+    first = _prefixes(rows, first_hot, share)
     hot |= frequent(first.mapInArrow(_common, "tok long, cnt long"))
+    first_hot.destroy()
     shared_hot = spark.sparkContext.broadcast(hot)
+    sent = [shared_hot]
     first = _prefixes(rows, shared_hot, share, "n")
     met = written(first.mapInArrow(_met, _MET), "prefixes")
     often = met.where("tok < 0").drop("least", "most")
@@ -515,8 +520,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     u = F.xxhash64("hub", "hi", "chunk").alias("u")  # blocks with the same ends are one
     star = written(star.select(u, "h1").union(star.select(u, F.col("hub").alias("h1"))).distinct(), "star-blocks")
 
-    near = _joined_units(_with_sets(rows, star.join(rep, "h1").withColumn("comp", F.col("h1")), shared_hot, "comp"), share)
+    near = _joined_units(_with_sets(rows, star.join(rep, "h1").withColumn("comp", F.col("h1")), shared_hot, sent, "comp"), share)
     near = written(near, "near-links")
+    sent.pop().destroy()
     comp = connected(near)
 
     met = met.join(comp, met["h1"] == comp["node"], "left").select("tok", "z", "h1", F.coalesce("comp", "h1").alias("comp"))
@@ -536,11 +542,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_rest = F.concat(F.transform(tops, lambda x: pair(0, x, r)), F.when(F.col("nr") > 1, F.transform(others, lambda x: pair(1, F.least(x, r), F.greatest(x, r)))).otherwise(F.array().cast("array<struct<kind:int,a:bigint,b:bigint>>")))
     member = member.withColumn("p", F.explode(F.when(is_top, as_top).otherwise(as_rest)))
     units = written(member.select(F.xxhash64("lo", "hi", "p.kind", "p.a", "p.b").alias("u"), "h1", "comp").distinct(), "trie-blocks")
-    far = _joined_units(_with_sets(rows, units.join(rep, "h1"), shared_hot, "comp"), share)
+    far = written(_joined_units(_with_sets(rows, units.join(rep, "h1"), shared_hot, sent, "comp"), share), "far-links")
+    sent.pop().destroy()
 
-    comp = connected(near.union(written(far, "far-links")))
+    comp = connected(near.union(far))
     named = classes.join(comp, classes["h1"] == comp["node"], "left").select("h1", "h2", "n", "rep", "rep_t", "copies", F.coalesce("comp", "h1").alias("comp"))
-    links = _link_counts(named := written(named, "components"), rows, shared_hot, share) if counted else None
+    links = _link_counts(named := written(named, "components"), rows, shared_hot, sent, share) if counted else None
+    for x in sent:  # all that used them is written
+        x.destroy()
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp")
     more = []

@@ -505,3 +505,15 @@ def test_line_index_grows_shards(spark, monkeypatch):
     assert all(held[int(k % 7)].has(np.array([k]))[0] for k in keys)
     gone = index.delete(docs.where("doc_id % 7 = 2"))
     assert gone.refs.count() == 120 and sum(ld.CuckooFilter.frombytes(r.filter).count() for r in gone.filters.collect()) == 120
+
+
+def test_jaccard_join_frees_what_it_broadcast(spark, monkeypatch):
+    """The bit maps don't stay with the driver and executors once the tables that need them are written."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(send(self, x)) or sent[-1])
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y z 1", "x y", "x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for counted in (False, True):
+        got = trie_join.jaccard_classes(df, counted=counted).collect()
+        assert sorted((r._id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+    assert len(sent) > 4 and not any(x._jbroadcast.isValid() for x in sent)
