@@ -107,7 +107,9 @@ def _blocks(items: DataFrame, item_id: str, item_text: str, share: tuple[int, in
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
         block = short.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
-        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1].encode()) for r in block.orderBy("_id", "text").toLocalIterator()], share))
+        found = block.toArrow()  # in one job; an iterator would start one for each partition
+        own = sorted(zip(found["_id"].to_pylist(), (x.encode() for x in found["text"].to_pylist()), strict=True))
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex(own, share))
 
 
 def _finder(index):

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,3 +518,51 @@ def test_jaccard_join_frees_what_it_broadcast(spark, monkeypatch):
         got = trie_join.jaccard_classes(df, counted=counted).collect()
         assert sorted((r._id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2), (3, 2)]
     assert len(sent) > 4 and not any(x._jbroadcast.isValid() for x in sent)
+
+
+def jobs_of(spark, run) -> tuple[object, int]:
+    """What run() gives and how many jobs it starts, with ten shuffle partitions that stay apart."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "10"}
+    old = {k: spark.conf.get(k) for k in conf}
+    spark.sparkContext.setJobGroup(group := f"jobs-{random.random()}", "")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_few_edges_without_rounds(spark):
+    """A chain of 200 and loose edges need no rounds, each of which would be jobs and state on the driver."""
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(50)]
+    rng.shuffle(edges)
+    want = {k: v for k, v in components({x for a, b in edges if a != b for x in (a, b)}, edges).items()}
+    got, n = jobs_of(spark, lambda: {r.node: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()})
+    assert got == want and n <= 12
+
+
+@pytest.mark.parametrize("few", [0, 7])
+def test_components_of_more_edges_than_few(spark, monkeypatch, few):
+    from factloom.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
+    test_components(spark)
+    rng = random.Random(7)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in edges[k : k + 4]], pa.int64()) for c in (0, 1)], names=["a", "b"]) for k in range(0, 45, 4)]
+    stars = [(a, b) for x in module._stars(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    ids = {x for e in edges for x in e}
+    assert components(ids, stars) == components(ids, edges)
+
+
+def test_benchmark_items_are_read_in_one_job(spark):
+    """Not in a job for each partition of the sorted items."""
+    held = spark.createDataFrame([(k, f"w{k} a b c d e f g") for k in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x W7 a b c d e f g y"), (2, "nothing of them here at all")], "doc_id long, text string")
+    left, n = jobs_of(spark, lambda: decontaminate.clean(docs, held))
+    assert [r.doc_id for r in left.collect()] == [2] and n <= 6
