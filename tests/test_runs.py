@@ -124,6 +124,22 @@ def test_artifacts_are_read_back(spark, tmp_path):
         artifacts.read_documents(spark, str(tmp_path / "missing.json"))
 
 
+def test_records_of_a_folder_keep_the_order_of_its_files(spark, tmp_path):
+    """The largest file, which Spark deals out first, is the last but one; files are cut into blocks, and the eleventh part follows the tenth."""
+    sizes, n = [3, 1, 5, 2, 4, 1, 1, 1, 1, 400, 2], 0
+    for k, size in enumerate(sizes):
+        rows = [json.dumps({"doc_name": f"d{n + i}", "notes": ["x" * 50]}) for i in range(size)]
+        (tmp_path / f"part-{k}.json").write_text("\n".join(rows) + "\n")
+        n += size
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        got = artifacts.read(spark, str(tmp_path), artifacts.DOCUMENT).orderBy("doc_ord").select("doc_ord", "doc_name").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in got] == [(k, f"d{k}") for k in range(n)]
+
+
 def test_flag_and_report_read_the_artifacts(spark, tmp_path, capsys):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
