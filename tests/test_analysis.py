@@ -87,6 +87,18 @@ def test_flag_difference(spark):
     assert reports.flag_difference(a, a).count() == 0
 
 
+def test_many_flags_differ_by_their_counts(spark):
+    """As many flags of one type as no array holds: they are counted, and rows of a difference come in blocks."""
+    n = 200_000
+    got = spark.range(n).select(F.when(F.col("id") < n - 3, "T").alias("type"), F.lit("RED").alias("severity"))
+    few = spark.createDataFrame([("T", "RED")] * 2 + [(None, "RED")] * 4 + [("U", "RED")], "type string, severity string")
+    rows = reports.flag_difference(got, few)
+    assert {tuple(r) for r in rows.groupBy("type", "severity", "missing").count().collect()} == {("T", "RED", False, n - 5), (None, "RED", True, 1), ("U", "RED", True, 1)}
+    counts = reports.flag_difference_counts(got, few)
+    assert {tuple(r) for r in counts.collect()} == {("T", "RED", False, n - 5), (None, "RED", True, 1), ("U", "RED", True, 1)}
+    assert all("replicaterows" not in df._jdf.queryExecution().executedPlan().toString() for df in (rows, counts))
+
+
 def test_answers(spark):
     said = ["```json\n{'mgmt_fee': {'value': 0.02, 'confidence': .9,}, 'notes': ['n', {'text': 'm'}],}\n```".replace(".9", "0.9"), '{"mgmt_fee": {"value": 2.5, "confidence": 0.4}, "doc_date": "2025-01-01"}', "no json"]
     r = responses.parsed(spark.createDataFrame([(1, k, s) for k, s in enumerate(said)], "doc_id long, chunk int, response string"))

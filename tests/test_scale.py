@@ -39,6 +39,18 @@ def test_pairs_at_odds(spark, monkeypatch, size):
     assert sorted((x.rule_ord, x.flag_ord, x.a, x.b) for x in got) == [w for w in want if 3 in ((w[1] >> 32) % 7, (w[1] & (1 << 32) - 1) % 7)]
 
 
+def test_pairs_are_counted_without_being_made(spark):
+    """Against the flags themselves, with funds and figures that are null, and documents of one place in the order."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2, None]), k, rng.choice([k, k, 5]), f"d{k}", *((rng.choice([None, a, b, a + rng.random()]), 1, "s") for a, b in ((1e9, 2e9), (1.5, 2.0), (15.0, 18.0))), (rng.choice([None, 12.0]), 1, "gross"), rng.choice([None, ("net", "s", 1, "x"), ("gross", "s", 1, "x")])) for k in range(60)]
+    docs = spark.createDataFrame(rows, f"{DOC}, net_irr struct<value:double,page:int,snippet:string>, basis struct<basis:string,snippet:string,page:int,section:string>")
+    mentions = spark.createDataFrame([(1, 0, 99.0, "net", 1, "s")], "doc_id long, mention_ord int, value double, basis string, page int, snippet string")
+    found = spark.createDataFrame([], "doc_id long, field string, agreement double, by_extractor array<struct<extractor:string,value:double>>")
+    want = {tuple(r) for r in rules.run_rules(docs, mentions, found).groupBy("fund", "severity", "type").count().collect()}
+    counts = rules.flag_counts(docs, mentions, found)
+    assert {tuple(r) for r in counts.collect()} == want and len({r[2] for r in want}) > 5
+
+
 def test_one_fund_of_many_documents_and_few_flags(spark):
     """100,000 documents of one fund with as many fees: values meet by range, never all of them, and no join is by fund alone."""
     n, r = 100_000, Rules()
