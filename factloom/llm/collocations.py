@@ -3,10 +3,11 @@
 1. Every task hashes its phrases of 1 to 5 words into ``2^BUCKETS`` saturating counters a
    length, two independent arrays of them; the arrays of all tasks are summed in a tree. A
    phrase can be frequent only if both its buckets are, and so are its first and its last words
-   but one: the resulting bit maps (of a fixed size) are broadcast. They thin out rare phrases in corpora
-   of up to some GB; in larger ones more of them pass, which costs work, not results.
+   but one: the resulting bit maps are broadcast. Larger corpora have more buckets (up to ``2^WIDEST``), a bucket for
+   every ``LOAD`` bytes, so that rare phrases don't fill them. Counters that are more than ``ROUND`` in all are filled in rounds,
+   some lengths or a range of the buckets at a time, and longer phrases are counted only where the maps of shorter ones let them through.
 2. The distinct phrases that pass are the candidates; a frequent phrase is always among
-   them. Tasks give them as arrays of keys (128 bits a phrase), united in a tree.
+   them. Tasks give them as arrays of keys (128 bits a phrase), a bounded number at a time, united in a tree.
 3. For each block of about ``BLOCK`` candidates the driver makes a minimal perfect hash of its keys,
    which are stored at the slots and compared at every lookup, and broadcasts it. Tasks count occurrences by
    slot with bincount, and note by slot the smallest of 2^16 marks of the texts that hold it; pieces of these
@@ -43,6 +44,7 @@ from .mph import PerfectHash
 LEAST, LONGEST, TOP = 100, 5, 2000
 BUCKETS, BLOCK, PIECE, FAN, SHARDS, SALTS = 22, 4_000_000, 1 << 16, 16, 256, 32
 MARKS = 1 << 16
+WIDEST, LOAD, ROUND, HELD = 26, 420, 10 << 23, 1 << 20
 
 #: floor(1000 * a * n / (l * r)) in decimals of 38 digits.
 SCORE = "cast(cast(1000 as decimal(4,0)) * cast(a as decimal(15,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)"
@@ -133,14 +135,14 @@ def _bit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def passing(grams: Grams, maps: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """grams without phrases that can't be frequent by their own buckets or their parts'."""
+    """grams without phrases that can't be frequent by their own buckets or their parts'; maps: of the first lengths or of all."""
     shift = np.uint64(64 - bits)
     before = None
     for k, at, h1, h2 in grams:
         if before is not None:
             ok = before[at] & before[at + 1]
             at, h1, h2 = at[ok], h1[ok], h2[ok]
-        for a in (0, 1):
+        for a in (0, 1) if k <= len(maps) else ():
             ok = _bit(maps[k - 1, a], ((h1, h2)[a] >> shift).astype(np.int64))
             at, h1, h2 = at[ok], h1[ok], h2[ok]
         before = np.zeros(len(grams.first) + 1, bool)
@@ -230,12 +232,28 @@ ARRAYS = "block int, piece int, node long, data binary"
 _ARRAYS = {"block": pa.int32(), "piece": pa.int32(), "node": pa.int64(), "data": pa.binary()}
 
 
-def bucket_maps(docs: DataFrame, least: int, bits: int) -> tuple[np.ndarray, DataFrame]:
-    """Which buckets of each length and hash have at least so many phrases; and (lang, n), the words of each language."""
-    top, shift, limit = 1 << bits, np.uint64(64 - bits), min(255, least)
+def bits_for(docs: DataFrame, least: int = BUCKETS) -> int:
+    """How many bits number the buckets of a length, by the size of all texts; docs: lang, text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, min(WIDEST, int(np.ceil(np.log2(max(1, size / LOAD))))))
+
+
+def rounds(bits: int, most: int) -> list[tuple[range, int, int]]:
+    """(lengths, first bucket, end) of what is counted at a time, at most so many counters; shorter phrases come first."""
+    top = 1 << bits
+    at_once = most // (2 * top)
+    if at_once:
+        return [(range(k, min(k + at_once, LONGEST + 1)), 0, top) for k in range(1, LONGEST + 1, at_once)]
+    step = max(PIECE, most // 2 // PIECE * PIECE)
+    return [(range(k, k + 1), low, min(low + step, top)) for k in range(1, LONGEST + 1) for low in range(0, top, step)]
+
+
+def _buckets(maps, lengths: range, low: int, high: int, bits: int, limit: int):
+    """Counters of one round as arrays, and the words of each language; maps: of all shorter phrases."""
+    shift = np.uint64(64 - bits)
 
     def run(batches):
-        counts = np.zeros((2 * LONGEST, top), np.uint8)
+        counts = np.zeros((2 * len(lengths), high - low), np.uint8)
         held: list[list[np.ndarray]] = [[] for _ in counts]
 
         words: dict[str, int] = {}
@@ -250,31 +268,46 @@ def bucket_maps(docs: DataFrame, least: int, bits: int) -> tuple[np.ndarray, Dat
         for grams, langs in gathered(batches):
             for t, n in zip(*np.unique(grams.text, return_counts=True), strict=True):
                 words[langs[t]] = words.get(langs[t], 0) + int(n)
-            for k, _, h1, h2 in grams:
-                for a, h in enumerate((h1, h2)):
-                    held[2 * k - 2 + a].append((h >> shift).astype(np.uint32))
-                    if sum(map(len, held[2 * k - 2 + a])) > 1 << 21:
-                        flush(2 * k - 2 + a)
+            for k, _, h1, h2 in passing(grams, maps.value, bits):
+                if k >= lengths.stop:
+                    break
+                for a, h in enumerate((h1, h2)) if k in lengths else ():
+                    row, at = 2 * (k - lengths.start) + a, (h >> shift).astype(np.uint32)
+                    held[row].append(at if high - low == 1 << bits else at[(at >= low) & (at < high)] - np.uint32(low))
+                    if sum(map(len, held[row])) > HELD:
+                        flush(row)
         for k in range(len(counts)):
             if held[k]:
                 flush(k)
         node = TaskContext.get().partitionId()
         more = _ARRAYS | {"lang": pa.string(), "n": pa.int64()}
         for k, row in enumerate(counts):
-            yield _batch([(*r, None, None) for r in _pieces(k, row, node)], more)
-        yield _batch([(None, None, None, None, *r) for r in words.items()], more)
+            yield _batch([(b, low // PIECE + piece, *r, None, None) for b, piece, *r in _pieces(2 * lengths.start - 2 + k, row, node)], more)
+        if lengths.start == 1 and low == 0:
+            yield _batch([(None, None, None, None, *r) for r in words.items()], more)
+
+    return run
+
+
+def bucket_maps(docs: DataFrame, least: int, bits: int, most: int = ROUND) -> tuple[np.ndarray, DataFrame]:
+    """Which buckets of each length and hash have at least so many phrases; and (lang, n), the words of each language."""
+    spark, limit, words = docs.sparkSession, min(255, least), None
+    out = np.zeros((LONGEST, 2, (1 << bits) // 8), np.uint8)
 
     def bits_of(batch):
         rows = [np.packbits(_unpacked(x, "u1") >= limit).tobytes() for x in batch.column(2).to_pylist()]
         return {"block": batch.column(0), "piece": batch.column(1), "data": pa.array(rows, pa.binary())}
 
-    # Counts saturate at the limit, and so do their sums.
-    both = written(docs.mapInArrow(run, f"{ARRAYS}, lang string, n long"), "buckets")
-    total = summed(both.where("lang is null").drop("lang", "n"), "u1", limit)
-    out = np.zeros((2 * LONGEST, top // 8), np.uint8)
-    for r in mapped(total.select("block", "piece", "data"), bits_of, "block int, piece int, data binary").toLocalIterator():  # of a fixed size
-        out[r.block, r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(r.data, np.uint8)
-    return out.reshape(LONGEST, 2, -1), both.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    for lengths, low, high in rounds(bits, most):
+        maps = spark.sparkContext.broadcast(out[: lengths.start - 1])
+        # Counts saturate at the limit, and so do their sums.
+        both = written(docs.mapInArrow(_buckets(maps, lengths, low, high, bits, limit), f"{ARRAYS}, lang string, n long"), "buckets")
+        total = summed(both.where("lang is null").drop("lang", "n"), "u1", limit)
+        for r in mapped(total.select("block", "piece", "data"), bits_of, "block int, piece int, data binary").toLocalIterator():  # of a bounded size
+            out[r.block // 2, r.block % 2, r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(r.data, np.uint8)
+        words = both.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")) if words is None else words
+        maps.unpersist()
+    return out, words
 
 
 class Slots:
@@ -322,30 +355,40 @@ def _sorted_pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray
     return h1[new], h2[new]
 
 
-def counted(docs: DataFrame, least: int = LEAST, bits: int = BUCKETS, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
+def counted(docs: DataFrame, least: int = LEAST, bits: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Slots]:
     """(h1, h2, k, lang, phrase, f) of all phrases of 1 to 5 words that stand at least so often in a language's texts,
     (lang, n) of the words of each language, and the counts by slot; docs: lang, text."""
     spark = docs.sparkSession
+    bits = bits_for(docs) if bits is None else bits
     found, words = bucket_maps(docs, least, bits)
     maps = spark.sparkContext.broadcast(found)
 
     def distinct(batches):
-        held, n = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))], 0
+        held, n, sets = [], 0, 0
+
+        def shards():
+            h1, h2 = held[0]
+            shard = (h2 % np.uint64(SHARDS)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+            # A task's sets stand in one group of the tree, so they are united first.
+            node = TaskContext.get().partitionId() * FAN + sets % FAN
+            some = ((k, order[cut[k] : cut[k + 1]]) for k in range(SHARDS))
+            return _batch([(0, k, node, _set(h1[at], h2[at])) for k, at in some if len(at)], _ARRAYS)
+
         for grams, _ in gathered(batches):
             for _, _, h1, h2 in passing(grams, maps.value, bits):
                 held.append((h1, h2))
                 n += len(h1)
-            if n > 1 << 21:
-                held, n = [_sorted_pairs(held)], 0
-        h1, h2 = _sorted_pairs(held)
-        shard = (h2 % np.uint64(SHARDS)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-        node = TaskContext.get().partitionId()
-        for k in range(SHARDS):
-            some = order[cut[k] : cut[k + 1]]
-            if len(some):
-                yield _batch([(0, k, node, _set(h1[some], h2[some]))], _ARRAYS)
+            if n > HELD:
+                held = [_sorted_pairs(held)]
+                n = 0
+                if len(held[0][0]) > HELD:
+                    yield shards()
+                    held, sets = [], sets + 1
+        if held:
+            held = [_sorted_pairs(held)]
+            yield shards()
 
     slots = Slots(united(written(docs.mapInArrow(distinct, ARRAYS), "candidates")), block)
     phrases = []
@@ -424,7 +467,7 @@ def with_parts(frequent: DataFrame) -> DataFrame:
     return mapped(frequent.where("k > 1").select("h1", "h2", "lang", "phrase", "k", "f"), each, "h1 long, h2 long, lang string, phrase string, a long, cuts array<struct<cut:int,l1:long,l2:long,r1:long,r2:long>>")
 
 
-def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP, bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first ``top`` phrases of each language."""
     docs = documents.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     frequent, words, slots = counted(docs, least, bits, block)

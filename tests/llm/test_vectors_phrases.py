@@ -165,6 +165,33 @@ def test_collocations(spark, bits, block, top):
     assert collocations.collocations(df.select("lang", F.lit(None).cast("string").alias("text"))).count() == 0
 
 
+@pytest.mark.parametrize(("bits", "most", "n"), [(16, 4 << 16, 3), (17, 2 << 16, 10)])
+def test_collocations_in_rounds_and_bounded_sets(spark, monkeypatch, bits, most, n):
+    """Counters filled some lengths or a range of buckets at a time; candidates handed out a bounded number at a time, of one partition too."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["en", "de"]), " ".join(rng.choice(["ab", "cd", "ef", f"w{rng.randrange(300)}"]) for _ in range(80))) for _ in range(60)]
+    for k in (15, 31, 47):  # a long word parts a task's texts into slices
+        rows.insert(k, ("en", "x" * collocations.SLICE))
+    monkeypatch.setattr(collocations, "HELD", 100)
+    monkeypatch.setattr(collocations.bucket_maps, "__defaults__", (most,))
+    sizes, united = [], collocations.united
+
+    def seen(pieces):
+        sizes.extend(r[1] for r in pieces.groupBy("node").agg((F.sum(F.length("data")) / 16).cast("long")).collect())
+        return united(pieces)
+
+    monkeypatch.setattr(collocations, "united", seen)
+    assert len(collocations.rounds(bits, most)) == n
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string").coalesce(1), least=4, bits=bits).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_phrases(rows, 4, 2000)) and len(got) > 50
+    assert 1 < len(sizes) <= collocations.FAN and max(sizes) < 4000
+
+
+def test_buckets_grow_with_the_text(spark):
+    of = lambda n: collocations.bits_for(spark.range(n).select(F.lit("en").alias("lang"), F.lit("x" * collocations.LOAD).alias("text")), 4)
+    assert (of(0), of(16), of(17), of(1 << 10)) == (4, 4, 5, 10)
+
+
 def test_collocations_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 200)
     rng = random.Random(9)
