@@ -1,9 +1,10 @@
 """New documents as a stream: a batch's pages are read, and the rules compare its documents with those before.
 
 A batch holds whole documents. What it says of a document replaces what earlier ones said; the document's
-version is its last batch's number. A batch leaves its documents' rows, and the flags that they are
-part of, alone or with any other document that stands then, with the versions of both.
-Flags of replaced versions are left out on reading, so nothing that earlier batches wrote is written
+version is its last batch's number. A batch leaves its documents' rows, the flags that they are part of alone, with
+their versions, and the pairs of figures of a fund that are at odds and of which one at least is theirs. Pairs of
+documents are many more than documents, so they are not written: they are met again on reading, by such
+figures. Flags of replaced versions are left out then, so nothing that earlier batches wrote is written
 again, and a reader always finds whole tables. All is written under the batch's number: a batch that
 runs again replaces itself. There is no event time in the model, so there is nothing to set a watermark on.
 """
@@ -47,7 +48,9 @@ def flags(spark: SparkSession, out: str) -> DataFrame:
     rows = spark.read.parquet(f"{out}/flags")
     for side in "ab":
         rows = rows.join(now.select(F.col("doc_id").alias(f"doc_{side}"), F.col("batch").alias(f"version_{side}")), [f"doc_{side}", f"version_{side}"], "left_semi")
-    return rows.select(*rules.FLAG)
+    odd = spark.read.parquet(f"{out}/odd").drop("batch").distinct()
+    docs, mentions, found = (current(spark, out, name) for name in ("docs", "mentions", "disagreements"))
+    return rows.select(*rules.FLAG).unionByName(rules.run_rules(docs, mentions, found, names=rules.PAIRS, odd=odd))
 
 
 def scores(spark: SparkSession, out: str) -> DataFrame:
@@ -65,7 +68,9 @@ def step(batch: DataFrame, number: int, out: str, config: Config = Config(), sto
     docs = spark.read.schema(schema).parquet(f"{out}/docs").join(known, ["doc_id", "batch"])
     # Funds without a new document have no new flag.
     docs = docs.join(got.docs.select("fund").distinct(), "fund", "left_semi").withColumn("fresh", F.col("batch") == number).drop("batch")
-    new = rules.run_rules(staged(docs, "compared"), got.mentions, got.disagreements, config.rules)
+    docs = staged(docs, "compared")
+    rules.figures_at_odds(docs, config.rules).write.mode("overwrite").parquet(f"{out}/odd/batch={number}")
+    new = rules.run_rules(docs, got.mentions, got.disagreements, config.rules, [name for name in rules.REGISTRY if name not in rules.PAIRS])
     for side in "ab":
         new = new.join(known.select(F.col("doc_id").alias(f"doc_{side}"), F.col("batch").alias(f"version_{side}")), f"doc_{side}")
     new.write.mode("overwrite").parquet(f"{out}/flags/batch={number}")

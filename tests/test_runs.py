@@ -222,3 +222,15 @@ def test_batches_equal_one_run_over_what_stands(spark, tmp_path):
     assert key(incremental.current(spark, out, "metrics"), "doc_id", "field", "value") == key(whole.metrics, "doc_id", "field", "value")
     last = spark.read.parquet(f"{out}/flags/batch=4")
     assert {11} <= {x for r in last.collect() for x in (r.doc_a, r.doc_b)} and all(11 in (r.doc_a, r.doc_b) for r in last.collect())
+
+
+def test_a_stream_writes_no_pairs_of_documents(spark, tmp_path):
+    """200 documents of one fund with two fees are 10,000 flags, and what a batch leaves of them is one pair of figures."""
+    from factloom.streaming import incremental
+
+    out = str(tmp_path)
+    for number in (0, 1):
+        texts = [(k, k, f"d{k}.txt", 0, 1, f"Management Fee: {'1.00' if k % 2 else '2.00'}%") for k in range(100 * number, 100 * number + 100)]
+        incremental.step(spark.createDataFrame(texts, PAGES), number, out)
+    assert spark.read.parquet(f"{out}/flags").count() == 0 and spark.read.parquet(f"{out}/odd").count() == 2
+    assert incremental.flags(spark, out).groupBy("type", "a").count().orderBy("a").collect() == [("MGMT_FEE_MISMATCH", 1.0, 4950), ("MGMT_FEE_MISMATCH", 2.0, 5050)]
