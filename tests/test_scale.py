@@ -122,3 +122,13 @@ def test_summaries_of_runs_agree_with_walking_them():
         for i in range(len(sizes)):
             opens = np.flatnonzero(r.openings(i))
             assert count[i] == len(opens) and left[i] == sum(sizes[opens[-1] :])
+
+
+def test_texts_of_many_suppliers_are_made_in_many_tasks(spark, tmp_path):
+    """A file of few bytes, which one task reads, holds documents for several."""
+    from factloom.plans import reports_data
+
+    n = 2 * reports_data.DOCUMENTS + 1
+    spark.range(n).selectExpr("id AS s_suppkey", "CAST(id % 25 AS INT) AS s_nationkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = reports_data.pages(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*"), F.count_distinct("doc_id")).collect()
+    assert len(rows) == 3 and sum(r[1] for r in rows) == 2 * n and sum(r[2] for r in rows) == n and max(r[2] for r in rows) < 2 * reports_data.DOCUMENTS
